@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import quality
+from leafmill.llm import mixing, quality, sharding
 from leafmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND bad.source IS NULL kept, bad.source IS NOT NULL host_rejected
 FROM b LEFT JOIN bad ON b.source = bad.source
 """
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "source"))
+
+
+QUERIES["op1_mix_sources"] = op1_mix_sources
+
+
+def op8_shard_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(spark, sf_dir).select(
+        "doc_id",
+        "source",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+    )
+    out = sharding.assign_shards(rows, 24, tie=("size", "text_crc32"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+QUERIES["op8_shard_stratified"] = op8_shard_stratified
