@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import mixing, quality, sharding
+from leafmill.llm import langid, media, mixing, quality, sharding
 from leafmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,37 @@ def op8_shard_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_shard_stratified"] = op8_shard_stratified
+
+
+def _part(key: str, of: int):
+    """crc32 of the id as text (null: of no bytes), modulo ``of``."""
+    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % of
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.learn_profiles(docs.where(_part("doc_id", 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", (_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op3_language_id"] = op3_language_id
+
+
+def op5_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    stored = documents(spark, sf_dir).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), media.store_text(F.col("text")).alias("media"))
+    pages = media.tiff_pages(stored)  # the payload is one page
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("samples"), F.octet_length("samples") - 63, F.lit(64))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+QUERIES["op5_tiff_pages"] = op5_tiff_pages
