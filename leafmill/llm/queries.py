@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import langid, media, mixing, quality, sharding
+from leafmill.llm import langid, media, mixing, quality, secrets, sharding
 from leafmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,11 @@ def op5_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_tiff_pages"] = op5_tiff_pages
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "ordinal", F.sha2("candidate", 256).alias("candidate_sha256"), F.col("length").cast("int"), "score", "is_secret")
+
+
+QUERIES["op10_secret_scan"] = op10_secret_scan
