@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import langid, media, mixing, quality, secrets, sharding
+from leafmill.llm import langid, media, mixing, quality, secrets, sharding, toxicity
 from leafmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_secret_scan"] = op10_secret_scan
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(labels.where(_part("doc_id", 5) != 0), docs)
+    out = toxicity.score_toxicity(docs, model)
+    return out.select("doc_id", (_part("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence", "cosines")
+
+
+QUERIES["op9_toxicity"] = op9_toxicity
