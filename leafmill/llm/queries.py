@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import jaccard, langid, media, mixing, quality, secrets, sharding, toxicity
+from leafmill.llm import jaccard, langid, media, mixing, pieces, quality, secrets, sharding, toxicity
 from leafmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_jaccard_join"] = op7_jaccard_join
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load_model()
+    coded = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+QUERIES["op6_sentencepiece"] = op6_sentencepiece
