@@ -13,7 +13,7 @@ Profiles hold ``size`` n-grams for each language, and are what the driver gets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 SIZE = 400
 SPACE = 32
-#: Distinct n-grams that a task holds before it hands its counts on.
+#: Characters whose n-grams are counted at once, and distinct n-grams that a task holds before it hands its counts on.
+AT_ONCE = 1 << 18
 HELD = 500_000
 
 Profiles = dict[str, tuple[np.ndarray, np.ndarray]]
@@ -68,6 +69,20 @@ def ranked(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return keys[np.argsort(-counts, kind="stable")[:size]]
 
 
+def _parts(lines: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """The lines, joined to parts of about AT_ONCE characters."""
+    part: list[np.ndarray] = []
+    size = 0
+    for line in lines:
+        part.append(line)
+        size += len(line)
+        if size >= AT_ONCE:
+            yield np.concatenate(part)
+            part, size = [], 0
+    if size:
+        yield np.concatenate(part)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     n = 0
@@ -82,13 +97,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang, text = batch.column(0).to_numpy(False), batch.column(1)
         for name in sorted(set(lang)):
-            lines = [fold(text[int(i)].as_py()) for i in np.flatnonzero(lang == name)]
-            if lines := [x for x in lines if len(x)]:
-                held.setdefault(name, []).append(grams(np.concatenate(lines)))
+            for part in _parts(fold(text[int(i)].as_py()) for i in np.flatnonzero(lang == name)):
+                held.setdefault(name, []).append(grams(part))
                 n += len(held[name][-1][0])
-        if n > HELD:
-            yield from told()
-            n = 0
+                if n > HELD:
+                    yield from told()
+                    n = 0
     yield from told()
 
 
