@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import jaccard, langid, media, mixing, pieces, quality, secrets, sharding, toxicity
+from leafmill.llm import jaccard, langid, media, mixing, pieces, quality, secrets, sharding, suffixes, toxicity
 from leafmill.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_sentencepiece"] = op6_sentencepiece
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), with_kept=False)
+
+
+QUERIES["op2_suffix_dedup"] = op2_suffix_dedup
