@@ -1,0 +1 @@
+"""Column functions, all of built-in expressions."""

@@ -1,0 +1 @@
+"""Operators over catalogs: DataFrames with a row for each file."""

@@ -1,0 +1 @@
+"""Whole runs and the registered queries, put together from sources and operators."""

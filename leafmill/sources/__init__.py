@@ -1,0 +1 @@
+"""Where catalogs come from: tables, and directory trees."""

@@ -1,0 +1 @@
+"""Nothing yet: every capability that is reproduced here is one batch pass, without event time or state."""
