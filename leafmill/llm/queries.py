@@ -52,6 +52,32 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_mix_sources"] = op1_mix_sources
+ORACLES["op1_mix_sources"] = """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') s, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) h FROM documents),
+r AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY h) - 1 r FROM d),
+c AS (SELECT s, row_number() OVER (ORDER BY s) i, count(*) n, (count(*) + 7) // 8 b FROM d GROUP BY s),
+t AS (SELECT greatest(512, 4 * count(*)) units, count(*) m, fsum(sqrt(n)) w FROM c),
+x AS (SELECT s, i, b, sqrt(n) / w * (units - m) e, units FROM c, t),
+u AS (SELECT s, i, b, CAST(1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY floor(e) - e, s) <= units - sum(1 + floor(e)) OVER () THEN 1 ELSE 0 END AS BIGINT) a FROM x),
+f AS (SELECT 0::BIGINT f UNION SELECT b // a FROM u UNION SELECT (b + a - 1) // a FROM u),
+g AS (SELECT f, i, a, greatest(0, least(a, b - f * a)) q, least(b, f * a) past FROM f, u),
+k AS (SELECT f, CAST(sum(q) AS BIGINT) total, CAST(sum(past) AS BIGINT) past, list(0::BIGINT) zeros FROM g GROUP BY f HAVING sum(q) > 0),
+v AS (SELECT f, i, a, q, unnest(range(0, q)) j FROM g JOIN k USING (f)),
+w AS (SELECT v.f, v.i, v.j, CAST(sum(least(g.a * v.j, g.q * v.a)) // v.a AS BIGINT) release,
+        CAST((sum(least(g.a * (v.j + 1), g.q * v.a)) + v.a - 1) // v.a AS BIGINT) due FROM v JOIN g ON g.f = v.f GROUP BY v.f, v.i, v.j, v.a),
+l AS (SELECT f, i, list(release ORDER BY j) releases, list(due ORDER BY j) dues FROM w GROUP BY f, i),
+z AS (SELECT f, list(releases ORDER BY i) releases, list(dues ORDER BY i) dues, list(i ORDER BY i) names FROM l GROUP BY f),
+e AS (SELECT f, 0::BIGINT AS spot, zeros AS done, 0::BIGINT AS pick FROM (SELECT f, list_transform(names, lambda y: 0::BIGINT) AS zeros FROM z)
+  UNION ALL SELECT f, spot + 1, list_transform(done, lambda y, i: y + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT e.f, e.spot, e.done, list_min(list_filter(list_transform(z.releases, lambda y, i: CASE WHEN e.done[i] < len(y) AND y[e.done[i] + 1] <= e.spot
+      THEN z.dues[i][e.done[i] + 1] * 100000 + i END), lambda y: y IS NOT NULL)) % 100000 p FROM e JOIN z ON z.f = e.f JOIN k ON k.f = e.f WHERE e.spot < k.total)),
+o AS (SELECT e.f, z.names[pick] i, done[pick] - 1 j, spot - 1 AS spot FROM e JOIN z ON z.f = e.f WHERE spot > 0),
+y AS (SELECT doc_id, source, u.i, u.a, r // 8 block, r % 8 row_in_block, (r // 8) // u.a rnd, (r // 8) % u.a j,
+        (SELECT max(k.f) FROM k WHERE k.f <= (r // 8) // u.a) f FROM r JOIN u USING (s))
+SELECT doc_id, source, CAST(a AS INTEGER) weight_units, block, k.past + (rnd - k.f) * k.total + o.spot slot, k.past + (rnd - k.f) * k.total + w.release release,
+  k.past + (rnd - k.f) * k.total + w.due deadline, CAST(row_in_block AS INTEGER) row_in_block
+FROM y JOIN k ON k.f = y.f JOIN o ON o.f = y.f AND o.i = y.i AND o.j = y.j JOIN w ON w.f = y.f AND w.i = y.i AND w.j = y.j
+"""
 
 
 def op8_shard_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +155,17 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_jaccard_join"] = op7_jaccard_join
+ORACLES["op7_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) g FROM d),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) n_shingles, least(d.doc_id, m.y) component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) y FROM r GROUP BY x) m ON m.x = d.doc_id
+"""
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
