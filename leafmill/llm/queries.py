@@ -95,6 +95,15 @@ def op8_shard_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_shard_stratified"] = op8_shard_stratified
+ORACLES["op8_shard_stratified"] = """
+WITH m AS (SELECT list(v ORDER BY i) m FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) v FROM range(256) q(i))),
+b AS (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) size, hex(encode(coalesce(text, ''))) hx, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) h FROM documents),
+y AS (SELECT *, list_transform(regexp_extract_all(hx, '..'), lambda p: CAST((strpos('0123456789ABCDEF', p[1]) - 1) * 16 + strpos('0123456789ABCDEF', p[2]) - 1 AS BIGINT)) bytes FROM b),
+d AS (SELECT doc_id, source, size, h, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, v: xor(c >> 8, m[CAST(xor(c, v) % 256 AS INTEGER) + 1])), 4294967295::BIGINT) crc FROM y, m),
+r AS (SELECT *, coalesce('=' || source, '') s, (2 * row_number() OVER (PARTITION BY source ORDER BY h, size, crc) - 1) / (2 * count(*) OVER (PARTITION BY source)) frac FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY frac, h, s, size, crc) - 1 p, count(*) OVER () n FROM r)
+SELECT doc_id, size, CAST(crc AS BIGINT) text_crc32, 'rows' law, CAST(p * 24 // n AS INTEGER) shard, CAST(p - (p * 24 // n * n + 23) // 24 AS BIGINT) slot, CAST(NULL AS INTEGER) grown_shard FROM p
+"""
 
 
 def _part(key: str, of: int):
