@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a bounded, seeded sample of the labelled rows, ``per_class`` of each label. Terms are
-the lower-cased words (letters and non-ASCII characters) of at least ``min_df`` examples; document
-frequencies are counted over all documents. The index keeps, for each term, its postings in blocks
-of examples, and the greatest weight in each block. A query bounds its cosine with every block by
-these, scores the most promising blocks, and then all others whose bound reaches the k-th best so
-far; so the k nearest are exact. Votes are weighted by squared cosine and by the inverse size of the
-class, and a logistic curve fitted to the examples' votes, each left out of its own vote, turns
-them into probabilities of label 1 at the classes' true frequency.
-
-Null and empty texts, and texts without a known term, get the frequency of label 1; so do all
-without examples of both labels (0 without any). Labels other than 0 and 1 and null ids are not
-learned from. The model (``per_class`` x 2 examples and their terms) is what the driver holds.
+Examples are a bounded, seeded sample of the labelled rows, ``per_class`` of each label. Terms are the
+lower-cased words (letters and non-ASCII characters) of at least ``min_df`` examples that go with a
+label, by a likelihood ratio of ``min_ratio``; all other words of a text together are one more term,
+of weight ``rest``, so that a long text with one telling word lies nearer to clean ones. Document
+frequencies are counted over all documents. The index keeps, for each term, its postings in blocks of
+examples, and the greatest weight in each block. A query bounds its cosine with every block by these,
+scores the most promising blocks, and then all others whose bound reaches the k-th best so far; so
+the k nearest are exact. Votes are weighted by squared cosine and by the inverse size of the class;
+an isotonic curve, fitted to the examples' votes, each left out of its own vote, turns them into
+probabilities of label 1 at the classes' true frequency.
+
+Null and empty texts, and texts without a word, get the frequency of label 1; so do all without
+examples of both labels (0 without any). Labels other than 0 and 1 and null ids are not learned from.
+The model (``per_class`` x 2 examples and their terms) is what the driver holds.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from leafmill.llm import hashing
 
 PER_CLASS = 2000
 MIN_DF = 5
+MIN_RATIO = 20.0
+REST = 0.3
 NEAREST = 75
 BLOCK = 64
 EVIDENCE = 5
@@ -55,19 +59,23 @@ class Model:
     weights: np.ndarray
     greatest: np.ndarray  # term x block
     vote: np.ndarray
-    slope: float
-    offset: float
+    curve: tuple[np.ndarray, np.ndarray] | None
     prior: float
     nearest: int
+    rest: float
 
     def query(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text and their normalised weights."""
-        if not len(words) or not len(self.terms):
+        """Terms of a text, the rest as the last of them, and their normalised weights."""
+        if not len(words):
             return np.empty(0, np.int64), np.empty(0)
-        at = np.searchsorted(self.terms, words)
-        at[at == len(self.terms)] = 0
-        known, counts = np.unique(at[self.terms[at] == words], return_counts=True)
+        known, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(self.terms):
+            at = np.searchsorted(self.terms, words)
+            at[at == len(self.terms)] = 0
+            known, counts = np.unique(at[self.terms[at] == words], return_counts=True)
         weights = (1 + np.log(counts)) * self.idf[known]
+        if others := len(words) - int(counts.sum()):
+            known, weights = np.append(known, len(self.terms)), np.append(weights, (1 + np.log(others)) * self.rest)
         norm = np.sqrt((weights**2).sum())
         return (known, weights / norm) if norm > 0 else (known[:0], weights[:0])
 
@@ -113,21 +121,38 @@ class Model:
         return float(votes[self.labels[best] == 1].sum() / votes.sum()) if len(best) else None
 
     def score(self, share: float | None) -> float:
-        if share is None or not self.slope:
+        """A thousandth of the score is the share itself, to tell shares on a level part of the curve apart."""
+        if share is None or self.curve is None:
             return self.prior
-        return float(1 / (1 + np.exp(-(self.slope * share + self.offset))))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a slight pull to zero."""
-    design, b = np.stack((x, np.ones(len(x))), 1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-design @ b))
-        step = np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (w * (y - p)) - 1e-3 * b)
-        b = b + step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(b[0]), float(b[1])
+        return float(0.999 * np.interp(share, *self.curve) + 0.001 * share)
+
+
+def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing curve nearest to y: neighbours out of order are pooled. Corner points of its steps."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []  # weight, weighted sum, first x, last x
+    for xi, yi, wi in zip(x[order].tolist(), y[order].tolist(), w[order].tolist(), strict=True):
+        pools.append([wi, wi * yi, xi, xi])
+        while len(pools) > 1 and (pools[-2][3] == pools[-1][2] or pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]):
+            last = pools.pop()
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
+    places = np.array([v for p in pools for v in p[2:]])
+    values = np.array([p[1] / p[0] for p in pools for _ in range(2)])
+    return places, values
+
+
+def telling(words: list[np.ndarray], labels: np.ndarray, min_df: int, min_ratio: float) -> np.ndarray:
+    """Sorted terms that go with a label: those of enough examples whose log-likelihood ratio is large."""
+    empty = np.empty(0, np.uint64)
+    every, at = np.unique(np.concatenate([np.unique(w) for w in words] or [empty]), return_inverse=True)
+    of = np.repeat(labels, [len(np.unique(w)) for w in words]) if words else np.empty(0, np.int64)
+    held = np.bincount(labels, minlength=2)
+    if not len(every) or held.min() == 0:
+        return empty
+    seen = np.stack([np.bincount(at[of == k], minlength=len(every)) for k in (0, 1)])
+    expected = seen.sum(0) * (held / held.sum())[:, None]
+    ratio = 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / expected), 0).sum(0)
+    return every[(seen.sum(0) >= min_df) & (ratio >= min_ratio)]
 
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +179,7 @@ def _document_counts(terms: np.ndarray):
 
 def fit(
     labelled: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    per_class: int = PER_CLASS, min_df: int = MIN_DF, nearest: int = NEAREST, seed: int = 0,
+    per_class: int = PER_CLASS, min_df: int = MIN_DF, min_ratio: float = MIN_RATIO, rest: float = REST, nearest: int = NEAREST, seed: int = 0,
 ) -> Model:
     """A model from (key, label) rows, whose texts are in docs."""
     labelled = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
@@ -166,25 +191,25 @@ def fit(
     rows = texts.mapInArrow(_example_terms, "doc_id long, label int, words array<long>").toPandas()
     rows = rows.sort_values(["label", "doc_id"], kind="stable")
     words = [np.asarray(x, np.int64).view(np.uint64) for x in rows["words"]]
-    distinct, counts = np.unique(np.concatenate([np.unique(w) for w in words] or [np.empty(0, np.uint64)]), return_counts=True)
-    terms = distinct[counts >= min_df]
+    labels, ids = rows["label"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64)
+    terms = telling(words, labels, min_df, min_ratio)
 
     got = docs.select(text).mapInArrow(_document_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     have = np.zeros(len(terms) + 1)
     have[got["term"].to_numpy()] = got["n"].to_numpy()
     idf = np.log((1 + have[-1]) / (1 + have[:-1]))
 
-    labels, ids = rows["label"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64)
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    model = Model(terms, idf, ids, labels, *(np.empty(0),) * 4, np.ones(2), 0.0, 0.0, prior, nearest)
+    model = Model(terms, idf, ids, labels, *(np.empty(0),) * 4, np.ones(2), None, prior, nearest, rest)
     _index(model, words)
     held = np.bincount(labels, minlength=2)
     if held.min() > 0:
         model.vote = 1 / held
         left_out = [model.share(*model.neighbours(w, i)) for i, w in enumerate(words)]
-        have_votes = np.array([x is not None for x in left_out])
-        weight = np.array([sizes[k] / held[k] for k in (0, 1)])[labels]
-        model.slope, model.offset = _logistic(np.array([x for x in left_out if x is not None]), labels[have_votes], weight[have_votes])
+        weight = np.array([sizes[k] / held[k] for k in (0, 1)])[model.labels]
+        use = np.array([x is not None for x in left_out])
+        if use.any():
+            model.curve = _isotonic(np.array([x for x in left_out if x is not None]), model.labels[use], weight[use])
     return model
 
 
@@ -203,10 +228,11 @@ def _index(model: Model, words: list[np.ndarray]) -> None:
     term, example, weight = term[order], example[order], weight[order]
     blocks = max(1, -(-len(vectors) // BLOCK))
     cell = term * blocks + example // BLOCK
-    edges = np.searchsorted(cell, np.arange(len(model.terms) * blocks + 1))
-    grid = edges[:-1].reshape(len(model.terms), blocks)
+    terms = len(model.terms) + 1
+    edges = np.searchsorted(cell, np.arange(terms * blocks + 1))
+    grid = edges[:-1].reshape(terms, blocks)
     model.starts = np.concatenate((grid, np.append(grid[1:, 0], edges[-1])[: len(grid), None]), axis=1)
-    model.greatest = np.zeros((len(model.terms), blocks))
+    model.greatest = np.zeros((terms, blocks))
     np.maximum.at(model.greatest.ravel(), cell, weight)
     model.examples, model.weights = example, weight
 
