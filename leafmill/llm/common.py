@@ -40,6 +40,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's bound on the rows of an Arrow batch, which holds whole texts on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def join_checked(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str, max_broadcast_rows: int = 200_000
 ) -> DataFrame:

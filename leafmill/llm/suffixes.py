@@ -6,7 +6,7 @@ in one: each string is sent by its anchor, the ``GRAM``-byte run with the smalle
 Anchors that occur once can't repeat, and their strings are not looked at further. What is left of a
 text falls into regions, the bytes of the strings of one anchor.
 
-A task takes the regions of its anchors in shards of bounded size. It sorts the suffixes of a shard
+A task takes the distinct regions of its anchors in shards of bounded size. It sorts the suffixes of a shard
 by Larsson-Sadakane refinement (groups of equal prefixes are split by the rank of what follows them,
 with doubled length each time, and groups of one are left alone), and measures common prefixes in
 Kasai's way, along the text, where each is at least the last one less a byte. Neighbours with
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import hashing
-from leafmill.llm.common import join_checked, materialize
+from leafmill.llm.common import join_checked, materialize, small_batches
 
 LENGTH = 200
 GRAM = 32
@@ -234,37 +234,57 @@ def _packed(regions: list[bytes], shard: int) -> list[tuple[np.ndarray, np.ndarr
     return shards
 
 
-def _told(rows: list[tuple], length: int, shard: int) -> pa.RecordBatch:
-    """(t1, t2, begin, end) of the bytes of repeated strings among regions (t1, t2, first, region)."""
+def _spans(held: dict[bytes, list], length: int, shard: int) -> list[tuple[int, int, int, int]]:
+    """(t1, t2, begin, end) of repeated strings in regions that were met once; those met again went before.
+
+    ``held`` has, for each distinct region, [t1, t2, first, whether it was met again].
+    """
     low, out = 0, []
-    shards = _packed([r[3] for r in rows], shard)
+    regions, owners = list(held), list(held.values())
+    shards = _packed(regions, shard)
     for (_, starts, _), flags in zip(shards, repeated(shards, length), strict=True):
         edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
         on, off = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         region = np.searchsorted(starts, on, "right") - 1
         for r, b, e in zip(region.tolist(), (on - starts[region]).tolist(), (off - starts[region]).tolist(), strict=True):
-            t1, t2, first, _ = rows[low + r]
-            out.append((t1, t2, first + b, first + e + length - 1))
+            t1, t2, first, again = owners[low + r]
+            if not again:
+                out.append((t1, t2, first + b, first + e + length - 1))
         low += len(starts)
-    columns = list(zip(*out, strict=True)) or [()] * 4
-    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["t1", "t2", "begin", "end"])
+    return out
 
 
 def _repeated_rows(length: int, shard: int):
-    """(key, t1, t2, first, region), sorted by key -> the spans of repeated strings."""
+    """(key, t1, t2, first, region), sorted by key -> the spans of repeated strings.
+
+    Equal regions are held once: all their strings are repeated, and one of them stands for the others
+    where regions differ. So what a task holds grows with the distinct regions of an anchor alone.
+    """
+
+    def batch_of(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["t1", "t2", "begin", "end"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held: dict[bytes, list] = {}
         size, last = 0, None
         for batch in batches:
-            for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out: list[tuple[int, int, int, int]] = []
+            for key, t1, t2, first, region in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if size >= shard and key != last:
-                    yield _told(rows, length, shard)
-                    rows, size = [], 0
-                rows.append(tuple(row))
-                size, last = size + len(row[3]), key
-        if rows:
-            yield _told(rows, length, shard)
+                    out += _spans(held, length, shard)
+                    held, size = {}, 0
+                last = key
+                if one := held.get(region):
+                    out.append((t1, t2, first, first + len(region)))
+                    if not one[3]:
+                        one[3] = True
+                        out.append((*one[:2], one[2], one[2] + len(region)))
+                else:
+                    held[region] = [t1, t2, first, False]
+                    size += len(region)
+            yield batch_of(out)
+        yield batch_of(_spans(held, length, shard) if held else [])
 
     return find
 
@@ -311,6 +331,7 @@ def text_keys(df: DataFrame, text: str = "text") -> DataFrame:
 
 def kept_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """For each distinct text (t1, t2): n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
+    small_batches(docs.sparkSession)
     bodies = text_keys(docs.select(text), text).select("t1", "t2", F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body"))
     long = bodies.where(F.octet_length("body") >= length)
     found = long.mapInArrow(_anchor_rows(length), "t1 long, t2 long, key long, first long, last long")
