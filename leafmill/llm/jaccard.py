@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import hashing
-from leafmill.llm.common import join_checked, materialize
+from leafmill.llm.common import join_checked, materialize, small_batches
 from leafmill.llm.components import components
 
 #: Counters that order the runs: a fixed bound on what the driver collects and sends to tasks.
@@ -94,18 +94,24 @@ def _signatures(docs: DataFrame, key: str, text: str, size: int, percent: int, c
     return rows.mapInArrow(sign, "doc_id long, n int, k1 long, k2 long, prefix array<long>")
 
 
-def _may_reach(percent: int, known: Column, a: str = "a", b: str = "b") -> Column:
-    """Length filter, and whether ``known`` as a bound on the intersection is enough."""
-    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+def _may_link(percent: int) -> Column:
+    """Length filter, and whether a run at pos_a and pos_b is in the prefixes that this very pair needs.
+
+    Sets of n_a and n_b runs need an intersection of percent (n_a + n_b) / (100 + percent), o in short;
+    the first run they share is then among the first n_a - o + 1 of one, and n_b - o + 1 of the other.
+    """
+    na, nb = F.col("n_a"), F.col("n_b")
     near = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    return near & ((100 + percent) * known >= percent * (na + nb))
+    rest = F.least(na - F.col("pos_a"), nb - F.col("pos_b"))
+    return near & ((100 + percent) * rest >= percent * (na + nb))
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) that pass the positional filter, from one row for each run that their prefixes share."""
+    """Distinct (a, b) that pass the positional filter, from one row for each run that the prefixes they need share."""
     by = rows.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-    return by.where(_may_reach(percent, F.col("c") + rest)).select("a", "b")
+    enough = (100 + percent) * (F.col("c") + rest) >= percent * (F.col("n_a") + F.col("n_b"))
+    return by.where(enough).select("a", "b")
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -129,37 +135,32 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose sets link. Only the texts of their documents are read again into sets."""
+    """The pairs whose sets link.
+
+    Texts are joined to the pairs, not sets: a text is half the size of its hashes once compressed.
+    Only those of the pairs' documents are moved.
+    """
     pairs = materialize(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     needed = materialize(needed, "needed")
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = join_checked(own, needed, ["doc_id"], "left_semi", 2_000_000)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                found = [runs.tobytes() for _, runs in text_sets(part.column(1), size)]
-                yield pa.record_batch({"doc_id": part.column(0), "runs": pa.array(found, pa.binary())})
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hold = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                hold.append(linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
+            hold = [linked(x, y, percent) for (_, x), (_, y) in zip(text_sets(batch.column(2), size), text_sets(batch.column(3), size), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
-    made = own.mapInArrow(sets, "doc_id long, runs binary")
-    with_a = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("runs").alias("runs_a")), "a")
-    with_both = with_a.join(made.select(F.col("doc_id").alias("b"), F.col("runs").alias("runs_b")), "b")
-    return with_both.select("a", "b", "runs_a", "runs_b").mapInArrow(verify, "a long, b long")
+    with_a = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_both = with_a.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs; the component is its smallest id."""
+    small_batches(docs.sparkSession)
     counters = run_counters(docs, text, size)
     signed = materialize(_signatures(docs, key, text, size, percent, counters), "signatures")
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
@@ -170,7 +171,7 @@ def near_duplicates(
     heads = heads.where("many > 1").select("run", F.col("head.id").alias("a"), F.col("head.n").alias("n_a"), F.col("head.pos").alias("pos_a"))
     shared = rows.select("run", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b")).join(heads, "run")
     shared = materialize(shared, "shared")
-    links = materialize(_verified(_pairs(shared.where("a <> b"), percent), docs, key, text, size, percent), "links")
+    links = materialize(_verified(_pairs(shared.where((F.col("a") != F.col("b")) & _may_link(percent)), percent), docs, key, text, size, percent), "links")
 
     labels = components(links)
     rows = shared.select("run", F.col("b").alias("id"), F.col("n_b").alias("n"), F.col("pos_b").alias("pos"))
@@ -178,10 +179,9 @@ def near_duplicates(
     apart = rows.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run")
     rows = materialize(rows.join(apart, "run", "left_semi"), "apart")
     side = lambda x: rows.select("run", *[F.col(c).alias(f"{d}_{x}") for c, d in (("label", "of"), ("n", "n"), ("pos", "pos"))], F.col("id").alias(x))
-    known = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     short = F.col("n_a") < F.col("n_b")
     ordered = short | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    met = side("a").join(side("b"), "run").where(ordered & (F.col("of_a") != F.col("of_b")) & _may_reach(percent, known))
+    met = side("a").join(side("b"), "run").where(ordered & (F.col("of_a") != F.col("of_b")) & _may_link(percent))
     more = _verified(_pairs(met, percent), docs, key, text, size, percent)
     links = materialize(links.union(more), "links")
 

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text is cut where no piece can reach across: before each run of spaces, and around line ends. The
-units so found are counted over all documents. For the most frequent ones, as many as the
+A text is cut where no piece can reach across, which the piece table itself tells: before each run of
+spaces, around line ends, and between Latin letters and other characters if no piece has both. The units so found are counted over all documents. For the most frequent ones, as many as the
 ``dictionary`` parameter, all substrings of bounded length are exploded and equi-joined to the piece
 table; these edges are grouped by unit, and a higher-order ``aggregate`` folds them to the pieces of
 the unit. The resulting table, bounded by its parameter, is sent to all tasks, which look units up;
@@ -22,22 +22,30 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmill.llm.common import let, materialize
+from leafmill.llm.common import let, materialize, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-UNIT = f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
-DICTIONARY = 65_536
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Patterns (of Python and of Spark) that cut a text into units, finest first: Latin letters, others and
+#: line ends, with the spaces before them; or all but spaces and line ends; or not at all.
+CUTS = (f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}\n]+|{SPACE}+|\n", f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", "(?s).+")
+DICTIONARY = 131_072
 #: Longer units are left to the tasks: the fold is quadratic in the length.
 LONGEST_UNIT = 48
-#: Units that a task remembers.
+#: Units that a task remembers, and rows that it turns at once.
 REMEMBERED = 400_000
+ROWS = 128
 
 
 @dataclass(frozen=True)
@@ -49,6 +57,15 @@ class PieceModel:
     by_id: tuple[bytes, ...]
     kind: str = "bpe"
 
+    @cached_property
+    def cut(self) -> str:
+        """The finest of CUTS that leaves every piece in one unit; it looks at neighbouring characters alone, so no piece crosses it."""
+        return next(c for c in CUTS if all(re.findall(c, p) == [p] for p in self.pieces))
+
+    @cached_property
+    def costs(self) -> dict[str, float]:
+        return {p: -score for p, (_, score) in self.pieces.items()}
+
     @property
     def longest(self) -> int:
         return max(map(len, self.pieces), default=1)
@@ -68,15 +85,15 @@ def load_model(path: str = MODEL, kind: str = "bpe") -> PieceModel:
     return PieceModel(pieces, first, tuple(by_id), kind)
 
 
-def units(text: Column) -> Column:
+def units(text: Column, model: PieceModel) -> Column:
     """The units of a text; none for null and empty texts."""
     marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(text != "", F.regexp_extract_all(marked, F.lit(UNIT), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(text != "", F.regexp_extract_all(marked, F.lit(model.cut), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def frequent_units(docs: DataFrame, text: str, most: int) -> DataFrame:
+def frequent_units(docs: DataFrame, text: str, model: PieceModel, most: int) -> DataFrame:
     """The units above the least count that leaves at most ``most`` of them."""
-    counts = docs.select(F.explode(units(F.col(text))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode(units(F.col(text), model)).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
     counts = materialize(counts.where((F.col("n") > 1) & (F.length("unit") <= LONGEST_UNIT)), "units")
     seen, least = 0, None
     for n, k in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
@@ -154,16 +171,30 @@ def encode_units(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
     return rows.select("unit", parts.alias("ids"))
 
 
-def encode_unit(unit: str, model: PieceModel) -> list[int]:
-    """The pieces of one unit of a byte-pair model: best pair first, by a heap over a linked list."""
-    pieces, symbols = model.pieces, list(unit)
+def _merged(symbols: list[str], costs: dict[str, float]) -> list[str]:
+    """Best pair first, by looking at all pairs each time: for short units."""
+    of, never = costs.get, float("inf")
+    pairs = [of(a + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
+    while pairs and (best := min(pairs)) < never:
+        i = pairs.index(best)
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = of(symbols[i - 1] + symbols[i], never)
+        if i < len(pairs):
+            pairs[i] = of(symbols[i] + symbols[i + 1], never)
+    return symbols
+
+
+def _merged_long(symbols: list[str], costs: dict[str, float]) -> list[str]:
+    """The same, by a heap over a linked list."""
     after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
     heap: list[tuple[float, int, str]] = []
 
     def meet(i: int, j: int) -> None:
         both = symbols[i] + symbols[j]
-        if found := pieces.get(both):
-            heapq.heappush(heap, (-found[1], i, both))
+        if both in costs:
+            heapq.heappush(heap, (costs[both], i, both))
 
     for i in range(len(symbols) - 1):
         meet(i, i + 1)
@@ -179,7 +210,18 @@ def encode_unit(unit: str, model: PieceModel) -> list[int]:
             meet(i, after[i])
         if before[i] >= 0:
             meet(before[i], i)
-    return list(chain.from_iterable([pieces[s][0]] if s in pieces else [model.first_byte + b for b in s.encode("utf-8", "replace")] for s in symbols if s))
+    return [s for s in symbols if s]
+
+
+def encode_unit(unit: str, model: PieceModel) -> list[int]:
+    """The pieces of one unit of a byte-pair model."""
+    out: list[int] = []
+    for s in (_merged if len(unit) <= LONGEST_UNIT else _merged_long)(list(unit), model.costs):
+        if s in model.pieces:
+            out.append(model.pieces[s][0])
+        else:
+            out += [model.first_byte + b for b in s.encode("utf-8", "replace")]
+    return out
 
 
 def best_path(unit: str, model: PieceModel) -> list[int]:
@@ -198,47 +240,59 @@ def best_path(unit: str, model: PieceModel) -> list[int]:
     return list(chain.from_iterable(reversed(out)))
 
 
+def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.DataType, convert) -> DataFrame:
+    """df with ``name``, made from ``source`` a few rows at a time; ``convert()`` gives the function of a value."""
+    small_batches(df.sparkSession)
+    out = df.drop(name)
+    at = df.columns.index(source)
+    kept = [i for i, c in enumerate(df.columns) if c.lower() != name.lower()]
+    names = [*out.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = convert()
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                made = pa.array([None if x is None else of(x) for x in batch.column(at).to_pylist()], arrow)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], made], names)
+
+    return df.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(name, kind)]))
+
+
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", name: str = "ids", dictionary: int = DICTIONARY) -> DataFrame:
     """docs with ``name``, the ids of the pieces of the whole text (a column of this name is replaced)."""
-    table = encode_units(frequent_units(docs, text, dictionary), model)
-    known = {u: list(ids) for u, ids in table.toPandas().itertuples(index=False)}
+    table = encode_units(frequent_units(docs, text, model, dictionary), model)
+    known = {u: tuple(map(int, ids)) for u, ids in table.toPandas().itertuples(index=False)}
     shared = docs.sparkSession.sparkContext.broadcast((known, model))
 
-    @F.pandas_udf("array<int>")
-    def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoder():
         known, model = shared.value
-        remembered: dict[str, list[int]] = {}
-        find = re.compile(UNIT).findall
+        remembered: dict[str, tuple[int, ...]] = {}
+        find = re.compile(model.cut).findall
         alone = encode_unit if model.kind == "bpe" else best_path
 
-        def ids(text: str | None) -> list[int] | None:
-            if not text:
-                return None if text is None else []
+        def ids(text: str) -> np.ndarray:
             out: list[int] = []
-            for u in find(SPACE + text.replace(" ", SPACE)):
+            for u in find(SPACE + text.replace(" ", SPACE)) if text else ():
                 got = known.get(u) or remembered.get(u)
                 if got is None:
                     if len(remembered) >= REMEMBERED:
                         remembered.clear()
-                    got = remembered[u] = alone(u, model)
+                    got = remembered[u] = tuple(alone(u, model))
                 out += got
-            return out
+            return np.array(out, np.int32)
 
-        for part in parts:
-            yield pd.Series([ids(x) for x in part], dtype=object)
+        return ids
 
-    return docs.drop(name).withColumn(name, ids_of(F.col(text)))
+    return _with_column(docs, text, name, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), encoder)
 
 
 def decode(df: DataFrame, model: PieceModel, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """df with ``name``, the text of the ids (a column of this name is replaced)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def text_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def decoder():
         piece = shared.value.by_id.__getitem__
-        for part in parts:
-            texts = [None if x is None else b"".join(map(piece, x)).decode("utf-8", "replace").replace(SPACE, " ")[1:] for x in part]
-            yield pd.Series(texts, dtype=object)
+        return lambda x: b"".join(map(piece, x)).decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
-    return df.drop(name).withColumn(name, text_of(F.col(ids)))
+    return _with_column(df, ids, name, T.StringType(), pa.string(), decoder)

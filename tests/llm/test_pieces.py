@@ -10,6 +10,10 @@ ODD = ["  hello  world\n\tfoo é 中 \x00 x", " a  b ", "   ", "\n\n \n", "x" *
 
 
 def test_no_piece_crosses_a_unit():
+    assert MODEL.cut == pieces.CUTS[0]
+    mixed = pieces.PieceModel({"a.": (300, -1.0), ".": (301, -2.0)}, 3, ())
+    crossing = pieces.PieceModel({"a\u2581b": (300, -1.0)}, 3, ())
+    assert mixed.cut == pieces.CUTS[1] and crossing.cut == pieces.CUTS[2]
     for p in MODEL.pieces:
         assert "\n" not in p and pieces.SPACE not in p.lstrip(pieces.SPACE)
 
@@ -31,6 +35,13 @@ def test_units_by_lattice_and_alone(spark):
         assert list(r["ids"]) == pieces.encode_unit(r["unit"], MODEL)
 
 
+def test_both_ways_to_merge():
+    rng = random.Random(7)
+    for _ in range(500):
+        word = list("".join(rng.choices("aabcdeinorst ▁é", k=rng.randrange(1, 60))))
+        assert pieces._merged(list(word), MODEL.costs) == pieces._merged_long(list(word), MODEL.costs)
+
+
 def test_odd_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     for r in pieces.decode(pieces.encode(df.union(df), MODEL), MODEL).collect():
