@@ -40,6 +40,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """df in no more partitions than give each about ``each`` of its ``rows`` rows, two for each core at least.
+
+    Partitions are put together without a shuffle; none are added.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's bound on the rows of an Arrow batch, which holds whole texts on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import hashing
-from leafmill.llm.common import join_checked, materialize, small_batches
+from leafmill.llm.common import join_checked, materialize, sized, small_batches
 from leafmill.llm.components import components
 
 #: Counters that order the runs: a fixed bound on what the driver collects and sends to tasks.
 COUNTER_BITS = 17
 ROWS = 256
+#: Of a task: classes with their prefixes, prefix rows or pairs of ids, and pairs with texts.
+CLASSES, PREFIX_ROWS, TEXT_PAIRS = 4_000, 100_000, 2_000
 
 
 def text_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -134,15 +136,16 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: int, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs whose sets link.
 
     Texts are joined to the pairs, not sets: a text is half the size of its hashes once compressed.
-    Only those of the pairs' documents are moved.
+    Only those of the pairs' documents are moved. ``rows`` are the prefix rows that the pairs come from.
     """
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(sized(pairs, rows, PREFIX_ROWS), "pairs")
+    many = pairs.count()
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = materialize(needed, "needed")
+    needed = materialize(sized(needed, 2 * many, PREFIX_ROWS), "needed")
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = join_checked(own, needed, ["doc_id"], "left_semi", 2_000_000)
 
@@ -153,7 +156,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
 
     with_a = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_a.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return sized(with_both.select("a", "b", "text_a", "text_b"), many, TEXT_PAIRS).mapInArrow(verify, "a long, b long")
 
 
 def near_duplicates(
@@ -164,25 +167,28 @@ def near_duplicates(
     counters = run_counters(docs, text, size)
     signed = materialize(_signatures(docs, key, text, size, percent, counters), "signatures")
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
-    classes = materialize(classes.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
+    classes = classes.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
+    classes = materialize(sized(classes, signed.count(), CLASSES), "classes")
 
     rows = classes.select("id", "n", F.posexplode("prefix").alias("pos", "run"))
     heads = rows.groupBy("run").agg(F.min(F.struct("id", "n", "pos")).alias("head"), F.count("*").alias("many"))
     heads = heads.where("many > 1").select("run", F.col("head.id").alias("a"), F.col("head.n").alias("n_a"), F.col("head.pos").alias("pos_a"))
     shared = rows.select("run", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b")).join(heads, "run")
-    shared = materialize(shared, "shared")
-    links = materialize(_verified(_pairs(shared.where((F.col("a") != F.col("b")) & _may_link(percent)), percent), docs, key, text, size, percent), "links")
+    shared = materialize(sized(shared, classes.count(), CLASSES), "shared")
+    many = shared.count()
+    pairs = _pairs(shared.where((F.col("a") != F.col("b")) & _may_link(percent)), percent)
+    links = materialize(_verified(pairs, many, docs, key, text, size, percent), "links")
 
     labels = components(links)
     rows = shared.select("run", F.col("b").alias("id"), F.col("n_b").alias("n"), F.col("pos_b").alias("pos"))
     rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     apart = rows.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run")
-    rows = materialize(rows.join(apart, "run", "left_semi"), "apart")
+    rows = materialize(sized(rows.join(apart, "run", "left_semi"), many, PREFIX_ROWS), "apart")
     side = lambda x: rows.select("run", *[F.col(c).alias(f"{d}_{x}") for c, d in (("label", "of"), ("n", "n"), ("pos", "pos"))], F.col("id").alias(x))
     short = F.col("n_a") < F.col("n_b")
     ordered = short | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     met = side("a").join(side("b"), "run").where(ordered & (F.col("of_a") != F.col("of_b")) & _may_link(percent))
-    more = _verified(_pairs(met, percent), docs, key, text, size, percent)
+    more = _verified(_pairs(met, percent), rows.count(), docs, key, text, size, percent)
     links = materialize(links.union(more), "links")
 
     labels = components(links)
