@@ -240,8 +240,29 @@ def best_path(unit: str, model: PieceModel) -> list[int]:
     return list(chain.from_iterable(reversed(out)))
 
 
-def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow: pa.DataType, convert) -> DataFrame:
-    """df with ``name``, made from ``source`` a few rows at a time; ``convert()`` gives the function of a value."""
+class _Ids(dict):
+    """The ids of units, as the bytes of 32-bit integers.
+
+    It is sent to all tasks as a broadcast, which a Python worker keeps from task to task; so are the
+    units that the table lacks, of which ``REMEMBERED`` are held at most.
+    """
+
+    def __init__(self, known: dict[str, bytes], model: PieceModel):
+        super().__init__()
+        self.known, self.model = known, model
+        self.alone = encode_unit if model.kind == "bpe" else best_path
+
+    def __missing__(self, unit: str) -> bytes:
+        got = self.known.get(unit)
+        if got is None:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            got = self[unit] = np.array(self.alone(unit, self.model), np.int32).tobytes()
+        return got
+
+
+def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, convert) -> DataFrame:
+    """df with ``name``, made from ``source`` a few rows at a time; ``convert()`` gives the function of an Arrow array."""
     small_batches(df.sparkSession)
     out = df.drop(name)
     at = df.columns.index(source)
@@ -253,8 +274,7 @@ def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow:
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                made = pa.array([None if x is None else of(x) for x in batch.column(at).to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], made], names)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], of(batch.column(at))], names)
 
     return df.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(name, kind)]))
 
@@ -262,29 +282,21 @@ def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, arrow:
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", name: str = "ids", dictionary: int = DICTIONARY) -> DataFrame:
     """docs with ``name``, the ids of the pieces of the whole text (a column of this name is replaced)."""
     table = encode_units(frequent_units(docs, text, model, dictionary), model)
-    known = {u: tuple(map(int, ids)) for u, ids in table.toPandas().itertuples(index=False)}
-    shared = docs.sparkSession.sparkContext.broadcast((known, model))
+    known = {u: np.array(ids, np.int32).tobytes() for u, ids in table.toPandas().itertuples(index=False)}
+    shared = docs.sparkSession.sparkContext.broadcast(_Ids(known, model))
 
     def encoder():
-        known, model = shared.value
-        remembered: dict[str, tuple[int, ...]] = {}
-        find = re.compile(model.cut).findall
-        alone = encode_unit if model.kind == "bpe" else best_path
-
-        def ids(text: str) -> np.ndarray:
-            out: list[int] = []
-            for u in find(SPACE + text.replace(" ", SPACE)) if text else ():
-                got = known.get(u) or remembered.get(u)
-                if got is None:
-                    if len(remembered) >= REMEMBERED:
-                        remembered.clear()
-                    got = remembered[u] = tuple(alone(u, model))
-                out += got
-            return np.array(out, np.int32)
+        of = shared.value
+        find = re.compile(of.model.cut).findall
+
+        def ids(texts: pa.Array) -> pa.Array:
+            found = [b"".join(map(of.__getitem__, find(SPACE + x.replace(" ", SPACE)))) if x else b"" for x in texts.to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)), mask=texts.is_null())
 
         return ids
 
-    return _with_column(docs, text, name, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), encoder)
+    return _with_column(docs, text, name, T.ArrayType(T.IntegerType()), encoder)
 
 
 def decode(df: DataFrame, model: PieceModel, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -292,7 +304,14 @@ def decode(df: DataFrame, model: PieceModel, ids: str = "ids", name: str = "deco
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def decoder():
-        piece = shared.value.by_id.__getitem__
-        return lambda x: b"".join(map(piece, x)).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+        piece = [x.replace(SPACE.encode(), b" ") for x in shared.value.by_id].__getitem__
+
+        def texts(rows: pa.Array) -> pa.Array:
+            values = rows.values.to_numpy(zero_copy_only=False)
+            ends = rows.offsets.to_pylist()
+            of = lambda a, b: b"".join(map(piece, values[a:b].tolist())).decode("utf-8", "replace")[1:]
+            return pa.array([of(a, b) if there else None for a, b, there in zip(ends, ends[1:], rows.is_valid().to_pylist(), strict=False)], pa.string())
+
+        return texts
 
-    return _with_column(df, ids, name, T.StringType(), pa.string(), decoder)
+    return _with_column(df, ids, name, T.StringType(), decoder)
