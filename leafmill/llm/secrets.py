@@ -1,8 +1,10 @@
 """Secret scans whose false positives a random forest removes. Native: DataFrame and Spark ML functions only.
 
-A candidate is a maximal run of at least 16 characters that keys and tokens are made of. A forest,
-trained from labelled findings, reads its length, its transitions between kinds of characters, how
-much of it words of the corpus cover, the path it was found in, and the words beside it.
+A candidate is a maximal run of at least 16 characters that keys and tokens are made of. Where a run
+begins with ``name=``, as in an .env file or an address, and 16 characters or more follow, the
+candidate is what follows, and the name stands before it. A forest, trained from labelled findings,
+reads its length, its transitions between kinds of characters, how much of it words of the corpus
+cover, how it begins, the path it was found in, and the words beside it.
 
 Null and empty texts have no candidates; a null path has no path marks. Candidates are numbered in
 their text from 0, so repeated rows give repeated findings. Empty tables give empty results.
@@ -10,6 +12,8 @@ their text from 0, so repeated rows give repeated findings. Empty tables give em
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,21 +24,33 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import free_name, join_checked, let, materialize
 
 CANDIDATE = r"[A-Za-z0-9+/=_\-]{16,}"
+#: The name at the head of a run. Its parts are shorter than the shortest candidate, so no key is taken for a name.
+NAME = r"^([A-Za-z][A-Za-z0-9]{0,14}(?:[_\-]+[A-Za-z0-9]{1,15})*[_\-]*=)[^=].{15}"
 #: Characters of the surroundings that are read on either side.
 BESIDE = 48
 #: Size of the dictionary, a bound on what is broadcast.
 DICTIONARY_WORDS = 20_000
 FEATURES = (
     "length", "digits", "uppers", "symbols", "changes", "letter_runs", "vowels", "distinct", "coverage",
-    "odd_path", "named", "assigned", "quoted", "benign",
+    "odd_path", "named", "assigned", "quoted", "benign", "issued", "filler",
 )
 #: Marks of paths that hold no live secrets, and words beside a candidate that speak for or against it.
 ODD_PATH = r"(?i)test|example|sample|mock|fixture|doc"
-NAMED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)[a-z_\-]*\W{0,6}$"
+NAMED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|[?&]key|\bkey(?==))[a-z_\-]*\W{0,6}$"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 BENIGN = r"(?i)(commit|revision|checksum|sha-?\d*|md5|digest|hash|uuid|guid|etag|example|placeholder|dummy)\W{0,6}$"
 
 
+#: Heads of keys that well-known issuers give out, and marks of values that stand for a key.
+ISSUED = r"^(AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|ya29|npm_|pypi-|hf_|eyJ)[A-Za-z0-9+/=_\-]{12,}$"
+FILLER = r"(?i)x{6}|0{6}|1234567|abcdab|example|dummy|change.?me|your.?(key|token|secret|pass)|goes.?here|placeholder"
+
+
+def _name(run: Column) -> Column:
+    """The ``name=`` that a run begins with, empty where it has none."""
+    return F.regexp_extract(run, NAME, 1)
+
+
 def candidates(df: DataFrame, text: str = "text", path: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(kept columns, path, ordinal, candidate, before, after) of each candidate of the whole text."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -44,8 +60,8 @@ def candidates(df: DataFrame, text: str = "text", path: str = "source", keep: tu
             F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)),
             lambda c, k: F.struct(
                 k.alias("ordinal"),
-                c.alias("candidate"),
-                F.right(F.get(gaps, k), F.lit(BESIDE)).alias("before"),
+                F.substr(c, F.length(_name(c)) + 1).alias("candidate"),
+                F.right(F.concat(F.get(gaps, k), _name(c)), F.lit(BESIDE)).alias("before"),
                 F.left(F.get(gaps, k + 1), F.lit(BESIDE)).alias("after"),
             ),
         ),
@@ -96,6 +112,8 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
             "assigned": flag(F.col("before").rlike(ASSIGNED)),
             "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
             "benign": flag(F.col("before").rlike(BENIGN)),
+            "issued": flag(F.col("candidate").rlike(ISSUED)),
+            "filler": flag(F.col("candidate").rlike(FILLER)),
         }
     )
 
@@ -103,39 +121,60 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     """Made-up findings with labels, for want of a labelled table: (path, before, candidate, after, label).
 
-    Live secrets are random keys that are assigned to a telling name. The others are long words in
-    prose, random digests that are named as such, identifiers of tests, paths, and placeholders.
+    Values are put into texts, and ``candidates`` finds them there, so that each row is split as those
+    of a scan are. Live secrets are random keys behind a telling name (quoted, bare, in an address or
+    a header), and without a name those of known issuers and mixed ones in prose. The others are long
+    words and numbers in prose, named digests, paths, identifiers of tests, and placeholders; words,
+    paths and placeholders also stand behind telling names, in ordinary paths.
     """
     i = F.col("id")
     bits = F.sha2(F.concat(F.lit("finding"), i.cast("string")), 512)
     of = lambda values, salt: F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(values))).cast("int"))
     syllables = ("tion", "ing", "the", "er", "on", "ment", "eau", "sch", "ung", "cion", "que", "lich", "ver", "an", "en", "ado", "elle", "st", "re", "heit")
-    word = F.concat(*[of(syllables, k) for k in range(7)])
+    word = F.concat(*[of(syllables, k) for k in range(7)], F.lit("heitung"))
     base64 = F.substring(F.base64(F.unhex(bits)), 1, 40)
+    lead = of(("the of it ", "\n", "und der ", "config ", ""), "lead")
     name = of(("token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "TOKEN", "SECRET_KEY", "client_secret"), "name")
-    assign = of((' = "', ": '", '="', ' := "', "=", ": "), "assign")
-    secret = F.concat(of(("the of it ", "\n", "und der ", "config ", ""), "lead"), name, assign)
-    prose = F.concat(of(("the thing of ", "de la ", "and, ", "oder die ", "\n", "so. ", ""), "prose"), F.lower(of(syllables, "p")), F.lit(" "))
-    digest = F.concat(of(("at ", "see ", ""), "lead"), of(("commit ", "sha256: ", "md5=", "checksum: ", "uuid ", 'etag: "', "hash = "), "digest"))
+    # What stands before and after a value.
+    quoted = F.concat(lead, name, of((' = "', ": '", '="', ' := "'), "assign")), of(('"', "'", '" '), "end")
+    bare = F.concat(lead, of(("", "export ", "set "), "env"), F.upper(name), of(("=", " = ", ": "), "assign")), of(("\n", "", " and"), "end")
+    address = F.concat(lead, F.lit("https://a.io/v1"), of(("?key=", "?api_key=", "?q=1&key=", "?token=", "&access_token=", "?auth="), "url")), of(("&n=1", "", " "), "end")
+    header = F.concat(lead, of(("Authorization: Bearer ", "authorization: bearer ", "-H 'Authorization: Bearer ", "X-Auth-Token: "), "head")), of(("\n", "'", ""), "end")
+    named = tuple(F.get(F.array(quoted[k], bare[k], address[k], header[k]), F.pmod(F.xxhash64(i, F.lit("way")), F.lit(4)).cast("int")) for k in (0, 1))
+    prose = F.concat(of(("the thing of ", "de la ", "and, ", "oder die ", "\n", "so. ", ""), "prose"), of(syllables, "p"), F.lit(" ")), of((" and", ", ", ". ", "\n", ""), "end")
+    digest = F.concat(of(("at ", "see ", ""), "lead"), of(("commit ", "sha256: ", "md5=", "checksum: ", "uuid ", 'etag: "', "hash = "), "digest")), of(("\n", '"', " "), "end")
+    # Values.
     filler = F.concat(of(("xxxxxxxx", "00000000", "YOUR_KEY", "changeme", "12345678", "abcdabcd"), "filler"), of(("xxxxxxxxxxxx", "000000000000", "_GOES_HERE", "changeme1234", "1234567890"), "more"))
-    long = of((32, 40, 64), "size")
-    kind = (i % 10).cast("int")
-    pick = lambda *values: F.get(F.array(*values), kind)
-    key = F.concat(of(("AKIA", "AIza", "ghp_", "sk-"), "key"), F.regexp_replace(base64, r"[^A-Za-z0-9]", "x"))
-    hexed = F.left(bits, long)
-    live = F.lit("src/app")
-    return spark.range(rows).select(
-        pick(live, live, live, live, F.lit("notes"), live, live, F.lit("tests/data"), live, F.lit("docs/example")).alias("path"),
-        pick(secret, secret, secret, secret, secret, prose, digest, secret, prose, secret).alias("before"),
-        pick(hexed, base64, key, F.upper(hexed), F.left(bits, F.lit(40)), word, hexed, hexed, F.concat(F.lit("src/"), word, F.lit("/"), F.left(word, F.lit(9))), filler).alias("candidate"),
-        pick(*[F.lit('" ')] * 5, F.lit(" and"), F.lit("\n"), F.lit('"'), F.lit(", "), F.lit('"')).alias("after"),
-        (kind < 5).cast("double").alias("label"),
-    )
+    hexed = F.left(bits, of((32, 40, 64), "size"))
+    plain = F.regexp_replace(base64, r"[^A-Za-z0-9]", "x")
+    key = F.concat(of(("AKIA", "AIza", "ghp_", "sk-", "glpat-", "xoxb-"), "key"), F.left(plain, of((16, 24, 36), "long")))
+    number = F.left(F.translate(bits, "abcdef", "123456"), of((16, 19, 24), "digits"))
+    file = F.concat(of(("src/", "lib/", "/usr/share/", "a/"), "root"), word, F.lit("/"), F.left(word, F.lit(9)))
+    live = of(("src/app", "notes", "src0", "web", "config"), "path")
+    odd = of(("tests/data", "docs/example", "fixtures"), "odd")
+    kinds = [
+        (live, named, hexed, 1), (live, named, base64, 1), (live, named, key, 1), (live, named, F.upper(hexed), 1),
+        (live, named, plain, 1), (live, prose, key, 1), (live, prose, base64, 1), (live, prose, plain, 1),
+        (live, prose, word, 0), (live, digest, hexed, 0), (odd, named, hexed, 0), (live, prose, file, 0), (odd, named, filler, 0),
+        (live, named, filler, 0), (live, named, word, 0), (live, named, file, 0), (live, prose, number, 0), (live, named, number, 0),
+    ]
+    # Each kind computes its own rows only.
+    parts = [
+        spark.range(k, rows, len(kinds), 1).select(
+            path.alias("path"), value.alias("value"), F.lit(float(live_)).alias("live"), head.alias("head"), end.alias("end")
+        )
+        for k, (path, (head, end), value, live_) in enumerate(kinds)
+    ]
+    texts = materialize(reduce(DataFrame.union, parts), "labelled").withColumn("text", F.concat("head", "value", "end"))
+    found = candidates(texts, "text", "path", ("value", "live"))
+    label = F.when(F.col("candidate") == F.col("value"), F.col("live")).otherwise(0.0)
+    return found.select("path", "before", "candidate", "after", label.alias("label"))
 
 
 def train(labelled: DataFrame, words: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7) -> PipelineModel:
     """A forest from rows of (path, before, candidate, after, label)."""
     rows = features(labelled, words).select("label", *FEATURES).repartition(1).sortWithinPartitions("label", *FEATURES)
+    rows = materialize(rows, "training")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features__")
     forest = RandomForestClassifier(featuresCol="features__", numTrees=trees, maxDepth=depth, seed=seed)
     return PipelineModel([assembler, forest.fit(assembler.transform(rows))])
@@ -171,7 +210,7 @@ def redact(df: DataFrame, text: str = "text", path: str = "source", mark: str =
         lambda own: F.array_join(
             F.transform(
                 F.split(body, CANDIDATE),
-                lambda gap, k: F.concat(gap, F.when(F.array_contains(bad, k), F.lit(mark)).otherwise(F.coalesce(F.get(own, k), F.lit("")))),
+                lambda gap, k: F.concat(gap, F.when(F.array_contains(bad, k), F.concat(_name(F.get(own, k)), F.lit(mark))).otherwise(F.coalesce(F.get(own, k), F.lit("")))),
             ),
             "",
         ),

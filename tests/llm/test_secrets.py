@@ -53,3 +53,44 @@ def test_redaction_and_edges(spark, edge):
     same = secrets.redact(edge.withColumnRenamed("block", "key_"))
     assert sorted(map(str, same.collect())) == sorted(map(str, edge.withColumnRenamed("block", "key_").collect()))
     assert secrets.scan(edge.limit(0)).count() == 0 and secrets.redact(edge.limit(0)).count() == 0
+
+
+def test_keys_without_a_name_and_names_without_a_key(spark):
+    """Live secrets in prose, in the .env form, in addresses and headers; words, paths and placeholders behind telling names."""
+    aws, github, google = "AKIA" + "Q3ZK7WBN2LX5RT9D", "ghp_" + "b7Kx2QmZ9tLr4VwY8nJd3HsPf6GcAe1TuXoB", "AIza" + "SyD4kQ9zXw7Lm2Rt6Vb8Nc3Hj5Pf1Gs0Ea"
+    key, hexed = "Zk8vQ2xLr9TmW4yB7nJd3HsPf6GcAe1TuXoKq5Vi", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    live = {
+        f"we met and {aws} was on the wall": aws,
+        f"it said {github}, and then": github,
+        f"some thing {key} stood there": key,
+        f"export\nAPI_KEY={hexed}\n": hexed,
+        f"AWS_SECRET_ACCESS_KEY={key}": key,
+        f"https://maps.io/js?key={google}&v=3": google,
+        f"https://maps.io/js?token={hexed}": hexed,
+        f"Authorization: Bearer {key}\n": key,
+    }
+    dead = [
+        'password = "internationalisierung"', "token: YOUR_TOKEN_GOES_HERE", 'secret = "/usr/share/keyrings/thing"',
+        "API_KEY=xxxxxxxxxxxxxxxxxxxxxxxx", "it was internationalization then", f"commit {hexed}", "card 4785380592391139 of",
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    made = spark.createDataFrame([(-1 - k, x, "src/app") for k, x in enumerate([*live, *dead])], docs.schema)
+    got = secrets.scan(docs.union(made)).where("doc_id < 0").collect()
+    found = {(r["doc_id"], r["candidate"]) for r in got if r["is_secret"]}
+    assert found == {(-1 - k, x) for k, x in enumerate(live.values())}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs.union(made)).where("doc_id < 0").collect()}
+    assert clean == {-1 - k: x.replace(live.get(x, "\0"), "[SECRET]") for k, x in enumerate([*live, *dead])}
+
+
+def test_names_are_cut_off(spark):
+    rows = ["API_KEY=0123456789abcdef", "a?key=0123456789abcdef==", "c2VjcmV0c2VjcmV0c2VjcmU=c2VjcmV0c2VjcmV0", "PASSWORD=short12345", "=" * 20]
+    got = secrets.candidates(spark.createDataFrame([(k, x, "") for k, x in enumerate(rows)], "doc_id int, text string, source string"))
+    assert [(r["before"], r["candidate"]) for r in sorted(got.collect(), key=lambda r: r["doc_id"])] == [
+        ("API_KEY=", "0123456789abcdef"), ("a?key=", "0123456789abcdef=="), ("", rows[2]), ("", rows[3]), ("", rows[4])
+    ]
+
+
+def test_labelled_findings_decide_by_more_than_names(spark):
+    rows = [r.asDict() for r in secrets.features(secrets.labelled_findings(spark, 1800), spark.createDataFrame([("tion",)], "word string")).collect()]
+    assert {(r["named"], r["label"]) for r in rows if not r["odd_path"]} == {(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0)}
+    assert not any(r["candidate"].lower().startswith(("token=", "secret_key=", "api_key=")) for r in rows)
