@@ -28,14 +28,14 @@ CANDIDATE = r"[A-Za-z0-9+/=_\-]{16,}"
 NAME = r"^([A-Za-z][A-Za-z0-9]{0,14}(?:[_\-]+[A-Za-z0-9]{1,15})*[_\-]*=)[^=].{15}"
 #: Characters of the surroundings that are read on either side.
 BESIDE = 48
-#: Size of the dictionary, a bound on what is broadcast.
-DICTIONARY_WORDS = 20_000
+#: A word of the dictionary makes up this share of the words at least. So there are at most 200,000, a bound on what is broadcast.
+DICTIONARY_SHARE = 5e-6
 FEATURES = (
     "length", "digits", "uppers", "symbols", "changes", "letter_runs", "vowels", "distinct", "coverage",
     "odd_path", "named", "assigned", "quoted", "benign", "issued", "filler",
 )
-#: Marks of paths that hold no live secrets, and words beside a candidate that speak for or against it.
-ODD_PATH = r"(?i)test|example|sample|mock|fixture|doc"
+#: Components of paths that seldom hold live secrets, and words beside a candidate that speak for or against it.
+ODD_PATH = r"(?i)(^|[/\\._-])(tests?|examples?|samples?|mocks?|fixtures?|docs?)([/\\._-]|$)"
 NAMED = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|[?&]key|\bkey(?==))[a-z_\-]*\W{0,6}$"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 BENIGN = r"(?i)(commit|revision|checksum|sha-?\d*|md5|digest|hash|uuid|guid|etag|example|placeholder|dummy)\W{0,6}$"
@@ -70,19 +70,26 @@ def candidates(df: DataFrame, text: str = "text", path: str = "source", keep: tu
     return some.select(*keep, F.col(path).cast("string").alias("path"), F.inline(found))
 
 
-def dictionary(df: DataFrame, text: str = "text", words: int = DICTIONARY_WORDS) -> DataFrame:
-    """The most frequent lower-case words of three to five letters, over all texts."""
-    found = df.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")).alias("word"))
-    found = found.where(F.length("word").between(3, 5)).groupBy("word").agg(F.count("*").alias("n"))
-    return found.orderBy(F.desc("n"), "word").limit(words).select("word")
+def dictionary(df: DataFrame, text: str = "text", share: float = DICTIONARY_SHARE) -> DataFrame:
+    """The lower-case words, of three letters or more, that make up at least ``share`` of all words of the texts.
+
+    Letters that stand among the other characters of keys are no words, lest keys cover themselves.
+    """
+    found = df.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9+/=_\-]+")).alias("word"))
+    counts = found.where(F.col("word").rlike("^[a-z]{3,}$")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= share * total).select("word")
 
 
 def _with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     """Adds ``coverage``: the share of a candidate's characters that lie in dictionary words."""
+    sizes = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
     each = found.select("candidate").distinct()
     spans = each.select("candidate", F.explode(F.sequence(F.lit(1), F.length("candidate") - 2)).alias("at"))
-    spans = spans.withColumn("size", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5))))
-    spans = spans.withColumn("word", F.lower(F.substring("candidate", F.col("at"), F.col("size")))).where(F.length("word") == F.col("size"))
+    fit = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("candidate") - F.col("at") + 1)
+    spans = spans.withColumn("size", F.explode(fit))
+    spans = spans.withColumn("word", F.lower(F.substring("candidate", F.col("at"), F.col("size")))).where(F.col("word").rlike("^[a-z]+$"))
     hits = spans.join(F.broadcast(words), "word").groupBy("candidate", "at").agg(F.max("size").alias("size"))
     covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))
     shares = hits.groupBy("candidate").agg((F.size(covered) / F.length("candidate")).alias("coverage"))
@@ -125,7 +132,9 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     of a scan are. Live secrets are random keys behind a telling name (quoted, bare, in an address or
     a header), and without a name those of known issuers and mixed ones in prose. The others are long
     words and numbers in prose, named digests, paths, identifiers of tests, and placeholders; words,
-    paths and placeholders also stand behind telling names, in ordinary paths.
+    paths and placeholders also stand behind telling names, in ordinary paths. In paths of tests and
+    documentation, keys of known issuers and random keys behind telling names are live too; digests
+    there, and mixed keys without a name, are identifiers of tests.
     """
     i = F.col("id")
     bits = F.sha2(F.concat(F.lit("finding"), i.cast("string")), 512)
@@ -155,7 +164,8 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     kinds = [
         (live, named, hexed, 1), (live, named, base64, 1), (live, named, key, 1), (live, named, F.upper(hexed), 1),
         (live, named, plain, 1), (live, prose, key, 1), (live, prose, base64, 1), (live, prose, plain, 1),
-        (live, prose, word, 0), (live, digest, hexed, 0), (odd, named, hexed, 0), (live, prose, file, 0), (odd, named, filler, 0),
+        (odd, named, hexed, 1), (odd, named, base64, 1), (odd, named, key, 1), (odd, prose, key, 1),
+        (live, prose, word, 0), (live, digest, hexed, 0), (odd, prose, hexed, 0), (odd, digest, hexed, 0), (odd, prose, plain, 0), (live, prose, file, 0), (odd, named, filler, 0),
         (live, named, filler, 0), (live, named, word, 0), (live, named, file, 0), (live, prose, number, 0), (live, named, number, 0),
     ]
     # Each kind computes its own rows only.

@@ -94,3 +94,30 @@ def test_labelled_findings_decide_by_more_than_names(spark):
     rows = [r.asDict() for r in secrets.features(secrets.labelled_findings(spark, 1800), spark.createDataFrame([("tion",)], "word string")).collect()]
     assert {(r["named"], r["label"]) for r in rows if not r["odd_path"]} == {(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (1.0, 1.0)}
     assert not any(r["candidate"].lower().startswith(("token=", "secret_key=", "api_key=")) for r in rows)
+
+
+def test_paths_are_weighed_by_whole_components(spark):
+    names = ["docker-hub", "doctors.com", "latest-news", "contest", "a/testing", "docs", "tests/a", "x.example.org", "my-fixtures", None]
+    words = spark.createDataFrame([("the",)], "word string")
+    found = spark.createDataFrame([(k, p, "", "0123456789abcdef", "") for k, p in enumerate(names)], "k int, path string, before string, candidate string, after string")
+    odd = {r["k"]: r["odd_path"] for r in secrets.features(found, words).collect()}
+    assert [odd[k] for k in range(len(names))] == [0, 0, 0, 0, 0, 1, 1, 1, 1, 0]
+    labelled = secrets.features(secrets.labelled_findings(spark, 2200), words)
+    assert {r["label"] for r in labelled.where("odd_path = 1").select("label").distinct().collect()} == {0.0, 1.0}
+
+
+def test_a_hot_source_with_an_odd_name_keeps_its_findings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    made = spark.createDataFrame([(-1 - k, f'a token = "{key}" of', p) for k, p in enumerate(("docs", "latest-news", "test/a"))], docs.schema)
+    assert secrets.scan(docs.union(made)).where(f"candidate = '{key}' and is_secret").count() == 3
+
+
+def test_dictionary_has_words_of_every_length(spark):
+    text = "internationalization " * 50 + "once " + "and " * 949 + "ab12cdefgh34ijkl"
+    df = spark.createDataFrame([(text,), (None,)], "text string")
+    assert {r["word"] for r in secrets.dictionary(df, share=0.01).collect()} == {"internationalization", "and"}
+    assert {r["word"] for r in secrets.dictionary(df).collect()} == {"internationalization", "and", "once"}
+    assert secrets.dictionary(df.limit(0)).count() == 0
+    found = spark.createDataFrame([("", "", "xinternationalizationx", "")], "path string, before string, candidate string, after string")
+    assert secrets.features(found, secrets.dictionary(df)).first()["coverage"] == 20 / 22
