@@ -78,6 +78,20 @@ def test_run_is_the_stages(spark, stages):
     assert rows(corpus_pipeline.run(spark, SF)) == rows(stages[-1])
 
 
+def test_run_is_in_the_order_of_the_mixture(spark, stages):
+    want = mixing.mix_sources(stages[3]).orderBy("slot", "row_in_block").collect()
+    got = corpus_pipeline.run(spark, SF).orderBy("place").collect()
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in want]
+    assert [r["place"] for r in got] == list(range(len(want)))
+
+
+def test_place_over_many_files(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(0, 1000, 1, 13).write.option("maxRecordsPerFile", 30).parquet(path)
+    placed = corpus_pipeline.with_place(spark.read.parquet(path)).collect()
+    assert len(placed) == 1000 and all(r["place"] == r["id"] for r in placed)
+
+
 def test_edges(spark, edge):
     docs = edge.select("doc_id", "text", "lang", "source", "n_chars")
     for start in (docs, docs.limit(0)):
