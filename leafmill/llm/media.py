@@ -2,16 +2,19 @@
 
 Reading walks the image directories of a file, undoes the compression (none, PackBits, LZW, deflate)
 of each strip or tile and then its horizontal predictor, and gives the samples of each page, row by
-row and pixel by pixel, 16-bit samples in little-endian order.
+row and pixel by pixel: samples of 1, 2 and 4 bits as one byte each, those of 16 and 32 bits in
+little-endian order. Samples of other sizes and the floating-point predictor are not read.
 
 Null media give no rows. What is not a TIFF, or a page that can't be read, gives one row with
-``error`` set and null samples; other rows of the table are not touched by it. A directory chain that
-returns to itself ends there. Empty tables give empty results; columns that share a name with a
-result column are replaced.
+``error`` set and null samples; other rows of the table are not touched by it. So does a page whose
+header asks for more than ``MAX_PAGE`` bytes, or for none; strips and tiles are never inflated beyond
+the bytes that their header asks for. A directory chain that returns to itself ends there. Empty
+tables give empty results; columns that share a name with a result column are replaced.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,9 +33,13 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 32
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 3: "H", 4: "I"}
 
+#: Bytes of the largest page, and of the largest strip or tile, that is read.
+MAX_PAGE = 1 << 28
+
 PAGE = T.StructType(
     [
         T.StructField("page", T.IntegerType()),
+        T.StructField("pages", T.IntegerType()),
         T.StructField("width", T.IntegerType()),
         T.StructField("height", T.IntegerType()),
         T.StructField("channels", T.IntegerType()),
@@ -42,12 +49,12 @@ PAGE = T.StructType(
         T.StructField("error", T.StringType()),
     ]
 )
-ARROW_PAGE = [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("samples", pa.binary()), ("feature", pa.string()), ("error", pa.string())]
+ARROW_PAGE = [("page", pa.int32()), ("pages", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("samples", pa.binary()), ("feature", pa.string()), ("error", pa.string())]
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = MAX_PAGE) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + n + 2]
@@ -61,34 +68,30 @@ def unpack_bits(data: bytes) -> bytes:
 
 def pack_bits(data: bytes) -> bytes:
     """Runs of three or more equal bytes as a repeat, the rest as literals."""
-    out, i = bytearray(), 0
-    literal = bytearray()
-
-    def flush() -> None:
-        for at in range(0, len(literal), 128):
-            out.append(len(literal[at : at + 128]) - 1)
-            out.extend(literal[at : at + 128])
-        literal.clear()
-
-    while i < len(data):
-        n = 1
-        while n < 128 and i + n < len(data) and data[i + n] == data[i]:
-            n += 1
-        if n >= 3:
-            flush()
-            out += bytes((257 - n, data[i]))
-        else:
-            literal += data[i : i + n]
-        i += n
-    flush()
+    out, at = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for i in range(at, end, 128):
+            part = data[i : min(end, i + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for run in re.finditer(rb"(?s)(.)\1{2,127}", data):
+        literal(run.start())
+        out += bytes((257 - (run.end() - run.start()), data[run.start()]))
+        at = run.end()
+    literal(len(data))
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; 256 clears the table, 257 ends; widths grow one code early."""
+def lzw_decode(data: bytes, most: int = MAX_PAGE) -> bytes:
+    """Codes of 9 to 12 bits, high bit first; 256 clears the table, 257 ends; widths grow one code early.
+
+    Decoding ends at ``most`` bytes.
+    """
     single = [bytes((i,)) for i in range(256)] + [b"", b""]
     table, out, last, width = list(single), [], b"", 9
-    have, bits = 0, 0
+    have, bits, size = 0, 0, 0
     for byte in data:
         have, bits = (have << 8) | byte, bits + 8
         if bits < width:
@@ -107,6 +110,9 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError(f"LZW code {code} of {len(table)}")
         out.append(word)
+        size += len(word)
+        if size >= most:
+            break
         if last:
             table.append(last + word[:1])
         last = word
@@ -148,7 +154,11 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-UNDO = {NONE: bytes, PACKBITS: unpack_bits, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+def inflate(data: bytes, most: int = MAX_PAGE) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+UNDO = {NONE: lambda data, most: data, PACKBITS: unpack_bits, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate}
 DO = {NONE: bytes, PACKBITS: pack_bits, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1)}
 
 
@@ -168,43 +178,58 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, .
     return tags, following
 
 
-def _samples(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> np.ndarray:
-    """Height x width x channels of a page."""
+def _samples(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> tuple[np.ndarray, int]:
+    """Height x width x channels of a page, and the bits of its samples."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, channels, bits = tags[WIDTH][0], tags[HEIGHT][0], one(CHANNELS, 1), one(BITS, 1)
-    if bits not in (8, 16) or len(set(tags.get(BITS, (bits,)))) > 1:
+    if bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, (bits,)))) > 1:
         raise ValueError(f"samples of {tags.get(BITS)} bits")
     if one(COMPRESSION, NONE) not in UNDO:
         raise ValueError(f"compression {one(COMPRESSION, NONE)}")
-    if one(PREDICTOR, 1) not in (1, 2):
-        raise ValueError(f"predictor {one(PREDICTOR, 1)}")
-    undo, kind = UNDO[one(COMPRESSION, NONE)], np.dtype(order + f"u{bits // 8}")
+    if one(PREDICTOR, 1) not in (1, 2) or (one(PREDICTOR, 1) == 2 and bits < 8):
+        raise ValueError(f"predictor {one(PREDICTOR, 1)} of {bits} bits")
+    undo, kind = UNDO[one(COMPRESSION, NONE)], np.dtype(f"{order}u{max(bits, 8) // 8}")
     planes, deep = (channels, 1) if one(PLANAR, 1) == 2 else (1, channels)
     tiled = TILE_OFFSETS in tags
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
     wide, high = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    if min(width, height, channels, wide, high) < 1:
+        raise ValueError(f"a page of {width} x {height} x {channels} in parts of {wide} x {high}")
+    if max(width * height * channels, wide * high * deep) * kind.itemsize > MAX_PAGE:
+        raise ValueError(f"a page of {width} x {height} x {channels} in parts of {wide} x {high} is above {MAX_PAGE} bytes")
     across, down = -(-width // wide), -(-height // high)
     if len(offsets) != planes * across * down or len(counts) != len(offsets):
         raise ValueError(f"{len(offsets)} parts for {planes} x {across} x {down}")
     out = np.empty((height, width, channels), kind.newbyteorder("="))
+    line = -(-wide * deep * bits // 8)
     for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
         plane, y, x = k // (across * down), k // across % down * high, k % across * wide
         rows = high if tiled else min(high, height - y)
-        part = np.frombuffer(undo(data[at : at + size]), kind, rows * wide * deep).reshape(rows, wide, deep).astype(out.dtype)
+        part = undo(data[at : at + size], rows * line)
+        if bits < 8:  # samples are packed, lines begin with a byte
+            part = np.unpackbits(np.frombuffer(part, np.uint8, rows * line).reshape(rows, line), axis=1)
+            part = part[:, : wide * deep * bits].reshape(rows, wide, deep, bits) @ (1 << np.arange(bits)[::-1]).astype(np.uint8)
+        else:
+            part = np.frombuffer(part, kind, rows * wide * deep).reshape(rows, wide, deep).astype(out.dtype)
         if one(PREDICTOR, 1) == 2:
             part = np.cumsum(part, axis=1, dtype=out.dtype)
         part = part[: height - y, : width - x]
         out[y : y + rows, x : x + wide, plane : plane + deep if planes > 1 else channels] = part
-    return out
+    return out, bits
 
 
 def read_pages(data: bytes) -> Iterator[np.ndarray | Exception]:
     """The pages of a TIFF, or what keeps one from being read."""
+    for page, _ in _pages_bits(data):
+        yield page
+
+
+def _pages_bits(data: bytes) -> Iterator[tuple[np.ndarray | Exception, int]]:
     try:
         order = {b"II*\0": "<", b"MM\0*": ">"}[data[:4]]
         (at,) = struct.unpack_from(order + "I", data, 4)
     except (KeyError, struct.error):
-        yield ValueError("not a TIFF")
+        yield ValueError("not a TIFF"), 0
         return
     seen: set[int] = set()
     while at and at not in seen:
@@ -212,12 +237,12 @@ def read_pages(data: bytes) -> Iterator[np.ndarray | Exception]:
         try:
             tags, at = _directory(data, at, order)
         except struct.error as e:
-            yield e
+            yield e, 0
             return
         try:
             yield _samples(data, tags, order)
-        except (KeyError, ValueError, IndexError, struct.error, zlib.error) as e:
-            yield e
+        except (KeyError, ValueError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
+            yield e, 0
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 1024, tile: int = 0, order: str = "<") -> bytes:
@@ -263,17 +288,19 @@ def feature(page: np.ndarray) -> str:
     return f"{page.shape[1]}x{page.shape[0]}x{page.shape[2]} sum={int(values.sum(dtype=np.uint64))} distinct={len(np.unique(values))} max={int(values.max(initial=0))}"
 
 
-def _rows(data: bytes) -> Iterator[tuple]:
-    for i, page in enumerate(read_pages(data)):
+def _rows(data: bytes) -> list[tuple]:
+    out = []
+    for page, bits in _pages_bits(data):
         if isinstance(page, Exception):
-            yield i, None, None, None, None, None, None, f"{type(page).__name__}: {page}"
+            out.append((None, None, None, None, None, None, f"{type(page).__name__}: {page}"))
         else:
             stored = page.astype(page.dtype.newbyteorder("<")).tobytes()
-            yield i, page.shape[1], page.shape[0], page.shape[2], page.dtype.itemsize * 8, stored, feature(page), None
+            out.append((page.shape[1], page.shape[0], page.shape[2], bits, stored, feature(page), None))
+    return [(i, len(out), *x) for i, x in enumerate(out)]
 
 
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with the columns of PAGE, one row per page."""
+    """df with the columns of PAGE, one row per page; ``pages`` is how many the file has."""
     df = df.drop(*PAGE.names)
     at = df.columns.index(media)
 
@@ -289,8 +316,23 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     return df.mapInArrow(pages, T.StructType([*df.schema.fields, *PAGE.fields]))
 
 
-def store_text(text: Column, width: int = 64) -> Column:
-    """A text's UTF-8 bytes (null: none), zeros up to a positive multiple of ``width``, as one 8-bit grey page."""
+def _stored(data: bytes, width: int, varied: bool) -> bytes:
+    page = np.frombuffer(data, np.uint8).reshape(-1, width)
+    if not varied:
+        return write_tiff([page])
+    form = zlib.crc32(data)
+    pages = [page, page[-1:]] if form >> 5 & 1 else [page]
+    compression = (NONE, PACKBITS, LZW, DEFLATE)[form & 3]
+    return write_tiff(pages, compression, 1 + (form >> 2 & 1), tile=48 * (form >> 3 & 1), order="<>"[form >> 4 & 1])
+
+
+def store_text(text: Column, width: int = 64, varied: bool = False) -> Column:
+    """A text's UTF-8 bytes (null: none), zeros up to a positive multiple of ``width``, as one 8-bit grey page.
+
+    The page is deflated, in strips. If ``varied``, the checksum of the bytes chooses compression,
+    predictor, strips or tiles, byte order, and whether the last line follows as a page of its own; so
+    equal texts have one form, and a table of texts has all.
+    """
 
     @F.pandas_udf("binary")
     def store(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -299,7 +341,7 @@ def store_text(text: Column, width: int = 64) -> Column:
             for x in part:
                 data = (x or "").encode()
                 data += bytes(-len(data) % width or (0 if data else width))
-                stored.append(write_tiff([np.frombuffer(data, np.uint8).reshape(-1, width)]))
+                stored.append(_stored(data, width, varied))
             yield pd.Series(stored)
 
     return store(text)

@@ -123,8 +123,8 @@ QUERIES["op3_language_id"] = op3_language_id
 
 def op5_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    stored = documents(spark, sf_dir).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), media.store_text(F.col("text")).alias("media"))
-    pages = media.tiff_pages(stored)  # the payload is one page
+    stored = documents(spark, sf_dir).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), media.store_text(F.col("text"), varied=True).alias("media"))
+    pages = media.tiff_pages(stored).where("page = 0")  # the payload; the last line may follow as a page of its own
     return pages.select(
         "doc_id",
         "n_bytes",
@@ -134,6 +134,7 @@ def op5_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "pages",
     )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -105,3 +106,77 @@ def test_payloads_of_texts(spark, edge):
         assert r["n_bytes"] == len(data)
         data += bytes(-len(data) % 64)
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+
+
+def tiff(tags, body=b"", order="<"):
+    """A file of one page, written out by hand: fields of 32-bit values, in order."""
+    fields = b"".join(struct.pack(order + "HHII", tag, 4, 1, value) for tag, value in sorted(tags.items()))
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + len(body))
+    return head + body + struct.pack(order + "H", len(tags)) + fields + bytes(4)
+
+
+def test_outside_vectors():
+    """The worked examples of the published format: LZW codes, PackBits bytes, and a tile by hand."""
+    codes, bits = [256, 7, 258, 8, 8, 258, 6, 6, 257], ""
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    want = bytes((7, 7, 7, 8, 8, 7, 7, 6, 6))
+    assert media.lzw_decode(data) == want and media.lzw_encode(want) == data
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    page = tiff({256: 24, 257: 1, 258: 8, 259: 32773, 262: 1, 273: 8, 278: 1, 279: len(packed)}, packed, ">")
+    (got,) = media.read_pages(page)
+    assert got.tobytes().hex() == "aaaaaa80002aaaaaaaaa80002a22" + "aa" * 10
+    tile = bytes(range(256))
+    page = tiff({256: 3, 257: 2, 258: 8, 259: 1, 262: 1, 317: 1, 322: 16, 323: 16, 324: 8, 325: 256}, tile)
+    (got,) = media.read_pages(page)
+    assert got[:, :, 0].tolist() == [[0, 1, 2], [16, 17, 18]]
+    page = tiff({256: 5, 257: 2, 258: 1, 259: 1, 262: 1, 273: 8, 278: 2, 279: 2}, b"\xa8\x40")
+    (got,) = media.read_pages(page)
+    assert got[:, :, 0].tolist() == [[1, 0, 1, 0, 1], [0, 1, 0, 0, 0]]
+    page = tiff({256: 3, 257: 1, 258: 4, 259: 1, 262: 1, 273: 8, 278: 1, 279: 2}, b"\x1f\x70")
+    (got,) = media.read_pages(page)
+    assert got.ravel().tolist() == [1, 15, 7]
+
+
+def test_hostile_headers(spark):
+    """A page that can't be read gives a row with an error, whatever its header says."""
+    whole = {256: 4, 257: 2, 258: 8, 259: 1, 262: 1, 273: 8, 278: 2, 279: 8}
+    tiles = {256: 4, 257: 2, 258: 8, 259: 1, 262: 1, 322: 16, 323: 16, 324: 8, 325: 8}
+    bomb = zlib.compress(bytes(1 << 24))
+    files = [
+        tiff(whole | {278: 0}, bytes(8)), tiff(whole | {257: 0}, bytes(8)), tiff(whole | {256: 0}, bytes(8)), tiff(whole | {256: 2**31}, bytes(8)),
+        tiff(whole | {256: 2**32 - 1, 257: 2**32 - 1}, bytes(8)), tiff(whole | {273: 2**31}, bytes(8)), tiff(whole | {277: 0}, bytes(8)), tiff(whole | {258: 7}, bytes(8)),
+        tiff(whole | {279: 2}, bytes(8)), tiff(tiles | {322: 0}, bytes(8)), tiff(tiles | {323: 2**20, 322: 2**20}, bytes(8)), tiff(whole | {259: 5}, b"\xff" * 8),
+        tiff(whole | {259: 8}, b"\xff" * 8), tiff(whole | {317: 3}, bytes(8)), tiff(whole | {258: 4, 317: 2}, bytes(8)), tiff({256: 4, 257: 2}, b""),
+    ]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(files)] + [(99, tiff(whole | {259: 8, 279: len(bomb)}, bomb))], "id long, media binary")
+    got = {r["id"]: r for r in media.tiff_pages(rows).collect()}
+    assert len(got) == len(files) + 1 and all(got[i]["error"] and got[i]["samples"] is None for i in range(len(files)))
+    assert bytes(got[99]["samples"]) == bytes(8) and len(media.inflate(bomb, 100)) == 100
+    fuzz = np.random.default_rng(8)
+    good = media.write_tiff([fuzz.integers(0, 256, (20, 20), np.uint8)] * 2, media.LZW, 2, tile=16)
+    for _ in range(300):
+        bad = bytearray(good)
+        for at in fuzz.integers(0, len(bad), 3).tolist():
+            bad[at] = int(fuzz.integers(0, 256))
+        assert all(isinstance(p, (np.ndarray, Exception)) for p in media.read_pages(bytes(bad)))
+
+
+def test_stored_forms(spark):
+    """The query's stored forms: one for equal texts, and every compression, predictor, layout, order and number of pages among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    forms, seen = set(), {}
+    for r in docs.select("text", media.store_text(F.col("text"), varied=True).alias("media")).collect():
+        data, order = bytes(r["media"]), "<" if r["media"][:2] == b"II" else ">"
+        assert seen.setdefault(r["text"], data) == data
+        tags, following = media._directory(data, struct.unpack_from(order + "I", data, 4)[0], order)
+        forms |= {("order", order), ("compression", tags[259][0]), ("predictor", tags[317][0]), ("tiled", 324 in tags), ("pages", 1 + bool(following))}
+        pages = list(media.read_pages(data))
+        text = r["text"].encode() + bytes(-len(r["text"].encode()) % 64)
+        assert pages[0].tobytes() == text and (len(pages) == 1 or pages[1].tobytes() == text[-64:])
+    assert len(forms) == 2 + 4 + 2 + 2 + 2
+    made = {r["doc_id"]: r for r in queries.op5_tiff_pages(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        payload, got = r["text"].encode() + bytes(-len(r["text"].encode()) % 64), made[r["doc_id"]]
+        assert (got["media_bytes"], got["media_sha256"]) == (len(seen[r["text"]]), hashlib.sha256(seen[r["text"]]).hexdigest())
+        assert got["feature"] == f"64x{len(payload) // 64}x1 sum={sum(payload)} distinct={len(set(payload))} max={max(payload)}"
