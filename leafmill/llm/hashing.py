@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 SLICE = 2 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
+#: Bytes of the longest word that is hashed with the others at once.
+LONG_WORD = 64
 
 #: Byte classes: ASCII white space separates words; or everything but letters and non-ASCII bytes does.
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -73,6 +76,31 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its blocks of eight bytes are mixed in one after the other.
+
+    Mixing is not linear, so no family of words collides whatever the constants, as it does for
+    polynomials modulo 2^64. Words above ``LONG_WORD`` bytes are few and hashed one by one.
+    """
+    sizes = stops - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(sizes.astype(np.uint64) + np.uint64(MULTIPLIER))
+    live = np.flatnonzero(sizes <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        live = live[sizes[live] > at]
+        if not len(live):
+            break
+        left = np.minimum(sizes[live] - at, 8).astype(np.uint64)
+        block = blocks[starts[live] + at] & (np.uint64(MASK) >> (np.uint64(64) - np.uint64(8) * left))
+        out[live] = mix((out[live] ^ block) * np.uint64(MULTIPLIER) + np.uint64(at + 1))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : stops[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 def words(data: np.ndarray, ends: np.ndarray, separators: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, one after the other, and where each text's words end."""
     if lower:
@@ -85,9 +113,7 @@ def words(data: np.ndarray, ends: np.ndarray, separators: np.ndarray, lower: boo
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    h = prefix_hashes(data)
-    hashes = (h[stops] - h[starts]) * powers(len(data) + 1)[1][starts]
-    return mix(hashes + (stops - starts).astype(np.uint64)), np.searchsorted(starts, ends, "left")
+    return _word_hashes(data, starts, stops), np.searchsorted(starts, ends, "left")
 
 
 def text_words(column: pa.Array, separators: np.ndarray, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
