@@ -7,7 +7,9 @@ reads its length, its transitions between kinds of characters, how much of it wo
 cover, how it begins, the path it was found in, and the words beside it.
 
 Null and empty texts have no candidates; a null path has no path marks. Candidates are numbered in
-their text from 0, so repeated rows give repeated findings. Empty tables give empty results.
+their text from 0, so repeated rows give repeated findings. Empty tables give empty results. Labelled
+rows without a candidate or a label are passed over; where all labels are one, it is the score of every
+candidate.
 """
 
 from __future__ import annotations
@@ -93,7 +95,9 @@ def _with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     hits = spans.join(F.broadcast(words), "word").groupBy("candidate", "at").agg(F.max("size").alias("size"))
     covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))
     shares = hits.groupBy("candidate").agg((F.size(covered) / F.length("candidate")).alias("coverage"))
-    return found.join(shares, "candidate", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    # As a table of distinct candidates, which is broadcast if small, and else joined so that a hot candidate is split.
+    out = join_checked(found, materialize(shares, "coverage"), ["candidate"], "left")
+    return out.withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
 
 
 def _share(pattern: str) -> Column:
@@ -181,9 +185,21 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     return found.select("path", "before", "candidate", "after", label.alias("label"))
 
 
-def train(labelled: DataFrame, words: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7) -> PipelineModel:
-    """A forest from rows of (path, before, candidate, after, label)."""
-    rows = features(labelled, words).select("label", *FEATURES).repartition(1).sortWithinPartitions("label", *FEATURES)
+def train(
+    labelled: DataFrame, words: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7, most: int = 50_000
+) -> PipelineModel | float:
+    """A forest from rows of (path, before, candidate, after, label), of which ``most`` at most are drawn by hash.
+
+    Without two labels there is no forest, but the one label (0 without any).
+    """
+    usable = labelled.where(F.col("candidate").isNotNull() & F.col("label").isNotNull())
+    usable = usable.withColumn("label", (F.col("label") >= 0.5).cast("double"))
+    drawn = usable.orderBy(F.md5(F.concat_ws("\0", "candidate", "before", "after", "path")), "label").limit(most)
+    drawn = materialize(drawn.select("path", "before", "candidate", "after", "label"), "drawn")
+    labels = [r[0] for r in drawn.select("label").distinct().collect()]
+    if len(labels) < 2:
+        return labels[0] if labels else 0.0
+    rows = features(drawn, words).select("label", *FEATURES).repartition(1).sortWithinPartitions("label", *FEATURES)
     rows = materialize(rows, "training")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features__")
     forest = RandomForestClassifier(featuresCol="features__", numTrees=trees, maxDepth=depth, seed=seed)
@@ -198,12 +214,18 @@ def scan(
     keep: tuple[str, ...] = ("doc_id",),
     threshold: float = 0.5,
 ) -> DataFrame:
-    """Every candidate: kept columns, ``ordinal``, ``candidate``, its features, ``score``, ``is_secret``."""
+    """Every candidate: kept columns, ``ordinal``, ``candidate``, its features, ``score``, ``is_secret``.
+
+    ``labelled`` holds findings of (path, before, candidate, after, label); without it, those of
+    ``labelled_findings`` are learned from.
+    """
     words = materialize(dictionary(df, text), "dictionary")
     model = train(labelled_findings(df.sparkSession) if labelled is None else labelled, words)
-    found = materialize(candidates(df, text, path, keep), "candidates")
-    scored = model.transform(features(found, words))
-    out = scored.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+    found = features(materialize(candidates(df, text, path, keep), "candidates"), words)
+    if isinstance(model, float):
+        out = found.withColumn("score", F.lit(model))
+    else:
+        out = model.transform(found).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return out.withColumn("is_secret", F.col("score") >= threshold).select(*keep, "ordinal", "candidate", *FEATURES, "score", "is_secret")
 
 

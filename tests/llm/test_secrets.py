@@ -121,3 +121,22 @@ def test_dictionary_has_words_of_every_length(spark):
     assert secrets.dictionary(df.limit(0)).count() == 0
     found = spark.createDataFrame([("", "", "xinternationalizationx", "")], "path string, before string, candidate string, after string")
     assert secrets.features(found, secrets.dictionary(df)).first()["coverage"] == 20 / 22
+
+
+def test_labels_with_nulls_or_of_one_kind(spark, edge):
+    schema = "path string, before string, candidate string, after string, label double"
+    rows = [("a", "token = ", "9f86d081884c7d659a2feaa0c55ad015", "", 1.0), (None, None, "internationalization", None, 1.0), ("a", "", None, "", 0.0), ("a", "", "x" * 20, "", None)]
+    docs = spark.createDataFrame([(1, "some internationalizations here", "s"), (2, "x" * 30, None)], "doc_id long, text string, source string")
+    score = lambda labelled: {r["score"] for r in secrets.scan(docs, spark.createDataFrame(labelled, schema)).collect()}
+    assert score(rows) == {1.0} and score([]) == {0.0}
+    both = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs, spark.createDataFrame([*rows, *[("a", " ", "internationalizing", "", 0.0)] * 20, *rows * 10], schema)).collect()}
+    assert len(both) == 2
+    assert secrets.scan(edge, spark.createDataFrame(rows, schema)).count() == secrets.candidates(edge).count()
+
+
+def test_a_hot_candidate(spark):
+    """One candidate in a third of the rows has one coverage, and every row keeps it."""
+    rows = [(k, "a", "internationalization" if k % 3 == 0 else f"internation{k:06d}abc") for k in range(900)]
+    found = spark.createDataFrame(rows, "k int, path string, candidate string").withColumns({"before": F.lit(""), "after": F.lit("")})
+    out = secrets.features(found, spark.createDataFrame([("internation",)], "word string")).collect()
+    assert len(out) == 900 and {r["coverage"] for r in out if r["k"] % 3 == 0} == {11 / 20} and {r["coverage"] for r in out if r["k"] % 3} == {11 / 20}
