@@ -93,7 +93,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if not args.tree:
             raise RunError("invalid_path", "no tree given")
         with cancellable(spark, "leafmill-extract"):
-            run = extract(spark, args.tree, config, repository, name)
+            run = extract(spark, args.tree, config, repository, name, args.output_format)
     except (RunError, settings.ConfigError) as e:
         kind, detail = (e.kind, e.detail) if isinstance(e, RunError) else ("config", str(e))
         r = spark.range(1).select(messages.message(F.lit(kind), F.lit(detail)).alias("m"), messages.hint(F.lit(kind)).alias("h"), messages.exit_code(F.lit(kind), F.lit(0)).alias("c")).first()
@@ -103,7 +103,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return r["c"]
     except KeyboardInterrupt:
         return messages.KINDS["cancelled"][2]
-    say("success", f"{run.files} files, {run.bytes} bytes to {run.output}" + (f", {len(run.errors)} errors" if run.errors else ""))
+    say("info", f"Written to {run.output}")
+    if not args.quiet:
+        print(run.summary)
+    print(run.report)
     return messages.OK_WITH_ERRORS if run.errors else messages.OK
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import tomllib
 from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass, field, fields, replace
+from functools import cache
+
+from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
 
 # The default settings.
 EXTENSIONS = ("md", "markdown", "mdown", "rst", "rest", "adoc", "asciidoc", "asc", "txt", "text", "org", "wiki", "tex", "latex")
@@ -77,10 +81,12 @@ class Config:
 OPTIONAL = {"clone_depth", "branch", "patterns_on_files", "force"}
 
 
+@cache
 def _compiles(pattern: str) -> bool:
+    """Whether the engine that will run a pattern takes it; needs a session."""
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkSession.active().sql("SELECT '' RLIKE :pattern", {"pattern": pattern}).collect()
+    except PySparkException:
         return False
     return True
 
@@ -120,7 +126,8 @@ def to_toml(config: Config) -> str:
             return str(value).lower()
         if isinstance(value, tuple | list):
             return "[" + ", ".join(map(shown, value)) + "]"
-        return str(value) if isinstance(value, int) else "'" + str(value) + "'"
+        # a JSON string is a basic string of TOML, which escapes DEL too
+        return str(value) if isinstance(value, int) else json.dumps(str(value), ensure_ascii=False).replace("\x7f", "\\u007f")
 
     blocks = []
     for name, values in asdict(config).items():

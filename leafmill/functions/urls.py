@@ -44,7 +44,7 @@ def _transport(url: Column, host: str, strict: bool) -> Column:
 def url_problem(url: Column, host: str = HOST, strict_host: bool = False) -> Column:
     """The first rule that an address breaks; 'ok' if none. ``strict_host`` takes the host and its subdomains only."""
     first, second = owner(url), repository(url)
-    odd = r"[^\p{L}\p{N}._-]"
+    odd = r"[^A-Za-z0-9._-]"  # other characters are percent-encoded in an address, and "%" is refused
     deeper = (
         F.when(F.size(segments(url)) < 2, F.lit("path"))
         .when(F.array_contains(segments(url), ".."), F.lit("dots"))

@@ -18,19 +18,20 @@ INDEX, SUMMARY, METADATA = "_index.md", "EXTRACTION_SUMMARY.md", ".leafmill"
 
 
 def plan_copy(catalog: DataFrame, preserve: bool = True, force: bool = False) -> DataFrame:
-    """The catalog with ``dest``, ``reject_reason`` (null: copied), and ``shadowed`` (replaced by a generated file).
+    """The catalog with ``dest``, ``reject_reason`` (null: taken), ``replaced``, and ``shadowed`` (by a generated file).
 
-    The first file of the walk takes a destination. Unless ``force`` lets later ones replace it, they
-    are rejected; this is settled by a window over repository and destination, so writers can't race.
+    The first file of the walk takes a destination, and later ones are rejected. With ``force`` the
+    last one takes it; those before it are taken too, but ``replaced``, and not written. Either is
+    settled by a window over repository and destination, so one file is written by one task only.
     """
     flat = catalog.withColumn("parts", paths.parts(F.col("relative_path")))
     flat = flat.withColumn("dest", F.col("relative_path") if preserve else paths.filename(F.col("relative_path")))
     flat = flat.withColumn("problem_", path_problem(F.col("dest")))
-    way = Window.partitionBy("repo_id", "dest", F.col("problem_").isNull()).orderBy("parts")
-    later = F.lit(False) if force else F.row_number().over(way) > 1
-    flat = flat.withColumn("later_", later)
-    reason = F.coalesce("problem_", F.when(F.col("later_"), F.lit("exists")))
-    return flat.withColumn("reject_reason", reason).withColumn("shadowed", reason.isNull() & F.col("dest").isin(INDEX, SUMMARY)).drop("problem_", "later_")
+    way = Window.partitionBy("repo_id", "dest", F.col("problem_").isNull())
+    flat = flat.withColumn("other_", F.row_number().over(way.orderBy(F.desc("parts") if force else "parts")) > 1)
+    reason = F.coalesce("problem_", F.when(F.lit(not force) & F.col("other_"), F.lit("exists")))
+    flat = flat.withColumn("reject_reason", reason).withColumn("replaced", reason.isNull() & F.col("other_"))
+    return flat.withColumn("shadowed", reason.isNull() & F.col("dest").isin(INDEX, SUMMARY)).drop("problem_", "other_")
 
 
 def failure_message() -> Column:
@@ -96,9 +97,9 @@ def _copy(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def copy_files(plan: DataFrame, out: str) -> DataFrame:
-    """Copies the accepted files of a plan (source_path, dest) below ``out``: a row for each, when an action runs.
+    """Copies the files of a plan that are taken and not replaced below ``out``: a row for each, when an action runs.
 
     Executors must see sources and ``out``. A repeated task writes the same bytes to the same place.
     """
-    rows = plan.where("reject_reason IS NULL").select("source_path", F.concat(F.lit(out.rstrip("/") + "/"), "dest").alias("target"))
+    rows = plan.where("reject_reason IS NULL AND NOT replaced").select("source_path", F.concat(F.lit(out.rstrip("/") + "/"), "dest").alias("target"))
     return rows.mapInPandas(_copy, "source_path string, target string, bytes_copied long, failure string")

@@ -171,10 +171,22 @@ def repository_summary() -> Column:
     return F.format_string("Repository: %s/%s\nBranch: %s\nCommits: %d\nEmpty: %s", F.col("owner"), F.col("name"), F.col("default_branch"), F.col("total_commits"), F.col("is_empty").cast("string"))
 
 
+def _since_epoch(plan: DataFrame) -> Column:
+    """When a file was changed, as seconds and nanoseconds; null where the catalog does not tell."""
+    micros = F.unix_micros("modified") if "modified" in plan.columns else F.lit(None).cast("long")
+    parts = F.struct(F.floor(micros / 1_000_000).cast("long").alias("secs_since_epoch"), (F.pmod(micros, F.lit(1_000_000)) * 1000).alias("nanos_since_epoch"))
+    return F.when(micros.isNotNull(), parts)
+
+
+def _duration(milliseconds: Column | None) -> Column:
+    ms = F.lit(None).cast("long") if milliseconds is None else milliseconds.cast("long")
+    return F.when(ms.isNotNull(), F.struct(F.floor(ms / 1000).cast("long").alias("secs"), (ms % 1000 * 1_000_000).alias("nanos")))
+
+
 def report_rows(plan: DataFrame, repos: DataFrame, config: Config, time: Column | None = None, duration_ms: Column | None = None) -> DataFrame:
     """One nested row for each repository: the report as data. Its files are those scanned, in the order of the walk."""
     files = plan.groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct("parts", F.struct("filename", "relative_path", "extension", "size").alias("f")))).alias("files")
+        F.array_sort(F.collect_list(F.struct("parts", F.struct("filename", "relative_path", "extension", "size", _since_epoch(plan).alias("modified")).alias("f")))).alias("files")
     )
     bad = copyplan.error_ledger(plan).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "message"))).alias("errors"))
     known = repos.join(stats.report_summary(plan), "repo_id").join(stats.counts_map(plan), "repo_id").join(files, "repo_id").join(bad, "repo_id", "left")
@@ -182,7 +194,7 @@ def report_rows(plan: DataFrame, repos: DataFrame, config: Config, time: Column
     largest = F.get(F.filter("files", lambda x: x["f"]["relative_path"] == F.col("largest_path")), F.lit(0))["f"]
     summary = F.struct(
         F.col("files_processed").alias("total_files_processed"), F.col("bytes_processed").alias("total_bytes_processed"),
-        (duration_ms if duration_ms is not None else F.lit(None).cast("long")).alias("extraction_duration_ms"),
+        _duration(duration_ms).alias("extraction_duration"),
         "files_by_extension", largest.alias("largest_file"), F.col("average_size").alias("average_file_size"),
     )
     used = F.struct(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import replace
@@ -10,9 +12,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.config import Config, Filters
+from leafmill import config
+from leafmill.config import Config, Filters, Git, Output
 from leafmill.functions import paths, text, urls
-from leafmill.operators import copyplan, messages, predicates, reports, stats
+from leafmill.operators import console, copyplan, messages, predicates, reports, stats
 from leafmill.sources.catalog import from_documents, repositories
 from leafmill.sources.repo_files import scan_directory
 
@@ -178,7 +181,7 @@ def index_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY s, g, p, parts) AS INTEGER) AS ordinal, line FROM x"""
 )
 def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.index_lines(_kept(spark, sf_dir))
+    return reports.index_lines(_kept(spark, sf_dir).cache())
 
 
 @query(f"WITH {FLAT} SELECT repo_id, relative_path, dest, reject_reason FROM l")
@@ -286,6 +289,7 @@ URLS = (
     "https://evilgithub.com/o/r", "git@github.com:o/r", "https://github.com/o/../x/y", "https://GITHUB.com/o/r", "https://github.com//r", "https://github.com/o/",
     "https://github.com/o$/r", "https://github.com/o/r!", "https://github.com/.o/r", "https://github.com/o/.r", "https://github.com/o/.git", "https://api.github.com/o/r/tree/main",
     "https://github.com/o/" + "r" * 100, "https://github.com/o/" + "r" * 101, "https://github.com/o/r.git.git",
+    "https://github.com/ünï/r", "https://github.com/½/r", "https://github.com/o/ünï", "https://github.com/o/中", "https://github.com/o/r_1.x-y",
 )
 EXAMPLE = "example.com"
 
@@ -329,45 +333,48 @@ def repo_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", urls.owner(F.col("url")).alias("owner"), urls.repository(F.col("url")).alias("repo"), name.alias("output_name"), urls.output_path(name, F.lit("/work")).alias("output_path"))
 
 
+#: Settings of a file and options given: id, then extensions, directories, size, timeout, depth, base directory, then the options.
 SETTINGS = (
-    (1, "md,rst", "target,dist", 100, 30, None, None, None, None, None),
-    (2, "md", ".git", 100, 30, " MD, .x ,,TXT ", "a,B,.git", 5, 0, "dev"),
-    (3, "", "x", 0, 1, "txt", None, None, 7, None),
-    (4, "md", "x", 9, 1, None, "x", 0, None, "main"),
-    (5, "md", "x", 9, 0, ",", " y ", None, None, None),
+    (1, "md,rst", "target,dist", 100, 30, 10, "/tmp/x", None, None, None, None, None),
+    (2, "md", ".git", 100, 30, 10, "/tmp/x", " MD, .x ,,TXT ", "a,B,.git", 5, 0, "dev"),
+    (3, "", "x", 0, 1, 10, "/tmp/x", "txt", None, None, 7, None),
+    (4, "md", "x", 9, 1, 10, "/tmp/x", None, "x", 0, None, "main"),
+    (5, "md", "x", 9, 0, 10, "/tmp/x", ",", " y ", None, None, None),
+    (6, "md", "x", 9, 1, 0, "/tmp/x", None, None, None, None, None),
+    (7, "md", "x", 9, 1, 1, "/no/such/directory/x", None, None, None, None, None),
+    (8, "", "x", 0, 0, 0, "/no/such/directory/x", None, None, None, None, None),
 )
-SETTING_COLUMNS = ("id", "extensions", "dirs", "max_size", "timeout", "formats", "exclude", "cli_size", "cli_timeout", "branch")
+SETTING_COLUMNS = ("id", "extensions", "dirs", "max_size", "timeout", "depth", "base", "formats", "exclude", "cli_size", "cli_timeout", "branch")
 _split_sql = lambda c: f"CASE WHEN {c} = '' THEN []::VARCHAR[] ELSE string_split({c}, ',') END"
 MERGED = f"""m AS (SELECT id, CASE WHEN formats IS NULL THEN {_split_sql("extensions")}
     ELSE list_filter(list_transform(string_split(formats, ','), lambda x: lower(trim(x))), lambda x: x <> '') END AS extensions,
     CASE WHEN exclude IS NULL THEN {_split_sql("dirs")} ELSE list_concat({_split_sql("dirs")}, string_split(exclude, ',')) END AS exclude_dirs,
-    coalesce(cli_size, max_size) AS max_file_size, coalesce(cli_timeout, timeout) AS timeout, branch FROM {_sql_values(SETTINGS, SETTING_COLUMNS)})"""
+    coalesce(cli_size, max_size) AS max_file_size, coalesce(cli_timeout, timeout) AS timeout, depth, base, branch FROM {_sql_values(SETTINGS, SETTING_COLUMNS)})"""
 
 
-def _merged(spark: SparkSession) -> DataFrame:
-    """Overrides over settings, as columns: formats replace, exclusions are added, others replace if given."""
-    rows = spark.createDataFrame(list(SETTINGS), "id int, extensions string, dirs string, max_size int, timeout int, formats string, exclude string, cli_size int, cli_timeout int, branch string")
-    listed = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ","))
-    formats = F.filter(F.transform(F.split("formats", ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    return rows.select(
-        "id",
-        F.when(F.col("formats").isNull(), listed("extensions")).otherwise(formats).alias("extensions"),
-        F.when(F.col("exclude").isNull(), listed("dirs")).otherwise(F.concat(listed("dirs"), F.split("exclude", ","))).alias("exclude_dirs"),
-        F.coalesce("cli_size", "max_size").alias("max_file_size"),
-        F.coalesce("cli_timeout", "timeout").alias("timeout"),
-        "branch",
-    )
+def _merged() -> list[tuple[int, Config]]:
+    """The settings of each row, with its options over them."""
+    found = []
+    for i, extensions, dirs, size, timeout, depth, base, formats, exclude, cli_size, cli_timeout, branch in SETTINGS:
+        listed = tuple(extensions.split(",")) if extensions else ()
+        given = Config(Filters(extensions=listed, exclude_dirs=tuple(dirs.split(",")), max_file_size=size, max_depth=depth), Output(base_directory=base), Git(timeout=timeout))
+        options = {"formats": formats, "exclude": exclude and exclude.split(","), "max_file_size": cli_size, "timeout": cli_timeout, "branch": branch}
+        found.append((i, config.merge(given, options)))
+    return found
 
 
 @query(f"WITH {MERGED} SELECT id, array_to_string(extensions, '|') AS extensions, array_to_string(exclude_dirs, '|') AS exclude_dirs, max_file_size, timeout, branch FROM m")
 def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark).withColumns({c: F.array_join(c, "|") for c in ("extensions", "exclude_dirs")})
+    rows = [(i, "|".join(c.filters.extensions), "|".join(c.filters.exclude_dirs), c.filters.max_file_size, c.git.timeout, c.git.branch) for i, c in _merged()]
+    return spark.createDataFrame(rows, "id int, extensions string, exclude_dirs string, max_file_size int, timeout int, branch string")
 
 
-@query(f"WITH {MERGED} SELECT id, CASE WHEN len(extensions) = 0 THEN 'no_extensions' WHEN max_file_size <= 0 THEN 'max_file_size' WHEN timeout <= 0 THEN 'timeout' ELSE 'ok' END AS problem FROM m")
+@query(
+    f"""WITH {MERGED} SELECT id, CASE WHEN len(extensions) = 0 THEN 'no_extensions' WHEN max_file_size <= 0 THEN 'max_file_size' WHEN timeout <= 0 THEN 'timeout'
+    WHEN depth <= 0 THEN 'max_depth' WHEN base LIKE '/no/such/%' THEN 'base_directory' ELSE 'ok' END AS problem FROM m"""
+)
 def config_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    problem = F.when(F.size("extensions") == 0, F.lit("no_extensions")).when(F.col("max_file_size") <= 0, F.lit("max_file_size")).when(F.col("timeout") <= 0, F.lit("timeout"))
-    return _merged(spark).select("id", F.coalesce(problem, F.lit("ok")).alias("problem"))
+    return spark.createDataFrame([(i, config.problem(c) or "ok") for i, c in _merged()], "id int, problem string")
 
 
 LEVELS = ("success", "error", "warning", "info", "debug", "operation_start")
@@ -411,7 +418,21 @@ GIT_ERRORS = (("net", "generic"), ("net", "auth"), ("http", "auth"), ("http", "n
 @query(
     f"""WITH k AS (SELECT kind FROM {_sql_values([(k,) for k in messages.KINDS], ["kind"])} UNION ALL
       SELECT CASE WHEN c = 'net' AND d = 'generic' THEN 'network' WHEN c = 'http' AND d = 'auth' THEN 'authentication_failed' WHEN c = 'http' AND d = 'not_found' THEN 'repository_not_found' ELSE 'git' END FROM {_sql_values(GIT_ERRORS, ("c", "d"))})
-    SELECT kind, prefix || CASE kind WHEN 'timeout' THEN 'X seconds' WHEN 'cancelled' THEN '' ELSE 'X' END AS message, hint FROM k JOIN {_sql_values([(k, p, h) for k, (p, h, _) in messages.KINDS.items()], ("kind_", "prefix", "hint"))} ON kind = kind_"""
+    SELECT kind, CASE kind WHEN 'timeout' THEN 'Operation timed out after X seconds' WHEN 'cancelled' THEN 'Operation was cancelled by user'
+      WHEN 'git' THEN 'Git operation failed: X' WHEN 'io' THEN 'IO operation failed: X' WHEN 'invalid_url' THEN 'Invalid repository URL: X'
+      WHEN 'repository_not_found' THEN 'Repository not found: X' WHEN 'authentication_failed' THEN 'Authentication failed for: X' WHEN 'network' THEN 'Network error: X'
+      WHEN 'no_documentation' THEN 'No documentation files found with extensions: X' WHEN 'config' THEN 'Configuration error: X' WHEN 'permission' THEN 'Permission denied accessing: X'
+      WHEN 'file_too_large' THEN 'File too large: X' WHEN 'invalid_path' THEN 'Invalid file path: X' WHEN 'output_exists' THEN 'Output directory already exists: X' END AS message,
+      CASE kind WHEN 'invalid_url' THEN 'Please check that the URL is a valid GitHub repository URL (e.g., https://github.com/owner/repo)'
+      WHEN 'repository_not_found' THEN 'Verify the repository exists and you have access to it. For private repositories, set the GITHUB_TOKEN environment variable.'
+      WHEN 'authentication_failed' THEN 'Set the GITHUB_TOKEN environment variable with a valid personal access token for private repositories.'
+      WHEN 'network' THEN 'Check your internet connection and try again. If the problem persists, the repository server might be temporarily unavailable.'
+      WHEN 'no_documentation' THEN 'Try using different file extensions with --formats (e.g., --formats md,rst,txt,adoc) or check if the repository contains documentation files.'
+      WHEN 'config' THEN 'Check your configuration file syntax and ensure all required fields are present.'
+      WHEN 'permission' THEN 'Ensure you have the necessary read/write permissions for the target directory.'
+      WHEN 'timeout' THEN 'The operation took longer than expected. Try again or increase the timeout with --timeout.'
+      WHEN 'file_too_large' THEN 'Increase the maximum file size limit with --max-size or exclude large files.'
+      WHEN 'output_exists' THEN 'Remove the existing directory, choose a different output name with --output, or use --force to overwrite.' END AS hint FROM k"""
 )
 def error_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = spark.createDataFrame([(k,) for k in messages.KINDS], "kind string")
@@ -456,13 +477,13 @@ _NUMBERED = "SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER
 
 @query(f"WITH {FLAT}, {SUMS}, y AS ({TEXT_LINES}) {_NUMBERED}")
 def report_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = _flat(spark, sf_dir)
+    plan = _flat(spark, sf_dir).cache()
     return reports.text_lines(plan, repositories(plan), CONFIG)
 
 
 @query(f"WITH {FLAT}, {SUMS}, y AS ({SUMMARY_LINES}) {_NUMBERED}")
 def summary_md_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = _flat(spark, sf_dir)
+    plan = _flat(spark, sf_dir).cache()
     return reports.summary_lines(plan, repositories(plan))
 
 
@@ -479,16 +500,42 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = _flat(spark, sf_dir)
+    plan = _flat(spark, sf_dir).cache()
     return reports.report_json(reports.report_rows(plan, repositories(plan), CONFIG))
 
 
+@query(
+    f"""WITH {FLAT}, {SUMS}, z AS (SELECT repo_id, string_agg('  ' || replace(ext, 'no_extension', 'no extension') || ': ' || n || ' files', chr(10) ORDER BY n DESC, ext) AS types FROM x GROUP BY repo_id),
+    f AS (SELECT repo_id, count(*) AS k, string_agg('  - ' || message, chr(10) ORDER BY parts) AS issues FROM e GROUP BY repo_id),
+    q AS (SELECT t.*, types, coalesce(k, 0) AS k, issues, n * 7 + 800 AS ms FROM t JOIN z USING (repo_id) LEFT JOIN f USING (repo_id)),
+    d AS (SELECT *, CASE WHEN ms >= 1000 THEN (ms // 1000) || 's' ELSE ms || 'ms' END AS lasted FROM q)
+    SELECT repo_id, m AS mode, CASE m WHEN 'plain' THEN concat_ws(chr(10), 'COMPLETED: Documentation extraction', 'Files processed: ' || n, 'Bytes processed: ' || b, printf('Duration: %.3fs', ms / 1000), CASE WHEN k > 0 THEN 'Errors: ' || k END)
+      WHEN 'json' THEN '{{' || chr(10) || '  "type" : "summary",' || chr(10) || '  "files_processed" : ' || n || ',' || chr(10) || '  "bytes_processed" : ' || b || ',' || chr(10) || '  "duration_ms" : ' || ms || ',' || chr(10) || '  "errors" : ' || k || chr(10) || '}}'
+      ELSE concat_ws(chr(10), '', repeat('-', 60), '✓ Documentation extraction completed!', '', '  Files processed: ' || n, '  Bytes processed: ' || {_bytes_sql("b")}, '  Time taken:      ' || lasted, CASE WHEN k > 0 THEN '  Errors:          ' || k END, repeat('-', 60)) END AS summary,
+      CASE m WHEN 'plain' THEN concat_ws(chr(10), 'REPORT: Extraction completed', 'Repository: owner/repo' || repo_id, 'Files: ' || n, 'Size: ' || b || ' bytes', printf('Duration: %.3fs', ms / 1000), CASE WHEN k > 0 THEN 'Errors: ' || k END)
+      WHEN 'human' THEN concat_ws(chr(10), '', '=== Extraction Report ===', '', 'Repository: owner/repo' || repo_id, 'URL: https://github.com/owner/repo' || repo_id, 'Extracted at: 2024-02-29 12:34 UTC', '', 'Files by type:' || chr(10) || types || chr(10), 'Issues encountered:' || chr(10) || issues) END AS report
+    FROM d, (VALUES ('human'), ('json'), ('plain')) v(m)"""
+)
+def run_console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the console shows of a run that took 800 ms and 7 ms for each file."""
+    plan = _flat(spark, sf_dir).cache()
+    rows = reports.report_rows(plan, repositories(plan), CONFIG, F.lit("2024-02-29 12:34:56Z").cast("timestamp"))
+    rows = rows.withColumn("mode", F.explode(F.array(*map(F.lit, ("human", "json", "plain")))))
+    files, size = (F.col("extraction_summary")[c] for c in ("total_files_processed", "total_bytes_processed"))
+    ms = files * 7 + 800
+    return rows.select("repo_id", "mode", console.summary(F.col("mode"), files, size, ms, F.size("errors")).alias("summary"), console.report(F.col("mode"), ms).alias("report"))
+
+
 #: Files of a small tree, with a link and directories that the rules know.
 TREE = ("README", "guide.md", "_index.md", ".dot.md", "_drafts/d.md", ".github/c.md", ".hidden/h.md", "node_modules/x.md", "a/b.md", "a-b/c.md", "main.rs", "empty.txt", "Build/s.md", f"{DEEP}deep.md")
 
 
-def make_tree() -> str:
-    root = tempfile.mkdtemp(prefix="leafmill-tree-")
+def make_tree(spark: SparkSession | None = None) -> str:
+    """A small tree, below the shared folder if that is a mounted one; it goes when the program ends."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) if spark else None) or ""
+    shared = shared.removeprefix("file://")
+    root = tempfile.mkdtemp(prefix="leafmill-tree-", dir=shared if os.path.isdir(shared) else None)
+    atexit.register(shutil.rmtree, root, True)
     for i, name in enumerate(TREE):
         os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
         with open(os.path.join(root, name), "w") as f:
@@ -497,15 +544,23 @@ def make_tree() -> str:
     return root
 
 
-@query()
+#: What is documentation in TREE: path, name, extension, size.
+TREE_KEPT = (
+    ("README", "README", "", 7), ("guide.md", "guide.md", "md", 7), ("_index.md", "_index.md", "md", 7), (".dot.md", ".dot.md", "md", 7), ("_drafts/d.md", "d.md", "md", 7),
+    (".github/c.md", "c.md", "md", 7), ("a/b.md", "b.md", "md", 7), ("a-b/c.md", "c.md", "md", 7), ("empty.txt", "empty.txt", "txt", 0),
+)
+
+
+@query(f"SELECT relative_path, filename, extension, CAST(size AS BIGINT) AS size FROM {_sql_values(TREE_KEPT, ('relative_path', 'filename', 'extension', 'size'))}")
 def fs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = predicates.documentation(scan_directory(spark, make_tree(), Filters()).where("error IS NULL"), Filters())
+    found = predicates.documentation(scan_directory(spark, make_tree(spark), Filters()).where("error IS NULL"), Filters())
     return found.select("relative_path", "filename", "extension", "size").orderBy(paths.parts(F.col("relative_path")))
 
 
-@query()
+@query(f"SELECT DISTINCT filename AS dest, CAST(size AS BIGINT) AS bytes_copied, CAST(NULL AS VARCHAR) AS failure FROM {_sql_values(TREE_KEPT, ('relative_path', 'filename', 'extension', 'size'))}")
 def copy_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = make_tree()
+    root = make_tree(spark)
+    atexit.register(shutil.rmtree, root + "-copy", True)
     plan = copyplan.plan_copy(predicates.documentation(scan_directory(spark, root, Filters()).where("error IS NULL"), Filters()), preserve=False)
     done = copyplan.copy_files(plan, root + "-copy")
     return done.select(F.substring_index("target", "/", -1).alias("dest"), "bytes_copied", "failure")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.config import Config
-from leafmill.operators import copyplan, predicates, reports, stats
+from leafmill.operators import console, copyplan, predicates, reports, stats
 from leafmill.sources.repo_files import scan_directory
 
 
@@ -37,13 +38,15 @@ class Repository:
 
 @dataclass(frozen=True)
 class Run:
-    """What a run did: where to, its numbers, and its ledger of errors."""
+    """What a run did: where to, its numbers, its ledger of errors, and what the console shows of it."""
 
     output: str
     files: int
     bytes: int
     errors: tuple[str, ...]
     seconds: float
+    summary: str = ""
+    report: str = ""
 
 
 @contextmanager
@@ -73,6 +76,17 @@ def scan_errors(spark: SparkSession, root: str, config: Config) -> DataFrame:
     return scan_directory(spark, root, config.filters).where("error IS NOT NULL").select("source_path", "error")
 
 
+def check_writable(base: str) -> None:
+    """Makes the base directory and writes a file there, for a moment, before any work is done."""
+    try:
+        os.makedirs(base, exist_ok=True)
+        handle, probe = tempfile.mkstemp(prefix=".leafmill-write-test-", dir=base)
+        os.close(handle)
+        os.remove(probe)
+    except OSError as e:
+        raise RunError("permission", base) from e
+
+
 def prepare_output(path: str, force: bool) -> None:
     """Makes an empty output directory; one that is there is replaced if ``force``."""
     if os.path.exists(path):
@@ -92,29 +106,46 @@ def write_lines(lines: DataFrame, path: str) -> None:
             f.write(row["line"] + "\n")
 
 
-def extract(spark: SparkSession, root: str, config: Config, repository: Repository, name: str) -> Run:
-    """Copies the documentation of a tree to base_directory/name, with an index and three reports if the settings ask."""
-    began = datetime.now(UTC)
+def extract(spark: SparkSession, root: str, config: Config, repository: Repository, name: str, mode: str = "human") -> Run:
+    """Copies the documentation of a tree to base_directory/name, with an index and three reports if the settings ask.
+
+    What a run that fails has written is removed.
+    """
     out = os.path.join(config.output.base_directory, name)
     catalog = scan(spark, root, config)
+    check_writable(config.output.base_directory)
     prepare_output(out, config.output.force)
-    plan = copyplan.plan_copy(catalog, config.output.preserve_structure).cache()
+    try:
+        return _write(spark, catalog, config, repository, out, mode)
+    except BaseException:
+        shutil.rmtree(out, ignore_errors=True)
+        raise
+
+
+def _write(spark: SparkSession, catalog: DataFrame, config: Config, repository: Repository, out: str, mode: str) -> Run:
+    began = datetime.now(UTC)
+    plan = copyplan.plan_copy(catalog, config.output.preserve_structure, config.output.force).cache()
     copied = copyplan.copy_files(plan, out).cache()
-    done = copied.where("failure IS NULL").agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes_copied"), F.lit(0)).alias("b")).first()
+    written = copied.where("failure IS NULL").select(F.col("bytes_copied").alias("b"))
+    done = written.union(plan.where("replaced").select("size")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     late = [r["failure"] for r in copied.where("failure IS NOT NULL").orderBy("target").select("failure").toLocalIterator()]
     errors = (*[r["message"] for r in copyplan.error_ledger(plan).orderBy("ordinal").toLocalIterator()], *late)
     seconds = (datetime.now(UTC) - began).total_seconds()
+    repos = spark.createDataFrame([(0, repository.owner, repository.name, repository.url, repository.default_branch, repository.total_commits, repository.is_empty)], "repo_id long, owner string, name string, url string, default_branch string, total_commits long, is_empty boolean")
+    rows = reports.report_rows(plan, repos, config, F.lit(began).cast("timestamp"), F.lit(int(seconds * 1000)))
     if config.output.generate_report:
-        repos = spark.createDataFrame([(0, repository.owner, repository.name, repository.url, repository.default_branch, repository.total_commits, repository.is_empty)], "repo_id long, owner string, name string, url string, default_branch string, total_commits long, is_empty boolean")
         time, lasted = began.strftime("%Y-%m-%d %H:%M:%S UTC"), f"{seconds:.3f}s"
         write_lines(reports.text_lines(plan, repos, config, time, lasted), os.path.join(out, copyplan.METADATA, "extraction_report.txt"))
         write_lines(reports.summary_lines(plan, repos, time[:16] + " UTC", lasted), os.path.join(out, copyplan.SUMMARY))
-        rows = reports.report_rows(plan, repos, config, F.lit(began).cast("timestamp"), F.lit(int(seconds * 1000)))
         with open(os.path.join(out, copyplan.METADATA, "extraction_report.json"), "w", encoding="utf-8") as f:
             f.write(reports.report_json(rows).first()["json"] + "\n")
     if config.output.create_index:
         write_lines(reports.index_lines(catalog, config.output.preserve_structure, began.strftime("%Y-%m-%d %H:%M:%S UTC")), os.path.join(out, copyplan.INDEX))
-    return Run(out, done["n"], done["b"], errors, seconds)
+    ms, form = F.lit(int(seconds * 1000)), F.lit(mode)
+    numbers = [F.lit(x).cast("long") for x in (done["n"], done["b"])]
+    shown = console.summary(form, *numbers, ms, F.lit(len(errors)), F.lit(datetime.now(UTC).isoformat()))
+    told = reports.report_json(rows).first()["json"] if mode == "json" else rows.select(console.report(form, ms).alias("r")).first()["r"]
+    return Run(out, done["n"], done["b"], errors, seconds, spark.range(1).select(shown.alias("s")).first()["s"], told)
 
 
 def statistics(spark: SparkSession, root: str, config: Config) -> DataFrame:

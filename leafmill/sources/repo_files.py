@@ -1,16 +1,17 @@
 """A directory tree as a table: one row for each regular file, links neither followed nor listed.
 
 Spark's own file sources skip names that begin with a dot or underscore, and follow links. Here
-directories are pruned while the tree is walked, by the rules that the settings have for them; the
-same rules as columns give the same rows, so filtering again changes nothing. Each entry at the top
-is a partition. Entries that can't be read become rows with ``error`` set.
+directories are pruned while the tree is walked, by the rules that the settings have for their names;
+the same rules as columns give the same rows, so filtering again changes nothing. Patterns are left
+to the columns, so that one engine reads them. The upper levels of the tree are listed first, until
+they give enough directories to deal out; each of these, and each run of files beside them, is a
+partition. Entries that can't be read become rows with ``error`` set.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import asdict
 from datetime import UTC, datetime
@@ -25,8 +26,12 @@ from leafmill.operators.predicates import BUILD_DIRS, SHOWN_HIDDEN_DIRS
 SCHEMA = "repo_id long, source_path string, relative_path string, filename string, extension string, size long, modified timestamp, error string"
 
 
+#: Directories to deal out that are enough, levels that are listed at most for them, and files of a partition.
+ENOUGH, LEVELS, FILES = 256, 4, 2_000
+
+
 class Entry(InputPartition):
-    """An entry at the top of the tree."""
+    """Some entries of the tree, by their paths below the root."""
 
 
 class Walk(DataSourceReader):
@@ -35,13 +40,27 @@ class Walk(DataSourceReader):
         given = json.loads(options.get("filters", "{}"))
         self.depth = given.get("max_depth")
         self.excluded = {d.lower() for d in given.get("exclude_dirs", ())}
-        self.patterns = tuple(given.get("patterns", ()))
         self.prune = bool(given)
         if not os.path.isdir(self.root):
             raise ValueError(f"no directory: {self.root}")
 
     def partitions(self) -> list[Entry]:
-        return [Entry(x) for x in sorted(os.listdir(self.root))]
+        found, files = sorted(os.listdir(self.root)), []
+        for _ in range(LEVELS):
+            kinds = [os.path.isdir(p) and not os.path.islink(p) for p in (os.path.join(self.root, x) for x in found)]
+            files += [x for x, inner in zip(found, kinds, strict=True) if not inner]
+            found = [x for x, inner in zip(found, kinds, strict=True) if inner]
+            if not found or len(found) >= ENOUGH:
+                break
+            below = []
+            for x in found:
+                try:
+                    below += [f"{x}/{y}" for y in sorted(os.listdir(os.path.join(self.root, x)))] if self.enters(x) else []
+                except OSError:
+                    files.append(x)  # its task meets the error again, and gives a row for it
+            found = below
+        runs = [files[i : i + FILES] for i in range(0, len(files), FILES)]
+        return [Entry(x) for x in [*([x] for x in found), *runs]]
 
     def enters(self, relative: str) -> bool:
         if not self.prune:
@@ -50,10 +69,10 @@ class Walk(DataSourceReader):
         low = name.lower()
         hidden = name.startswith(".") and low not in SHOWN_HIDDEN_DIRS
         deep = self.depth is not None and relative.count("/") + 1 >= self.depth
-        return not (deep or hidden or low in self.excluded or low in BUILD_DIRS or any(re.search(p, relative) for p in self.patterns))
+        return not (deep or hidden or low in self.excluded or low in BUILD_DIRS)
 
     def read(self, partition: Entry) -> Iterator[tuple]:
-        waiting = [partition.value] if partition is not None else []  # Spark gives None for an empty tree
+        waiting = list(partition.value) if partition is not None else []  # Spark gives None for an empty tree
         while waiting:
             relative = waiting.pop()
             whole = os.path.join(self.root, relative)
@@ -88,5 +107,5 @@ def scan_directory(spark: SparkSession, root: str, filters: Filters | None = Non
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
     spark.dataSource.register(RepoFiles)
-    given = json.dumps(asdict(filters) | {"patterns": filters.patterns}) if filters else "{}"
+    given = json.dumps(asdict(filters)) if filters else "{}"
     return spark.read.format("repo_files").option("repoId", repo_id).option("filters", given).load(os.path.abspath(root))

@@ -9,6 +9,7 @@ from leafmill.cli import main
 from leafmill.functions import paths, text, urls
 from leafmill.operators import copyplan, messages, predicates, stats
 from leafmill.plans import catalog_queries, extract
+from leafmill.sources import repo_files
 from leafmill.sources.catalog import from_paths
 from leafmill.sources.repo_files import scan_directory
 
@@ -142,8 +143,9 @@ def test_extraction(spark, tmp_path, monkeypatch):
     assert "Total files: 9" in (out / "_index.md").read_text() and "## a-b/" in (out / "_index.md").read_text()
     assert "**Repository:** [o/tree]" in (out / "EXTRACTION_SUMMARY.md").read_text()
     assert main([root, "--url", "https://github.com/o/tree.git"], spark) == 8
-    assert main([root, "--url", "https://github.com/o/tree.git", "--force", "--preserve-structure", "false"], spark) == 2  # two files named c.md
-    assert (out / "c.md").exists() and not (out / "a-b").exists()
+    assert main([root, "--url", "https://github.com/o/tree.git", "--force", "--preserve-structure", "false"], spark) == 0
+    assert (out / "c.md").read_text() == "file 9\n" and not (out / "a-b").exists()  # of two files named c.md the last of the walk stays
+    assert json.loads((out / ".leafmill/extraction_report.json").read_text())["extraction_summary"]["total_files_processed"] == 9
 
 
 def test_exit_codes(spark, tmp_path, monkeypatch, capsys):
@@ -152,7 +154,7 @@ def test_exit_codes(spark, tmp_path, monkeypatch, capsys):
     assert main(["--generate-config"]) == 0 and config.load_file("leafmill.toml") == config.Config()
     assert main([root, "--dry-run"], spark) == 0
     assert main([root, "--url", "http://github.com/o/r"], spark) == 2
-    assert main([root, "--formats", "zzz", "-e", "a", "-o", "x"], spark) in (0, 6)
+    assert main([root, "--formats", "zzz", "-e", "a", "-o", "x"], spark) == 0  # README goes by its name
     assert main([str(tmp_path / "none")], spark) == 1
     assert main([root, "--formats", ","], spark) == 1
     os.makedirs("empty")
@@ -177,3 +179,75 @@ def test_cancellation_tags(spark):
         assert "a-tag" in spark.getTags()
         stop()
     assert "a-tag" not in spark.getTags()
+
+
+def test_patterns_are_read_by_the_engine_that_runs_them(spark):
+    filters = config.Filters(exclude_patterns=(r"(?P<x>a)", r"^\p{L}$", "[", r"^(?<n>d)\d$"))
+    assert filters.patterns == (r"^\p{L}$", r"^(?<n>d)\d$")
+    rows = catalog(spark, ("é/a.md", 1), ("a/a.md", 1), ("d1/a.md", 1), ("dd/a.md", 1), ("é.md", 1))
+    assert {r["relative_path"] for r in predicates.documentation(rows, filters).collect()} == {"dd/a.md", "é.md"}
+
+
+def test_addresses_outside_ascii(spark):
+    given = ["https://github.com/ünï/r", "https://github.com/½/r", "https://github.com/o/é", "https://github.com/o/r"]
+    assert col(spark, given, urls.url_problem) == ["owner_chars", "owner_chars", "repo_chars", "ok"]
+
+
+def test_settings_with_odd_characters_are_written_and_read(tmp_path):
+    odd = config.Config(config.Filters(exclude_dirs=("it's", 'say "x"', "back\\slash", "tab\t", "\x7f", "ü")), config.Output(base_directory="/home/o'neil/it"))
+    (tmp_path / "odd.toml").write_text(config.to_toml(odd))
+    assert config.load_file(str(tmp_path / "odd.toml")) == odd
+
+
+def test_forced_copies_have_one_writer(spark):
+    rows = catalog(spark, ("b/x.md", 5), ("a/x.md", 7), ("c/x.md", 1), ("y.md", 2))
+    plan = {r["relative_path"]: r for r in copyplan.plan_copy(rows, preserve=False, force=True).collect()}
+    assert [p for p, r in plan.items() if not r["replaced"] and r["dest"] == "x.md"] == ["c/x.md"] and not any(r["reject_reason"] for r in plan.values())
+    assert not any(r["replaced"] for r in copyplan.plan_copy(rows, preserve=False).collect())
+
+
+def test_partitions_of_a_tree(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / f"top/d{i}/e").mkdir(parents=True)
+        (tmp_path / f"top/d{i}/e/f.md").write_text("x")
+        (tmp_path / f"top/d{i}/g.md").write_text("x")
+    (tmp_path / "z.md").write_text("x")
+    walk = repo_files.Walk({"path": str(tmp_path)})
+    monkeypatch.setattr(repo_files, "ENOUGH", 8)
+    assert [len(p.value) for p in walk.partitions()] == [1] * 30 + [1]
+    monkeypatch.setattr(repo_files, "FILES", 7)
+    monkeypatch.setattr(repo_files, "ENOUGH", 1000)
+    found = [r[2] for p in walk.partitions() for r in walk.read(p)]
+    assert len(found) == len(set(found)) == 61 and max(len(p.value) for p in walk.partitions()) == 7
+    assert scan_directory(spark, str(tmp_path), config.Filters(max_depth=3)).count() == 31
+    assert scan_directory(spark, str(tmp_path)).count() == 61
+
+
+def test_a_failed_run_leaves_nothing(spark, tmp_path, monkeypatch):
+    root = catalog_queries.make_tree()
+    settings = config.Config(output=config.Output(base_directory=str(tmp_path / "new")))
+    monkeypatch.setattr(extract.reports, "text_lines", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        extract.extract(spark, root, settings, extract.Repository("r"), "out")
+    assert os.listdir(tmp_path / "new") == []
+    monkeypatch.setattr(extract.tempfile, "mkstemp", lambda **k: (_ for _ in ()).throw(PermissionError("no")))
+    with pytest.raises(extract.RunError) as e:
+        extract.check_writable(str(tmp_path))
+    assert e.value.kind == "permission"
+
+
+def test_console_of_a_run(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    root = catalog_queries.make_tree()
+    assert main([root, "-o", "one", "--output-format", "json"], spark) == 0
+    decoder, text_, found = json.JSONDecoder(), capsys.readouterr().out.strip(), []
+    while text_:
+        value, end = decoder.raw_decode(text_)
+        found.append(value)
+        text_ = text_[end:].strip()
+    assert (found[0]["type"], found[0]["files_processed"], found[0]["errors"]) == ("summary", 9, 0)
+    assert set(found[1]["files"][0]["modified"]) == {"secs_since_epoch", "nanos_since_epoch"} and set(found[1]["extraction_summary"]["extraction_duration"]) == {"secs", "nanos"}
+    assert main([root, "-o", "two", "-q", "--output-format", "plain"], spark) == 0
+    assert capsys.readouterr().out.startswith("REPORT: Extraction completed\nRepository: local/")
+    assert main([root, "-o", "three"], spark) == 0
+    assert "✓ Documentation extraction completed!" in (shown := capsys.readouterr().out) and "=== Extraction Report ===" in shown and "  md: 7 files" in shown
