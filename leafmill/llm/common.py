@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 
 _LOCAL: dict[str, str] = {}
+#: Where the tables of ``materialize`` lie, as long as their DataFrames are held.
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +25,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or where unset on one machine (tests) a temporary one."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="leafmill-")
@@ -37,7 +42,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder as Parquet and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later result reads."""
+    for table in tables:
+        if path := _TABLES.pop(table, None):
+            jvm, spark = table.sparkSession._jvm, table.sparkSession._jsparkSession
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sessionState().newHadoopConf()).delete(where, True)
 
 
 def sized(df: DataFrame, rows: int, each: int) -> DataFrame:

@@ -100,13 +100,15 @@ def quality_rules(
 ) -> DataFrame:
     """The input (without its text if ``keep_text`` is false), its counts, ``base_failed``, ``host_rejected``, ``kept``.
 
-    The judged rows are written once to the shared folder, since both the host statistics and the
-    result read them.
+    Host statistics and the result both read the judged rows. Without texts these are narrow and are
+    written once to the shared folder; with texts they are judged twice instead, so that no text is.
     """
     made = {*COUNTS, "base_failed", "rule_failed", "host_rejected", "kept"}
     df = df.select(*[c for c in df.columns if c not in made])
     carried = [c for c in df.columns if keep_text or c != text]
-    judged = materialize(document_rules(df, text).select(*carried, *COUNTS, "base_failed", "rule_failed"), "judged")
+    judged = document_rules(df, text).select(*carried, *COUNTS, "base_failed", "rule_failed")
+    if not keep_text:
+        judged = materialize(judged, "judged")
     hosts = rejected_hosts(judged, domain, max_rate).withColumn("host_rejected", F.lit(True))
     out = join_checked(judged, hosts, [domain], "left")
     out = out.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
