@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, sized
+from leafmill.llm.common import materialize, release, sized
 
 #: Links of a task.
 LINKS = 200_000
@@ -22,13 +22,15 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(sized(both, rows, LINKS), "links")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = materialize(sized(labels, rows, LINKS), "labels")
+    labels = last = materialize(sized(labels, rows, LINKS), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         found = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         over = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         found = found.join(over, "label", "left").select("node", "was", F.least("label", "further").alias("label"))
         found = materialize(sized(found, rows, LINKS), "labels")
-        labels = found.select("node", "label")
+        release(last)
+        labels, last = found.select("node", "label"), found
         if found.where("label <> was").isEmpty():
+            release(both)
             return labels

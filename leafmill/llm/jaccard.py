@@ -2,16 +2,18 @@
 
 A text's set holds its distinct runs of ``size`` words, ASCII letters lower-cased; a text with fewer
 words is one run, a text without words has the empty set, and links with nothing. Sets link if 100
-times their intersection is at least ``percent`` times their union. Runs are held as 64-bit hashes.
+times their intersection is at least ``percent`` times their union. Runs are held as 64-bit hashes;
+pairs that pass by these are compared once more by their words.
 
 Documents with equal sets form a class, for which its smallest id stands from then on. All sets are
 sorted by one order, rare runs first: by counters of hash buckets, which cover all documents and
 whose number is fixed, then by hash. Two sets that link share a run in their prefixes. Rows (run,
-class) of the prefixes are joined in two rounds: first all classes that share a run with the class
-of the smallest id among them; then all pairs that the components of the links so found still keep
-apart. Pairs pass the length and the positional filter, and are verified once, after a suffix filter
-that bounds the intersection by halves. No pair of one component is made twice, so a large group of
-near copies costs one pair for each copy.
+class) of the prefixes meet in two rounds: first all classes that share a run with the class of the
+smallest id among them; then pairs that the components of the links so found still keep apart, of
+which one at least is not of the component that most of the run's classes belong to. Pairs pass the
+length and the positional filter, and are verified once, after a suffix filter that bounds the
+intersection by halves. No pair of one component is made twice, so a large group of near copies
+costs one pair for each copy.
 
 Null ids belong to no component (null). Rows with one id and different texts link on their own;
 classes with the same smallest id count as one. Empty tables give empty results.
@@ -19,19 +21,23 @@ classes with the same smallest id count as one. Empty tables give empty results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm import hashing
-from leafmill.llm.common import join_checked, materialize, sized, small_batches
+from leafmill.llm.common import join_checked, materialize, release, sized, small_batches
 from leafmill.llm.components import components
 
 #: Counters that order the runs: a fixed bound on what the driver collects and sends to tasks.
 COUNTER_BITS = 17
+#: A bucket that counts so many times the mean is hot; at most one in so many buckets is.
+HOT = 20
 ROWS = 256
 #: Of a task: classes with their prefixes, prefix rows or pairs of ids, and pairs with texts.
 CLASSES, PREFIX_ROWS, TEXT_PAIRS = 4_000, 100_000, 2_000
@@ -73,8 +79,8 @@ def run_counters(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return counters
 
 
-def _signatures(docs: DataFrame, key: str, text: str, size: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix): the set's size, two hashes of the whole set, and its prefix in rare-first order."""
+def _signatures(docs: DataFrame, key: str, text: str, carry: tuple[str, ...], size: int, percent: int, counters: np.ndarray) -> DataFrame:
+    """(doc_id, carried columns, n, k1, k2, prefix): the set's size, two hashes of the whole set, and its prefix in rare-first order."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,17 +89,35 @@ def _signatures(docs: DataFrame, key: str, text: str, size: int, percent: int, c
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 n, k1, k2, prefixes = [], [], [], []
-                for _, runs in text_sets(part.column(1), size):
+                for _, runs in text_sets(part.column(0), size):
                     n.append(len(runs))
                     k1.append(int(hashing.mix(runs).sum(dtype=np.uint64)))
                     k2.append(int(hashing.mix(runs ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
                     rare = np.argsort(order[_bucket(runs)], kind="stable")[: prefix_length(len(runs), percent)]
                     prefixes.append(runs[rare].view(np.int64))
                 signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                yield pa.record_batch({"doc_id": part.column(0), "n": pa.array(n, pa.int32()), "k1": signed(k1), "k2": signed(k2), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+                made = [pa.array(n, pa.int32()), signed(k1), signed(k2), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], [*part.schema.names[1:], "n", "k1", "k2", "prefix"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text)
-    return rows.mapInArrow(sign, "doc_id long, n int, k1 long, k2 long, prefix array<long>")
+    rows = docs.select(text, F.col(key).cast("long").alias("doc_id"), *carry)
+    made = "n int, k1 long, k2 long, prefix array<long>"
+    return rows.mapInArrow(sign, T.StructType([*rows.schema.fields[1:], *T.DataType.fromDDL(made).fields]))
+
+
+def _met(rows: DataFrame, hot: Column) -> DataFrame:
+    """(run, a, n_a, pos_a, b, n_b, pos_b): the classes b of each run that two or more have, beside its least class a.
+
+    One exchange by run serves for the least class and the number of classes. Runs that too many
+    documents have are reduced to their least class before they are joined to it.
+    """
+    one = F.struct("id", "n", "pos")
+    of_run = Window.partitionBy("run")
+    few = rows.where(~hot).withColumns({"head": F.min(one).over(of_run), "many": F.count("*").over(of_run)})
+    heads = rows.where(hot).groupBy("run").agg(F.min(one).alias("head"), F.count("*").alias("many"))
+    most = rows.where(hot).join(heads, "run").select(few.columns)
+    a = [F.col(f"head.{c}").alias(d) for c, d in (("id", "a"), ("n", "n_a"), ("pos", "pos_a"))]
+    b = [F.col(c).alias(d) for c, d in (("id", "b"), ("n", "n_b"), ("pos", "pos_b"))]
+    return few.union(most).where("many > 1").select("run", *a, *b)
 
 
 def _may_link(percent: int) -> Column:
@@ -136,8 +160,19 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def linked_by_words(a: str, b: str, size: int, percent: int) -> bool:
+    """Whether two texts link, by the words themselves."""
+    sets = []
+    for text in (a, b):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode("utf-8", "surrogatepass").lower())
+        n = min(size, len(words))
+        sets.append(set(zip(*(words[k : len(words) - n + 1 + k] for k in range(n)), strict=True)))
+    both = len(sets[0] & sets[1])
+    return 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both)
+
+
 def _verified(pairs: DataFrame, rows: int, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose sets link.
+    """The pairs whose sets link, as a table.
 
     Texts are joined to the pairs, not sets: a text is half the size of its hashes once compressed.
     Only those of the pairs' documents are moved. ``rows`` are the prefix rows that the pairs come from.
@@ -147,54 +182,76 @@ def _verified(pairs: DataFrame, rows: int, docs: DataFrame, key: str, text: str,
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     needed = materialize(sized(needed, 2 * many, PREFIX_ROWS), "needed")
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    own = join_checked(own, needed, ["doc_id"], "left_semi", 2_000_000)
+    own = join_checked(own, needed, ["doc_id"], "left_semi")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hold = [linked(x, y, percent) for (_, x), (_, y) in zip(text_sets(batch.column(2), size), text_sets(batch.column(3), size), strict=True)]
+            left, right = batch.column(2), batch.column(3)
+            hold = [linked(x, y, percent) for (_, x), (_, y) in zip(text_sets(left, size), text_sets(right, size), strict=True)]
+            hold = [h and linked_by_words(left[i].as_py(), right[i].as_py(), size, percent) for i, h in enumerate(hold)]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
     with_a = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_a.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return sized(with_both.select("a", "b", "text_a", "text_b"), many, TEXT_PAIRS).mapInArrow(verify, "a long, b long")
+    found = sized(with_both.select("a", "b", "text_a", "text_b"), many, TEXT_PAIRS).mapInArrow(verify, "a long, b long")
+    found = materialize(found, "links")
+    release(pairs, needed)
+    return found
+
+
+def _apart(shared: DataFrame, labels: DataFrame, rows: int, percent: int) -> DataFrame:
+    """Distinct (a, b) of classes that share a run, are not of one component, and pass the filters.
+
+    Of each run, the component of the most of its classes is not joined with itself: its other
+    classes, and only these, meet all classes of the run.
+    """
+    of = labels.withColumnRenamed("node", "id")
+    own = shared.select("run", F.col("b").alias("id"), F.col("n_b").alias("n"), F.col("pos_b").alias("pos"))
+    own = own.join(of, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    own = materialize(sized(own, rows, PREFIX_ROWS), "labelled")
+    each = own.groupBy("run", "label").agg(F.count("*").alias("size"))
+    main = each.groupBy("run").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels"))
+    mixed = own.join(main.where("labels > 1").drop("labels"), "run")
+    mixed = materialize(sized(mixed, rows, PREFIX_ROWS), "apart")
+    release(own)
+    row = F.struct("n", "id", "pos")
+    minor = mixed.where("label <> main").select("run", row.alias("x"), F.col("label").alias("of_x"))
+    every = mixed.select("run", row.alias("y"), F.col("label").alias("of_y"), (F.col("label") != F.col("main")).alias("minor"))
+    met = minor.join(every, "run").where((F.col("of_x") != F.col("of_y")) & (~F.col("minor") | (F.col("x.id") < F.col("y.id"))))
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    met = met.select(*[F.col(f"{s}.{c}").alias(d) for s, t in (("x", "a"), ("y", "b")) for c, d in (("id", t), ("n", f"n_{t}"), ("pos", f"pos_{t}"))])
+    return _pairs(met.where(_may_link(percent)), percent)
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs; the component is its smallest id."""
+    """(doc_id, carried columns, n_shingles, component_id), one row for each row of docs; the component is its smallest id."""
     small_batches(docs.sparkSession)
     counters = run_counters(docs, text, size)
-    signed = materialize(_signatures(docs, key, text, size, percent, counters), "signatures")
+    signed = materialize(_signatures(docs, key, text, carry, size, percent, counters), "signatures")
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
     classes = classes.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
     classes = materialize(sized(classes, signed.count(), CLASSES), "classes")
 
+    hot = np.flatnonzero(counters > HOT * max(1.0, counters.mean())).tolist()
     rows = classes.select("id", "n", F.posexplode("prefix").alias("pos", "run"))
-    heads = rows.groupBy("run").agg(F.min(F.struct("id", "n", "pos")).alias("head"), F.count("*").alias("many"))
-    heads = heads.where("many > 1").select("run", F.col("head.id").alias("a"), F.col("head.n").alias("n_a"), F.col("head.pos").alias("pos_a"))
-    shared = rows.select("run", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b")).join(heads, "run")
+    shared = _met(rows, F.shiftrightunsigned("run", 64 - COUNTER_BITS).isin(hot))
     shared = materialize(sized(shared, classes.count(), CLASSES), "shared")
     many = shared.count()
     pairs = _pairs(shared.where((F.col("a") != F.col("b")) & _may_link(percent)), percent)
-    links = materialize(_verified(pairs, many, docs, key, text, size, percent), "links")
-
-    labels = components(links)
-    rows = shared.select("run", F.col("b").alias("id"), F.col("n_b").alias("n"), F.col("pos_b").alias("pos"))
-    rows = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    apart = rows.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("run")
-    rows = materialize(sized(rows.join(apart, "run", "left_semi"), many, PREFIX_ROWS), "apart")
-    side = lambda x: rows.select("run", *[F.col(c).alias(f"{d}_{x}") for c, d in (("label", "of"), ("n", "n"), ("pos", "pos"))], F.col("id").alias(x))
-    short = F.col("n_a") < F.col("n_b")
-    ordered = short | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    met = side("a").join(side("b"), "run").where(ordered & (F.col("of_a") != F.col("of_b")) & _may_link(percent))
-    more = _verified(_pairs(met, percent), rows.count(), docs, key, text, size, percent)
-    links = materialize(links.union(more), "links")
-
-    labels = components(links)
+    links = _verified(pairs, many, docs, key, text, size, percent)
+
+    pairs = _apart(shared, components(links), many, percent)
+    more = _verified(pairs, many, docs, key, text, size, percent)
+    release(shared)
+
+    labels = components(links.union(more))
     of = classes.select("k1", "k2", F.col("id").alias("node")).join(labels, "node", "left")
     of = of.select("k1", "k2", F.coalesce("label", "node").alias("component_id"))
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
-    out = signed.select("doc_id", "n", "k1", "k2").join(of, ["k1", "k2"], "left")
+    out = signed.drop("prefix").join(of, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, "component_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    out = materialize(out.select("doc_id", *carry, F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")), "components")
+    release(signed, classes, links, more)
+    return out

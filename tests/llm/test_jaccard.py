@@ -90,3 +90,40 @@ def test_components(spark):
     want = {i: 5 for i in [5, *range(10, 41)]} | {99: 99, 100: 99, 200: 200}
     assert {r["node"]: r["label"] for r in rows} == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_collide_under_polynomials(spark):
+    """Thue-Morse words and their complements have one hash modulo 2^64 under any odd multiplier."""
+    rows = []
+    for n in (64, 1024, 2048, 4096):
+        for k, letters in enumerate(("ab", "ba")):
+            rows.append((n + k, thue_morse(n, letters)))
+            rows.append((2 * n + 5000 + k, " ".join(thue_morse(n, letters) + str(i) for i in range(8))))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_pairs_are_compared_by_words():
+    a = "One two three four five six"
+    assert jaccard.linked_by_words(a, a.upper(), 4, 100) and jaccard.linked_by_words("x y", "X  Y", 4, 85)
+    assert not jaccard.linked_by_words(a, a.replace("six", "seven"), 4, 85) and not jaccard.linked_by_words("x y", "y x", 4, 85)
+    assert jaccard.linked_by_words("\ud800 a", "\ud800 A", 4, 85)
+
+
+def test_mixed_runs(spark):
+    """A large group of copies, near copies of it that do not link with its head, and strangers that share its rare runs."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(500)]
+    base = rng.choices(words, k=50)
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(40, 90):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            copy[rng.choice([0, 1, 2, 47, 48, 49])] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(base[20:30] + rng.choices(words, k=25))) for i in range(40)]
+    rows += [(200 + i, " ".join(base[:25] + rng.choices(words, k=i % 4))) for i in range(30)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
