@@ -103,3 +103,12 @@ def test_edges(spark, edge):
     assert sum(r["doc_id"] == 1 for r in copies) == 1 and not any(r["doc_id"] == 2 for r in copies)
     repeated = docs.where("doc_id = 5").union(docs.where("doc_id = 5"))
     assert corpus_pipeline.near_copies_stage(spark, repeated, SF).count() == 1
+
+
+def test_rows_of_one_id(spark):
+    """A row of a repeated id goes only if its own text is a copy."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    kept = lambda rows: sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect())
+    assert kept([(3, b), (7, b), (7, a)]) == [(3, b), (7, a)]
+    assert kept([(3, b), (3, a), (7, a)]) == [(3, a), (3, b)]
+    assert kept([(3, b), (3, b), (7, a), (7, a), (9, a)]) == [(3, b), (7, a)]
