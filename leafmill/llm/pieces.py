@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 A text is cut where no piece can reach across, which the piece table itself tells: before each run of
-spaces, around line ends, and between Latin letters and other characters if no piece has both. The units so found are counted over all documents. For the most frequent ones, as many as the
-``dictionary`` parameter, all substrings of bounded length are exploded and equi-joined to the piece
-table; these edges are grouped by unit, and a higher-order ``aggregate`` folds them to the pieces of
-the unit. The resulting table, bounded by its parameter, is sent to all tasks, which look units up;
-a unit outside it is encoded in the task from the same piece table, by the same rule.
+spaces, around line ends, and between Latin letters and other characters if no piece has both. Every
+distinct unit so found is encoded once: all its substrings of bounded length are exploded and
+equi-joined to the piece table, these edges are grouped by unit, and a higher-order ``aggregate``
+folds them to the pieces of the unit. Units reach the documents in two ways, which give the same ids:
+those that are frequent in a sample of documents, ``dictionary`` at most, are sent to all tasks; all
+others are joined to the rows that hold them.
 
 The fold follows the kind of the model. For "unigram" it is Viterbi: the path of the greatest sum of
 scores. A "bpe" model's scores are not additive (they are merge ranks), and the greatest sum gives
-other pieces than the model does; there the fold merges, at each step, the adjacent pair that is the
-best piece, ties to the left, which gives the model's own pieces.
+other pieces than the model does; there the fold goes through the edges in the order of their ranks,
+and merges the two pieces that make up an edge where just two do. This gives the model's own pieces
+if each piece is its own encoding, as in trained models; ``load_model`` checks that.
 
+Units above ``LONGEST_UNIT`` characters have more edges than a fold can hold, and are encoded alone.
 Characters without a piece become the pieces of their UTF-8 bytes. Decoding restores a text exactly,
 but that U+2581, the mark of a space, reads as a space. Null texts have null ids, empty ones no ids.
 """
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import let, materialize, small_batches
+from leafmill.llm.common import free_name, let, materialize, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -40,11 +43,14 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Patterns (of Python and of Spark) that cut a text into units, finest first: Latin letters, others and
 #: line ends, with the spaces before them; or all but spaces and line ends; or not at all.
 CUTS = (f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}\n]+|{SPACE}+|\n", f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", "(?s).+")
-DICTIONARY = 131_072
-#: Longer units are left to the tasks: the fold is quadratic in the length.
-LONGEST_UNIT = 48
-#: Units that a task remembers, and rows that it turns at once.
-REMEMBERED = 400_000
+#: Units that are sent to all tasks at most, and documents (about) among whose units these are chosen.
+DICTIONARY, SAMPLE = 262_144, 20_000
+#: Cuts of a unit are the bits of a long.
+LONGEST_UNIT = 62
+#: An edge of the merge lattice as a long: rank, start, end, and id in so many bits; the last id marks a character without a piece.
+END_BIT, START_BIT, RANK_BIT = 20, 26, 32
+NO_PIECE = (1 << END_BIT) - 1
+#: Rows that a task turns at once.
 ROWS = 128
 
 
@@ -82,7 +88,10 @@ def load_model(path: str = MODEL, kind: str = "bpe") -> PieceModel:
     first = next(i for i in ids if model.is_byte(i))
     by_id = [b"" if i in special else model.id_to_piece(i).encode() for i in ids]
     by_id[first : first + 256] = [bytes((b,)) for b in range(256)]
-    return PieceModel(pieces, first, tuple(by_id), kind)
+    made = PieceModel(pieces, first, tuple(by_id), kind)
+    if kind == "bpe" and (odd := next((p for p in pieces if len(p) > 1 and _merged(list(p), made.costs) != [p]), None)):
+        raise ValueError(f"{path}: the piece {odd!r} is not its own encoding")
+    return made
 
 
 def units(text: Column, model: PieceModel) -> Column:
@@ -92,47 +101,62 @@ def units(text: Column, model: PieceModel) -> Column:
 
 
 def frequent_units(docs: DataFrame, text: str, model: PieceModel, most: int) -> DataFrame:
-    """The units above the least count that leaves at most ``most`` of them."""
-    counts = docs.select(F.explode(units(F.col(text), model)).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
-    counts = materialize(counts.where((F.col("n") > 1) & (F.length("unit") <= LONGEST_UNIT)), "units")
-    seen, least = 0, None
-    for n, k in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        if seen + k > most:
-            break
-        seen, least = seen + k, n
-    return counts.where(F.col("n") >= least).select("unit") if least is not None else counts.select("unit").limit(0)
+    """The most frequent units that a sample of documents has twice or more."""
+    drawn = docs.select(text).sample(min(1.0, SAMPLE / max(1, docs.count())), seed=1)
+    counts = drawn.select(F.explode(units(F.col(text), model)).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    return materialize(counts.where("n > 1").orderBy(F.desc("n"), "unit").limit(most).select("unit"), "frequent")
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    rows = pd.DataFrame([(p, i, s) for p, (i, s) in model.pieces.items()], columns=["piece", "id", "score"])
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """(piece, id, score, rank): ranks number the scores from the best."""
+    place = {score: k for k, score in enumerate(sorted({s for _, s in model.pieces.values()}, reverse=True))}
+    rows = pd.DataFrame([(p, i, s, place[s]) for p, (i, s) in model.pieces.items()], columns=["piece", "id", "score", "rank"])
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank long")
+
+
+def spans(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
+    """(unit, start, end, piece): all substrings of a unit that may be pieces, and all its characters."""
+    rows = unit_rows.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
+    rows = rows.select("*", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, F.length("unit")))).alias("end"))
+    return rows.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("end") - F.col("start")))
 
 
 def lattice(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
     """(unit, edges): each edge is a piece with the characters ``start`` to ``end`` of the unit."""
-    spans = unit_rows.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
-    spans = spans.select("*", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, F.length("unit")))).alias("end"))
-    spans = spans.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("end") - F.col("start")))
-    edges = spans.join(F.broadcast(piece_table(unit_rows.sparkSession, model)), "piece")
+    edges = spans(unit_rows, model).join(F.broadcast(piece_table(unit_rows.sparkSession, model)), "piece")
     edges = edges.groupBy("unit").agg(F.collect_list(F.struct("start", "end", "id", "score")).alias("edges"))
     return unit_rows.join(edges, "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)))
 
 
-def _fold_merges(n: Column, edges: Column) -> Column:
-    """Where the pieces of a byte-pair model end, from the edges by span."""
+def merge_lattice(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
+    """(unit, edges): each edge a long that sorts by rank, then from left to right; single characters are edges in any case."""
+    rows = spans(unit_rows, model).join(F.broadcast(piece_table(unit_rows.sparkSession, model)), "piece", "left")
+    rows = rows.where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
+    place = F.shiftleft(F.col("start").cast("long"), START_BIT) + F.shiftleft(F.col("end").cast("long"), END_BIT)
+    edge = F.shiftleft(F.coalesce("rank", F.lit(0).cast("long")), RANK_BIT) + place + F.coalesce("id", F.lit(NO_PIECE))
+    return rows.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
-    def of_spans(spans: Column) -> Column:
-        def step(cuts: Column, _: Column) -> Column:
-            def pair(cut: Column, j: Column) -> Column:
-                edge = F.element_at(spans, F.get(cuts, j - 1) * 64 + F.get(cuts, j + 1))
-                return F.when((j > 0) & (j < F.size(cuts) - 1) & edge.isNotNull(), F.struct((-edge["score"]).alias("cost"), cut.alias("cut")))
 
-            best = F.array_min(F.transform(cuts, pair))
-            return let(best["cut"], lambda b: F.when(b.isNull(), cuts).otherwise(F.filter(cuts, lambda c: c != b)))
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
-        return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
 
-    return let(F.map_from_entries(F.transform(edges, lambda e: F.struct(e["start"] * 64 + e["end"], e))), of_spans)
+def _fold_merges(n: Column, edges: Column) -> Column:
+    """The edges that are the pieces of a byte-pair model, from left to right and without their ranks.
+
+    The state has a bit for each place where one piece ends and another begins.
+    """
+    start = lambda e: F.shiftright(e, START_BIT).bitwiseAND(63)
+    end = lambda e: F.shiftright(e, END_BIT).bitwiseAND(63)
+    outer = lambda e: _bit(start(e)) + _bit(end(e))
+    inner = lambda e: _bit(end(e)) - _bit(start(e) + 1)
+
+    def whole(cuts: Column, e: Column, parts: int) -> Column:
+        return (F.bit_count(cuts.bitwiseAND(inner(e))) == parts - 1) & (cuts.bitwiseAND(outer(e)) == outer(e))
+
+    merged = F.aggregate(edges, _bit(n + 1) - 1, lambda cuts, e: F.when(whole(cuts, e, 2), cuts.bitwiseAND(F.bitwise_not(inner(e)))).otherwise(cuts))
+    low = F.lit((1 << RANK_BIT) - 1).cast("long")
+    return let(merged, lambda cuts: F.sort_array(F.transform(F.filter(edges, lambda e: whole(cuts, e, 1)), lambda e: e.bitwiseAND(low))))
 
 
 def _fold_viterbi(n: Column, edges: Column, unknown: float) -> Column:
@@ -153,24 +177,53 @@ def _fold_viterbi(n: Column, edges: Column, unknown: float) -> Column:
     return let(F.aggregate(F.sequence(F.lit(1), n), start, step), back)
 
 
-def encode_units(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
-    """(unit, ids) of each unit, from its lattice."""
-    rows = lattice(unit_rows, model)
-    n = F.length("unit")
+def _bytes_of(text: Column, model: PieceModel) -> Column:
+    """The ids of the UTF-8 bytes of a text."""
+    code = F.hex(F.encode(text, "UTF-8"))
+    return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + model.first_byte)
+
+
+def _path_ids(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
+    """(unit, ids) by Viterbi."""
+    rows, n = lattice(unit_rows, model), F.length("unit")
     worst = min((s for _, s in model.pieces.values()), default=0.0) - 10
-    cuts = _fold_merges(n, F.col("edges")) if model.kind == "bpe" else _fold_viterbi(n, F.col("edges"), worst)
 
     def ids(cut: Column, j: Column, all_cuts: Column) -> Column:
         start, end = cut, F.get(all_cuts, j + 1)
         own = F.get(F.filter("edges", lambda e: (e["start"] == start) & (e["end"] == end)), F.lit(0))["id"]
-        code = F.hex(F.encode(F.substring(F.col("unit"), start + 1, end - start), "UTF-8"))
-        octets = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + model.first_byte)
-        return F.when(own.isNotNull(), F.array(own)).otherwise(octets)
+        return F.when(own.isNotNull(), F.array(own)).otherwise(_bytes_of(F.substring(F.col("unit"), start + 1, end - start), model))
 
-    parts = let(cuts, lambda c: F.flatten(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, j: ids(x, j, c))))
+    parts = let(_fold_viterbi(n, F.col("edges"), worst), lambda c: F.flatten(F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x, j: ids(x, j, c))))
     return rows.select("unit", parts.alias("ids"))
 
 
+def _merged_ids(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
+    """(unit, ids) by merges."""
+
+    def ids(edge: Column) -> Column:
+        own = edge.bitwiseAND(NO_PIECE).cast("int")
+        start = F.shiftright(edge, START_BIT).cast("int") + 1
+        return F.when(own != NO_PIECE, F.array(own)).otherwise(_bytes_of(F.substring(F.col("unit"), start, F.lit(1)), model))
+
+    rows = merge_lattice(unit_rows, model)
+    return rows.select("unit", F.flatten(F.transform(_fold_merges(F.length("unit"), F.col("edges")), ids)).alias("ids"))
+
+
+def encode_units(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
+    """(unit, ids) of each unit, from its lattice; units must not repeat."""
+    alone = encode_unit if model.kind == "bpe" else best_path
+
+    def encode_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [alone(u, model) for u in batch.column(0).to_pylist()]
+            yield pa.record_batch({"unit": batch.column(0), "ids": pa.array(found, pa.list_(pa.int32()))})
+
+    rows = unit_rows.select("unit").where("unit <> ''")
+    short = rows.where(F.length("unit") <= LONGEST_UNIT)
+    long = rows.where(F.length("unit") > LONGEST_UNIT).mapInArrow(encode_long, "unit string, ids array<int>")
+    return (_merged_ids if model.kind == "bpe" else _path_ids)(short, model).union(long)
+
+
 def _merged(symbols: list[str], costs: dict[str, float]) -> list[str]:
     """Best pair first, by looking at all pairs each time: for short units."""
     of, never = costs.get, float("inf")
@@ -240,27 +293,6 @@ def best_path(unit: str, model: PieceModel) -> list[int]:
     return list(chain.from_iterable(reversed(out)))
 
 
-class _Ids(dict):
-    """The ids of units, as the bytes of 32-bit integers.
-
-    It is sent to all tasks as a broadcast, which a Python worker keeps from task to task; so are the
-    units that the table lacks, of which ``REMEMBERED`` are held at most.
-    """
-
-    def __init__(self, known: dict[str, bytes], model: PieceModel):
-        super().__init__()
-        self.known, self.model = known, model
-        self.alone = encode_unit if model.kind == "bpe" else best_path
-
-    def __missing__(self, unit: str) -> bytes:
-        got = self.known.get(unit)
-        if got is None:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            got = self[unit] = np.array(self.alone(unit, self.model), np.int32).tobytes()
-        return got
-
-
 def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, convert) -> DataFrame:
     """df with ``name``, made from ``source`` a few rows at a time; ``convert()`` gives the function of an Arrow array."""
     small_batches(df.sparkSession)
@@ -279,24 +311,61 @@ def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, conver
     return df.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(name, kind)]))
 
 
+class _Ids(dict):
+    """The ids of units, as the bytes of 32-bit integers; ``own`` has those that the row at hand brings with it."""
+
+    own: dict[str, bytes]
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.own[unit]
+
+
+def _packed(coded: DataFrame) -> DataFrame:
+    """(unit, code): the ids as big-endian integers of 32 bits."""
+    return coded.select("unit", F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")), "")).alias("code"))
+
+
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", name: str = "ids", dictionary: int = DICTIONARY) -> DataFrame:
-    """docs with ``name``, the ids of the pieces of the whole text (a column of this name is replaced)."""
-    table = encode_units(frequent_units(docs, text, model, dictionary), model)
-    known = {u: np.array(ids, np.int32).tobytes() for u, ids in table.toPandas().itertuples(index=False)}
-    shared = docs.sparkSession.sparkContext.broadcast(_Ids(known, model))
+    """docs with ``name``, the ids of the pieces of the whole text (a column of this name is replaced).
+
+    Rows are joined to the units that only they have by a hash of their columns. Rows that share a hash
+    share these units, which changes no id.
+    """
+    small_batches(docs.sparkSession)
+    row, own, codes = (free_name(docs, x) for x in ("row_", "units_", "codes_"))
+    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.VariantType)]
+    keyed = docs.withColumn(row, F.xxhash64(*plain))
 
-    def encoder():
-        of = shared.value
-        find = re.compile(of.model.cut).findall
+    frequent = frequent_units(docs, text, model, dictionary)
+    known = _Ids(_packed(encode_units(frequent, model)).toPandas().itertuples(index=False))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
-        def ids(texts: pa.Array) -> pa.Array:
-            found = [b"".join(map(of.__getitem__, find(SPACE + x.replace(" ", SPACE)))) if x else b"" for x in texts.to_pylist()]
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)), mask=texts.is_null())
+    rare = keyed.select(F.col(row).alias("row"), F.explode(F.array_distinct(units(F.col(text), model))).alias("unit"))
+    rare = materialize(rare.join(F.broadcast(frequent), "unit", "left_anti"), "rare")
+    coded = materialize(_packed(encode_units(rare.select("unit").distinct(), model)), "coded")
+    found = rare.join(coded.hint("merge"), "unit").groupBy("row").agg(F.collect_set(F.struct("unit", "code")).alias("all"))
+    found = found.select(F.col("row").alias(row), F.col("all.unit").alias(own), F.col("all.code").alias(codes))
 
-        return ids
+    out = keyed.join(found.hint("merge"), row, "left").drop(row)
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(name, T.ArrayType(T.IntegerType()))])
 
-    return _with_column(docs, text, name, T.ArrayType(T.IntegerType()), encoder)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, find = shared.value, re.compile(model.cut).findall
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                texts, more, bits = (batch.column(batch.schema.get_field_index(c)) for c in (text, own, codes))
+                found = []
+                for x, u, c in zip(texts.to_pylist(), more.to_pylist(), bits.to_pylist(), strict=True):
+                    of.own = dict(zip(u, c, strict=True)) if u else {}
+                    found.append(b"".join(map(of.__getitem__, find(SPACE + x.replace(" ", SPACE)))) if x else b"")
+                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+                ids = pa.array(np.frombuffer(b"".join(found), ">i4").astype(np.int32))
+                made = pa.ListArray.from_arrays(pa.array(ends), ids, mask=texts.is_null())
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], made], [*kept, name])
+
+    return out.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model: PieceModel, ids: str = "ids", name: str = "decoded") -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+
+import pytest
 import sentencepiece
 
 from leafmill.llm import pieces
@@ -80,3 +82,32 @@ def test_edges(spark, edge):
         assert r["decoded"] == r["text"] and (r["ids"] is None) == (r["text"] is None)
         assert r["text"] is None or list(r["ids"]) == LIBRARY.encode(r["text"])
     assert pieces.encode(edge.limit(0), MODEL).count() == 0
+
+
+def test_units_reach_the_rows_that_hold_them(spark):
+    """Rare units are joined to their rows, also where one row, or one text, makes up a third of the table."""
+    rows = [(i, f"common words and only{i}here x{'y' * (60 + i % 5)}") for i in range(60)] + [(1, "the hot row hasitsownword")] * 30 + [(100 + i, "one hottextwith manyids") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = pieces.encode(df, MODEL, dictionary=5).collect()
+    assert len(got) == 120 and all(list(r["ids"]) == LIBRARY.encode(r["text"]) for r in got)
+
+
+def test_every_piece_is_its_own_encoding(spark, monkeypatch, tmp_path):
+    """The merge fold rests on this; a model that lacks it is refused."""
+    names = [p for p in MODEL.pieces if len(p) > 1][::40]
+    rows = {r["unit"]: list(r["ids"]) for r in pieces.encode_units(spark.createDataFrame([(p,) for p in names], "unit string"), MODEL).collect()}
+    assert rows == {p: [MODEL.pieces[p][0]] for p in names}
+
+    class Odd:
+        def __init__(self, model_file):
+            self.names = ["<unk>", *[f"<0x{i:02X}>" for i in range(256)], "a", "b", "abc"]
+
+        get_piece_size = lambda self: len(self.names)
+        is_control = is_unknown = lambda self, i: i == 0
+        is_byte = lambda self, i: 0 < i < 257
+        id_to_piece = lambda self, i: self.names[i]
+        get_score = lambda self, i: -float(i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Odd)
+    with pytest.raises(ValueError, match="abc"):
+        pieces.load_model("odd")
