@@ -45,8 +45,10 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 CUTS = (f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}\n]+|{SPACE}+|\n", f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", "(?s).+")
 #: Units that are sent to all tasks at most, and documents (about) among whose units these are chosen.
 DICTIONARY, SAMPLE = 262_144, 20_000
-#: Cuts of a unit are the bits of a long.
-LONGEST_UNIT = 62
+#: Cuts of a unit, before and after each of its characters, are the bits of a positive long.
+LONGEST_UNIT = 61
+#: Rows of rare units that a task encodes the distinct units of; each makes some fifty substrings.
+UNITS = 100_000
 #: An edge of the merge lattice as a long: rank, start, end, and id in so many bits; the last id marks a character without a piece.
 END_BIT, START_BIT, RANK_BIT = 20, 26, 32
 NO_PIECE = (1 << END_BIT) - 1
@@ -342,7 +344,8 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", name: str = "
 
     rare = keyed.select(F.col(row).alias("row"), F.explode(F.array_distinct(units(F.col(text), model))).alias("unit"))
     rare = materialize(rare.join(F.broadcast(frequent), "unit", "left_anti"), "rare")
-    coded = materialize(_packed(encode_units(rare.select("unit").distinct(), model)), "coded")
+    distinct = rare.select("unit").repartition(max(1, -(-rare.count() // UNITS)), "unit").distinct()
+    coded = materialize(_packed(encode_units(distinct, model)), "coded")
     found = rare.join(coded.hint("merge"), "unit").groupBy("row").agg(F.collect_set(F.struct("unit", "code")).alias("all"))
     found = found.select(F.col("row").alias(row), F.col("all.unit").alias(own), F.col("all.code").alias(codes))
 

@@ -1,6 +1,5 @@
 import random
 
-
 import pytest
 import sentencepiece
 
