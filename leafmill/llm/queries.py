@@ -192,3 +192,16 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_suffix_dedup"] = op2_suffix_dedup
+ORACLES["op2_suffix_dedup"] = """
+WITH d AS (SELECT row_number() OVER () rid, doc_id, hex(encode(coalesce(text, ''))) hx FROM documents),
+p AS (SELECT rid, i, md5_number(substr(hx, 2 * i + 1, 400)) h FROM (SELECT rid, hx, unnest(range(0, length(hx) // 2 - 199)) i FROM d WHERE length(hx) >= 400)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) c FROM p) WHERE c > 1),
+s AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END new FROM r),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) k FROM s),
+u AS (SELECT rid, min(i) b, max(i) + 200 e FROM g GROUP BY rid, k),
+v AS (SELECT rid, b, e, lag(e, 1, 0) OVER (PARTITION BY rid ORDER BY b) before FROM u),
+k AS (SELECT rid, string_agg(substr(hx, 2 * before + 1, 2 * (b - before)), '' ORDER BY b) head, max(e) tail, sum(e - b) removed, count(*) n FROM v JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) n_bytes, CAST(coalesce(removed, 0) AS BIGINT) n_removed, CAST(coalesce(n, 0) AS BIGINT) n_spans,
+  sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(tail, 0) + 1))) kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""

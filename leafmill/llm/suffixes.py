@@ -6,6 +6,11 @@ in one: each string is sent by its anchor, the ``GRAM``-byte run with the smalle
 Anchors that occur once can't repeat, and their strings are not looked at further. What is left of a
 text falls into regions, the bytes of the strings of one anchor.
 
+Anchors that very many regions have are split: their regions are cut again by two more anchors, each
+by another hash, so strings go on together only if they agree in three of their runs; equal regions
+among them are then told by a checksum, and one of each goes on. So neither a passage that a third
+of all texts have, nor a short phrase amid different texts, brings them to one task.
+
 A task takes the distinct regions of its anchors in shards of bounded size. It sorts the suffixes of a shard
 by Larsson-Sadakane refinement (groups of equal prefixes are split by the rank of what follows them,
 with doubled length each time, and groups of one are left alone), and measures common prefixes in
@@ -34,18 +39,21 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of a shard.
 SHARD = 1 << 20
+#: Regions of an anchor above which it is split, and the hashes that do so.
+HOT_REGIONS = 20_000
+SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: Bytes that a word of a suffix's first key holds, seven of nine bits each.
 FIRST = 7
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, key, first, last) for each anchor: the strings from ``first`` to ``last`` in their text have it."""
     none = (np.empty(0, np.int64),) * 4
     sizes = np.diff(ends, prepend=0)
     if len(data) < length:
         return none
     h = hashing.prefix_hashes(data)
-    keys = hashing.mix((h[GRAM:] - h[:-GRAM]) * hashing.powers(len(data) + 1)[1][: len(data) - GRAM + 1])
+    keys = hashing.mix(((h[GRAM:] - h[:-GRAM]) * hashing.powers(len(data) + 1)[1][: len(data) - GRAM + 1]) ^ np.uint64(salt))
     value, at = keys, np.arange(len(keys), dtype=np.int32)
     wide, span = length - GRAM + 1, 1
     while span < wide:  # the smallest of ``span`` keys from each place on, the leftmost of equal ones
@@ -206,16 +214,43 @@ def _anchor_rows(length: int):
     return find
 
 
+def _split(rows: list[tuple[int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int, int, bytes]]:
+    """Regions (key, t1, t2, first, bytes) of anchors that are to be split, cut by further anchors."""
+    for salt in SALTS:
+        if not rows:
+            break
+        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+        text, sub, first, last = anchors(data, np.cumsum([len(r[4]) for r in rows]), length, salt)
+        keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)[text]
+        keys = hashing.mix(keys ^ (sub.view(np.uint64) * np.uint64(hashing.MULTIPLIER))).view(np.int64)
+        parts = zip(text.tolist(), keys.tolist(), first.tolist(), last.tolist(), strict=True)
+        rows = [(k, rows[t][1], rows[t][2], rows[t][3] + f, rows[t][4][f : e + length]) for t, k, f, e in parts]
+    return rows
+
+
 def _region_rows(length: int):
-    """(t1, t2, text, anchors) -> a region a row."""
+    """(t1, t2, text, anchors) -> a region a row; those of hot anchors are split."""
+
+    def batch_of(rows: list[tuple[int, int, int, int, bytes]], hot: bool) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.record_batch([*map(pa.array, columns, kinds), pa.array([hot] * len(rows), pa.bool_())], ["key", "t1", "t2", "first", "region", "hot"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                data, own = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                same = lambda c: pa.array([batch.column(c)[i].as_py()] * len(own), pa.int64())  # noqa: B023, E731
-                regions = pa.array([data[x["first"] : x["last"] + length] for x in own], pa.binary())
-                yield pa.record_batch([pa.array([x["key"] for x in own], pa.int64()), same(0), same(1), pa.array([x["first"] for x in own], pa.int64()), regions], ["key", "t1", "t2", "first", "region"])
+                t1, t2, data, own = (c[i].as_py() for c in batch.columns)
+                rows = [(x["key"], t1, t2, x["first"], data[x["first"] : x["last"] + length]) for x in own]
+                yield batch_of([r for r, x in zip(rows, own, strict=True) if not x["hot"]], False)
+                for r, x in zip(rows, own, strict=True):
+                    if x["hot"]:
+                        waiting.append(r)
+                        size += len(r[4])
+                if size >= hashing.SLICE:
+                    yield batch_of(_split(waiting, length), True)
+                    waiting, size = [], 0
+        yield batch_of(_split(waiting, length), True)
 
     return take
 
@@ -255,7 +290,9 @@ def _spans(held: dict[bytes, list], length: int, shard: int) -> list[tuple[int,
 
 
 def _repeated_rows(length: int, shard: int):
-    """(key, t1, t2, first, region), sorted by key -> the spans of repeated strings.
+    """(key, t1, t2, first, region, again), sorted by key -> the spans of repeated strings.
+
+    ``again`` marks a region that stands for equal ones, which are known to be repeated.
 
     Equal regions are held once: all their strings are repeated, and one of them stands for the others
     where regions differ. So what a task holds grows with the distinct regions of an anchor alone.
@@ -270,7 +307,7 @@ def _repeated_rows(length: int, shard: int):
         size, last = 0, None
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for key, t1, t2, first, region in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, t1, t2, first, region, again in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if size >= shard and key != last:
                     out += _spans(held, length, shard)
                     held, size = {}, 0
@@ -281,7 +318,7 @@ def _repeated_rows(length: int, shard: int):
                         one[3] = True
                         out.append((*one[:2], one[2], one[2] + len(region)))
                 else:
-                    held[region] = [t1, t2, first, False]
+                    held[region] = [t1, t2, first, again]
                     size += len(region)
             yield batch_of(out)
         yield batch_of(_spans(held, length, shard) if held else [])
@@ -323,6 +360,19 @@ def _kept_rows(length: int):
     return keep
 
 
+def _one_of_equals(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The regions with one for all equal ones of a hot anchor, and the spans of those equal ones, which are whole regions."""
+    sums = F.md5("region")
+    hot = regions.where("hot").select("key", sums.alias("sum"), "t1", "t2", "first", F.octet_length("region").alias("size"))
+    one = F.struct("t1", "t2", "first")
+    groups = regions.where("hot").groupBy("key", sums.alias("sum")).agg(F.min(one).alias("one"), F.first("region").alias("region"), F.count("*").alias("many"))
+    groups = materialize(groups, "groups")
+    twice = materialize(groups.where("many > 1").select("key", "sum"), "twice")
+    known = join_checked(hot, twice, ["key", "sum"], "left_semi").select("t1", "t2", F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("end"))
+    alone = regions.where("NOT hot").select("key", "t1", "t2", "first", "region", F.lit(False).alias("again"))
+    return alone.union(groups.select("key", "one.*", "region", F.col("many") > 1)), known
+
+
 def text_keys(df: DataFrame, text: str = "text") -> DataFrame:
     """df with ``t1`` and ``t2``, two hashes that stand for the text (null: empty)."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -336,15 +386,22 @@ def kept_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, shard:
     long = bodies.where(F.octet_length("body") >= length)
     found = long.mapInArrow(_anchor_rows(length), "t1 long, t2 long, key long, first long, last long")
     found = materialize(found, "anchors")
-    shared = materialize(found.groupBy("key").count().where("count > 1").select("key"), "shared")
-    own = join_checked(found, shared, ["key"], "left_semi", 2_000_000)
-    own = own.groupBy("t1", "t2").agg(F.collect_set(F.struct("key", "first", "last")).alias("anchors"))
+    shared = found.groupBy("key").count().where("count > 1").select("key", (F.col("count") > HOT_REGIONS).alias("hot"))
+    shared = materialize(shared, "shared")
+    own = join_checked(found, shared, ["key"], "inner", 2_000_000)
+    own = own.groupBy("t1", "t2").agg(F.collect_set(F.struct("key", "first", "last", "hot")).alias("anchors"))
 
     distinct = bodies.groupBy("t1", "t2").agg(F.max("body").alias("body"), F.count("*").alias("copies"))
     cut = distinct.join(own, ["t1", "t2"]).select("t1", "t2", "body", "anchors")
-    regions = cut.mapInArrow(_region_rows(length), "key long, t1 long, t2 long, first long, region binary")
+    regions = cut.mapInArrow(_region_rows(length), "key long, t1 long, t2 long, first long, region binary, hot boolean")
+    known = None
+    if shared.where("hot").isEmpty():
+        regions = regions.select("key", "t1", "t2", "first", "region", F.lit(False).alias("again"))
+    else:
+        regions, known = _one_of_equals(materialize(regions, "regions"))
     regions = regions.repartition("key").sortWithinPartitions("key")
     spans = regions.mapInArrow(_repeated_rows(length, shard), "t1 long, t2 long, begin long, end long")
+    spans = spans.union(known) if known is not None else spans
     spans = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     rows = distinct.join(spans, ["t1", "t2"], "left").select("t1", "t2", "body", "copies", "spans")
     return rows.mapInArrow(_kept_rows(length), "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

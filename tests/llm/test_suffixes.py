@@ -100,3 +100,19 @@ def test_edges(spark, edge):
     assert suffixes.remove_repeats(edge.limit(0)).count() == 0
     one = edge.where(F.col("doc_id") == 5)
     assert suffixes.remove_repeats(one).first()["kept"] is not None
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """A short phrase amid different texts, a passage of many texts, and many equal texts, with every shared anchor hot."""
+    monkeypatch.setattr(suffixes, "HOT_REGIONS", 1)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    phrase, passage = "the very common phrase of forty-odd bytes, all alike", noise(700)
+    texts = [noise(rng.randrange(120, 300)) + phrase + noise(rng.randrange(120, 300)) for _ in range(60)]
+    texts += [noise(rng.randrange(0, 260)) + passage[: rng.randrange(150, 700)] + noise(rng.randrange(0, 260)) for _ in range(60)]
+    texts += [noise(50) + "=" * rng.randrange(150, 420) + noise(50) for _ in range(20)] + [noise(400)] * 5 + ["x" * 199, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert got(df) == sorted(brute(texts))
+    rows = suffixes._split([(7, 1, 2, 5, (passage[:300] + phrase).encode())], 200)
+    starts = sorted(s for _, _, _, first, region in rows for s in range(first, first + len(region) - 199))
+    assert starts == list(range(5, 5 + 300 + len(phrase) - 199)) and len({r[0] for r in rows}) > 1
