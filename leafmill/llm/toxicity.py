@@ -8,8 +8,9 @@ frequencies are counted over all documents. The index keeps, for each term, its
 examples, and the greatest weight in each block. A query bounds its cosine with every block by these,
 scores the most promising blocks, and then all others whose bound reaches the k-th best so far; so
 the k nearest are exact. Votes are weighted by squared cosine and by the inverse size of the class;
-an isotonic curve, fitted to the examples' votes, each left out of its own vote, turns them into
-probabilities of label 1 at the classes' true frequency.
+an isotonic curve turns them into probabilities of label 1 at the classes' true frequency. It is
+fitted to votes of the examples of each of ``FOLDS`` parts by an index of the other parts, whose terms
+these others chose, so no example's label has a say in its own vote.
 
 Null and empty texts, and texts without a word, get the frequency of label 1; so do all without
 examples of both labels (0 without any). Labels other than 0 and 1 and null ids are not learned from.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import hashing
@@ -36,6 +37,7 @@ REST = 0.3
 NEAREST = 75
 BLOCK = 64
 EVIDENCE = 5
+FOLDS = 5
 
 
 def _terms(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,7 +90,7 @@ class Model:
         by = np.repeat(np.repeat(weights, len(blocks)), size)
         out += np.bincount(self.examples[at], by * self.weights[at], len(out))
 
-    def neighbours(self, words: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def neighbours(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples with a positive cosine, best first (ties by place), and their cosines."""
         terms, weights = self.query(words)
         if not len(terms):
@@ -98,14 +100,10 @@ class Model:
         first, rest = np.split(order, [-(-self.nearest // BLOCK) + 2])
         cosines = np.zeros(len(self.labels))
         self._score(terms, weights, first, cosines)
-        if but >= 0:
-            cosines[but] = 0
         least = np.partition(cosines, -self.nearest)[-self.nearest] if len(cosines) > self.nearest else 0.0
         rest = rest[bounds[rest] >= least - 1e-9]
         if len(rest):
             self._score(terms, weights, rest, cosines)
-            if but >= 0:
-                cosines[but] = 0
         best = np.argpartition(-cosines, self.nearest - 1)[: self.nearest] if len(cosines) > self.nearest else np.arange(len(cosines))
         if len(cosines) > self.nearest:  # ties with the last by place
             last = cosines[best].min()
@@ -185,14 +183,16 @@ def fit(
     labelled = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     lot = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")))
-    drawn = labelled.withColumn("lot", lot).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("lot")))
-    drawn = drawn.where(F.col("place") <= per_class).select("doc_id", "label")
+    zero, one = (labelled.where(F.col("label") == k).orderBy(lot, "doc_id").limit(per_class) for k in (0, 1))
+    drawn = zero.union(one)
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "text")
     rows = texts.mapInArrow(_example_terms, "doc_id long, label int, words array<long>").toPandas()
     rows = rows.sort_values(["label", "doc_id"], kind="stable")
     words = [np.asarray(x, np.int64).view(np.uint64) for x in rows["words"]]
     labels, ids = rows["label"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64)
-    terms = telling(words, labels, min_df, min_ratio)
+    part = (hashing.mix(ids.view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    chosen = [telling([w for w, p in zip(words, part, strict=True) if p != k], labels[part != k], min_df, min_ratio) for k in range(FOLDS + 1)]
+    terms = np.unique(np.concatenate(chosen))
 
     got = docs.select(text).mapInArrow(_document_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     have = np.zeros(len(terms) + 1)
@@ -200,16 +200,25 @@ def fit(
     idf = np.log((1 + have[-1]) / (1 + have[:-1]))
 
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    model = Model(terms, idf, ids, labels, *(np.empty(0),) * 4, np.ones(2), None, prior, nearest, rest)
-    _index(model, words)
+
+    def indexed(k: int) -> Model:
+        """Of the examples outside part k."""
+        use = np.flatnonzero(part != k)
+        made = Model(chosen[k], idf[np.searchsorted(terms, chosen[k])], ids[use], labels[use], *(np.empty(0),) * 4, np.ones(2), None, prior, nearest, rest)
+        _index(made, [words[i] for i in use])
+        held = np.bincount(made.labels, minlength=2)
+        if held.min() > 0:
+            made.vote = 1 / held
+        return made
+
+    model = indexed(FOLDS)
     held = np.bincount(labels, minlength=2)
     if held.min() > 0:
-        model.vote = 1 / held
-        left_out = [model.share(*model.neighbours(w, i)) for i, w in enumerate(words)]
-        weight = np.array([sizes[k] / held[k] for k in (0, 1)])[model.labels]
-        use = np.array([x is not None for x in left_out])
-        if use.any():
-            model.curve = _isotonic(np.array([x for x in left_out if x is not None]), model.labels[use], weight[use])
+        votes = [(i, m.share(*m.neighbours(words[i]))) for k in range(FOLDS) for m in [indexed(k)] for i in np.flatnonzero(part == k).tolist()]
+        own = np.array([i for i, share in votes if share is not None], np.int64)
+        if len(own):
+            weight = np.array([sizes[k] / held[k] for k in (0, 1)])[labels[own]]
+            model.curve = _isotonic(np.array([share for _, share in votes if share is not None]), labels[own], weight)
     return model
 
 
@@ -219,7 +228,6 @@ def _index(model: Model, words: list[np.ndarray]) -> None:
     top = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors], np.int64)
     order = np.lexsort((top, model.labels))
     model.ids, model.labels = model.ids[order], model.labels[order]
-    words[:] = [words[i] for i in order]
     vectors = [vectors[i] for i in order]
     term = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
     example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])

@@ -56,7 +56,7 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
         norm = np.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()} if norm else {}
 
-    examples = [vector(i) for i in model.ids.tolist()]
+    examples, shares = [vector(i) for i in model.ids.tolist()], {}
     rows = docs.limit(120).select("doc_id", "text").toPandas()
     for k, words in toxicity._terms(pa.array(rows["text"])):
         own = vector(int(rows["doc_id"][k]))
@@ -64,6 +64,21 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
         best, cosines = model.neighbours(words)
         want = np.sort(exact[exact > 1e-12])[::-1][:10]
         assert len(best) == len(want) and np.allclose(cosines, want) and np.allclose(exact[best], cosines)
+        votes = [(c * c / held[y], y) for c, y in zip(exact[best], model.labels[best].tolist(), strict=True)]
+        shares[int(rows["doc_id"][k])] = sum(v for v, y in votes if y) / sum(v for v, _ in votes) if votes else None
+    x, y = model.curve
+    assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and 0 <= y[0] and y[-1] <= 1
+    for r in toxicity.score_toxicity(docs.limit(120), model).collect():
+        share = shares[r["doc_id"]]
+        at = [i for i, v in enumerate(x) if share is not None and v <= share]
+        if share is None:
+            want = model.prior
+        elif not at or at[-1] == len(x) - 1:
+            want = 0.999 * (y[at[-1]] if at else y[0]) + 0.001 * share
+        else:
+            i = at[-1]
+            want = 0.999 * (y[i] + (y[i + 1] - y[i]) * (share - x[i]) / (x[i + 1] - x[i])) + 0.001 * share
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == int(r["score"] >= 0.5)
 
 
 def test_held_out_labels(spark):
@@ -95,3 +110,13 @@ def test_edges(spark, edge):
     none = toxicity.fit(labels.limit(0), edge)
     assert {r["score"] for r in toxicity.score_toxicity(edge, none).collect()} == {0.0}
     assert toxicity.score_toxicity(edge.limit(0), model).count() == 0
+
+
+def test_no_label_has_a_say_in_its_own_vote(spark):
+    """With labels that go with nothing, votes on examples by the other parts tell nothing, and so do scores."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("w" + "".join(chr(97 + int(d)) for d in str(k)) for k in rng.integers(0, 3000, 30)), int(rng.integers(0, 2))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "toxic"), df, min_df=1, min_ratio=1.0, nearest=20)
+    scores = np.array([r["score"] for r in toxicity.score_toxicity(df, model).collect()])
+    assert len(model.terms) > 500 and np.quantile(np.abs(scores - model.prior), 0.5) < 0.25
