@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import jaccard, langid, media, mixing, pieces, quality, secrets, sharding, suffixes, toxicity
-from leafmill.llm.common import documents
+from leafmill.llm.common import documents, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +88,7 @@ def op8_shard_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
+    rows = materialize(rows, "sizes")  # of the texts, only these are read again
     out = sharding.assign_shards(rows, 24, tie=("size", "text_crc32"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -119,6 +120,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_language_id"] = op3_language_id
+ORACLES["op3_language_id"] = r"""
+WITH m AS (SELECT list(v ORDER BY i) m FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) v FROM range(256) q(i))),
+d AS (SELECT row_number() OVER () rid, doc_id, lang, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda c, v: xor(c >> 8, m[CAST(xor(c, v) % 256 AS INTEGER) + 1])), 4294967295::BIGINT) % 4 part FROM documents, m),
+l AS (SELECT rid, lang, text IS NOT NULL AND lang IS NOT NULL AND part <> 2 AS learned, ' ' || lower(array_to_string(regexp_extract_all(text, '\p{L}+'), ' ')) || ' ' AS line FROM d WHERE regexp_matches(text, '\p{L}')),
+p AS (SELECT rid, lang, learned, line, unnest(range(1, length(line) + 1)) i FROM l),
+g AS (SELECT rid, lang, learned, substr(line, i, 1) gram FROM p WHERE substr(line, i, 1) <> ' '
+  UNION ALL SELECT rid, lang, learned, substr(line, i, 2) FROM p WHERE i < length(line)
+  UNION ALL SELECT rid, lang, learned, substr(line, i, 3) FROM p WHERE i < length(line) - 1 AND substr(line, i + 1, 1) <> ' '),
+c AS (SELECT rid, lang, learned, gram, count(*) n FROM g GROUP BY ALL),
+f AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(gram), gram) - 1 place FROM (SELECT lang, gram, sum(n) n FROM c WHERE learned GROUP BY ALL) QUALIFY place < 400),
+o AS (SELECT rid, gram, row_number() OVER (PARTITION BY rid ORDER BY n DESC, length(gram), gram) - 1 place FROM c QUALIFY place < 400),
+n AS (SELECT rid, count(*) k FROM o GROUP BY rid),
+h AS (SELECT rid, f.lang, sum(400 - least(abs(f.place - o.place), 400)) saved FROM o JOIN f USING (gram) GROUP BY ALL),
+t AS (SELECT rid, k, x.lang, 400 * k - coalesce(saved, 0) dist FROM n CROSS JOIN (SELECT DISTINCT lang FROM f) x LEFT JOIN h USING (rid, lang)),
+b AS (SELECT rid, lang, 1 - CAST(dist AS DOUBLE) / CAST(400 * k AS DOUBLE) score FROM t QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dist, lang) = 1)
+SELECT doc_id, part = 2 held_out, coalesce(b.lang, 'und') lang_pred, coalesce(score, 0.0::DOUBLE) score FROM d LEFT JOIN b USING (rid)
+"""
 
 
 def op5_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm.common import free_name, join_checked
 
@@ -20,9 +21,10 @@ def bucket_count(rows: int) -> int:
     return max(64, -(-rows // ROWS_PER_BUCKET))
 
 
-def shuffle_key(seed: int, key: Column) -> Column:
-    """A hex string that orders rows as a seeded shuffle does; null keys come together, as one key."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+def shuffle_key(seed: int, key: str, df: DataFrame) -> Column:
+    """A hex string that orders rows as a seeded shuffle of their keys does; rows without a key go by their other columns."""
+    rest = F.xxhash64(*[f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)])
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), rest.cast("string")))))
 
 
 def hex_bucket(hexed: Column, buckets: int) -> Column:

@@ -4,8 +4,9 @@ Rows are shuffled by a seeded hash inside their source, placed at the fractional
 of their source, sorted by it, and the sorted sequence is cut into equal runs. Every run then holds
 each source in proportion, to within about one row. Shard sizes differ by at most one row.
 
-Null texts have size 8 and the checksum of no bytes; a null source is a source; rows with the same
-id, null included, are ordered by source and checksum, so that equal rows are interchangeable. More
+Null texts have size 8 and the checksum of no bytes; a null source is a source; rows without an id are
+shuffled by their other columns; rows with the same id are ordered by source and checksum, so that
+equal rows are interchangeable. More
 shards than rows leave shards empty.
 """
 
@@ -26,7 +27,7 @@ def assign_shards(
     rows = df.count()
     buckets = bucket_count(rows)
     s, h, r, n, p = (free_name(df, x) for x in ("stratum_", "hash_", "rank_", "size_", "place_"))
-    out = df.withColumn(s, stratum(F.col(source))).withColumn(h, shuffle_key(seed, F.col(key)))
+    out = df.withColumn(s, stratum(F.col(source))).withColumn(h, shuffle_key(seed, key, df))
     sizes = out.groupBy(s).agg(F.count("*").alias(n))
     out = with_rank(out, r, [s], hex_bucket(F.col(h), buckets), [h, *tie])
     out = out.join(sizes, s)

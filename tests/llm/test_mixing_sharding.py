@@ -1,7 +1,9 @@
 from collections import Counter, defaultdict
 from fractions import Fraction
 
-from leafmill.llm import mixing, sharding
+import pytest
+
+from leafmill.llm import mixing, ranks, sharding
 
 
 def ideal(units, share, t):
@@ -88,3 +90,16 @@ def test_shards_by_brute_force(spark, small):
         ranked += [((2 * i + 1) / (2 * len(own)), h, s, d) for i, (h, d) in enumerate(sorted(own))]
     want = {d: p * 24 // len(ranked) for p, (_, _, _, d) in enumerate(sorted(ranked))}
     assert {r["doc_id"]: r["shard"] for r in sharding.assign_shards(small, 24).collect()} == want
+
+
+def test_many_sources_are_refused(spark):
+    df = spark.range(600).selectExpr("id AS doc_id", "cast(id % 300 AS string) AS source")
+    with pytest.raises(ValueError, match="256"):
+        mixing.mix_sources(df)
+
+
+def test_rows_without_an_id_are_shuffled_by_the_rest(spark):
+    df = spark.range(4000).selectExpr("cast(NULL AS long) AS doc_id", "'a' AS source", "id AS other")
+    keys = df.select(ranks.shuffle_key(0, "doc_id", df).alias("k"))
+    assert keys.distinct().count() == 4000
+    assert sharding.assign_shards(df, 7).groupBy("shard").count().count() == 7 and mixing.mix_sources(df).count() == 4000
