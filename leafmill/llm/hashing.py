@@ -61,8 +61,9 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, ends of the rows in them) of runs of texts; nulls are empty."""
+def slices(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, ends of the rows in them) of runs of texts, of about ``size`` bytes; nulls are empty."""
+    size = size or SLICE
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -70,7 +71,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(body, np.uint8) if body is not None else np.empty(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         last = min(last, len(column))
         yield first, data[offsets[first] : offsets[last]], offsets[first + 1 : last + 1] - offsets[first]
         first = last

@@ -37,15 +37,30 @@ from leafmill.llm.common import join_checked, materialize, small_batches
 
 LENGTH = 200
 GRAM = 32
-#: Bytes of a shard.
-SHARD = 1 << 20
+#: Bytes of texts whose anchors are sought at once: what is held for them fits in a core's cache.
+AT_ONCE = 1 << 16
+#: Bytes of a shard, so that sorting one stays near a core's cache.
+SHARD = 1 << 18
 #: Regions of an anchor above which it is split, and the hashes that do so.
 HOT_REGIONS = 20_000
 SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: Bits of a string's places, up to 2^13 bytes; keys of anchors have the other bits of a hash.
+PLACE_BITS = 13
 #: Bytes that a word of a suffix's first key holds, seven of nine bits each.
 FIRST = 7
 
 
+def _window_least(values: np.ndarray, wide: int) -> np.ndarray:
+    """The least of so many successive values, from each place on: of the rest of its block and of the start of the next."""
+    n = len(values)
+    rows = np.full(-(-n // wide) * wide, np.iinfo(values.dtype).max, values.dtype)
+    rows[:n] = values
+    rows = rows.reshape(-1, wide)
+    first = np.minimum.accumulate(rows, axis=1).ravel()
+    rest = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(rest[: n - wide + 1], first[wide - 1 : n])
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, key, first, last) for each anchor: the strings from ``first`` to ``last`` in their text have it."""
     none = (np.empty(0, np.int64),) * 4
@@ -54,13 +69,12 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, salt: int = 0) -> t
         return none
     h = hashing.prefix_hashes(data)
     keys = hashing.mix(((h[GRAM:] - h[:-GRAM]) * hashing.powers(len(data) + 1)[1][: len(data) - GRAM + 1]) ^ np.uint64(salt))
-    value, at = keys, np.arange(len(keys), dtype=np.int32)
-    wide, span = length - GRAM + 1, 1
-    while span < wide:  # the smallest of ``span`` keys from each place on, the leftmost of equal ones
-        step = min(span, wide - span)
-        left = value[:-step] <= value[step:]
-        value, at = np.where(left, value[:-step], value[step:]), np.where(left, at[:-step], at[step:])
-        span += step
+    # The low bits of a key tell its place, which is less than 2^PLACE_BITS places on.
+    places = np.arange(len(keys), dtype=np.uint64)
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    keys &= ~mask
+    least = _window_least(keys | (places & mask), length - GRAM + 1) & mask
+    at = (places[: len(least)] + ((least - places[: len(least)]) & mask)).astype(np.int64)
     start = ends - sizes
     text = np.repeat(np.arange(len(ends)), sizes)[: len(at)]
     place = np.flatnonzero(np.arange(len(at)) + length <= ends[text])
@@ -206,7 +220,7 @@ def _anchor_rows(length: int):
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, ends in hashing.slices(batch.column(2)):
+            for row, data, ends in hashing.slices(batch.column(2), AT_ONCE):
                 text, key, first, last = anchors(data, ends, length)
                 of = pa.array(text + row)
                 yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, (key, first, last))], ["t1", "t2", "key", "first", "last"])
