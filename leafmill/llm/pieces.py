@@ -44,7 +44,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: line ends, with the spaces before them; or all but spaces and line ends; or not at all.
 CUTS = (f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}\n]+|{SPACE}+|\n", f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", "(?s).+")
 #: Units that are sent to all tasks at most, and documents (about) among whose units these are chosen.
-DICTIONARY, SAMPLE = 262_144, 20_000
+DICTIONARY, SAMPLE = 131_072, 20_000
 #: Cuts of a unit, before and after each of its characters, are the bits of a positive long.
 LONGEST_UNIT = 61
 #: Rows of rare units that a task encodes the distinct units of; each makes some fifty substrings.
