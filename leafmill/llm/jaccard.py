@@ -11,7 +11,8 @@ whose number is fixed, then by hash. Two sets that link share a run in their pre
 class) of the prefixes meet in two rounds: first all classes that share a run with the class of the
 smallest id among them; then pairs that the components of the links so found still keep apart, of
 which one at least is not of the component that most of the run's classes belong to. Pairs pass the
-length and the positional filter, and are verified once, after a suffix filter that bounds the
+length and the positional filter, those of the second round also a bound on what two sets can share
+by the parities of their runs in ``8 * WORDS`` bytes, and are verified once, after a suffix filter that bounds the
 intersection by halves. No pair of one component is made twice, so a large group of near copies
 costs one pair for each copy.
 
@@ -38,6 +39,8 @@ from leafmill.llm.components import components
 COUNTER_BITS = 17
 #: A bucket that counts so many times the mean is hot; at most one in so many buckets is.
 HOT = 20
+#: Words of 64 bits that hold the parities of a set.
+WORDS = 8
 ROWS = 256
 #: Of a task: classes with their prefixes, prefix rows or pairs of ids, and pairs with texts.
 CLASSES, PREFIX_ROWS, TEXT_PAIRS = 4_000, 100_000, 2_000
@@ -79,8 +82,14 @@ def run_counters(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return counters
 
 
+def parities(runs: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of runs has it: sets differ in as many runs at least as their bits do."""
+    at = (hashing.mix(runs ^ np.uint64(0x14057B7EF767814F)) % np.uint64(64 * WORDS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * WORDS) & 1).view(np.int64)
+
+
 def _signatures(docs: DataFrame, key: str, text: str, carry: tuple[str, ...], size: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """(doc_id, carried columns, n, k1, k2, prefix): the set's size, two hashes of the whole set, and its prefix in rare-first order."""
+    """(doc_id, carried columns, n, k1, k2, bits, prefix): the set's size, two hashes and the parities of the whole set, its prefix in rare-first order."""
     shared = docs.sparkSession.sparkContext.broadcast(counters)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,19 +97,20 @@ def _signatures(docs: DataFrame, key: str, text: str, carry: tuple[str, ...], si
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                n, k1, k2, prefixes = [], [], [], []
+                n, k1, k2, bits, prefixes = [], [], [], [], []
                 for _, runs in text_sets(part.column(0), size):
                     n.append(len(runs))
                     k1.append(int(hashing.mix(runs).sum(dtype=np.uint64)))
                     k2.append(int(hashing.mix(runs ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
+                    bits.append(parities(runs))
                     rare = np.argsort(order[_bucket(runs)], kind="stable")[: prefix_length(len(runs), percent)]
                     prefixes.append(runs[rare].view(np.int64))
                 signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                made = [pa.array(n, pa.int32()), signed(k1), signed(k2), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], [*part.schema.names[1:], "n", "k1", "k2", "prefix"])
+                made = [pa.array(n, pa.int32()), signed(k1), signed(k2), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], [*part.schema.names[1:], "n", "k1", "k2", "bits", "prefix"])
 
     rows = docs.select(text, F.col(key).cast("long").alias("doc_id"), *carry)
-    made = "n int, k1 long, k2 long, prefix array<long>"
+    made = "n int, k1 long, k2 long, bits array<long>, prefix array<long>"
     return rows.mapInArrow(sign, T.StructType([*rows.schema.fields[1:], *T.DataType.fromDDL(made).fields]))
 
 
@@ -199,7 +209,14 @@ def _verified(pairs: DataFrame, rows: int, docs: DataFrame, key: str, text: str,
     return found
 
 
-def _apart(shared: DataFrame, labels: DataFrame, rows: int, percent: int) -> DataFrame:
+def _may_share(percent: int) -> Column:
+    """Whether what the parities of two sets leave to be shared is enough."""
+    differ = sum((F.bit_count(F.get("bits_x", F.lit(k)).bitwiseXOR(F.get("bits_y", F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    both = F.col("x.n") + F.col("y.n")
+    return (100 + percent) * (both - differ) >= 2 * percent * both
+
+
+def _apart(shared: DataFrame, labels: DataFrame, classes: DataFrame, rows: int, percent: int) -> DataFrame:
     """Distinct (a, b) of classes that share a run, are not of one component, and pass the filters.
 
     Of each run, the component of the most of its classes is not joined with itself: its other
@@ -211,13 +228,13 @@ def _apart(shared: DataFrame, labels: DataFrame, rows: int, percent: int) -> Dat
     own = materialize(sized(own, rows, PREFIX_ROWS), "labelled")
     each = own.groupBy("run", "label").agg(F.count("*").alias("size"))
     main = each.groupBy("run").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels"))
-    mixed = own.join(main.where("labels > 1").drop("labels"), "run")
+    mixed = own.join(main.where("labels > 1").drop("labels"), "run").join(classes.select("id", "bits"), "id")
     mixed = materialize(sized(mixed, rows, PREFIX_ROWS), "apart")
     release(own)
     row = F.struct("n", "id", "pos")
-    minor = mixed.where("label <> main").select("run", row.alias("x"), F.col("label").alias("of_x"))
-    every = mixed.select("run", row.alias("y"), F.col("label").alias("of_y"), (F.col("label") != F.col("main")).alias("minor"))
-    met = minor.join(every, "run").where((F.col("of_x") != F.col("of_y")) & (~F.col("minor") | (F.col("x.id") < F.col("y.id"))))
+    minor = mixed.where("label <> main").select("run", row.alias("x"), F.col("label").alias("of_x"), F.col("bits").alias("bits_x"))
+    every = mixed.select("run", row.alias("y"), F.col("label").alias("of_y"), (F.col("label") != F.col("main")).alias("minor"), F.col("bits").alias("bits_y"))
+    met = minor.join(every, "run").where((F.col("of_x") != F.col("of_y")) & (~F.col("minor") | (F.col("x.id") < F.col("y.id"))) & _may_share(percent))
     met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     met = met.select(*[F.col(f"{s}.{c}").alias(d) for s, t in (("x", "a"), ("y", "b")) for c, d in (("id", t), ("n", f"n_{t}"), ("pos", f"pos_{t}"))])
     return _pairs(met.where(_may_link(percent)), percent)
@@ -231,7 +248,7 @@ def near_duplicates(
     counters = run_counters(docs, text, size)
     signed = materialize(_signatures(docs, key, text, carry, size, percent, counters), "signatures")
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
-    classes = classes.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
+    classes = classes.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min_by("prefix", "doc_id").alias("prefix"))
     classes = materialize(sized(classes, signed.count(), CLASSES), "classes")
 
     hot = np.flatnonzero(counters > HOT * max(1.0, counters.mean())).tolist()
@@ -242,7 +259,7 @@ def near_duplicates(
     pairs = _pairs(shared.where((F.col("a") != F.col("b")) & _may_link(percent)), percent)
     links = _verified(pairs, many, docs, key, text, size, percent)
 
-    pairs = _apart(shared, components(links), many, percent)
+    pairs = _apart(shared, components(links), classes, many, percent)
     more = _verified(pairs, many, docs, key, text, size, percent)
     release(shared)
 
@@ -250,7 +267,7 @@ def near_duplicates(
     of = classes.select("k1", "k2", F.col("id").alias("node")).join(labels, "node", "left")
     of = of.select("k1", "k2", F.coalesce("label", "node").alias("component_id"))
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
-    out = signed.drop("prefix").join(of, ["k1", "k2"], "left")
+    out = signed.drop("prefix", "bits").join(of, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(alone, "component_id"))
     out = materialize(out.select("doc_id", *carry, F.col("n").cast("long").alias("n_shingles"), component.alias("component_id")), "components")
     release(signed, classes, links, more)

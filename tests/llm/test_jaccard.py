@@ -78,6 +78,8 @@ def test_filters_never_lose_a_link():
         y = np.unique(np.concatenate((x[rng.random(len(x)) > 0.1], rng.integers(0, 300, rng.integers(1, 12)).astype(np.uint64))))
         both = len(np.intersect1d(x, y))
         assert jaccard.suffix_bound(x, y) >= both
+        differ = sum(int(v).bit_count() for v in (jaccard.parities(x) ^ jaccard.parities(y)).view(np.uint64))
+        assert both <= (len(x) + len(y) - differ) / 2 and len(jaccard.parities(x)) == jaccard.WORDS
         assert jaccard.linked(x, y, 85) == (100 * both >= 85 * (len(x) + len(y) - both))
     for n in range(1, 200):
         p = jaccard.prefix_length(n, 85)
