@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import paths
+from leafmill.operators import ranks
 from leafmill.operators.predicates import path_problem
 
 #: Names of generated files, which replace copies of the same name.
@@ -47,11 +48,14 @@ def failure_message() -> Column:
     return F.concat(F.lit("Failed to copy "), F.col("relative_path"), F.lit(": "), why)
 
 
+def failures(plan: DataFrame) -> DataFrame:
+    """Failed copies with their ``message``."""
+    return plan.where("reject_reason IS NOT NULL").withColumn("message", failure_message())
+
+
 def error_ledger(plan: DataFrame) -> DataFrame:
     """Failures of each repository, in the order of the walk."""
-    bad = plan.where("reject_reason IS NOT NULL").withColumn("message", failure_message())
-    order = Window.partitionBy("repo_id").orderBy("parts")
-    return bad.select("repo_id", F.row_number().over(order).alias("ordinal"), "relative_path", "message")
+    return ranks.with_ordinal(failures(plan), "repo_id", F.col("parts")).select("repo_id", "ordinal", "relative_path", "message")
 
 
 def percent_complete(done: Column, total: Column) -> Column:
@@ -65,17 +69,15 @@ def remaining_seconds(done: Column, total: Column, elapsed: Column) -> Column:
 
 def progress_trace(plan: DataFrame) -> DataFrame:
     """State after each file of the walk: only copies that succeed count."""
-    way = Window.partitionBy("repo_id").orderBy("parts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy("repo_id")
-    good = F.col("reject_reason").isNull().cast("long")
-    out = plan.select(
-        "repo_id", "relative_path",
-        F.row_number().over(Window.partitionBy("repo_id").orderBy("parts")).alias("ordinal"),
-        F.sum(good).over(way).alias("files_processed"),
-        F.sum(good * F.col("size")).over(way).alias("bytes_processed"),
-        F.count("*").over(every).alias("total_files"),
-        F.sum("size").over(every).alias("total_bytes"),
-    )
+    good = F.col("reject_reason").isNull()
+    sums = {
+        "ordinal": F.lit(1),
+        "files_processed": good.cast("long"),
+        "bytes_processed": F.when(good, F.coalesce("size", F.lit(0))).otherwise(F.lit(0)),
+        "scanned_": F.coalesce("size", F.lit(0)),
+    }
+    out = ranks.running(plan, "repo_id", F.col("parts"), sums, {"ordinal": "total_files", "scanned_": "total_bytes"})
+    out = out.select("repo_id", "relative_path", F.col("ordinal").cast("int").alias("ordinal"), "files_processed", "bytes_processed", "total_files", "total_bytes")
     return out.withColumn("percent", percent_complete(F.col("files_processed"), F.col("total_files")))
 
 

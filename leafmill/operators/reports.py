@@ -6,13 +6,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.config import Config
 from leafmill.functions import paths
 from leafmill.functions.text import format_bytes, shown_extension
-from leafmill.operators import copyplan, stats
+from leafmill.operators import copyplan, ranks, stats
 
 TOOL = "leafmill"
 
@@ -36,8 +36,8 @@ def _numbered(lines: list[DataFrame]) -> DataFrame:
     rows = lines[0]
     for more in lines[1:]:
         rows = rows.unionByName(more)
-    order = Window.partitionBy("repo_id").orderBy("x.s", "x.g", "x.p", "x.k")
-    return rows.select("repo_id", F.row_number().over(order).alias("ordinal"), F.col("x.line").alias("line"))
+    order = F.concat(F.array("x.s", "x.g", F.lpad(F.col("x.p").cast("string"), 3, "0")), F.coalesce("x.k", F.array().cast("array<string>")))
+    return ranks.with_ordinal(rows, "repo_id", order).select("repo_id", "ordinal", F.col("x.line").alias("line"))
 
 
 def _exploded(df: DataFrame, *lines: Column) -> DataFrame:
@@ -78,9 +78,9 @@ def _by_extension(plan: DataFrame, section: str, row: Column, title: str, gap: b
 
 
 def _error_lines(plan: DataFrame, section: str, title: str, mark: str, gap: bool) -> list[DataFrame]:
-    bad = copyplan.error_ledger(plan)
+    bad = copyplan.failures(plan)
     top = [_line([section, "", 0, ""], title), *([_line([section, "", 1, ""], "")] if gap else [])]
-    row = _line([section, F.format_string("%019d", F.col("ordinal")), 2, ""], F.concat(F.lit(mark), F.col("message")))
+    row = _line([section, "", 2, F.col("parts")], F.concat(F.lit(mark), F.col("message")))
     return [_exploded(bad.select("repo_id").distinct(), *top, _line([section, "~", 9, ""], "")), _exploded(bad, row)]
 
 
@@ -188,7 +188,7 @@ def report_rows(plan: DataFrame, repos: DataFrame, config: Config, time: Column
     files = plan.groupBy("repo_id").agg(
         F.array_sort(F.collect_list(F.struct("parts", F.struct("filename", "relative_path", "extension", "size", _since_epoch(plan).alias("modified")).alias("f")))).alias("files")
     )
-    bad = copyplan.error_ledger(plan).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "message"))).alias("errors"))
+    bad = copyplan.failures(plan).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("parts", "message"))).alias("errors"))
     known = repos.join(stats.report_summary(plan), "repo_id").join(stats.counts_map(plan), "repo_id").join(files, "repo_id").join(bad, "repo_id", "left")
     f = config.filters
     largest = F.get(F.filter("files", lambda x: x["f"]["relative_path"] == F.col("largest_path")), F.lit(0))["f"]

@@ -9,13 +9,13 @@ import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill import config
 from leafmill.config import Config, Filters, Git, Output
 from leafmill.functions import paths, text, urls
-from leafmill.operators import console, copyplan, messages, predicates, reports, stats
+from leafmill.operators import console, copyplan, messages, predicates, ranks, reports, stats
 from leafmill.sources.catalog import from_documents, repositories
 from leafmill.sources.repo_files import scan_directory
 
@@ -162,8 +162,8 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CATALOG} SELECT repo_id, relative_path, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY parts) AS INTEGER) AS ordinal FROM c")
 def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    way = Window.partitionBy("repo_id").orderBy(paths.parts(F.col("relative_path")))
-    return from_documents(spark, sf_dir).select("repo_id", "relative_path", F.row_number().over(way).alias("ordinal"))
+    files = from_documents(spark, sf_dir).select("repo_id", "relative_path")
+    return ranks.with_ordinal(files, "repo_id", paths.parts(F.col("relative_path")))
 
 
 @query(f"WITH {KEPT} SELECT repo_id, dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM k GROUP BY ALL ORDER BY repo_id, dir")
@@ -215,12 +215,12 @@ def dest_path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, CAST(files_processed AS DOUBLE) / CAST(total_files AS DOUBLE) * 100.0::DOUBLE AS percent FROM w"""
 )
 def copy_progress_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copyplan.progress_trace(_flat(spark, sf_dir))
+    return copyplan.progress_trace(_flat(spark, sf_dir).cache())
 
 
 @query(f"WITH {FLAT}, {LEDGER} SELECT repo_id, CAST(ordinal AS INTEGER) AS ordinal, relative_path, message FROM e")
 def copy_error_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copyplan.error_ledger(_flat(spark, sf_dir))
+    return copyplan.error_ledger(_flat(spark, sf_dir).cache())
 
 
 SIZES = (0, 1, 500, 512, 1023, 1024, 1280, 1536, 1792, 1048575, 1048576, 2097152, 1073741823, 1073741824, 1 << 40)
