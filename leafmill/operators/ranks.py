@@ -8,14 +8,13 @@ never a result.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys that the cuts are made at: those with the smallest hashes. The driver holds no more.
-EDGES = 1024
+EDGES = 256
 
 
 def _edges(df: DataFrame, key: str) -> list[list[str | None]]:
@@ -23,11 +22,16 @@ def _edges(df: DataFrame, key: str) -> list[list[str | None]]:
     return drawn.agg(F.array_sort(F.collect_set(key))).first()[0]
 
 
+def _array(items: list[str]) -> str:
+    """An array in SQL, which the optimizer turns into one constant."""
+    return f"array({', '.join(items)})"
+
+
 def _range(key: Column, edges: list[list[str | None]]) -> Column:
     """How many edges are not above the key, by bisection."""
     if not edges:
         return F.lit(0)
-    at = F.from_json(F.lit(json.dumps(edges)), "array<array<string>>")
+    at = F.expr(_array([_array(["CAST(NULL AS STRING)" if x is None else f"CAST(X'{x.encode().hex()}' AS STRING)" for x in edge]) for edge in edges]))
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(at, low + step - 1) <= key, low + step).otherwise(low))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import ranks
 
 
-@pytest.mark.parametrize("edges", [1, 5, 64, 1024])
+@pytest.mark.parametrize("edges", [1, 5, 64, 256])
 def test_running_against_brute_force(spark, monkeypatch, edges):
     """One group holds most rows; groups and places may be null, and places begin one another."""
     monkeypatch.setattr(ranks, "EDGES", edges)
@@ -32,7 +32,7 @@ def test_a_hot_group_is_cut(spark):
     df = spark.range(20_000).select(F.lit(1).alias("g"), F.array(F.lpad(F.col("id").cast("string"), 6, "0")).alias("p"))
     edges = ranks._edges(df.select(F.concat(F.array(F.lit("=1")), "p").alias("k")), "k")
     most = df.groupBy(ranks._range(F.concat(F.array(F.lit("=1")), "p"), edges)).count().agg(F.max("count")).first()[0]
-    assert len(edges) == ranks.EDGES and most < 400
+    assert len(edges) == ranks.EDGES and most < 20_000 / ranks.EDGES * 12
     assert ranks.with_ordinal(df, "g", F.col("p")).where(F.get("p", F.lit(0)).cast("int") + 1 != F.col("ordinal")).isEmpty()
 
 
