@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import jaccard, langid, media, mixing, pieces, quality, secrets, sharding, suffixes, toxicity
+from leafmill.llm import importance, jaccard, langid, media, mixing, pieces, quality, secrets, sharding, suffixes, toxicity
 from leafmill.llm.common import documents, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,30 @@ SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) n_bytes, CAST(coalesce(removed, 0
   sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(tail, 0) + 1))) kept_sha256
 FROM d LEFT JOIN k USING (rid)
 """
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = importance.importance(documents(spark, sf_dir).select("doc_id", "text"), target)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES["op13_importance_resampling"] = op13_importance_resampling
+ORACLES["op13_importance_resampling"] = r"""
+WITH m AS (SELECT list(v ORDER BY i) m FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) v FROM range(256) q(i))),
+t AS (SELECT row_number() OVER () rid, doc_id, text, 0 k FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, 1 FROM benchmark),
+w AS (SELECT rid, doc_id, k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM t),
+f AS (SELECT rid, k, unnest(w) f FROM w UNION ALL SELECT rid, k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
+g AS (SELECT rid, k, f, count(*) n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) hx FROM (SELECT DISTINCT f FROM g)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hx, '..'), lambda p: CAST((strpos('0123456789ABCDEF', p[1]) - 1) * 16 + strpos('0123456789ABCDEF', p[2]) - 1 AS BIGINT))),
+  lambda c, v: xor(c >> 8, m[CAST(xor(c, v) % 256 AS INTEGER) + 1])), 4294967295::BIGINT) % 10000 b FROM h, m),
+c AS (SELECT b, coalesce(sum(n) FILTER (k = 0), 0) s, coalesce(sum(n) FILTER (k = 1), 0) t FROM g JOIN b USING (f) GROUP BY b),
+z AS (SELECT coalesce(sum(s), 0) s, coalesce(sum(t), 0) t FROM c),
+a AS (SELECT b, CAST(floor(1000 * ln(((c.t + 1)::DOUBLE * (z.s + 10000)::DOUBLE) / ((c.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE))) AS BIGINT) gain FROM c, z),
+v AS (SELECT rid, CAST(sum(n) AS BIGINT) n, CAST(sum(n * gain) AS BIGINT) total FROM g JOIN b USING (f) JOIN a USING (b) WHERE k = 0 GROUP BY rid),
+x AS (SELECT doc_id, len(w) words, coalesce(v.n, 0) n_features, CASE WHEN v.n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END weight, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) hx FROM w LEFT JOIN v USING (rid) WHERE k = 0),
+y AS (SELECT doc_id, words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(hx, 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) score FROM x),
+r AS (SELECT *, words >= 20 able, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) r, count(*) OVER (PARTITION BY words >= 20) n FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) n_features, CAST(weight AS BIGINT) weight, CAST(score AS BIGINT) score, CASE WHEN able AND r <= 25 * n // 100 THEN CAST(r AS BIGINT) END "rank" FROM r
+"""
