@@ -102,7 +102,7 @@ def buckets(data: np.ndarray, ends: np.ndarray, size: int = BUCKETS) -> tuple[np
     borders = ends[:-1][ends[:-1] < len(data)]
     first[borders] = inside[borders]
     last[:-1] &= ~inside[1:] | first[1:]
-    starts, sizes = np.flatnonzero(first), None
+    starts = np.flatnonzero(first)
     sizes = np.flatnonzero(last) + 1 - starts
     text_ends = np.searchsorted(starts, ends, "left")
     if not len(starts):
@@ -157,6 +157,7 @@ def _weigh(gain: np.ndarray):
 
     def sums(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0], np.cumsum(values)))
+        start = np.minimum(start, len(values))  # of texts without words, which may stand last
         return total[np.maximum(stop, start)] - total[start]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
