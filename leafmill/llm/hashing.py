@@ -16,9 +16,10 @@ MASK = (1 << 64) - 1
 #: Bytes of the longest word that is hashed with the others at once.
 LONG_WORD = 64
 
-#: Byte classes: ASCII white space separates words; or everything but letters and non-ASCII bytes does.
+#: Byte classes: ASCII white space separates words; or everything but letters (and digits) and non-ASCII bytes does.
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 NO_LETTER = np.array([not (chr(i).isalpha() if i < 128 else True) for i in range(256)])
+NO_WORD = np.array([not (chr(i).isalnum() if i < 128 else True) for i in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

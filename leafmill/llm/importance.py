@@ -45,8 +45,6 @@ DEPTH = 64
 #: Bytes of texts whose features are held at once (a longer text is alone); their spans have some three times as many.
 SLICE = 1 << 19
 MADE = ("n_words", "n_features", "weight", "score", "rank")
-#: Bytes that are in no word, once A-Z are lower-cased.
-NO_WORD = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 SPACE = 32
 
 
@@ -96,7 +94,7 @@ def buckets(data: np.ndarray, ends: np.ndarray, size: int = BUCKETS) -> tuple[np
 
     A pair that crosses from one text to the next is marked by -1.
     """
-    inside = ~NO_WORD[data]
+    inside = ~hashing.NO_WORD[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     borders = ends[:-1][ends[:-1] < len(data)]

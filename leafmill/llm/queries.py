@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import importance, jaccard, langid, media, mixing, pieces, quality, secrets, sharding, suffixes, toxicity
+from leafmill.llm import importance, jaccard, langid, media, mixing, pieces, quality, search, secrets, sharding, suffixes, toxicity
 from leafmill.llm.common import documents, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +251,22 @@ y AS (SELECT doc_id, words, n_features, weight, weight + CAST(floor(-1000 * ln(-
 r AS (SELECT *, words >= 20 able, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) r, count(*) OVER (PARTITION BY words >= 20) n FROM y)
 SELECT doc_id, CAST(n_features AS BIGINT) n_features, CAST(weight AS BIGINT) weight, CAST(score AS BIGINT) score, CASE WHEN able AND r <= 25 * n // 100 THEN CAST(r AS BIGINT) END "rank" FROM r
 """
+
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES["op11_lexical_search"] = op11_lexical_search
+ORACLES["op11_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t FROM documents),
+p AS (SELECT rid, any_value(doc_id) doc_id, t, count(*) tf FROM d GROUP BY rid, t),
+l AS (SELECT rid, CAST(sum(tf) AS BIGINT) n FROM p GROUP BY rid),
+s AS (SELECT count(*) n, CAST(sum(n) AS BIGINT) l FROM l),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(s.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) w FROM p, s GROUP BY t),
+q AS (SELECT DISTINCT i, item_id, t FROM (SELECT row_number() OVER () i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t FROM benchmark)),
+c AS (SELECT i, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * l.n * s.n) // s.l)))) AS BIGINT) score
+      FROM q JOIN w USING (t) JOIN p USING (t) JOIN l USING (rid), s GROUP BY i, item_id, rid, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) "rank", doc_id, score FROM c WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10
+"""
