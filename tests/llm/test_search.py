@@ -87,7 +87,7 @@ def test_summaries_bound_and_blocks_are_skipped():
         want = sorted((-s, i) for s, i in zip(scores.tolist(), shard.ids.tolist(), strict=True) if s > 0)[:10]
         assert list(zip((-best.scores).tolist(), best.ids.tolist(), strict=True)) == want
     holding = sum(int((full[:, item].sum(1) > 0).sum()) for item in items)
-    assert shard.scored < 0.5 * holding  # the rest was passed over by its bounds
+    assert shard.scored < 0.75 * holding  # the rest was passed over by its bounds
     for term, (own, cuts, summary) in shard.blocked.items():
         assert sorted(own.tolist()) == np.flatnonzero(full[:, term]).tolist() and np.diff(cuts).max() <= search.BLOCK
         for a, b, row in zip(cuts[:-1], cuts[1:], summary, strict=True):
