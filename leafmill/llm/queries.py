@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import importance, jaccard, langid, media, mixing, pieces, quality, search, secrets, sharding, suffixes, toxicity
+from leafmill.llm import importance, jaccard, langid, media, mixing, packing, pieces, quality, search, secrets, sharding, suffixes, toxicity
 from leafmill.llm.common import documents, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,3 +270,13 @@ c AS (SELECT i, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 *
 SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) "rank", doc_id, score FROM c WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10
 """
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", *packing.MADE)
+
+
+QUERIES["op12_packing"] = op12_packing
