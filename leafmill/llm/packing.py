@@ -96,7 +96,7 @@ class WordCoder:
         if word.isascii() and b"'" not in word:
             lower = word.lower()
             head = lower.rstrip(b".,;:!?")
-            ids = self._core(head) + self._core(lower[len(head) :])
+            ids = self._core(head) + self._core(lower[len(head) :]) if head[-1:].isalnum() else self._core(lower)
         else:
             ids = self._ids(word.decode())
         self.known[word] = ids

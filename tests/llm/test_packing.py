@@ -91,13 +91,22 @@ def test_one_length_makes_a_third_of_all_rows(spark):
     assert check(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], 64) <= 1.03 * least(rows, 64) + 1
 
 
+def triples(draw, bins):
+    """Lengths that fill so many bins of 100 without a rest."""
+    lengths = []
+    for _ in range(bins):
+        a, b = draw.randint(30, 60), draw.randint(15, 30)
+        lengths += [a, b, 100 - a - b]
+    return lengths
+
+
 def test_operators_keep_every_piece_once():
     draw = random.Random(2)
-    problem = packing.Problem([draw.randint(1, 100) for _ in range(300)], 128)
+    problem = packing.Problem(triples(draw, 100), 100)
     population = problem.founders(draw)
     for _ in range(20):
         for bins in (problem.crossed(*draw.sample(population, 2), draw), problem.mutated(population[0], draw)):
-            assert sorted(p for own in bins for p in own) == list(range(300)) and max(map(problem.fill, bins)) <= 128
+            assert sorted(p for own in bins for p in own) == list(range(300)) and max(map(problem.fill, bins)) <= 100
     evolved = problem.evolve(population, draw)
     assert problem.value(evolved[0]) >= max(map(problem.value, population))
 
@@ -114,10 +123,7 @@ def test_genetic_search_beats_best_fit():
     draw = random.Random(8)
     won = 0
     for _ in range(4):
-        lengths = []
-        for _ in range(40):  # bins that are exactly full
-            a, b = draw.randint(30, 60), draw.randint(15, 30)
-            lengths += [a, b, 100 - a - b]
+        lengths = triples(draw, 40)
         problem = packing.Problem(lengths, 100)
         plain = problem.best_fit([], sorted(range(120), key=lengths.__getitem__, reverse=True))
         population = problem.founders(draw)
