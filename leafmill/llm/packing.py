@@ -23,10 +23,12 @@ epoch, so a task that runs again does the same.
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,10 +44,12 @@ CAPACITY = 2048
 BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1024, 3, 6, 3, 8
 #: Share of a block's bins that goes on to the next level.
 PASSED_ON = 16
-#: Words whose tokens a task remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST_WORD = 300_000, 64
+#: Words whose tokens a worker remembers, beside those of the texts at hand.
+REMEMBERED = 400_000
 #: Rows that a task encodes at once.
 ROWS = 256
+#: Symbols that the tokenizer parts from a letter before them; an apostrophe may belong to what follows.
+SYMBOLS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MADE = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 Bins = list[list[int]]
@@ -54,71 +58,93 @@ Bins = list[list[int]]
 # ---- tokens ----
 
 
-@cache
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class WordCoder:
     """Tokens of texts by a tokenizer that drops white space and never joins what it separates.
 
     So a text's tokens are those of its words, one after the other, and a word is encoded once. Where
-    a word is ASCII, it is lower-cased first, and its closing stops are encoded on their own: both are
-    what the tokenizer itself does. A tokenizer whose words can't be told apart so is refused.
+    a word is ASCII, it is lower-cased first, and symbols that follow a letter at its end are encoded on
+    their own: both are what the tokenizer itself does. New words of letters alone are encoded
+    together; each ends with a token that only ends words, which tells them apart. A tokenizer that
+    differs in this is refused.
     """
 
     def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
         for whole, parts in (("aB  cd,\n\tx", ("ab", "cd,", "x")), ("it's 12. no", ("it's", "12", ".", "no"))):
-            if self._ids(whole) != b"".join(map(self._ids, parts)):
+            if self._ids(whole).tobytes() != b"".join(self._ids(x).tobytes() for x in parts):
                 raise ValueError(f"{path}: its tokens reach across white space")
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _core(self, core: bytes) -> bytes:
-        if (found := self.cores.get(core)) is None:
-            found = self.cores[core] = self._ids(core.decode())
-        return found
+    def _together(self, words: list[bytes]) -> None:
+        """Encodes words of letters at once, unless some of them turn out to be more than one word."""
+        ids = self._ids(b" ".join(words).decode())
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words) and (not len(ids) or cuts[-1] == len(ids)):
+            data, stops = ids.tobytes(), (4 * cuts).tolist()
+            self.cores |= zip(words, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True)
+        else:
+            self.cores |= ((w, self._ids(w.decode()).tobytes()) for w in words)
 
-    def word(self, word: bytes) -> bytes:
-        if len(word) > LONGEST_WORD or b"<|" in word:
-            return self._ids(word.decode())
-        if len(self.known) + len(self.cores) > REMEMBERED:
+    def learn(self, words: set[bytes]) -> None:
+        """Remembers the tokens of words; others are forgotten if there are too many."""
+        if len(self.known) + len(words) > REMEMBERED:
             self.known, self.cores = {}, {}
-        if word.isascii() and b"'" not in word:
-            lower = word.lower()
-            head = lower.rstrip(b".,;:!?")
-            ids = self._core(head) + self._core(lower[len(head) :]) if head[-1:].isalnum() else self._core(lower)
-        else:
-            ids = self._ids(word.decode())
-        self.known[word] = ids
-        return ids
+        words = words - self.known.keys()
+        split: list[tuple[bytes, bytes, bytes]] = []
+        for word in words:
+            head, tail = word, b""
+            if b"<|" not in word and b"'" not in word:
+                low = word.lower() if word.isascii() else word
+                head = low.rstrip(SYMBOLS)
+                head, tail = (head, low[len(head) :]) if head and head.decode()[-1].isalpha() else (low, b"")
+            split.append((word, head, tail))
+        new = {x for _, *parts in split for x in parts} - self.cores.keys()
+        letters = [x for x in new if x.decode().isalpha()]
+        if letters:
+            self._together(letters)
+        for x in new.difference(letters):
+            self.cores[x] = self._ids(x.decode()).tobytes()
+        self.known |= ((word, self.cores[head] + self.cores[tail]) for word, head, tail in split)
+
+    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each whole UTF-8 text."""
+        split = [x.split() for x in texts]
+        # What the words of these texts add may go beyond the bound, but is forgotten next.
+        for first in range(0, len(split), ROWS):
+            part = split[first : first + ROWS]
+            words = set(chain.from_iterable(part))
+            self.learn(words)
+            for own in part:
+                yield b"".join(map(self.known.__getitem__, own))
 
-    def text(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of a whole UTF-8 text."""
-        known = self.known
-        return b"".join([known.get(w) or self.word(w) for w in text.split()])
+
+@cache
+def _coder(path: str) -> WordCoder:
+    """One for each worker, so that its words are known to all its tasks."""
+    return WordCoder(path)
 
 
 def _cut(path: str, capacity: int, end: int, with_ids: bool):
     stop = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path)
+        coder = _coder(path)
         for big in batches:
             for first in range(0, len(big), ROWS):
                 batch = big.slice(first, ROWS)
                 rows, starts, lengths, checks, ids = [], [], [], [], []
-                for row, text in enumerate(batch.column(0).cast(pa.large_binary())):
-                    data = coder.text(text.as_py() or b"") + stop
+                for row, data in enumerate(coder.texts(batch.column(0).cast(pa.large_binary()).to_pylist())):
+                    data += stop
                     for at in range(0, len(data), 4 * capacity):
                         own = data[at : at + 4 * capacity]
                         rows.append(row)

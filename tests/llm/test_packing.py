@@ -25,14 +25,16 @@ def test_words_encode_as_the_library_does_whole_texts():
     alphabet = list("aAbZ '.,!<|>\n\t") + ["́", "̱", "é", "É", "中", "’", "\x85", " ", "ſ", "K", "12", "endoftext"]
     odd += ["".join(draw.choices(alphabet, k=draw.randint(1, 60))) for _ in range(3000)]
     coder = packing.WordCoder(PATH)
-    for text in odd:
-        assert np.frombuffer(coder.text(text.encode()), "<u4").tolist() == library(text), repr(text)
+    for text, ids in zip(odd, coder.texts([x.encode() for x in odd]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text), repr(text)
 
 
 def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
-    coder, text = packing.WordCoder(PATH), "one two three four five six seven eight nine one two"
-    assert np.frombuffer(coder.text(text.encode()), "<u4").tolist() == library(text) and len(coder.known) + len(coder.cores) < 9
+    monkeypatch.setattr(packing, "ROWS", 1)
+    coder, texts = packing.WordCoder(PATH), ["one two three", "four five", "six seven eight", "one nine."]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.texts([x.encode() for x in texts])] == list(map(library, texts))
+    assert len(coder.known) <= 5
 
 
 def check(rows, docs, capacity):
