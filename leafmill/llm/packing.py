@@ -41,7 +41,7 @@ from leafmill.llm.common import free_name, materialize, release, small_batches
 
 CAPACITY = 2048
 #: Pieces of a block (about), islands of a block, individuals of an island, and how long they evolve.
-BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1024, 3, 6, 3, 8
+BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1024, 3, 6, 3, 5
 #: Share of a block's bins that goes on to the next level.
 PASSED_ON = 16
 #: Words whose tokens a worker remembers, beside those of the texts at hand.
@@ -83,7 +83,7 @@ class WordCoder:
                 raise ValueError(f"{path}: its tokens reach across white space")
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _together(self, words: list[bytes]) -> None:
         """Encodes words of letters at once, unless some of them turn out to be more than one word."""
@@ -100,8 +100,9 @@ class WordCoder:
         if len(self.known) + len(words) > REMEMBERED:
             self.known, self.cores = {}, {}
         words = words - self.known.keys()
+        plain = {word: word.lower() for word in words if word.isalpha()}  # of bytes: letters A to Z alone
         split: list[tuple[bytes, bytes, bytes]] = []
-        for word in words:
+        for word in words - plain.keys():
             head, tail = word, b""
             if b"<|" not in word and b"'" not in word:
                 low = word.lower() if word.isascii() else word
@@ -109,11 +110,12 @@ class WordCoder:
                 head, tail = (head, low[len(head) :]) if head and head.decode()[-1].isalpha() else (low, b"")
             split.append((word, head, tail))
         new = {x for _, *parts in split for x in parts} - self.cores.keys()
-        letters = [x for x in new if x.decode().isalpha()]
+        letters = {x for x in new if x.decode().isalpha()} | (set(plain.values()) - self.cores.keys())
         if letters:
-            self._together(letters)
-        for x in new.difference(letters):
+            self._together(list(letters))
+        for x in new - letters:
             self.cores[x] = self._ids(x.decode()).tobytes()
+        self.known |= ((word, self.cores[low]) for word, low in plain.items())
         self.known |= ((word, self.cores[head] + self.cores[tail]) for word, head, tail in split)
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
