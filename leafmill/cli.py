@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from leafmill import config as settings
 from leafmill.functions import urls
 from leafmill.operators import messages
-from leafmill.plans.extract import Repository, RunError, cancellable, extract
+from leafmill.plans.extract import Repository, RunError, cancellable, described, extract
 
 
 def parser() -> argparse.ArgumentParser:
@@ -93,7 +93,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if not args.tree:
             raise RunError("invalid_path", "no tree given")
         with cancellable(spark, "leafmill-extract"):
-            run = extract(spark, args.tree, config, repository, name, args.output_format)
+            run = extract(spark, args.tree, config, described(spark, args.tree, repository), name, args.output_format)
     except (RunError, settings.ConfigError) as e:
         kind, detail = (e.kind, e.detail) if isinstance(e, RunError) else ("config", str(e))
         r = spark.range(1).select(messages.message(F.lit(kind), F.lit(detail)).alias("m"), messages.hint(F.lit(kind)).alias("h"), messages.exit_code(F.lit(kind), F.lit(0)).alias("c")).first()

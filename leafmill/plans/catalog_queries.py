@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leafmill import config
 from leafmill.config import Config, Filters, Git, Output
 from leafmill.functions import paths, text, urls
-from leafmill.operators import console, copyplan, messages, predicates, ranks, reports, stats
+from leafmill.operators import commits, console, copyplan, messages, predicates, ranks, reports, stats
 from leafmill.sources.catalog import from_documents, repositories
 from leafmill.sources.repo_files import scan_directory
 
@@ -526,6 +526,28 @@ def run_console(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("repo_id", "mode", console.summary(F.col("mode"), files, size, ms, F.size("errors")).alias("summary"), console.report(F.col("mode"), ms).alias("report"))
 
 
+#: A graph of commits from the documents: each is a commit of its repository, whose parent is the one before it; some are
+#: first ones, some branch off three commits back, some merge what was four back. The head is the last that is no draft.
+GRAPH = """g AS (SELECT doc_id // 77 AS repo_id, doc_id AS commit_id, doc_id % 77 AS i FROM documents),
+    e AS (SELECT repo_id, commit_id, commit_id - CASE WHEN i % 7 = 3 THEN 3 ELSE 1 END AS parent FROM g WHERE i % 19 <> 0 AND (i % 7 <> 3 OR i >= 3)
+      UNION ALL SELECT repo_id, commit_id, commit_id - 4 FROM g WHERE i % 19 <> 0 AND i % 5 = 0),
+    h AS (SELECT repo_id, max(commit_id) FILTER (i % 11 <> 10 AND i % 77 <> 1) AS head FROM g GROUP BY repo_id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {GRAPH}, r AS (SELECT repo_id, head AS c FROM h WHERE head IS NOT NULL UNION SELECT r.repo_id, e.parent FROM r JOIN e ON e.commit_id = r.c AND e.repo_id = r.repo_id JOIN g ON g.commit_id = e.parent AND g.repo_id = r.repo_id),
+    n AS (SELECT repo_id, count(*) AS n FROM r GROUP BY repo_id)
+    SELECT repo_id, head, coalesce(n, 0) AS total_commits, n IS NULL AS is_empty FROM h LEFT JOIN n USING (repo_id)"""
+)
+def commit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id div 77").alias("repo_id"), F.col("doc_id").alias("commit_id"))
+    i, c = F.col("commit_id") % 77, F.col("commit_id")
+    first = F.when((i % 7 == 3) & (i >= 3), c - 3).when(i % 7 != 3, c - 1)
+    parents = F.when(i % 19 != 0, F.array(first, F.when(i % 5 == 0, c - 4)))
+    heads = docs.groupBy("repo_id").agg(F.max(F.when((i % 11 != 10) & (i != 1), c)).alias("commit_id"))
+    return commits.commit_counts(docs.withColumn("parents", parents), heads)
+
+
 #: Files of a small tree, with a link and directories that the rules know.
 TREE = ("README", "guide.md", "_index.md", ".dot.md", "_drafts/d.md", ".github/c.md", ".hidden/h.md", "node_modules/x.md", "a/b.md", "a-b/c.md", "main.rs", "empty.txt", "Build/s.md", f"{DEEP}deep.md")
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmill.config import Config
 from leafmill.operators import console, copyplan, predicates, reports, stats
+from leafmill.sources import git_commits
 from leafmill.sources.repo_files import scan_directory
 
 
@@ -59,6 +60,15 @@ def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], None]]:
         spark.removeTag(tag)
 
 
+def described(spark: SparkSession, root: str, repository: Repository) -> Repository:
+    """The repository with branch, commit count and emptiness of its checkout, if the tree is one."""
+    try:
+        found = git_commits.repositories(spark, {0: root}).first()
+    except FileNotFoundError:
+        return repository
+    return replace(repository, default_branch=found["default_branch"], total_commits=found["total_commits"], is_empty=found["is_empty"])
+
+
 def scan(spark: SparkSession, root: str, config: Config) -> DataFrame:
     """The documentation files of a tree; raises what a scan that finds none is due to."""
     if not os.path.isdir(root):
