@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import paths
 from leafmill.operators import ranks
 from leafmill.operators.predicates import path_problem
+from leafmill.sources.file_sink import write_files
 
 #: Names of generated files, which replace copies of the same name.
 INDEX, SUMMARY, METADATA = "_index.md", "EXTRACTION_SUMMARY.md", ".leafmill"
@@ -81,27 +77,11 @@ def progress_trace(plan: DataFrame) -> DataFrame:
     return out.withColumn("percent", percent_complete(F.col("files_processed"), F.col("total_files")))
 
 
-def _copy(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        copied, failed = [], []
-        for source, target in zip(part["source_path"], part["target"], strict=True):
-            try:
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                shutil.copyfile(source, target, follow_symlinks=False)
-                stat = os.stat(source)
-                os.utime(target, ns=(stat.st_atime_ns, stat.st_mtime_ns))
-                copied.append(stat.st_size)
-                failed.append(None)
-            except OSError as e:
-                copied.append(0)
-                failed.append(f"Failed to copy {source}: {e}")
-        yield part.assign(bytes_copied=copied, failure=failed)
-
-
-def copy_files(plan: DataFrame, out: str) -> DataFrame:
-    """Copies the files of a plan that are taken and not replaced below ``out``: a row for each, when an action runs.
+def copy_files(plan: DataFrame, out: str, overwrite: bool = False) -> DataFrame:
+    """Copies the files of a plan that are taken and not replaced below ``out``, all of them or none; returns the ledger.
 
-    Executors must see sources and ``out``. A repeated task writes the same bytes to the same place.
+    The ledger has source_path, dest, bytes_copied, sha256 and failure of each. ``out`` must not be there,
+    unless ``overwrite`` replaces it as a whole.
     """
-    rows = plan.where("reject_reason IS NULL AND NOT replaced").select("source_path", F.concat(F.lit(out.rstrip("/") + "/"), "dest").alias("target"))
-    return rows.mapInPandas(_copy, "source_path string, target string, bytes_copied long, failure string")
+    rows = plan.where("reject_reason IS NULL AND NOT replaced").select("dest", "source_path")
+    return write_files(rows, out, overwrite)

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
@@ -16,8 +17,10 @@ from leafmill import config
 from leafmill.config import Config, Filters, Git, Output
 from leafmill.functions import paths, text, urls
 from leafmill.operators import commits, console, copyplan, messages, predicates, ranks, reports, stats
-from leafmill.sources.catalog import from_documents, repositories
+from leafmill.sources.catalog import REPO_FILES, document_path, from_documents, repositories
+from leafmill.sources.file_sink import write_files
 from leafmill.sources.repo_files import scan_directory
+from leafmill.tables import shared_dir
 
 #: A size bound that leaves out some of the documents.
 FILTERS = replace(Filters(), max_file_size=20_000)
@@ -55,7 +58,7 @@ def _in(values: Sequence[str]) -> str:
 
 DEEP = "/".join(f"d{k}" for k in range(1, 11)) + "/"
 CATALOG = f"""
-p AS (SELECT doc_id // 77 AS repo_id, CAST(strlen(text) AS BIGINT) AS size,
+p AS (SELECT doc_id // 77 AS repo_id, CAST(strlen(text) AS BIGINT) AS size, doc_id,
   CASE doc_id % 11 WHEN 0 THEN '' WHEN 1 THEN 'docs/' WHEN 2 THEN 'docs/guide/' WHEN 3 THEN 'web/node_modules/pkg/'
     WHEN 4 THEN '.github/' WHEN 5 THEN 'Build/site/' WHEN 6 THEN '.hidden/' WHEN 7 THEN 'a/' WHEN 8 THEN 'a-b/'
     WHEN 9 THEN '{DEEP}' ELSE source || '/' END
@@ -566,23 +569,33 @@ def make_tree(spark: SparkSession | None = None) -> str:
     return root
 
 
-#: What is documentation in TREE: path, name, extension, size.
-TREE_KEPT = (
-    ("README", "README", "", 7), ("guide.md", "guide.md", "md", 7), ("_index.md", "_index.md", "md", 7), (".dot.md", ".dot.md", "md", 7), ("_drafts/d.md", "d.md", "md", 7),
-    (".github/c.md", "c.md", "md", 7), ("a/b.md", "b.md", "md", 7), ("a-b/c.md", "c.md", "md", 7), ("empty.txt", "empty.txt", "txt", 0),
-)
+def document_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files of a tree, a folder for each repository, below the shared folder; it goes when the program ends."""
+    root = os.path.join(shared_dir(spark).removeprefix("file://"), f"tree-{uuid.uuid4().hex}")
+    atexit.register(shutil.rmtree, root, True)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    place = F.concat(F.lit("r"), F.expr(f"doc_id div {REPO_FILES}"), F.lit("/"), document_path())
+    write_files(docs.select(place.alias("dest"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), root)
+    return root
+
 
+def _tree_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_directory(spark, document_tree(spark, sf_dir), FILTERS)
+    return predicates.documentation(found.where("error IS NULL"), FILTERS)
 
-@query(f"SELECT relative_path, filename, extension, CAST(size AS BIGINT) AS size FROM {_sql_values(TREE_KEPT, ('relative_path', 'filename', 'extension', 'size'))}")
+
+@query(f"WITH {KEPT} SELECT 'r' || repo_id || '/' || relative_path AS relative_path, filename, extension, size FROM k")
 def fs_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = predicates.documentation(scan_directory(spark, make_tree(spark), Filters()).where("error IS NULL"), Filters())
-    return found.select("relative_path", "filename", "extension", "size").orderBy(paths.parts(F.col("relative_path")))
+    rows = _tree_kept(spark, sf_dir).select("relative_path", "filename", "extension", "size")
+    return rows.where(~F.col("relative_path").startswith(".leafmill/")).orderBy(paths.parts(F.col("relative_path")))
 
 
-@query(f"SELECT DISTINCT filename AS dest, CAST(size AS BIGINT) AS bytes_copied, CAST(NULL AS VARCHAR) AS failure FROM {_sql_values(TREE_KEPT, ('relative_path', 'filename', 'extension', 'size'))}")
+@query(
+    f"""WITH {KEPT} SELECT 'r' || repo_id || '/' || relative_path AS dest, size AS bytes_copied, sha256(text) AS sha256, CAST(NULL AS VARCHAR) AS failure
+    FROM k JOIN documents USING (doc_id)"""
+)
 def copy_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = make_tree(spark)
-    atexit.register(shutil.rmtree, root + "-copy", True)
-    plan = copyplan.plan_copy(predicates.documentation(scan_directory(spark, root, Filters()).where("error IS NULL"), Filters()), preserve=False)
-    done = copyplan.copy_files(plan, root + "-copy")
-    return done.select(F.substring_index("target", "/", -1).alias("dest"), "bytes_copied", "failure")
+    plan = copyplan.plan_copy(_tree_kept(spark, sf_dir))
+    out = os.path.join(shared_dir(spark).removeprefix("file://"), f"copy-{uuid.uuid4().hex}")
+    atexit.register(shutil.rmtree, out, True)
+    return copyplan.copy_files(plan, out).select("dest", "bytes_copied", "sha256", "failure")

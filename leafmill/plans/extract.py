@@ -97,16 +97,10 @@ def check_writable(base: str) -> None:
         raise RunError("permission", base) from e
 
 
-def prepare_output(path: str, force: bool) -> None:
-    """Makes an empty output directory; one that is there is replaced if ``force``."""
-    if os.path.exists(path):
-        if not force:
-            raise RunError("output_exists", path)
-        shutil.rmtree(path)
-    try:
-        os.makedirs(os.path.join(path, copyplan.METADATA))
-    except OSError as e:
-        raise RunError("permission", path) from e
+def check_output(path: str, force: bool) -> None:
+    """An output that is there is replaced only if ``force``."""
+    if os.path.lexists(path) and not force:
+        raise RunError("output_exists", path)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -124,7 +118,7 @@ def extract(spark: SparkSession, root: str, config: Config, repository: Reposito
     out = os.path.join(config.output.base_directory, name)
     catalog = scan(spark, root, config)
     check_writable(config.output.base_directory)
-    prepare_output(out, config.output.force)
+    check_output(out, config.output.force)
     try:
         return _write(spark, catalog, config, repository, out, mode)
     except BaseException:
@@ -135,10 +129,10 @@ def extract(spark: SparkSession, root: str, config: Config, repository: Reposito
 def _write(spark: SparkSession, catalog: DataFrame, config: Config, repository: Repository, out: str, mode: str) -> Run:
     began = datetime.now(UTC)
     plan = copyplan.plan_copy(catalog, config.output.preserve_structure, config.output.force).cache()
-    copied = copyplan.copy_files(plan, out).cache()
+    copied = copyplan.copy_files(plan, out, config.output.force)
     written = copied.where("failure IS NULL").select(F.col("bytes_copied").alias("b"))
     done = written.union(plan.where("replaced").select("size")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
-    late = [r["failure"] for r in copied.where("failure IS NOT NULL").orderBy("target").select("failure").toLocalIterator()]
+    late = [r["failure"] for r in copied.where("failure IS NOT NULL").orderBy("dest").select("failure").toLocalIterator()]
     errors = (*[r["message"] for r in copyplan.error_ledger(plan).orderBy("ordinal").toLocalIterator()], *late)
     seconds = (datetime.now(UTC) - began).total_seconds()
     repos = spark.createDataFrame([(0, repository.owner, repository.name, repository.url, repository.default_branch, repository.total_commits, repository.is_empty)], "repo_id long, owner string, name string, url string, default_branch string, total_commits long, is_empty boolean")
