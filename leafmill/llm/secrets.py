@@ -6,7 +6,8 @@ candidate is what follows, and the name stands before it. A forest, trained from
 reads its length, its transitions between kinds of characters, how much of it words of the corpus
 cover, how it begins, the path it was found in, and the words beside it.
 
-Null and empty texts have no candidates; a null path has no path marks. Candidates are numbered in
+A candidate may be as long as its text, an embedded file say: all its features take time in proportion
+to its length. Null and empty texts have no candidates; a null path has no path marks. Candidates are numbered in
 their text from 0, so repeated rows give repeated findings. Empty tables give empty results. Labelled
 rows without a candidate or a label are passed over; where all labels are one, it is the score of every
 candidate.
@@ -32,6 +33,8 @@ NAME = r"^([A-Za-z][A-Za-z0-9]{0,14}(?:[_\-]+[A-Za-z0-9]{1,15})*[_\-]*=)[^=].{15
 BESIDE = 48
 #: A word of the dictionary makes up this share of the words at least. So there are at most 200,000, a bound on what is broadcast.
 DICTIONARY_SHARE = 5e-6
+#: Letters of a candidate that are looked up together (more only if a word of the dictionary is longer).
+PART = 256
 FEATURES = (
     "length", "digits", "uppers", "symbols", "changes", "letter_runs", "vowels", "distinct", "coverage",
     "odd_path", "named", "assigned", "quoted", "benign", "issued", "filler",
@@ -84,17 +87,48 @@ def dictionary(df: DataFrame, text: str = "text", share: float = DICTIONARY_SHAR
     return counts.where(F.col("n") >= share * total).select("word")
 
 
+def _parts(each: DataFrame, longest: int) -> DataFrame:
+    """(id, before, own, after): the letter runs of candidates, cut into parts of PART letters, with what a word may reach over on either side.
+
+    Two passes of one pattern cut a run, so the cost is in proportion to its length.
+    """
+    reach = longest - 1
+    size = max(PART, reach)
+    cut = F.lit(f"(.{{1,{size}}})(?=(.{{0,{reach}}}))")
+    runs = each.select("id", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), F.lit(0))).alias("run"))
+    cuts = runs.select("id", F.regexp_extract_all("run", cut, F.lit(1)).alias("owns"), F.regexp_extract_all("run", cut, F.lit(2)).alias("afters"))
+
+    def part(own: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.right(F.get("owns", i - 1), F.lit(reach))).otherwise(F.lit(""))
+        return F.struct(before.alias("before"), own.alias("own"), F.get("afters", i).alias("after"))
+
+    return cuts.select("id", F.inline(F.transform("owns", part)))
+
+
 def _with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds ``coverage``: the share of a candidate's characters that lie in dictionary words."""
+    """Adds ``coverage``: the share of a candidate's characters that lie in dictionary words.
+
+    Distinct candidates are numbered; what is exploded carries a number and a part of bounded length,
+    never a candidate, and the parts of a long one are dealt out.
+    """
     sizes = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
-    each = found.select("candidate").distinct()
-    spans = each.select("candidate", F.explode(F.sequence(F.lit(1), F.length("candidate") - 2)).alias("at"))
-    fit = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("candidate") - F.col("at") + 1)
-    spans = spans.withColumn("size", F.explode(fit))
-    spans = spans.withColumn("word", F.lower(F.substring("candidate", F.col("at"), F.col("size")))).where(F.col("word").rlike("^[a-z]+$"))
-    hits = spans.join(F.broadcast(words), "word").groupBy("candidate", "at").agg(F.max("size").alias("size"))
-    covered = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))))
-    shares = hits.groupBy("candidate").agg((F.size(covered) / F.length("candidate")).alias("coverage"))
+    each = materialize(found.select("candidate").distinct().withColumn("id", F.monotonically_increasing_id()), "distinct")
+    parts = _parts(each, max(sizes, default=1)).repartition("id", "own", "before", "after")
+    parts = materialize(parts.withColumn("part", F.monotonically_increasing_id()), "parts")
+    text = F.concat("before", "own", "after")
+    fits = lambda at: F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length(text) - at + 1)
+    all_words = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.length(text) - 2),
+            lambda at: F.transform(fits(at), lambda n: F.struct(at.alias("at"), n.alias("size"), F.substr(text, at, n).alias("word"))),
+        )
+    )
+    first = F.length("before") + 1
+    spans = parts.where(F.length(text) > 2).select("id", "part", first.alias("first"), (first + F.length("own") - 1).alias("last"), F.inline(all_words))
+    hits = spans.join(F.broadcast(words), "word").groupBy("id", "part", "first", "last", "at").agg(F.max("size").alias("size"))
+    start, stop = F.greatest("at", "first"), F.least(F.col("at") + F.col("size") - 1, F.col("last"))
+    own = hits.where(start <= stop).groupBy("id", "part").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(start, stop))))).alias("n"))
+    shares = own.groupBy("id").agg(F.sum("n").alias("n")).join(each, "id").select("candidate", (F.col("n") / F.length("candidate")).alias("coverage"))
     # As a table of distinct candidates, which is broadcast if small, and else joined so that a hot candidate is split.
     out = join_checked(found, materialize(shares, "coverage"), ["candidate"], "left")
     return out.withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))

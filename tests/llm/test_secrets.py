@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -140,3 +142,41 @@ def test_a_hot_candidate(spark):
     found = spark.createDataFrame(rows, "k int, path string, candidate string").withColumns({"before": F.lit(""), "after": F.lit("")})
     out = secrets.features(found, spark.createDataFrame([("internation",)], "word string")).collect()
     assert len(out) == 900 and {r["coverage"] for r in out if r["k"] % 3 == 0} == {11 / 20} and {r["coverage"] for r in out if r["k"] % 3} == {11 / 20}
+
+
+def brute_coverage(candidate, words):
+    low, covered = candidate.lower(), set()
+    for at in range(len(low)):
+        for n in {len(w) for w in words}:
+            if at + n <= len(low) and low[at : at + n] in words:
+                covered |= set(range(at, at + n))
+    return len(covered) / len(candidate)
+
+
+def test_coverage_by_brute_force_across_parts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PART", 5)
+    draw = random.Random(3)
+    words = {"abc", "bca", "cab", "aaa", "abcabcabc", "ccccc"}
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    given = {"".join(draw.choices("abcABC-1", weights=(9, 9, 9, 3, 3, 3, 1, 1), k=draw.randint(16, 90))) for _ in range(300)} | {"c" * 40, "A" * 31, "1234567890123456", "ab-" * 9}
+    rows = spark.createDataFrame([(c,) for c in given] * 2, "candidate string")
+    got = secrets._with_coverage(rows, table).collect()
+    assert len(got) == 2 * len(given)
+    for r in got:
+        assert r["coverage"] == brute_coverage(r["candidate"], words), r["candidate"]
+    none = secrets._with_coverage(rows, table.limit(0)).agg({"coverage": "max"}).first()[0]
+    assert none == 0.0
+
+
+def test_time_of_coverage_is_in_proportion_to_a_candidate(spark):
+    draw = random.Random(5)
+    words = spark.createDataFrame([("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=3 + i % 9)),) for i in range(3000)], "word string").distinct()
+    text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000))
+    took = []
+    for size in (1_000, 100_000, 1_000_000):
+        began = time.time()
+        rows = spark.createDataFrame([(text[:size],), ("letters" * (size // 7),)], "candidate string")
+        got = {r["candidate"][:7]: r["coverage"] for r in secrets._with_coverage(rows, words).collect()}
+        assert 0 < got[text[:7]] < 1
+        took.append(time.time() - began)
+    assert took[2] < 60 and took[2] - took[0] < 30 * max(took[1] - took[0], 0.5), took
