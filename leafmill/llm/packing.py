@@ -41,11 +41,11 @@ from leafmill.llm.common import free_name, materialize, release, small_batches
 
 CAPACITY = 2048
 #: Pieces of a block (about), islands of a block, individuals of an island, and how long they evolve.
-BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1024, 3, 6, 3, 5
+BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1024, 3, 6, 2, 5
 #: Share of a block's bins that goes on to the next level.
 PASSED_ON = 16
-#: Words whose tokens a worker remembers, beside those of the texts at hand.
-REMEMBERED = 400_000
+#: Words of a generation that a worker remembers, beside those of the texts at hand.
+REMEMBERED = 500_000
 #: Rows that a task encodes at once.
 ROWS = 256
 #: Symbols that the tokenizer parts from a letter before them; an apostrophe may belong to what follows.
@@ -70,36 +70,51 @@ class WordCoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Words of letters a to z are what they are before and after it, so the same model takes them without the preparation of texts.
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        #: Two generations of words: the older goes when the younger has grown, but what is met again is kept.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         for whole, parts in (("aB  cd,\n\tx", ("ab", "cd,", "x")), ("it's 12. no", ("it's", "12", ".", "no"))):
             if self._ids(whole).tobytes() != b"".join(self._ids(x).tobytes() for x in parts):
                 raise ValueError(f"{path}: its tokens reach across white space")
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _ids(self, text: str, plain: bool = False) -> np.ndarray:
+        tokenizer = self.plain if plain else self.whole
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _together(self, words: list[bytes]) -> None:
+    def _together(self, words: list[bytes], plain: bool) -> None:
         """Encodes words of letters at once, unless some of them turn out to be more than one word."""
-        ids = self._ids(b" ".join(words).decode())
+        ids = self._ids(b" ".join(words).decode(), plain)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words) and (not len(ids) or cuts[-1] == len(ids)):
             data, stops = ids.tobytes(), (4 * cuts).tolist()
-            self.cores |= zip(words, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True)
+            self.young |= zip(words, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True)
         else:
-            self.cores |= ((w, self._ids(w.decode()).tobytes()) for w in words)
+            self.young |= ((w, self._ids(w.decode()).tobytes()) for w in words)
+
+    def _new(self, words: set[bytes]) -> set[bytes]:
+        """Those of the words that have to be encoded; what only the older generation has becomes young again."""
+        out = set()
+        for word in words:
+            if word not in self.young:
+                if (ids := self.old.get(word)) is not None:
+                    self.young[word] = ids
+                else:
+                    out.add(word)
+        return out
 
     def learn(self, words: set[bytes]) -> None:
-        """Remembers the tokens of words; others are forgotten if there are too many."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known, self.cores = {}, {}
-        words = words - self.known.keys()
+        """From now on the young generation has these words."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        words = self._new(words)
         plain = {word: word.lower() for word in words if word.isalpha()}  # of bytes: letters A to Z alone
         split: list[tuple[bytes, bytes, bytes]] = []
         for word in words - plain.keys():
@@ -109,14 +124,17 @@ class WordCoder:
                 head = low.rstrip(SYMBOLS)
                 head, tail = (head, low[len(head) :]) if head and head.decode()[-1].isalpha() else (low, b"")
             split.append((word, head, tail))
-        new = {x for _, *parts in split for x in parts} - self.cores.keys()
-        letters = {x for x in new if x.decode().isalpha()} | (set(plain.values()) - self.cores.keys())
-        if letters:
-            self._together(list(letters))
-        for x in new - letters:
-            self.cores[x] = self._ids(x.decode()).tobytes()
-        self.known |= ((word, self.cores[low]) for word, low in plain.items())
-        self.known |= ((word, self.cores[head] + self.cores[tail]) for word, head, tail in split)
+        new = self._new({x for _, *parts in split for x in parts} | set(plain.values()))
+        simple = [x for x in new if x.isalpha() and x.islower()]
+        other = new.difference(simple)
+        letters = [x for x in other if x.decode().isalpha()]
+        for some, how in ((simple, True), (letters, False)):
+            if some:
+                self._together(some, how)
+        for x in other.difference(letters):
+            self.young[x] = self._ids(x.decode()).tobytes()
+        self.young |= ((word, self.young[low]) for word, low in plain.items())
+        self.young |= ((word, self.young[head] + self.young[tail]) for word, head, tail in split)
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each whole UTF-8 text."""
@@ -127,7 +145,7 @@ class WordCoder:
             words = set(chain.from_iterable(part))
             self.learn(words)
             for own in part:
-                yield b"".join(map(self.known.__getitem__, own))
+                yield b"".join(map(self.young.__getitem__, own))
 
 
 @cache
