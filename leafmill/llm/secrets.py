@@ -88,7 +88,7 @@ def dictionary(df: DataFrame, text: str = "text", share: float = DICTIONARY_SHAR
 
 
 def _parts(each: DataFrame, longest: int) -> DataFrame:
-    """(id, before, own, after): the letter runs of candidates, cut into parts of PART letters, with what a word may reach over on either side.
+    """(id, text, first, last): the letter runs of candidates, cut into parts of PART letters (from first to last), with what a word may reach over on either side.
 
     Two passes of one pattern cut a run, so the cost is in proportion to its length.
     """
@@ -102,7 +102,9 @@ def _parts(each: DataFrame, longest: int) -> DataFrame:
         before = F.when(i > 0, F.right(F.get("owns", i - 1), F.lit(reach))).otherwise(F.lit(""))
         return F.struct(before.alias("before"), own.alias("own"), F.get("afters", i).alias("after"))
 
-    return cuts.select("id", F.inline(F.transform("owns", part)))
+    parts = cuts.select("id", F.inline(F.transform("owns", part)))
+    first = F.length("before") + 1
+    return parts.select("id", F.concat("before", "own", "after").alias("text"), first.alias("first"), (first + F.length("own") - 1).alias("last"))
 
 
 def _with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -113,18 +115,12 @@ def _with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     """
     sizes = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
     each = materialize(found.select("candidate").distinct().withColumn("id", F.monotonically_increasing_id()), "distinct")
-    parts = _parts(each, max(sizes, default=1)).repartition("id", "own", "before", "after")
+    parts = _parts(each, max(sizes, default=1)).repartition("id", "text", "first")
     parts = materialize(parts.withColumn("part", F.monotonically_increasing_id()), "parts")
-    text = F.concat("before", "own", "after")
-    fits = lambda at: F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length(text) - at + 1)
-    all_words = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length(text) - 2),
-            lambda at: F.transform(fits(at), lambda n: F.struct(at.alias("at"), n.alias("size"), F.substr(text, at, n).alias("word"))),
-        )
-    )
-    first = F.length("before") + 1
-    spans = parts.where(F.length(text) > 2).select("id", "part", first.alias("first"), (first + F.length("own") - 1).alias("last"), F.inline(all_words))
+    starts = F.when(F.length("text") > 2, F.sequence(F.lit(1), F.length("text") - 2))
+    spans = parts.select("id", "part", "first", "last", "text", F.explode(starts).alias("at"))
+    spans = spans.withColumn("size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).where(F.col("at") + F.col("size") <= F.length("text") + 1)
+    spans = spans.withColumn("word", F.substr("text", F.col("at"), F.col("size"))).drop("text")
     hits = spans.join(F.broadcast(words), "word").groupBy("id", "part", "first", "last", "at").agg(F.max("size").alias("size"))
     start, stop = F.greatest("at", "first"), F.least(F.col("at") + F.col("size") - 1, F.col("last"))
     own = hits.where(start <= stop).groupBy("id", "part").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(start, stop))))).alias("n"))
