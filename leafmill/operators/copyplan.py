@@ -18,17 +18,27 @@ def plan_copy(catalog: DataFrame, preserve: bool = True, force: bool = False) ->
     """The catalog with ``dest``, ``reject_reason`` (null: taken), ``replaced``, and ``shadowed`` (by a generated file).
 
     The first file of the walk takes a destination, and later ones are rejected. With ``force`` the
-    last one takes it; those before it are taken too, but ``replaced``, and not written. Either is
-    settled by a window over repository and destination, so one file is written by one task only.
+    last one takes it; those before it are taken too, but ``replaced``, and not written.
+
+    The first path of each destination is a minimum, which is taken before rows meet, and is joined
+    back to them; only rows that repeat one and the same path are numbered. So the files of a common
+    name, every README of a repository, are never in one task.
     """
     flat = catalog.withColumn("parts", paths.parts(F.col("relative_path")))
     flat = flat.withColumn("dest", F.col("relative_path") if preserve else paths.filename(F.col("relative_path")))
     flat = flat.withColumn("problem_", path_problem(F.col("dest")))
-    way = Window.partitionBy("repo_id", "dest", F.col("problem_").isNull())
-    flat = flat.withColumn("other_", F.row_number().over(way.orderBy(F.desc("parts") if force else "parts")) > 1)
+    flat = flat.withColumn("sound_", F.col("problem_").isNull()).withColumn("owner_", F.coalesce(F.col("repo_id").cast("string"), F.lit("")))
+    twin = F.row_number().over(Window.partitionBy("owner_", "parts").orderBy("size")) > 1
+    if preserve:  # a destination is a path, so only repeated paths meet
+        flat = flat.withColumn("other_", twin)
+    else:
+        winner = (F.max if force else F.min)("parts").alias("winner_")
+        winners = flat.groupBy("owner_", "dest", "sound_").agg(winner)
+        flat = flat.withColumn("twin_", twin).join(winners, ["owner_", "dest", "sound_"])
+        flat = flat.withColumn("other_", (F.col("parts") != F.col("winner_")) | F.col("twin_"))
     reason = F.coalesce("problem_", F.when(F.lit(not force) & F.col("other_"), F.lit("exists")))
     flat = flat.withColumn("reject_reason", reason).withColumn("replaced", reason.isNull() & F.col("other_"))
-    return flat.withColumn("shadowed", reason.isNull() & F.col("dest").isin(INDEX, SUMMARY)).drop("problem_", "other_")
+    return flat.withColumn("shadowed", reason.isNull() & F.col("dest").isin(INDEX, SUMMARY)).select(*catalog.columns, "parts", "dest", "reject_reason", "replaced", "shadowed")
 
 
 def failure_message() -> Column:

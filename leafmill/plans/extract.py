@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -104,10 +105,20 @@ def check_output(path: str, force: bool) -> None:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """The report of one repository as a text file, line by line in order."""
-    with open(path, "w", encoding="utf-8") as f:
-        for row in lines.orderBy("ordinal").select("line").toLocalIterator():
-            f.write(row["line"] + "\n")
+    """The report of one repository as a text file, line by line in order.
+
+    Tasks write the parts, ranges of the order; the driver strings the parts together, and sees no line.
+    """
+    parts = f"{os.path.abspath(path)}.parts-{uuid.uuid4().hex}"
+    try:
+        # A line break inside a line is kept: the text sink ends each row by one more.
+        lines.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("line").write.text(f"file://{parts}")
+        with open(path, "wb") as whole:
+            for name in sorted(x for x in os.listdir(parts) if x.startswith("part-")):
+                with open(os.path.join(parts, name), "rb") as part:
+                    shutil.copyfileobj(part, whole, 1 << 20)
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
 
 
 def extract(spark: SparkSession, root: str, config: Config, repository: Repository, name: str, mode: str = "human") -> Run:

@@ -251,3 +251,24 @@ def test_console_of_a_run(spark, tmp_path, monkeypatch, capsys):
     assert capsys.readouterr().out.startswith("REPORT: Extraction completed\nRepository: local/")
     assert main([root, "-o", "three"], spark) == 0
     assert "✓ Documentation extraction completed!" in (shown := capsys.readouterr().out) and "=== Extraction Report ===" in shown and "  md: 7 files" in shown
+
+
+def test_flat_names_are_settled_without_a_window_over_them(spark):
+    rows = catalog(spark, *((f"d{i}/README", i) for i in range(40)), ("x/a<b", 1), ("y/a<b", 1), ("d1/README", 1), ("z.md", 3))
+    for force in (False, True):
+        plan = copyplan.plan_copy(rows, preserve=False, force=force)
+        got = plan.collect()
+        taken = [r["relative_path"] for r in got if r["reject_reason"] is None and not r["replaced"] and r["dest"] == "README"]
+        assert taken == [max(f"d{i}/README" for i in range(40)) if force else "d0/README"]
+        assert sorted(r["reject_reason"] or "" for r in got) == [""] * (42 if force else 2) + (["exists"] * 40 if not force else []) + ["invalid_characters"] * 2
+        windows = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x]
+        assert windows and not any("dest" in x for x in windows)
+    twice = copyplan.plan_copy(catalog(spark, ("a/b.md", 1), ("a/b.md", 2), ("a/c.md", 2))).collect()
+    assert sorted((r["relative_path"], r["size"], r["reject_reason"]) for r in twice) == [("a/b.md", 1, None), ("a/b.md", 2, "exists"), ("a/c.md", 2, None)]
+
+
+def test_lines_are_written_by_tasks(spark, tmp_path):
+    lines = spark.range(1, 5001).select(F.col("id").alias("ordinal"), F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("zeile ü "), "id")).alias("line")).repartition(7)
+    extract.write_lines(lines, str(tmp_path / "out.txt"))
+    assert (tmp_path / "out.txt").read_text().split("\n") == [*("" if i % 3 == 0 else f"zeile ü {i}" for i in range(1, 5001)), ""]
+    assert os.listdir(tmp_path) == ["out.txt"]
