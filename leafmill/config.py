@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tomllib
 from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass, field, fields, replace
@@ -50,8 +51,8 @@ class Filters:
 
     @property
     def patterns(self) -> tuple[str, ...]:
-        """The patterns that compile; others are passed over."""
-        return tuple(p for p in self.exclude_patterns if _compiles(p))
+        """The patterns of a language without backtracking that compile; others are passed over."""
+        return _compiling(tuple(p for p in self.exclude_patterns if _regular(p)))
 
 
 @dataclass(frozen=True)
@@ -81,14 +82,32 @@ class Config:
 OPTIONAL = {"clone_depth", "branch", "patterns_on_files", "force"}
 
 
+#: Letters that may follow a backslash in a pattern.
+ESCAPED = frozenset("aftnrvAzbBdDsSwWpPxuU")
+
+
+def _regular(pattern: str) -> bool:
+    """Whether a pattern has no look-around, back-reference, atomic group or escape that only backtracking engines know."""
+    escaped = re.findall(r"(?s)\\(.)", pattern)
+    bare = re.sub(r"(?s)\\.", "_", pattern)
+    while (inner := re.sub(r"\[\^?\]?[^\[\]]*\]", "_", bare)) != bare:  # classes, from the inside out
+        bare = inner
+    known = all(c in ESCAPED or (c.isascii() and not c.isalnum()) for c in escaped)
+    return known and not re.search(r"\(\?(?:[=!>]|<[=!])", bare)
+
+
 @cache
-def _compiles(pattern: str) -> bool:
-    """Whether the engine that will run a pattern takes it; needs a session."""
+def _compiling(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    """Those that the engine that will run them takes, by one statement where it takes all; needs a session."""
+    if not patterns:
+        return ()
     try:
-        SparkSession.active().sql("SELECT '' RLIKE :pattern", {"pattern": pattern}).collect()
+        tests = ", ".join(f"'' RLIKE :p{i}" for i in range(len(patterns)))
+        SparkSession.active().sql(f"SELECT {tests}", {f"p{i}": p for i, p in enumerate(patterns)}).collect()
     except PySparkException:
-        return False
-    return True
+        half = len(patterns) // 2
+        return _compiling(patterns[:half]) + _compiling(patterns[half:]) if half else ()
+    return patterns
 
 
 def load_file(path: str) -> Config:

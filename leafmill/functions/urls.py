@@ -10,13 +10,37 @@ HOST = "github.com"
 LONGEST_NAME = 100
 
 
+# Characters that a path holds only as percent codes.
+ENCODED = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "[": "%5B", "\\": "%5C", "]": "%5D", "^": "%5E", "`": "%60", "{": "%7B", "|": "%7C", "}": "%7D"}
+# End of fixed values.
+
+
+def _written(url: Column) -> Column:
+    """The address as browsers write it: trimmed, without line breaks, odd characters behind the host as percent codes."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    bare = F.when(bare.rlike("(?i)^(https?|ftp):"), F.replace(bare, F.lit("\\"), F.lit("/"))).otherwise(bare)
+    start = r"(?s)^([^:/?#]*://[^/?#]*)?(.*)$"
+    rest = F.regexp_replace(F.regexp_extract(bare, start, 2), "%(?![0-9A-Fa-f]{2})", "%25")
+    for character, code in ENCODED.items():
+        rest = F.replace(rest, F.lit(character), F.lit(code))
+    return F.concat(F.regexp_extract(bare, start, 1), rest)
+
+
 def _part(url: Column, what: str) -> Column:
-    return F.try_parse_url(url, F.lit(what))
+    return F.try_parse_url(_written(url), F.lit(what))
 
 
 def segments(url: Column) -> Column:
-    """Components of the path."""
-    return F.split(F.regexp_replace(F.coalesce(_part(url, "PATH"), F.lit("")), "^/", ""), "/")
+    """Components of the path. '.' goes, and '..' takes the one before it along; at the end they leave an empty one."""
+    given = F.split(F.regexp_replace(F.coalesce(_part(url, "PATH"), F.lit("")), "^/", ""), "/")
+
+    def step(above: Column, part: Column) -> Column:
+        dots = F.regexp_replace(part, "(?i)%2e", ".")
+        without = F.slice(above, F.lit(1), F.greatest(F.size(above) - 1, F.lit(0)))
+        return F.when(dots == "..", without).when(dots == ".", above).otherwise(F.concat(above, F.array(part)))
+
+    left = F.aggregate(given, F.array().cast("array<string>"), step)
+    return F.when(F.element_at(given, -1).rlike(r"(?i)^(\.|%2e){1,2}$"), F.concat(left, F.array(F.lit("")))).otherwise(left)
 
 
 def owner(url: Column) -> Column:
@@ -47,7 +71,6 @@ def url_problem(url: Column, host: str = HOST, strict_host: bool = False) -> Col
     odd = r"[^A-Za-z0-9._-]"  # other characters are percent-encoded in an address, and "%" is refused
     deeper = (
         F.when(F.size(segments(url)) < 2, F.lit("path"))
-        .when(F.array_contains(segments(url), ".."), F.lit("dots"))
         .when((first == "") | (F.get(segments(url), F.lit(1)) == ""), F.lit("empty"))
         .when(first.rlike(odd), F.lit("owner_chars"))
         .when(second.rlike(odd), F.lit("repo_chars"))

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,14 @@ def _line(order: list, text: Column | str) -> Column:
     return F.struct(F.lit(section).alias("s"), as_group.alias("g"), F.lit(part).alias("p"), as_array.alias("k"), text.alias("line"))
 
 
+def _together(lines: list[DataFrame]) -> tuple[DataFrame, Column]:
+    """All lines, and what orders them."""
+    rows = reduce(DataFrame.unionByName, lines)
+    return rows, F.concat(F.array("x.s", "x.g", F.lpad(F.col("x.p").cast("string"), 3, "0")), F.coalesce("x.k", F.array().cast("array<string>")))
+
+
 def _numbered(lines: list[DataFrame]) -> DataFrame:
-    rows = lines[0]
-    for more in lines[1:]:
-        rows = rows.unionByName(more)
-    order = F.concat(F.array("x.s", "x.g", F.lpad(F.col("x.p").cast("string"), 3, "0")), F.coalesce("x.k", F.array().cast("array<string>")))
+    rows, order = _together(lines)
     return ranks.with_ordinal(rows, "repo_id", order).select("repo_id", "ordinal", F.col("x.line").alias("line"))
 
 
@@ -183,33 +188,94 @@ def _duration(milliseconds: Column | None) -> Column:
     return F.when(ms.isNotNull(), F.struct(F.floor(ms / 1000).cast("long").alias("secs"), (ms % 1000 * 1_000_000).alias("nanos")))
 
 
-def report_rows(plan: DataFrame, repos: DataFrame, config: Config, time: Column | None = None, duration_ms: Column | None = None) -> DataFrame:
-    """One nested row for each repository: the report as data. Its files are those scanned, in the order of the walk."""
-    files = plan.groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct("parts", F.struct("filename", "relative_path", "extension", "size", _since_epoch(plan).alias("modified")).alias("f")))).alias("files")
-    )
-    bad = copyplan.failures(plan).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("parts", "message"))).alias("errors"))
-    known = repos.join(stats.report_summary(plan), "repo_id").join(stats.counts_map(plan), "repo_id").join(files, "repo_id").join(bad, "repo_id", "left")
+def _file(plan: DataFrame) -> Column:
+    return F.struct("filename", "relative_path", "extension", "size", _since_epoch(plan).alias("modified"))
+
+
+def _known(plan: DataFrame, repos: DataFrame) -> DataFrame:
+    """Repositories with their totals and the record of the largest file, the first of equal ones."""
+    first = F.struct((-F.col("size")).alias("less"), "parts")
+    largest = plan.groupBy("repo_id").agg(F.min_by(_file(plan), first).alias("largest_file"))
+    return repos.join(stats.report_summary(plan), "repo_id").join(largest, "repo_id")
+
+
+def _described() -> Column:
+    return F.struct("name", "owner", "default_branch", "is_empty", "total_commits", "url")
+
+
+def _used(config: Config) -> Column:
     f = config.filters
-    largest = F.get(F.filter("files", lambda x: x["f"]["relative_path"] == F.col("largest_path")), F.lit(0))["f"]
+    return F.struct(
+        F.array(*map(F.lit, f.extensions)).alias("extensions"), F.lit(f.max_file_size).cast("long").alias("max_file_size"),
+        F.array(*map(F.lit, f.exclude_dirs)).alias("exclude_dirs"), F.lit(config.output.preserve_structure).alias("preserve_structure"),
+    )
+
+
+def report_rows(plan: DataFrame, repos: DataFrame, config: Config, time: Column | None = None, duration_ms: Column | None = None, listed: bool = True) -> DataFrame:
+    """One nested row for each repository: the report as data. Its files are those scanned, in the order of the walk.
+
+    Without ``listed`` there are no files in it, and its size goes with the errors. ``json_lines`` has no such rows.
+    """
+    bad = copyplan.failures(plan).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("parts", "message"))).alias("errors"))
+    known = _known(plan, repos).join(stats.counts_map(plan), "repo_id").join(bad, "repo_id", "left")
+    if listed:
+        files = F.array_sort(F.collect_list(F.struct("parts", _file(plan).alias("f"))))
+        known = known.join(plan.groupBy("repo_id").agg(files.alias("files")), "repo_id")
     summary = F.struct(
         F.col("files_processed").alias("total_files_processed"), F.col("bytes_processed").alias("total_bytes_processed"),
         _duration(duration_ms).alias("extraction_duration"),
-        "files_by_extension", largest.alias("largest_file"), F.col("average_size").alias("average_file_size"),
-    )
-    used = F.struct(
-        F.array(*map(F.lit, f.extensions)).alias("extensions"), F.lit(f.max_file_size).cast("long").alias("max_file_size"),
-        F.array(*map(F.lit, f.exclude_dirs)).alias("exclude_dirs"), F.lit(config.output.preserve_structure).alias("preserve_structure"),
+        "files_by_extension", "largest_file", F.col("average_size").alias("average_file_size"),
     )
     return known.select(
         "repo_id",
-        F.struct("name", "owner", "default_branch", "is_empty", "total_commits", "url").alias("repository_info"),
+        _described().alias("repository_info"),
         summary.alias("extraction_summary"),
-        F.transform("files", lambda x: x["f"]).alias("files"),
+        *([F.transform("files", lambda x: x["f"]).alias("files")] if listed else []),
         (time if time is not None else F.lit(None).cast("timestamp")).alias("extraction_time"),
         F.coalesce(F.transform("errors", lambda x: x["message"]), F.array().cast("array<string>")).alias("errors"),
-        used.alias("config_used"),
+        _used(config).alias("config_used"),
+    )
+
+
+def _json(value: Column) -> Column:
+    """A value of any type as JSON; null as null."""
+    whole = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _entry(indent: str, name: str, value: Column, more: bool = True) -> Column:
+    return F.concat(F.lit(f'{indent}"{name}": '), _json(value), F.lit("," if more else ""))
+
+
+def json_lines(plan: DataFrame, repos: DataFrame, config: Config, time: Column | None = None, duration_ms: Column | None = None) -> DataFrame:
+    """The report as one JSON document, in lines: a file, an error or an extension is a line of its own.
+
+    No row grows with a repository. Joined by line breaks they are the data of ``report_rows``.
+    """
+    known = _known(plan, repos)
+    head = [
+        "{", _entry("  ", "repository_info", _described()), '  "extraction_summary": {',
+        _entry("    ", "total_files_processed", F.col("files_processed")), _entry("    ", "total_bytes_processed", F.col("bytes_processed")),
+        _entry("    ", "extraction_duration", _duration(duration_ms)), '    "files_by_extension": {',
+    ]
+    middle = ["    },", _entry("    ", "largest_file", F.col("largest_file")), _entry("    ", "average_file_size", F.col("average_size"), False), "  },", '  "files": [']
+    after = ["  ],", _entry("  ", "extraction_time", time if time is not None else F.lit(None).cast("timestamp")), '  "errors": [']
+    foot = ["  ],", _entry("  ", "config_used", _used(config), False), "}"]
+    fixed = [_line([section, "", i, ""], x) for section, lines in zip("aceg", (head, middle, after, foot), strict=True) for i, x in enumerate(lines)]
+    kind = F.concat(F.lit("      "), _json(F.col("ext")), F.lit(": "), F.col("files").cast("string"))
+    rows, order = _together(
+        [
+            _exploded(known, *fixed),
+            _exploded(stats.extension_counts(plan), _line(["b", "", 0, F.array("ext")], kind)),
+            _exploded(plan, _line(["d", "", 0, F.col("parts")], F.concat(F.lit("    "), _json(_file(plan))))),
+            _exploded(copyplan.failures(plan), _line(["f", "", 0, F.col("parts")], F.concat(F.lit("    "), _json(F.col("message"))))),
+        ]
     )
+    listed = {"b": "types", "d": "files", "f": "errors"}  # all of these but the last end with a comma
+    sums = {"ordinal": F.lit(1), **{name: (F.col("x.s") == section).cast("long") for section, name in listed.items()}}
+    out = ranks.running(rows, "repo_id", order, sums, {name: f"all_{name}" for name in listed.values()})
+    more = reduce(lambda a, b: a | b, [(F.col("x.s") == section) & (F.col(name) < F.col(f"all_{name}")) for section, name in listed.items()])
+    return out.select("repo_id", F.col("ordinal").cast("int").alias("ordinal"), F.concat("x.line", F.when(more, F.lit(",")).otherwise(F.lit(""))).alias("line"))
 
 
 def report_json(report: DataFrame, pretty: bool = True) -> DataFrame:

@@ -116,7 +116,7 @@ def scan_reject_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_documents(spark, sf_dir).groupBy("repo_id", reason.alias("reason")).agg(F.count("*").alias("files"))
 
 
-PATTERNS = Filters(exclude_patterns=(r"^docs/g", r"src\d*[02468]$", r"[unclosed", r"d3/d4$"))
+PATTERNS = Filters(exclude_patterns=(r"^docs/g", r"src\d*[02468]$", r"[unclosed", r"d3/d4$", r"(?!x)", r"(?<=o)c", r"(?>a)", r"(.)\1", r"\Ra"))
 
 
 @query(
@@ -292,17 +292,27 @@ URLS = (
     "https://evilgithub.com/o/r", "git@github.com:o/r", "https://github.com/o/../x/y", "https://GITHUB.com/o/r", "https://github.com//r", "https://github.com/o/",
     "https://github.com/o$/r", "https://github.com/o/r!", "https://github.com/.o/r", "https://github.com/o/.r", "https://github.com/o/.git", "https://api.github.com/o/r/tree/main",
     "https://github.com/o/" + "r" * 100, "https://github.com/o/" + "r" * 101, "https://github.com/o/r.git.git",
+    "https://github.com/a/./b", "https://github.com/a/b/..", "https://github.com/a/%2E%2e/x/y", "https://github.com/../../x/y/z/../..", "https://github.com/o/.", "https://github.com/..", "git://github.com/a/../o/r.git",
+    "https://github.com/o r/x", "https://github.com/o/r|x", "https://github.com/o/r%zz", "https://github.com\\o\\r", "git://github.com/o\\r/x", " https://github.com/o/r\n", "https://github.com/o/<r>", "https://github.com/o/r?q=[1]#a b",
     "https://github.com/ünï/r", "https://github.com/½/r", "https://github.com/o/ünï", "https://github.com/o/中", "https://github.com/o/r_1.x-y",
 )
 EXAMPLE = "example.com"
 
 
 def _urls_sql(host: str) -> str:
-    return f"""u AS (SELECT url, '{urls.HOST}' AS h FROM {_sql_values([(u,) for u in URLS], ["url"])} UNION ALL SELECT url, '{host}' FROM pages),
-    q AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/]*@)?([^/:?#]*)', 1)) AS host,
-      string_split(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/', ''), '/') AS seg FROM u),
+    coded = "regexp_replace(regexp_extract(v, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '%([^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f]|.?$)', '%25\\1', 'g')"
+    for character, code in urls.ENCODED.items():
+        coded = f"replace({coded}, '{character}', '{code}')"
+    dots = "replace(lower(x[1]), '%2e', '.')"
+    return f"""a AS (SELECT url, '{urls.HOST}' AS h FROM {_sql_values([(u,) for u in URLS], ["url"])} UNION ALL SELECT url, '{host}' FROM pages),
+    b AS (SELECT url, h, regexp_replace(regexp_replace(url, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '[\\t\\n\\r]', '', 'g') AS v FROM a),
+    u AS (SELECT url, h, CASE WHEN regexp_matches(v, '^(?i:https?|ftp):') THEN replace(v, '\\', '/') ELSE v END AS v FROM b),
+    w AS (SELECT *, string_split(regexp_replace({coded}, '^/', ''), '/') AS given FROM u),
+    q AS (SELECT *, regexp_extract(v, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, lower(regexp_extract(v, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/]*@)?([^/:?#]*)', 1)) AS host,
+      list_concat(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(given, lambda y: [y])), lambda s, x: CASE {dots} WHEN '..' THEN list_slice(s, 1, len(s) - 1) WHEN '.' THEN s ELSE list_concat(s, x) END),
+        CASE WHEN replace(lower(given[-1]), '%2e', '.') IN ('.', '..') THEN [''] ELSE [] END) AS seg FROM w),
     t AS (SELECT *, seg[1] AS owner, regexp_replace(seg[2], '[.]git$', '') AS repo,
-      CASE WHEN scheme = '' OR NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'bad_url' WHEN lower(scheme) NOT IN ('https', 'ssh', 'git') THEN 'scheme'
+      CASE WHEN scheme = '' OR NOT regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'bad_url' WHEN lower(scheme) NOT IN ('https', 'ssh', 'git') THEN 'scheme'
         WHEN lower(scheme) = 'git' AND NOT contains(host, h) THEN 'git_host' WHEN host = '' THEN 'no_host' WHEN NOT ends_with(host, h) THEN 'host' END AS transport FROM q)"""
 
 
@@ -316,7 +326,7 @@ def _by_host(column: Callable) -> F.Column:
 
 
 @query(
-    f"""WITH {_urls_sql(EXAMPLE)} SELECT url, coalesce(transport, CASE WHEN len(seg) < 2 THEN 'path' WHEN list_contains(seg, '..') THEN 'dots'
+    f"""WITH {_urls_sql(EXAMPLE)} SELECT url, coalesce(transport, CASE WHEN len(seg) < 2 THEN 'path'
       WHEN seg[1] = '' OR seg[2] = '' THEN 'empty' WHEN regexp_matches(owner, '[^A-Za-z0-9._-]') THEN 'owner_chars' WHEN regexp_matches(repo, '[^A-Za-z0-9._-]') THEN 'repo_chars'
       WHEN starts_with(owner, '.') OR starts_with(repo, '.') THEN 'dot' WHEN strlen(owner) > 100 OR strlen(repo) > 100 THEN 'length' ELSE 'ok' END) AS problem FROM t"""
 )
@@ -501,7 +511,68 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.scan_summary(_kept(spark, sf_dir))
 
 
-@query()
+_FILE = "{'filename': %s, 'relative_path': %s, 'extension': extension, 'size': size, 'modified': NULL}"
+#: Each repository with the record of its largest file.
+LARGEST = f"""g AS (SELECT repo_id, first({_FILE % ("filename", "relative_path")} ORDER BY size DESC, parts) AS f FROM l GROUP BY repo_id), w AS (SELECT t.*, g.f FROM t JOIN g USING (repo_id))"""
+_OURS = """{'name': 'repo' || repo_id, 'owner': 'owner', 'default_branch': 'main', 'is_empty': false, 'total_commits': repo_id * 3 + 1, 'url': 'https://github.com/owner/repo' || repo_id}"""
+_USED = f"{{'extensions': {list(FILTERS.extensions)}, 'max_file_size': 20000, 'exclude_dirs': {list(FILTERS.exclude_dirs)}, 'preserve_structure': true}}"
+JSON_LINES = _lines_sql(
+    [(1, line, "w", _at(i)) for i, line in enumerate([
+        "'{'", f"""'  "repository_info": ' || to_json({_OURS}) || ','""", """'  "extraction_summary": {'""", """'    "total_files_processed": ' || n || ','""", """'    "total_bytes_processed": ' || b || ','""",
+        """'    "extraction_duration": null,'""", """'    "files_by_extension": {'"""])]
+    + [(2, """'      "' || ext || '": ' || n""", "x", "[ext]")]
+    + [(3, line, "w", _at(i)) for i, line in enumerate(["'    },'", """'    "largest_file": ' || to_json(f) || ','""", """'    "average_file_size": ' || a""", "'  },'", """'  "files": ['"""])]
+    + [(4, f"""'    ' || to_json({_FILE % ("filename", "relative_path")})""", "l", "parts")]
+    + [(5, line, "w", _at(i)) for i, line in enumerate(["'  ],'", """'  "extraction_time": null,'""", """'  "errors": ['"""])]
+    + [(6, "'    ' || to_json(message)", "e", "parts")]
+    + [(7, line, "w", _at(i)) for i, line in enumerate(["'  ],'", f"""'  "config_used": ' || to_json({_USED})""", "'}'"])]
+)
+
+
+@query(
+    f"""WITH {FLAT}, {SUMS}, {LARGEST}, y AS ({JSON_LINES}),
+    z AS (SELECT repo_id, s, o, CAST(line AS VARCHAR) || CASE WHEN s IN (2, 4, 6) AND row_number() OVER (PARTITION BY repo_id, s ORDER BY o) < count(*) OVER (PARTITION BY repo_id, s) THEN ',' ELSE '' END AS line FROM y)
+    SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY s, o) AS INTEGER) AS ordinal, line FROM z"""
+)
+def report_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = _flat(spark, sf_dir).cache()
+    return reports.json_lines(plan, repositories(plan), CONFIG)
+
+
+def _pretty(fields: Sequence[tuple[str, str]], depth: int) -> str:
+    """SQL of an object over several lines; values are SQL texts."""
+    pad = "  " * (depth + 1)
+    inside = " || ',' || chr(10) || ".join(f"""'{pad}"{name}" : ' || {value}""" for name, value in fields)
+    return f"('{{' || chr(10) || {inside} || chr(10) || '{'  ' * depth}}}')"
+
+
+def _pretty_file(x: str, depth: int) -> str:
+    return _pretty([*[(c, f"to_json({x}{c})") for c in ("filename", "relative_path", "extension", "size")], ("modified", "'null'")], depth)
+
+
+def _pretty_list(items: Sequence[str]) -> str:
+    return "'[ " + ", ".join(f'"{x}"' for x in items) + " ]'"
+
+
+_REPO_OBJECT = [("name", "to_json('repo' || repo_id)"), ("owner", """'"owner"'"""), ("default_branch", """'"main"'"""), ("is_empty", "'false'"), ("total_commits", "(repo_id * 3 + 1)"), ("url", "to_json('https://github.com/owner/repo' || repo_id)")]
+_SUM_OBJECT = [
+    ("total_files_processed", "n"), ("total_bytes_processed", "b"), ("extraction_duration", "'null'"), ("files_by_extension", "types"),
+    ("largest_file", _pretty_file("f.", 2)), ("average_file_size", "a"),
+]
+_USED_OBJECT = [("extensions", _pretty_list(FILTERS.extensions)), ("max_file_size", "20000"), ("exclude_dirs", _pretty_list(FILTERS.exclude_dirs)), ("preserve_structure", "'true'")]
+_REPORT_OBJECT = [
+    ("repository_info", _pretty(_REPO_OBJECT, 1)), ("extraction_summary", _pretty(_SUM_OBJECT, 1)), ("files", "'[ ' || files || ' ]'"), ("extraction_time", "'null'"),
+    ("errors", "coalesce('[ ' || errors || ' ]', '[ ]')"), ("config_used", _pretty(_USED_OBJECT, 1)),
+]
+
+
+@query(
+    f"""WITH {FLAT}, {SUMS}, {LARGEST},
+    ta AS (SELECT repo_id, '{{' || chr(10) || string_agg('      "' || ext || '" : ' || n, ',' || chr(10) ORDER BY ext) || chr(10) || '    }}' AS types FROM x GROUP BY repo_id),
+    fa AS (SELECT repo_id, string_agg({_pretty_file("", 1)}, ', ' ORDER BY parts) AS files FROM l GROUP BY repo_id),
+    ea AS (SELECT repo_id, string_agg(CAST(to_json(message) AS VARCHAR), ', ' ORDER BY parts) AS errors FROM e GROUP BY repo_id)
+    SELECT repo_id, {_pretty(_REPORT_OBJECT, 0)} AS json FROM w JOIN ta USING (repo_id) JOIN fa USING (repo_id) LEFT JOIN ea USING (repo_id)"""
+)
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = _flat(spark, sf_dir).cache()
     return reports.report_json(reports.report_rows(plan, repositories(plan), CONFIG))
@@ -522,7 +593,7 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_console(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the console shows of a run that took 800 ms and 7 ms for each file."""
     plan = _flat(spark, sf_dir).cache()
-    rows = reports.report_rows(plan, repositories(plan), CONFIG, F.lit("2024-02-29 12:34:56Z").cast("timestamp"))
+    rows = reports.report_rows(plan, repositories(plan), CONFIG, F.lit("2024-02-29 12:34:56Z").cast("timestamp"), listed=False)
     rows = rows.withColumn("mode", F.explode(F.array(*map(F.lit, ("human", "json", "plain")))))
     files, size = (F.col("extraction_summary")[c] for c in ("total_files_processed", "total_bytes_processed"))
     ms = files * 7 + 800

@@ -147,18 +147,18 @@ def _write(spark: SparkSession, catalog: DataFrame, config: Config, repository:
     errors = (*[r["message"] for r in copyplan.error_ledger(plan).orderBy("ordinal").toLocalIterator()], *late)
     seconds = (datetime.now(UTC) - began).total_seconds()
     repos = spark.createDataFrame([(0, repository.owner, repository.name, repository.url, repository.default_branch, repository.total_commits, repository.is_empty)], "repo_id long, owner string, name string, url string, default_branch string, total_commits long, is_empty boolean")
-    rows = reports.report_rows(plan, repos, config, F.lit(began).cast("timestamp"), F.lit(int(seconds * 1000)))
+    told_of = (plan, repos, config, F.lit(began).cast("timestamp"), F.lit(int(seconds * 1000)))
     if config.output.generate_report:
         time, lasted = began.strftime("%Y-%m-%d %H:%M:%S UTC"), f"{seconds:.3f}s"
         write_lines(reports.text_lines(plan, repos, config, time, lasted), os.path.join(out, copyplan.METADATA, "extraction_report.txt"))
         write_lines(reports.summary_lines(plan, repos, time[:16] + " UTC", lasted), os.path.join(out, copyplan.SUMMARY))
-        with open(os.path.join(out, copyplan.METADATA, "extraction_report.json"), "w", encoding="utf-8") as f:
-            f.write(reports.report_json(rows).first()["json"] + "\n")
+        write_lines(reports.json_lines(*told_of), os.path.join(out, copyplan.METADATA, "extraction_report.json"))
     if config.output.create_index:
         write_lines(reports.index_lines(catalog, config.output.preserve_structure, began.strftime("%Y-%m-%d %H:%M:%S UTC")), os.path.join(out, copyplan.INDEX))
     ms, form = F.lit(int(seconds * 1000)), F.lit(mode)
     numbers = [F.lit(x).cast("long") for x in (done["n"], done["b"])]
     shown = console.summary(form, *numbers, ms, F.lit(len(errors)), F.lit(datetime.now(UTC).isoformat()))
+    rows = reports.report_rows(*told_of, listed=mode == "json")
     told = reports.report_json(rows).first()["json"] if mode == "json" else rows.select(console.report(form, ms).alias("r")).first()["r"]
     return Run(out, done["n"], done["b"], errors, seconds, spark.range(1).select(shown.alias("s")).first()["s"], told)
 

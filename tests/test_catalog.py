@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafmill import config
 from leafmill.cli import main
 from leafmill.functions import paths, text, urls
-from leafmill.operators import copyplan, messages, predicates, stats
+from leafmill.operators import copyplan, messages, predicates, reports, stats
 from leafmill.plans import catalog_queries, extract
 from leafmill.sources import repo_files
 from leafmill.sources.catalog import from_paths
@@ -272,3 +272,36 @@ def test_lines_are_written_by_tasks(spark, tmp_path):
     extract.write_lines(lines, str(tmp_path / "out.txt"))
     assert (tmp_path / "out.txt").read_text().split("\n") == [*("" if i % 3 == 0 else f"zeile ü {i}" for i in range(1, 5001)), ""]
     assert os.listdir(tmp_path) == ["out.txt"]
+
+
+def test_dots_and_odd_characters_of_addresses(spark):
+    cases = {
+        "https://github.com/o/../x/y": ["x", "y"], "https://github.com/o/r/..": ["o", ""], "https://github.com/o/%2E/r": ["o", "r"], "https://github.com/..": [""],
+        "https://github.com\\o\\r": ["o", "r"], " https://github.com/o/r ": ["o", "r"], "https://github.com/o b/r": ["o%20b", "r"], "git://github.com/o\\b/r": ["o%5Cb", "r"],
+        "https://github.com": [""], None: [""],
+    }
+    assert col(spark, list(cases), urls.segments) == list(cases.values())
+    assert col(spark, ["https://github.com/o/../x/y", "https://github.com/o/../r", "https://github.com/o b/r"], urls.url_problem) == ["ok", "path", "owner_chars"]
+
+
+def test_patterns_that_need_backtracking_are_passed_over(spark):
+    refused = ("(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", "(?>a)", r"(a)\1", r"(?<n>a)\k<n>", r"a\Z", r"\Qa\E", r"[a](?!b)", "(", r"\é")
+    taken = (r"a\.b", "[(?=]a", r"\(?!", "(?:a)", "(?i)a", r"[\[(?!]", r"\p{L}+$", "(?<n>a)", "")
+    assert config.Filters(exclude_patterns=refused + taken).patterns == taken
+    assert config.Filters(exclude_patterns=refused).patterns == () == config.Filters(exclude_patterns=()).patterns
+
+
+def test_report_as_lines_is_the_report(spark):
+    rows = catalog(spark, ('b/say "x".md', 5), ("a/README", 7), ("b/README", 7), ("b/tab\t\\.md", 1), ("é/ü.rst", 0), ("c/bad?.md", 1))
+    repos = spark.createDataFrame([(0, "o", "r", "u", "main", 3, False), (1, "o", "none", "u", "main", 0, True)], "repo_id long, owner string, name string, url string, default_branch string, total_commits long, is_empty boolean")
+    rows = rows.withColumn("repo_id", F.lit(0).cast("long"))
+    for preserve in (False, True):
+        plan = copyplan.plan_copy(rows, preserve=preserve)
+        at = (F.lit("2024-02-29 12:34:56Z").cast("timestamp"), F.lit(1234))
+        for given in (at, (None, None)):
+            lines = [r["line"] for r in reports.json_lines(plan, repos, config.Config(), *given).orderBy("ordinal").collect()]
+            whole = reports.report_json(reports.report_rows(plan, repos, config.Config(), *given)).collect()
+            assert len(whole) == 1 and json.loads("\n".join(lines)) == json.loads(whole[0]["json"])
+            assert sum(x.startswith('    {"filename"') for x in lines) == 6
+    none = reports.json_lines(copyplan.plan_copy(rows.where("size < 0")), repos, config.Config())
+    assert none.count() == 0  # a repository without files has no report, as in report_rows
