@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from leafmill import config as settings
 from leafmill.functions import urls
 from leafmill.operators import messages
-from leafmill.plans.extract import Repository, RunError, cancellable, described, extract
+from leafmill.plans.extract import Repository, RunError, described, extract, interruptible
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,6 +55,10 @@ def effective_config(args: argparse.Namespace) -> settings.Config:
     return merged
 
 
+def show_progress(files: int, size: int) -> None:
+    print(f"\r  {files} files, {size} bytes", end="", file=sys.stderr, flush=True)
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     if args.generate_config:
@@ -92,8 +96,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             return messages.OK
         if not args.tree:
             raise RunError("invalid_path", "no tree given")
-        with cancellable(spark, "leafmill-extract"):
-            run = extract(spark, args.tree, config, described(spark, args.tree, repository), name, args.output_format)
+        live = args.output_format == "human" and not args.quiet and sys.stderr.isatty()
+        with interruptible(spark, "leafmill-describe", config.git.timeout):
+            repository = described(spark, args.tree, repository)
+        with interruptible(spark, "leafmill-extract"):
+            run = extract(spark, args.tree, config, repository, name, args.output_format, show_progress if live else None)
     except (RunError, settings.ConfigError) as e:
         kind, detail = (e.kind, e.detail) if isinstance(e, RunError) else ("config", str(e))
         r = spark.range(1).select(messages.message(F.lit(kind), F.lit(detail)).alias("m"), messages.hint(F.lit(kind)).alias("h"), messages.exit_code(F.lit(kind), F.lit(0)).alias("c")).first()

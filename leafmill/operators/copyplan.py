@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +89,11 @@ def progress_trace(plan: DataFrame) -> DataFrame:
     return out.withColumn("percent", percent_complete(F.col("files_processed"), F.col("total_files")))
 
 
-def copy_files(plan: DataFrame, out: str, overwrite: bool = False) -> DataFrame:
+def copy_files(plan: DataFrame, out: str, overwrite: bool = False, progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """Copies the files of a plan that are taken and not replaced below ``out``, all of them or none; returns the ledger.
 
     The ledger has source_path, dest, bytes_copied, sha256 and failure of each. ``out`` must not be there,
-    unless ``overwrite`` replaces it as a whole.
+    unless ``overwrite`` replaces it as a whole. ``progress`` is told of files and bytes as tasks end.
     """
     rows = plan.where("reject_reason IS NULL AND NOT replaced").select("dest", "source_path")
-    return write_files(rows, out, overwrite)
+    return write_files(rows, out, overwrite, progress)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import shutil
+import signal
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -53,14 +56,69 @@ class Run:
 
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], None]]:
-    """Jobs started inside can be stopped, from any thread, by the function given."""
+    """Jobs started inside can be stopped, from any thread, by the function given.
+
+    A session's own tags are known to the thread that set them alone, so the context's are used besides.
+    """
+    context = spark.sparkContext
     spark.addTag(tag)
+    context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
     try:
-        yield lambda: spark.interruptTag(tag)
+        yield lambda: context.cancelJobsWithTag(tag)
     finally:
+        context.setInterruptOnCancel(False)
+        context.removeJobTag(tag)
         spark.removeTag(tag)
 
 
+@contextmanager
+def interruptible(spark: SparkSession, tag: str, seconds: float | None = None, signals: tuple[signal.Signals, ...] = (signal.SIGINT, signal.SIGTERM)) -> Iterator[None]:
+    """Jobs started inside are stopped at a deadline or by a signal; the body then ends with a RunError, of the first of these alone.
+
+    Signals are heard where the body runs in the main thread; a second one interrupts Python itself.
+    Jobs of others go on.
+    """
+    reasons: list[tuple[str, str]] = []
+    over = threading.Event()
+    deadline = None if seconds is None else time.monotonic() + seconds
+
+    def heard(*_: object) -> None:
+        if reasons:
+            raise KeyboardInterrupt
+        reasons.append(("cancelled", ""))
+
+    def watch(stop: Callable[[], None]) -> None:
+        while not over.wait(0.1):
+            if not reasons and deadline is not None and time.monotonic() >= deadline:
+                reasons.append(("timeout", f"{seconds:g}"))
+            if reasons:
+                stop()  # again and again, as the body may go on to another job
+
+    main = threading.current_thread() is threading.main_thread()
+    before = {s: signal.signal(s, heard) for s in signals} if main else {}
+    try:
+        with cancellable(spark, tag) as stop:
+            watcher = threading.Thread(target=watch, args=(stop,), daemon=True)
+            watcher.start()
+            try:
+                yield
+            except RunError:
+                raise
+            except Exception as e:
+                if reasons:
+                    raise RunError(*reasons[0]) from e
+                raise
+            finally:
+                over.set()
+                watcher.join()
+            if reasons and reasons[0][0] == "cancelled":  # the body swallowed it, or had no job left
+                raise RunError(*reasons[0])
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+
+
 def described(spark: SparkSession, root: str, repository: Repository) -> Repository:
     """The repository with branch, commit count and emptiness of its checkout, if the tree is one."""
     try:
@@ -121,26 +179,40 @@ def write_lines(lines: DataFrame, path: str) -> None:
         shutil.rmtree(parts, ignore_errors=True)
 
 
-def extract(spark: SparkSession, root: str, config: Config, repository: Repository, name: str, mode: str = "human") -> Run:
+def _identity(path: str) -> tuple[int, int] | None:
+    """What tells a folder from another one of the same name."""
+    try:
+        found = os.stat(path)
+    except FileNotFoundError:
+        return None
+    return found.st_dev, found.st_ino
+
+
+def extract(
+    spark: SparkSession, root: str, config: Config, repository: Repository, name: str, mode: str = "human", progress: Callable[[int, int], None] | None = None
+) -> Run:
     """Copies the documentation of a tree to base_directory/name, with an index and three reports if the settings ask.
 
-    What a run that fails has written is removed.
+    ``progress`` is told of files and bytes while they are copied. What a run that fails has written is
+    removed; an output that was there stays until the new one replaces it.
     """
     out = os.path.join(config.output.base_directory, name)
     catalog = scan(spark, root, config)
     check_writable(config.output.base_directory)
     check_output(out, config.output.force)
+    before = _identity(out)
     try:
-        return _write(spark, catalog, config, repository, out, mode)
+        return _write(spark, catalog, config, repository, out, mode, progress)
     except BaseException:
-        shutil.rmtree(out, ignore_errors=True)
+        if _identity(out) != before:
+            shutil.rmtree(out, ignore_errors=True)
         raise
 
 
-def _write(spark: SparkSession, catalog: DataFrame, config: Config, repository: Repository, out: str, mode: str) -> Run:
+def _write(spark: SparkSession, catalog: DataFrame, config: Config, repository: Repository, out: str, mode: str, progress: Callable[[int, int], None] | None) -> Run:
     began = datetime.now(UTC)
     plan = copyplan.plan_copy(catalog, config.output.preserve_structure, config.output.force).cache()
-    copied = copyplan.copy_files(plan, out, config.output.force)
+    copied = copyplan.copy_files(plan, out, config.output.force, progress)
     written = copied.where("failure IS NULL").select(F.col("bytes_copied").alias("b"))
     done = written.union(plan.where("replaced").select("size")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     late = [r["failure"] for r in copied.where("failure IS NOT NULL").orderBy("dest").select("failure").toLocalIterator()]
@@ -149,9 +221,9 @@ def _write(spark: SparkSession, catalog: DataFrame, config: Config, repository:
     repos = spark.createDataFrame([(0, repository.owner, repository.name, repository.url, repository.default_branch, repository.total_commits, repository.is_empty)], "repo_id long, owner string, name string, url string, default_branch string, total_commits long, is_empty boolean")
     told_of = (plan, repos, config, F.lit(began).cast("timestamp"), F.lit(int(seconds * 1000)))
     if config.output.generate_report:
-        time, lasted = began.strftime("%Y-%m-%d %H:%M:%S UTC"), f"{seconds:.3f}s"
-        write_lines(reports.text_lines(plan, repos, config, time, lasted), os.path.join(out, copyplan.METADATA, "extraction_report.txt"))
-        write_lines(reports.summary_lines(plan, repos, time[:16] + " UTC", lasted), os.path.join(out, copyplan.SUMMARY))
+        at, lasted = began.strftime("%Y-%m-%d %H:%M:%S UTC"), f"{seconds:.3f}s"
+        write_lines(reports.text_lines(plan, repos, config, at, lasted), os.path.join(out, copyplan.METADATA, "extraction_report.txt"))
+        write_lines(reports.summary_lines(plan, repos, at[:16] + " UTC", lasted), os.path.join(out, copyplan.SUMMARY))
         write_lines(reports.json_lines(*told_of), os.path.join(out, copyplan.METADATA, "extraction_report.json"))
     if config.output.create_index:
         write_lines(reports.index_lines(catalog, config.output.preserve_structure, began.strftime("%Y-%m-%d %H:%M:%S UTC")), os.path.join(out, copyplan.INDEX))

@@ -17,10 +17,11 @@ from __future__ import annotations
 import hashlib
 import os
 import shutil
+import threading
 import time
 import uuid
-from collections.abc import Iterator
-from contextlib import suppress
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -113,7 +114,9 @@ class FileWriter(DataSourceWriter):
         if ledger:
             kinds = [("dest", pa.string()), ("source_path", pa.string()), ("bytes_copied", pa.int64()), ("sha256", pa.string()), ("failure", pa.string())]
             part = os.path.join(own, "ledger")
-            pq.write_table(pa.table([pa.array(x, kind) for x, (_, kind) in zip(zip(*ledger, strict=True), kinds, strict=True)], pa.schema(kinds)), part)
+            good = [x[2] for x in ledger if x[-1] is None]
+            schema = pa.schema(kinds, {"files": str(len(good)), "bytes": str(sum(good))})
+            pq.write_table(pa.table([pa.array(x, kind) for x, (_, kind) in zip(zip(*ledger, strict=True), kinds, strict=True)], schema), part)
             os.replace(part, os.path.join(tree, LEDGER, f"part-{context.partitionId():06d}.parquet"))
         shutil.rmtree(own, ignore_errors=True)
         done = [x for x in ledger if x[-1] is None]
@@ -147,8 +150,52 @@ class FileSink(DataSource):
         return FileWriter(self.options, overwrite)
 
 
-def write_files(rows: DataFrame, root: str, overwrite: bool = False) -> DataFrame:
-    """Writes rows of (dest, content) or (dest, source_path) below ``root``, and returns the ledger."""
+class _Tally:
+    """Files and bytes that the ledger's parts tell of; each part's footer is read once."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, tuple[int, int]] = {}
+
+    def read(self, folder: str) -> tuple[int, int]:
+        with suppress(FileNotFoundError):  # just committed, or stopped
+            for name in os.listdir(folder):
+                if name not in self.parts and name.startswith("part-"):
+                    told = pq.read_schema(os.path.join(folder, name)).metadata
+                    self.parts[name] = int(told[b"files"]), int(told[b"bytes"])
+        files, size = zip(*self.parts.values(), strict=True) if self.parts else ((), ())
+        return sum(files), sum(size)
+
+
+@contextmanager
+def _told(folder: str, done: str, progress: Callable[[int, int], None] | None, every: float = 0.2) -> Iterator[None]:
+    """Tells ``progress``, from a thread of its own, of the files and bytes of ended tasks while the body runs, and of all when it is through."""
+    if progress is None:
+        yield
+        return
+    tally, over = _Tally(), threading.Event()
+
+    def watch() -> None:
+        last = (0, 0)
+        while not over.wait(every):
+            if (now := tally.read(folder)) != last:
+                progress(*now)
+                last = now
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    finally:
+        over.set()
+        watcher.join()
+    progress(*_Tally().read(done))
+
+
+def write_files(rows: DataFrame, root: str, overwrite: bool = False, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """Writes rows of (dest, content) or (dest, source_path) below ``root``, and returns the ledger.
+
+    ``progress`` is called with the files and bytes written so far, as tasks end, and with all at the end.
+    """
     spark, root = rows.sparkSession, os.path.abspath(root)
     if os.path.lexists(root) and not overwrite:
         raise FileExistsError(root)
@@ -157,7 +204,8 @@ def write_files(rows: DataFrame, root: str, overwrite: bool = False) -> DataFram
     writer = FileWriter({"path": root, "job": job}, overwrite)
     writer.begin()
     try:
-        rows.write.format("leafmill_files").mode("overwrite" if overwrite else "append").option("job", job).save(root)
+        with _told(os.path.join(writer.stage, "tree", LEDGER), os.path.join(root, LEDGER), progress):
+            rows.write.format("leafmill_files").mode("overwrite" if overwrite else "append").option("job", job).save(root)
     finally:
         writer.abort([])  # nothing is left of it after a commit
     return spark.read.schema(LEDGER_SCHEMA).parquet(f"file://{os.path.join(root, LEDGER)}")

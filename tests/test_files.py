@@ -1,5 +1,7 @@
 import os
+import signal
 import stat
+import threading
 import time
 
 import pytest
@@ -7,8 +9,9 @@ from pyspark.sql import functions as F
 
 from leafmill import config
 from leafmill.operators import predicates
-from leafmill.plans import catalog_queries
+from leafmill.plans import catalog_queries, extract
 from leafmill.sources import file_sink, repo_files
+from leafmill.sources.file_sink import write_files
 
 
 def tree(folder):
@@ -167,3 +170,57 @@ def test_a_kept_tree_is_the_same_both_ways(spark):
     root = catalog_queries.make_tree()
     a, b = (predicates.documentation(f(spark, root, config.Filters()).where("error IS NULL"), config.Filters()) for f in (repo_files.scan_directory, repo_files.scan_levels))
     assert rows_of(a) == rows_of(b) and a.count() == 9
+
+
+def slow_rows(spark, parts, seconds):
+    """Four files for each partition; partition i takes i times ``seconds``."""
+    rows = spark.range(0, 4 * parts, 1, parts).withColumn("part", F.spark_partition_id())
+
+    def wait(batches):
+        for batch in batches:
+            time.sleep(seconds * int(batch["part"].iloc[0]) if len(batch) else 0)
+            yield batch
+
+    made = rows.mapInPandas(wait, rows.schema)
+    return made.select(F.concat(F.lit("d"), "part", F.lit("/f"), "id").alias("dest"), F.encode(F.repeat(F.lit("x"), F.col("part") + 1), "UTF-8").alias("content"))
+
+
+def test_progress_is_told_while_a_job_runs(spark, tmp_path):
+    seen = []
+    ledger = write_files(slow_rows(spark, 6, 0.7), str(tmp_path / "out"), progress=lambda files, size: seen.append((files, size)))
+    told = ledger.agg(F.count("*"), F.sum("bytes_copied")).first()
+    assert seen[-1] == tuple(told) == (24, 4 * sum(range(1, 7)))
+    assert seen == sorted(seen) and len({files for files, _ in seen if 0 < files < 24}) >= 2
+
+
+@pytest.mark.parametrize("kind", ["timeout", "cancelled"])
+def test_a_job_is_stopped_once_and_leaves_nothing(spark, tmp_path, kind):
+    out, began, handler = tmp_path / "out", time.monotonic(), signal.getsignal(signal.SIGINT)
+    sender = threading.Timer(2.0, os.kill, (os.getpid(), signal.SIGINT))
+    other = spark.range(10).cache()
+    if kind == "cancelled":
+        sender.start()
+    with pytest.raises(extract.RunError) as e:
+        with extract.interruptible(spark, "stopped", 2.0 if kind == "timeout" else None):
+            write_files(slow_rows(spark, 8, 4.0), str(out))
+    assert e.value.kind == kind and e.value.detail == ("2" if kind == "timeout" else "")
+    assert time.monotonic() - began < 20 and not out.exists()
+    assert signal.getsignal(signal.SIGINT) is handler and "stopped" not in spark.getTags()
+    assert other.count() == 10  # the session and jobs of others go on
+    with extract.interruptible(spark, "stopped", 60.0):
+        assert spark.range(10).count() == 10
+
+
+def test_a_failed_forced_run_keeps_the_old_output(spark, tmp_path, monkeypatch):
+    root, base = catalog_queries.make_tree(), tmp_path / "base"
+    (base / "out").mkdir(parents=True)
+    (base / "out" / "old.txt").write_text("old")
+    settings = config.Config(output=config.Output(base_directory=str(base), force=True))
+
+    def fails(*_):
+        raise OSError("full")
+
+    monkeypatch.setattr(extract.copyplan, "copy_files", fails)
+    with pytest.raises(OSError):
+        extract.extract(spark, root, settings, extract.Repository("r"), "out")
+    assert (base / "out" / "old.txt").read_text() == "old"
