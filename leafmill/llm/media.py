@@ -8,8 +8,11 @@ little-endian order. Samples of other sizes and the floating-point predictor are
 Null media give no rows. What is not a TIFF, or a page that can't be read, gives one row with
 ``error`` set and null samples; other rows of the table are not touched by it. So does a page whose
 header asks for more than ``MAX_PAGE`` bytes, or for none; strips and tiles are never inflated beyond
-the bytes that their header asks for. A directory chain that returns to itself ends there. Empty
-tables give empty results; columns that share a name with a result column are replaced.
+the bytes that their header asks for. A directory chain that returns to itself ends there. Pages are
+decoded one by one and handed on as soon as ``HELD`` bytes of them are together, so a task holds that
+and one page more, however many directories share a strip; pages behind the first ``MAX_FILE`` bytes
+of a file's samples are not decoded and give a row with ``error``. Empty tables give empty results;
+columns that share a name with a result column are replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +38,13 @@ TYPES = {1: "B", 3: "H", 4: "I"}
 
 #: Bytes of the largest page, and of the largest strip or tile, that is read.
 MAX_PAGE = 1 << 28
+#: Bytes of samples that a file may have, its pages together.
+MAX_FILE = 1 << 36
+#: Bytes of samples, and rows, that are together in a batch before it is handed on.
+HELD, HELD_ROWS = 1 << 25, 1024
+
+#: Where a page's row has its samples.
+SAMPLES = 6
 
 PAGE = T.StructType(
     [
@@ -224,12 +234,13 @@ def read_pages(data: bytes) -> Iterator[np.ndarray | Exception]:
         yield page
 
 
-def _pages_bits(data: bytes) -> Iterator[tuple[np.ndarray | Exception, int]]:
+def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]] | Exception]]:
+    """Byte order and tags of each directory, or what ends the chain."""
     try:
         order = {b"II*\0": "<", b"MM\0*": ">"}[data[:4]]
         (at,) = struct.unpack_from(order + "I", data, 4)
     except (KeyError, struct.error):
-        yield ValueError("not a TIFF"), 0
+        yield "", ValueError("not a TIFF")
         return
     seen: set[int] = set()
     while at and at not in seen:
@@ -237,12 +248,25 @@ def _pages_bits(data: bytes) -> Iterator[tuple[np.ndarray | Exception, int]]:
         try:
             tags, at = _directory(data, at, order)
         except struct.error as e:
-            yield e, 0
+            yield order, e
             return
+        yield order, tags
+
+
+def _pages_bits(data: bytes) -> Iterator[tuple[np.ndarray | Exception, int]]:
+    size = 0
+    for order, tags in _directories(data):
+        if isinstance(tags, Exception):
+            yield tags, 0
+            continue
         try:
-            yield _samples(data, tags, order)
+            if size >= MAX_FILE:
+                raise ValueError(f"the pages before have {MAX_FILE} bytes")
+            page, bits = _samples(data, tags, order)
+            size += page.nbytes
         except (KeyError, ValueError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
-            yield e, 0
+            page, bits = e, 0
+        yield page, bits
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 1024, tile: int = 0, order: str = "<") -> bytes:
@@ -288,32 +312,44 @@ def feature(page: np.ndarray) -> str:
     return f"{page.shape[1]}x{page.shape[0]}x{page.shape[2]} sum={int(values.sum(dtype=np.uint64))} distinct={len(np.unique(values))} max={int(values.max(initial=0))}"
 
 
-def _rows(data: bytes) -> list[tuple]:
-    out = []
-    for page, bits in _pages_bits(data):
+def _rows(data: bytes) -> Iterator[tuple]:
+    """A row for each page, decoded when it is asked for."""
+    pages = sum(1 for _ in _directories(data))
+    for i, (page, bits) in enumerate(_pages_bits(data)):
         if isinstance(page, Exception):
-            out.append((None, None, None, None, None, None, f"{type(page).__name__}: {page}"))
+            yield i, pages, None, None, None, None, None, None, f"{type(page).__name__}: {page}"
         else:
             stored = page.astype(page.dtype.newbyteorder("<")).tobytes()
-            out.append((page.shape[1], page.shape[0], page.shape[2], bits, stored, feature(page), None))
-    return [(i, len(out), *x) for i, x in enumerate(out)]
+            yield i, pages, page.shape[1], page.shape[0], page.shape[2], bits, stored, feature(page), None
+
+
+def _page_batches(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Rows of pages beside those of their files, whose media are column ``at``; an empty batch for none."""
+
+    def together(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        rows = batch.take(pa.array([x[0] for x in found], pa.int32()))
+        made = [pa.array([x[k + 1] for x in found], kind) for k, (_, kind) in enumerate(ARROW_PAGE)]
+        return pa.RecordBatch.from_arrays([*rows.columns, *made], [*rows.schema.names, *[n for n, _ in ARROW_PAGE]])
+
+    for batch in batches:
+        found, held = [], 0
+        for i, media in enumerate(batch.column(at)):
+            data = media.as_py()
+            for row in _rows(data) if media.is_valid else ():
+                found.append((i, *row))
+                # the file itself is repeated beside each of its pages
+                held += len(row[SAMPLES] or b"") + len(data)
+                if held >= HELD or len(found) >= HELD_ROWS:
+                    yield together(batch, found)
+                    found, held = [], 0
+        yield together(batch, found)
 
 
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """df with the columns of PAGE, one row per page; ``pages`` is how many the file has."""
     df = df.drop(*PAGE.names)
     at = df.columns.index(media)
-
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 64):  # decoded pages may be much larger than what is stored
-                batch = whole.slice(start, 64)
-                found = [(i, *row) for i, x in enumerate(batch.column(at)) if x.is_valid for row in _rows(x.as_py())]
-                rows = batch.take(pa.array([x[0] for x in found], pa.int32()))
-                made = [pa.array([x[k + 1] for x in found], kind) for k, (_, kind) in enumerate(ARROW_PAGE)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*rows.schema.names, *[n for n, _ in ARROW_PAGE]])
-
-    return df.mapInArrow(pages, T.StructType([*df.schema.fields, *PAGE.fields]))
+    return df.mapInArrow(lambda batches: _page_batches(batches, at), T.StructType([*df.schema.fields, *PAGE.fields]))
 
 
 def _stored(data: bytes, width: int, varied: bool) -> bytes:

@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,34 @@ def test_stored_forms(spark):
         payload, got = r["text"].encode() + bytes(-len(r["text"].encode()) % 64), made[r["doc_id"]]
         assert (got["media_bytes"], got["media_sha256"]) == (len(seen[r["text"]]), hashlib.sha256(seen[r["text"]]).hexdigest())
         assert got["feature"] == f"64x{len(payload) // 64}x1 sum={sum(payload)} distinct={len(set(payload))} max={max(payload)}"
+
+
+def shared_strip(page, directories):
+    """A TIFF whose directories all name one strip."""
+    data = bytearray(media.write_tiff([page]))
+    (at,) = struct.unpack_from("<I", data, 4)
+    entries = data[at : at + 2 + 12 * struct.unpack_from("<H", data, at)[0]]
+    link = at + len(entries)
+    for _ in range(directories - 1):
+        struct.pack_into("<I", data, link, len(data))
+        link = len(data) + len(entries)
+        data += entries + bytes(4)
+    return bytes(data)
+
+
+def test_directories_that_share_a_strip_are_handed_on_in_bounded_batches(spark, monkeypatch):
+    page = np.zeros((1000, 1000), np.uint8)
+    stored = shared_strip(page, 20)
+    assert len(stored) < 20_000
+    given = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([stored, None, b"x"], pa.binary())], ["id", "media"])
+    monkeypatch.setattr(media, "HELD", 3_000_000)
+    batches = list(media._page_batches(iter([given]), 1))
+    assert max(sum(len(x or b"") for x in b.column("samples").to_pylist()) for b in batches) <= 4_000_000
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["id"], r["page"], r["pages"]) for r in rows] == [(1, i, 20) for i in range(20)] + [(3, 0, 1)]
+    assert all(r["samples"] == page.tobytes() for r in rows[:20]) and "not a TIFF" in rows[20]["error"]
+    monkeypatch.setattr(media, "MAX_FILE", 5_000_000)
+    rows = list(media._rows(stored))
+    assert [r[-1] is None for r in rows] == [True] * 5 + [False] * 15
+    got = media.tiff_pages(spark.createDataFrame([(1, stored), (2, None)], "id int, media binary")).groupBy("id").count().collect()
+    assert [tuple(r) for r in got] == [(1, 20)]

@@ -103,3 +103,15 @@ def test_rows_without_an_id_are_shuffled_by_the_rest(spark):
     keys = df.select(ranks.shuffle_key(0, "doc_id", df).alias("k"))
     assert keys.distinct().count() == 4000
     assert sharding.assign_shards(df, 7).groupBy("shard").count().count() == 7 and mixing.mix_sources(df).count() == 4000
+
+
+def test_columns_with_clashing_names_are_kept(spark, small):
+    names = ("at", "kind", "number", "k", "k_", "at_", "release_", "deadline_", "rank_", "rank_k", "hash_", "stratum_", "units_", "number_", "round_", "kind_", "bucket_", "before_", "n_")
+    rows = small.select("doc_id", "source")
+    plain = {r["doc_id"]: tuple(r[c] for c in mixing.MADE) for r in mixing.mix_sources(rows).collect()}
+    odd = rows.selectExpr("doc_id", "source", *[f"concat('{n}', doc_id) AS {n}" for n in names], *[f"'old' AS {n}" for n in mixing.MADE])
+    out = mixing.mix_sources(odd)
+    assert out.columns == ["doc_id", "source", *names, *mixing.MADE]
+    got = out.collect()
+    assert {r["doc_id"]: tuple(r[c] for c in mixing.MADE) for r in got} == plain
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
