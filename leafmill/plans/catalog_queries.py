@@ -133,11 +133,13 @@ NAMES = ("README", "LICENCE", "Security", "readme.md", "TODO", "SUPPORT", "Makef
 
 
 @query(
-    f"""SELECT name, lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)) AS extension, lower(name) IN {_in(predicates.SCAN_NAMES)} AS in_scan,
-    regexp_extract(name, '^.+\\.([^.]*)$', 1) = '' AND lower(name) IN {_in(predicates.DOCUMENT_NAMES)} AS in_document FROM {_sql_values([(n,) for n in NAMES], ["name"])}"""
+    f"""WITH {CATALOG}, n AS (SELECT name FROM {_sql_values([(n,) for n in NAMES], ["name"])} UNION ALL SELECT filename FROM c)
+    SELECT name, lower(regexp_extract(name, '^.+\\.([^.]*)$', 1)) AS extension, lower(name) IN {_in(predicates.SCAN_NAMES)} AS in_scan,
+    regexp_extract(name, '^.+\\.([^.]*)$', 1) = '' AND lower(name) IN {_in(predicates.DOCUMENT_NAMES)} AS in_document FROM n"""
 )
 def extensionless_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n,) for n in NAMES], "filename string").withColumn("extension", paths.extension(F.col("filename")))
+    rows = spark.createDataFrame([(n,) for n in NAMES], "filename string").union(from_documents(spark, sf_dir).select("filename"))
+    rows = rows.withColumn("extension", paths.extension(F.col("filename")))
     return rows.select(F.col("filename").alias("name"), "extension", predicates.known_name(F.col("filename")).alias("in_scan"), predicates.extensionless_document().alias("in_document"))
 
 
@@ -192,10 +194,12 @@ def flatten_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir).select("repo_id", "relative_path", "dest", "reject_reason")
 
 
+# Destinations under test.
 DESTINATIONS = (
     "docs/a.md", "a<b.md", "a>b", "a:b", 'a"b', "a|b", "a?b", "a*b", "x?/fine.md", "tab\there", "end ", "end.", "dir./ok", "../up", "a/../b",
     "x" * 4096, "x" * 4097, "é" * 2049, "..a", "a..b", "\x7f", "",
 )
+# End of fixed values.
 
 
 @query(
@@ -244,22 +248,31 @@ def format_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ms.alias("ms"), text.format_duration(ms).alias("shown"))
 
 
+# Texts of sizes under test.
 SIZE_TEXTS = ("10", "10KB", "5MB", "1GB", "invalid", "-5MB", "1.5mb", "10 mb", " 10 ", "1e3k", "1.5d", "nan", "inf", "", "b", "7b", ".5k", "5.k", "+2m", "10kk", "0x10", "5.9", "3g")
+# End of fixed values.
+UNITS = ("", "b", "k", " KB", "Mb", "g", "x")
 
 
 @query(
-    f"""WITH s AS (SELECT raw, lower(trim(raw)) AS s FROM {_sql_values([(s,) for s in SIZE_TEXTS], ["raw"])}),
+    f"""WITH r AS (SELECT raw FROM {_sql_values([(s,) for s in SIZE_TEXTS], ["raw"])} UNION ALL SELECT (doc_id % 3000) || '.' || (doc_id % 10) || {list(UNITS)}[doc_id % {len(UNITS)} + 1] FROM documents),
+    s AS (SELECT raw, lower(trim(raw)) AS s FROM r),
     u AS (SELECT raw, s, CASE WHEN regexp_matches(s, '(kb|k)$') THEN 'k' WHEN regexp_matches(s, '(mb|m)$') THEN 'm' WHEN regexp_matches(s, '(gb|g)$') THEN 'g' WHEN s LIKE '%b' THEN 'b' ELSE '' END AS u FROM s),
     n AS (SELECT raw, u, CASE u WHEN '' THEN s WHEN 'b' THEN rtrim(s, 'b') ELSE rtrim(regexp_replace(s, '(' || u || 'b)+$', ''), u) END AS body FROM u)
     SELECT raw, CASE WHEN regexp_matches(body, '^[+]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?$') THEN
       CAST(floor(CAST(body AS DOUBLE) * CASE u WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 WHEN 'g' THEN 1073741824 ELSE 1 END) AS BIGINT) END AS bytes FROM n"""
 )
 def parse_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SIZE_TEXTS], "raw string").select("raw", text.parse_size(F.col("raw")).alias("bytes"))
+    """The size texts, and one made of each document's id."""
+    i, unit = F.col("doc_id"), F.array(*map(F.lit, UNITS))
+    made = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(i % 3000, F.lit("."), i % 10, F.get(unit, (i % len(UNITS)).cast("int"))))
+    return spark.createDataFrame([(s,) for s in SIZE_TEXTS], "raw string").union(made).select("raw", text.parse_size(F.col("raw")).alias("bytes"))
 
 
+# Names under test.
 FILE_NAMES = ("normal_file.txt", "file<>with|bad*chars.txt", "file/with\\slashes.txt", "   ", "file...", "tab\tname", "a. .", "ünï½.md", "")
 REPO_NAMES = ("normal-repo", "repo/with/slashes", "repo:with:colons", "", "   ", "a" * 150, "._x_.", "ünï ½ 中", "tab\tx", "a@b#c")
+# End of fixed values.
 LINES = "SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents"
 
 
@@ -286,6 +299,7 @@ def _first_lines(spark: SparkSession, sf_dir: str, more: Sequence[str]) -> DataF
     return spark.createDataFrame([(-1, s) for s in more], "doc_id long, line string").union(docs)
 
 
+# Addresses under test.
 URLS = (
     "https://github.com/microsoft/vscode", "https://github.com/rust-lang/rust.git", "git://github.com/o/r", "ssh://git@github.com/o/r", "http://github.com/o/r",
     "https://gitlab.com/o/r", "https://github.com/o", "https://github.com/", "https://github.com", "not-a-url", "ftp://github.com/o/r", "git://gitlab.com/o/r",
@@ -296,6 +310,7 @@ URLS = (
     "https://github.com/o r/x", "https://github.com/o/r|x", "https://github.com/o/r%zz", "https://github.com\\o\\r", "git://github.com/o\\r/x", " https://github.com/o/r\n", "https://github.com/o/<r>", "https://github.com/o/r?q=[1]#a b",
     "https://github.com/ünï/r", "https://github.com/½/r", "https://github.com/o/ünï", "https://github.com/o/中", "https://github.com/o/r_1.x-y",
 )
+# End of fixed values.
 EXAMPLE = "example.com"
 
 
@@ -395,33 +410,40 @@ SHOWS = tuple((m, level, v, q) for m in ("human", "JSON", "Plain", "other") for
 
 
 @query(
-    f"""WITH s AS (SELECT lower(m) AS given, CASE WHEN lower(m) IN ('json', 'plain') THEN lower(m) ELSE 'human' END AS md, level, "verbose", quiet FROM {_sql_values(SHOWS, ("m", "level", '"verbose"', "quiet"))})
+    f"""WITH s AS (SELECT lower(m) AS given, CASE WHEN lower(m) IN ('json', 'plain') THEN lower(m) ELSE 'human' END AS md, level, "verbose", quiet, 'Copied file ' || doc_id AS body FROM {_sql_values([(i, *x) for i, x in enumerate(SHOWS)], ("i", "m", "level", '"verbose"', "quiet"))} JOIN documents d ON d.doc_id % {len(SHOWS)} = i)
     SELECT given, level, "verbose", quiet,
       level IN ('success', 'error') OR (NOT quiet AND "verbose" >= CASE level WHEN 'debug' THEN 2 WHEN 'operation_start' THEN 0 ELSE 1 END) AS shown,
       level = 'error' AND md <> 'json' AS to_stderr,
-      CASE md WHEN 'json' THEN '{{"type":"message","level":"' || level || '","message":"All done"}}'
-        WHEN 'plain' THEN CASE level WHEN 'operation_start' THEN 'STARTING' ELSE upper(level) END || ': All done'
-        ELSE CASE level WHEN 'success' THEN '✓' WHEN 'error' THEN '✗' WHEN 'warning' THEN '!' WHEN 'info' THEN 'i' WHEN 'debug' THEN '  DEBUG:' ELSE '>' END || ' All done' END AS line FROM s"""
+      CASE md WHEN 'json' THEN '{{"type":"message","level":"' || level || '","message":"' || body || '"}}'
+        WHEN 'plain' THEN CASE level WHEN 'operation_start' THEN 'STARTING' ELSE upper(level) END || ': ' || body
+        ELSE CASE level WHEN 'success' THEN '✓' WHEN 'error' THEN '✗' WHEN 'warning' THEN '!' WHEN 'info' THEN 'i' WHEN 'debug' THEN '  DEBUG:' ELSE '>' END || ' ' || body END AS line FROM s"""
 )
 def message_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(SHOWS), "m string, level string, verbose int, quiet boolean")
-    mode, level, body = messages.mode(F.col("m")), F.col("level"), F.lit("All done")
+    """A message for each document, in a mode and at a level that its id chooses."""
+    shows = spark.createDataFrame([(i, *x) for i, x in enumerate(SHOWS)], "i long, m string, level string, verbose int, quiet boolean")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.col("doc_id") % len(SHOWS)).alias("i"))
+    rows = docs.join(F.broadcast(shows), "i")
+    mode, level, body = messages.mode(F.col("m")), F.col("level"), F.concat(F.lit("Copied file "), F.col("doc_id"))
     return rows.select(
         F.lower("m").alias("given"), "level", "verbose", "quiet", messages.is_shown(level, F.col("verbose"), F.col("quiet")).alias("shown"),
         messages.to_stderr(mode, level).alias("to_stderr"), messages.render(mode, level, body).alias("line"),
     )
 
 
-ENDS = tuple((k, n) for k in (None, *messages.KINDS, "unheard_of") for n in (0, 3))
+ENDS = (None, *messages.KINDS, "unheard_of")
+ENDS_SQL = "NULL, " + ", ".join(f"'{k}'" for k in ENDS[1:])
 
 
 @query(
     f"""SELECT kind, errors, CAST(CASE WHEN kind IS NULL THEN CASE WHEN errors > 0 THEN 2 ELSE 0 END WHEN kind = 'cancelled' THEN 130 WHEN kind = 'invalid_url' THEN 2
       WHEN kind = 'repository_not_found' THEN 3 WHEN kind = 'authentication_failed' THEN 4 WHEN kind = 'network' THEN 5 WHEN kind = 'no_documentation' THEN 6
-      WHEN kind = 'permission' THEN 7 WHEN kind = 'output_exists' THEN 8 WHEN kind = 'timeout' THEN 9 ELSE 1 END AS INTEGER) AS code FROM {_sql_values(ENDS, ("kind", "errors"))}"""
+      WHEN kind = 'permission' THEN 7 WHEN kind = 'output_exists' THEN 8 WHEN kind = 'timeout' THEN 9 ELSE 1 END AS INTEGER) AS code FROM (SELECT [{ENDS_SQL}][doc_id % {len(ENDS)} + 1] AS kind, CAST(doc_id % 4 AS INTEGER) AS errors FROM documents)"""
 )
 def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(ENDS), "kind string, errors int")
+    """How a run for each document would end, if it failed as the document's id says."""
+    i = F.col("doc_id")
+    kind = F.get(F.array(*map(F.lit, ENDS)), (i % len(ENDS)).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(kind.alias("kind"), (i % 4).cast("int").alias("errors"))
     return rows.select("kind", "errors", messages.exit_code(F.col("kind"), F.col("errors")).alias("code"))
 
 

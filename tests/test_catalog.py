@@ -305,3 +305,26 @@ def test_report_as_lines_is_the_report(spark):
             assert sum(x.startswith('    {"filename"') for x in lines) == 6
     none = reports.json_lines(copyplan.plan_copy(rows.where("size < 0")), repos, config.Config())
     assert none.count() == 0  # a repository without files has no report, as in report_rows
+
+
+def test_settings_are_changed_by_copies():
+    plain = config.Filters(extensions=("md",), exclude_dirs=("a",))
+    assert plain.with_extension("RST").extensions == ("md", "rst") and plain.with_extension("MD") is plain
+    assert plain.without_extension("Md").extensions == () and plain.without_extension("x").extensions == ("md",)
+    assert plain.with_excluded_dir("B").exclude_dirs == ("a", "B") and plain.with_excluded_dir("a") is plain
+    assert plain == config.Filters(extensions=("md",), exclude_dirs=("a",))
+
+
+def test_verbosity_and_summary_of_a_repository(spark):
+    rows = spark.createDataFrame([(2, False), (2, True), (0, False)], "v int, q boolean")
+    assert [r["x"] for r in rows.select(messages.verbosity(F.col("v"), F.col("q")).alias("x")).collect()] == [2, 0, 0]
+    repos = spark.createDataFrame([("o", "r", "dev", 7, False), ("o", "e", "main", 0, True)], "owner string, name string, default_branch string, total_commits long, is_empty boolean")
+    assert [r["s"] for r in repos.select(reports.repository_summary().alias("s")).collect()] == ["Repository: o/r\nBranch: dev\nCommits: 7\nEmpty: false", "Repository: o/e\nBranch: main\nCommits: 0\nEmpty: true"]
+
+
+def test_statistics_and_errors_of_a_tree(spark):
+    root = catalog_queries.make_tree()
+    r = extract.statistics(spark, root, config.Config()).first()
+    sizes = {p: os.path.getsize(os.path.join(root, p)) for p in ("README", "guide.md", "_index.md", ".dot.md", "_drafts/d.md", ".github/c.md", "a/b.md", "a-b/c.md", "empty.txt")}
+    assert (r["total_files"], r["total_size"], r["largest_size"]) == (9, sum(sizes.values()), max(sizes.values()))
+    assert extract.scan_errors(spark, root, config.Config()).count() == 0
