@@ -1,7 +1,9 @@
+import math
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import mixing, ranks, sharding
 
@@ -92,10 +94,75 @@ def test_shards_by_brute_force(spark, small):
     assert {r["doc_id"]: r["shard"] for r in sharding.assign_shards(small, 24).collect()} == want
 
 
-def test_many_sources_are_refused(spark):
-    df = spark.range(600).selectExpr("id AS doc_id", "cast(id % 300 AS string) AS source")
-    with pytest.raises(ValueError, match="256"):
-        mixing.mix_sources(df)
+def test_exact_units():
+    assert mixing.exact_units({"a": 0.7, "b": 0.3}) == {"a": 7, "b": 3} and mixing.exact_units({"a": 4.0, "b": 6.0}) == {"a": 2, "b": 3}
+    assert mixing.exact_units({"a": 1.0, "b": 0.0}) is None and mixing.exact_units({"a": 0.123457, "b": 0.6}) is None
+
+
+def test_stated_weights_at_a_million_blocks(spark):
+    df = spark.range(1_000_000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 7 THEN 'a' ELSE 'b' END AS source")
+    out = mixing.mix_sources(df, {"a": 0.7, "b": 0.3}, block_rows=1).selectExpr("block", "slot", "CASE source WHEN 'a' THEN 7 ELSE 3 END AS w", "weight_units")
+    row = out.selectExpr(
+        "count(DISTINCT slot) AS slots", "max(slot) AS last", "bool_and(weight_units = w) AS same",
+        "max(10 * (block + 1) - w * (slot + 1)) AS ahead", "max(w * slot - 10 * block) AS behind",
+    ).first()
+    assert tuple(row)[:3] == (1_000_000, 999_999, True) and row["ahead"] < 10 and row["behind"] < 10
+
+
+def edf(units, share):
+    """The sources of a round's slots by earliest deadline first over the fluid schedule."""
+    served = lambda k, a: sum(min(Fraction(u * k, a), b) for u, b in zip(units, share, strict=True))
+    windows = [[(math.floor(served(k, a)), math.ceil(served(k + 1, a))) for k in range(b)] for a, b in zip(units, share, strict=True)]
+    done, picks = [0] * len(units), []
+    for t in range(sum(share)):
+        i = min((w[d][1], i) for i, (w, d) in enumerate(zip(windows, done, strict=True)) if d < len(w) and w[d][0] <= t)[1]
+        done[i] += 1
+        picks.append(i)
+    return picks
+
+
+def test_component_blocks_by_brute_force(spark):
+    rows = [(f"+0:{g}", f"={i}", float(1 + (i * 7 + g) % 5), 1 + (i * i + 3 * g) % 23) for g in range(4) for i in range(1 + 4 * g)]
+    rows += [("+0:9", "", 0.0, 3), ("+0:9", "=z", 0.0, 20)]
+    got = defaultdict(dict)
+    for r in mixing.component_blocks(spark.createDataFrame(rows, "component string, item string, weight double, blocks long")).collect():
+        assert r["slot"] not in got[r["component"]]
+        got[r["component"]][r["slot"]] = (r["item"], r["block"])
+    for g in got:
+        own = sorted((i, w, n) for c, i, w, n in rows if c == g)
+        units = [max(1, math.floor(w / (math.fsum(w for _, w, _ in own) or 1) * 4 * len(own) + 0.5)) for _, w, _ in own]
+        want, past, first = [], [0] * len(own), 0
+        while sum(past) < sum(n for _, _, n in own):
+            share = [max(0, min(u, n - first * u)) for u, (_, _, n) in zip(units, own, strict=True)]
+            for i in edf(units, share):
+                want.append((own[i][0], past[i]))
+                past[i] += 1
+            first += 1
+        assert [got[g][x] for x in range(len(want))] == want and len(got[g]) == len(want)
+
+
+@pytest.mark.parametrize("sources, most", [(301, None), (10_000, None), (700, 60)])
+def test_many_sources(spark, monkeypatch, sources, most):
+    if most:  # three levels
+        for name, value in (("MOST_SOURCES", most), ("HEAVIEST", 10), ("COMPONENT_SIZE", 8), ("LISTED_ROUNDS", 2)):
+            monkeypatch.setattr(mixing, name, value)
+    n = 4 * sources
+    df = spark.range(n).selectExpr("id AS doc_id", f"CASE WHEN id % 3 = 0 THEN NULL ELSE cast(id % {sources} AS string) END AS source", "id AS item_", "'p' AS place_")
+    rows = mixing.mix_sources(df, block_rows=2).orderBy("slot", "row_in_block").collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(n)) and all(r["item_"] == r["doc_id"] and r["place_"] == "p" for r in rows)
+    of, last, held = {}, defaultdict(lambda: -1), Counter(r["source"] for r in rows)
+    for r in rows:
+        assert of.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"]) and r["release"] <= r["slot"] < r["deadline"]
+    assert sorted(of) == list(range(sum(-(-x // 2) for x in held.values())))
+    for slot in range(len(of)):  # blocks of a source come in their order
+        source, block = of[slot]
+        assert block == last[source] + 1
+        last[source] = block
+    counts = df.groupBy(ranks.stratum(F.col("source")).alias("item")).agg(F.count("*").cast("double").alias("weight"), F.count("*").alias("blocks"))
+    items, placed = mixing.with_components(counts)
+    left = {r["item"]: r["blocks"] for r in items.collect()}
+    assert len(left) <= mixing.MOST_SOURCES and left[""] == held[None] and sum(left.values()) == n
+    assert placed.count() + sum(v for k, v in left.items() if not k.startswith("+")) == n
 
 
 def test_rows_without_an_id_are_shuffled_by_the_rest(spark):
