@@ -7,7 +7,7 @@ pairs that pass by these are compared once more by their words.
 
 Documents with equal sets form a class, for which its smallest id stands from then on. All sets are
 sorted by one order, rare runs first: by counters of hash buckets, which cover all documents and
-whose number is fixed, then by hash. Two sets that link share a run in their prefixes. Rows (run,
+grow in number with them up to a bound, then by hash. Two sets that link share a run in their prefixes. Rows (run,
 class) of the prefixes meet in two rounds: first all classes that share a run with the class of the
 smallest id among them; then pairs that the components of the links so found still keep apart, of
 which one at least is not of the component that most of the run's classes belong to. Pairs pass the
@@ -35,10 +35,11 @@ from leafmill.llm import hashing
 from leafmill.llm.common import join_checked, materialize, release, sized, small_batches
 from leafmill.llm.components import components
 
-#: Counters that order the runs: a fixed bound on what the driver collects and sends to tasks.
-COUNTER_BITS = 17
-#: A bucket that counts so many times the mean is hot; at most one in so many buckets is.
-HOT = 20
+#: Counters that order the runs are a power of two, from 2^17 up to a bound on what the driver collects and sends to tasks (32 MB),
+#: with some 32 documents to each in between.
+COUNTER_BITS, DOCS_OF_A_COUNTER = (17, 22), 32
+#: A run is hot if its bucket counts so many times the mean, or so many documents: no more rows of one run are in one window.
+HOT, MOST_OF_RUN = 20, 100_000
 #: Words of 64 bits that hold the parities of a set.
 WORDS = 8
 ROWS = 256
@@ -53,8 +54,19 @@ def text_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield start + i, np.unique(hashing.runs(words, size))
 
 
-def _bucket(runs: np.ndarray) -> np.ndarray:
-    return (runs >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+def counter_bits(docs: int) -> int:
+    least, most = COUNTER_BITS
+    return min(most, max(least, (docs // DOCS_OF_A_COUNTER).bit_length()))
+
+
+def _bucket(runs: np.ndarray, counters: int) -> np.ndarray:
+    """The counter of each run: its upper bits, of a power of two counters."""
+    return (runs >> np.uint64(65 - counters.bit_length())).astype(np.int64)
+
+
+def hot_bound(counters: np.ndarray) -> float:
+    """What the bucket of a run that isn't hot counts at most."""
+    return min(HOT * max(1.0, float(counters.mean())), MOST_OF_RUN)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -63,13 +75,14 @@ def prefix_length(n: int, percent: int) -> int:
 
 def run_counters(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """Documents with a run in each bucket of hashes, over all documents."""
+    many = 1 << counter_bits(docs.count())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(1 << COUNTER_BITS, np.int64)
+        have = np.zeros(many, np.int64)
         for batch in batches:
             held: list[np.ndarray] = []
             for i, runs in text_sets(batch.column(0), size):
-                held.append(_bucket(runs))
+                held.append(_bucket(runs, many))
                 if len(held) == ROWS or i == batch.num_rows - 1:
                     have += np.bincount(np.concatenate(held), minlength=len(have))
                     held = []
@@ -77,7 +90,7 @@ def run_counters(docs: DataFrame, text: str, size: int) -> np.ndarray:
         yield pa.record_batch({"bucket": pa.array(at.astype(np.int32)), "n": pa.array(have[at])})
 
     got = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counters = np.zeros(1 << COUNTER_BITS, np.int64)
+    counters = np.zeros(many, np.int64)
     counters[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return counters
 
@@ -89,8 +102,12 @@ def parities(runs: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, key: str, text: str, carry: tuple[str, ...], size: int, percent: int, counters: np.ndarray) -> DataFrame:
-    """(doc_id, carried columns, n, k1, k2, bits, prefix): the set's size, two hashes and the parities of the whole set, its prefix in rare-first order."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)
+    """(doc_id, carried columns, n, k1, k2, bits, prefix): the set's size, two hashes and the parities of the whole set, its prefix.
+
+    A prefix has its runs in rare-first order, and how many of these, the first ones, are not hot.
+    """
+    shared, bound = docs.sparkSession.sparkContext.broadcast(counters), hot_bound(counters)
+    of_prefix = pa.struct([("runs", pa.list_(pa.int64())), ("cold", pa.int32())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -103,14 +120,15 @@ def _signatures(docs: DataFrame, key: str, text: str, carry: tuple[str, ...], si
                     k1.append(int(hashing.mix(runs).sum(dtype=np.uint64)))
                     k2.append(int(hashing.mix(runs ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
                     bits.append(parities(runs))
-                    rare = np.argsort(order[_bucket(runs)], kind="stable")[: prefix_length(len(runs), percent)]
-                    prefixes.append(runs[rare].view(np.int64))
+                    often = order[_bucket(runs, len(order))]
+                    rare = np.argsort(often, kind="stable")[: prefix_length(len(runs), percent)]
+                    prefixes.append({"runs": runs[rare].view(np.int64), "cold": int((often[rare] <= bound).sum())})
                 signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                made = [pa.array(n, pa.int32()), signed(k1), signed(k2), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
+                made = [pa.array(n, pa.int32()), signed(k1), signed(k2), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, of_prefix)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], [*part.schema.names[1:], "n", "k1", "k2", "bits", "prefix"])
 
     rows = docs.select(text, F.col(key).cast("long").alias("doc_id"), *carry)
-    made = "n int, k1 long, k2 long, bits array<long>, prefix array<long>"
+    made = "n int, k1 long, k2 long, bits array<long>, prefix struct<runs: array<long>, cold: int>"
     return rows.mapInArrow(sign, T.StructType([*rows.schema.fields[1:], *T.DataType.fromDDL(made).fields]))
 
 
@@ -121,10 +139,11 @@ def _met(rows: DataFrame, hot: Column) -> DataFrame:
     documents have are reduced to their least class before they are joined to it.
     """
     one = F.struct("id", "n", "pos")
+    few, most = (rows.where(x).drop("cold") for x in (~hot, hot))
     of_run = Window.partitionBy("run")
-    few = rows.where(~hot).withColumns({"head": F.min(one).over(of_run), "many": F.count("*").over(of_run)})
-    heads = rows.where(hot).groupBy("run").agg(F.min(one).alias("head"), F.count("*").alias("many"))
-    most = rows.where(hot).join(heads, "run").select(few.columns)
+    few = few.withColumns({"head": F.min(one).over(of_run), "many": F.count("*").over(of_run)})
+    heads = most.groupBy("run").agg(F.min(one).alias("head"), F.count("*").alias("many"))
+    most = most.join(heads, "run").select(few.columns)
     a = [F.col(f"head.{c}").alias(d) for c, d in (("id", "a"), ("n", "n_a"), ("pos", "pos_a"))]
     b = [F.col(c).alias(d) for c, d in (("id", "b"), ("n", "n_b"), ("pos", "pos_b"))]
     return few.union(most).where("many > 1").select("run", *a, *b)
@@ -251,9 +270,8 @@ def near_duplicates(
     classes = classes.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min_by("prefix", "doc_id").alias("prefix"))
     classes = materialize(sized(classes, signed.count(), CLASSES), "classes")
 
-    hot = np.flatnonzero(counters > HOT * max(1.0, counters.mean())).tolist()
-    rows = classes.select("id", "n", F.posexplode("prefix").alias("pos", "run"))
-    shared = _met(rows, F.shiftrightunsigned("run", 64 - COUNTER_BITS).isin(hot))
+    rows = classes.select("id", "n", F.col("prefix.cold").alias("cold"), F.posexplode("prefix.runs").alias("pos", "run"))
+    shared = _met(rows, F.col("pos") >= F.col("cold"))
     shared = materialize(sized(shared, classes.count(), CLASSES), "shared")
     many = shared.count()
     pairs = _pairs(shared.where((F.col("a") != F.col("b")) & _may_link(percent)), percent)

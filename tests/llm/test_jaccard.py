@@ -65,6 +65,21 @@ def test_documents_by_brute_force(spark, small):
     assert got(docs) == brute([tuple(r) for r in docs.collect()])
 
 
+def test_hot_runs_and_more_counters(spark, small, monkeypatch):
+    """Whatever bound makes a run hot, and however many counters there are, the links are the same."""
+    hot = [(10_000 + i, f"this run is in a third of all rows {i // 2} and then some words more {i // 4} of its own {i // 8} at the end") for i in range(120)]
+    rows = [(r["doc_id"], r["text"]) for r in small.limit(240).collect()] + hot
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    assert [jaccard.counter_bits(n) for n in (0, 10**6, 10**7, 10**12)] == [17, 17, 19, 22]
+    for most, bits in ((30, (17, 22)), (0, (5, 5)), (100_000, (20, 22))):
+        monkeypatch.setattr(jaccard, "MOST_OF_RUN", most)
+        monkeypatch.setattr(jaccard, "COUNTER_BITS", bits)
+        counters = jaccard.run_counters(df, "text", 4)
+        assert len(counters) == 1 << bits[0] and jaccard.hot_bound(counters) <= most
+        assert got(df) == want
+
+
 def test_edges(spark, edge):
     rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
     assert got(edge) == brute(rows)
