@@ -16,14 +16,19 @@ Weights that are whole or decimal numbers in proportion to whole units that sum
 most are met exactly: 0.7 and 0.3 are 7 and 3 units, and the bound of one block holds for them however
 many the rows.
 
-One schedule deals up to ``MOST_SOURCES`` sources. Of more, the ``HEAVIEST`` by weight stay as they are,
-and the others go by a hash of their names into components of some ``COMPONENT_SIZE``, which the same
-rules mix: a block of a component is the block that its own schedule has next. Components are put
-together again until few enough are left. A source that stays is less than one block away from the ideal
-schedule; one in a component is less than one block of the component's own away from its share there,
-so less than two in all, and less than one more for each further level (9,000 sources have one level
-of components, a million two). Sources and blocks are held in tables; the driver sees ``MOST_SOURCES``
-items at most.
+All sources are dealt by one schedule, by the same rules however many there are. Up to ``MOST_SOURCES`` a
+fold takes the slots of a round one by one; of more, the same slots come from joins and windows: a block
+takes the first slot from its release on that no block before it in the order of deadlines has, so the half
+that is due first is placed without the other, which shares the slots left over. Halves are halved
+again until ``LEAF`` blocks are left to a fold. What sources have in common, their weights, and the rounds
+in which some run out, come to the driver: no more of either than some twice the square root of the rows,
+or than ``weights`` has.
+
+With ``components``, which a caller may choose, sources beyond ``MOST_SOURCES`` are mixed at two levels or more instead. The
+``HEAVIEST`` by weight stay as they are, and the others go by a hash of their names into components of some
+``COMPONENT_SIZE``, which the same rules mix: a block of a component is the block that its own schedule has
+next. A source in a component is less than two blocks away from the ideal schedule, not one, and one more
+for each further level.
 
 A null source is a source. Equal ids are ordered by the columns in ``tie``; rows without an id are
 shuffled by their other columns. Empty tables give empty results; columns that share a name with a
@@ -34,6 +39,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -42,9 +48,12 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import free_name, join_checked, let, materialize
 from leafmill.llm.ranks import bucket_count, hex_bucket, shuffle_key, stratum, with_rank
+from leafmill.operators.ranks import running, with_ordinal
 
-#: Sources, or components of sources, that one schedule deals at most.
+#: Sources that a fold over the slots of a round deals at most; joins and windows find the same slots for more.
 MOST_SOURCES = 256
+#: Blocks of a round that a fold places by a mask of bits, where halves are halved no further.
+LEAF = 32
 #: Of more sources, so many stay by themselves; the others are put into components of about this size.
 HEAVIEST, COMPONENT_SIZE = 64, 96
 #: Weights in proportion to whole units with at most this sum are met exactly.
@@ -215,6 +224,147 @@ def with_components(items: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return items, placed
 
 
+def _whole_units(sources: DataFrame, weights: Mapping[str, float] | None, resolution: int) -> DataFrame:
+    """sources (item, weight, blocks) with ``units`` as ``exact_units`` or ``weight_units`` gives them, for any number of sources."""
+    spark, m = sources.sparkSession, sources.count()
+    if weights is not None and m <= EXACT_UNITS:
+        exact = exact_units({x["item"]: x["weight"] for x in sources.select("item", "weight").collect()})
+        if exact is not None:
+            return sources.join(F.broadcast(spark.createDataFrame(list(exact.items()), "item string, units long")), "item")
+    resolution = max(resolution, 4 * m)
+    spare, alike = resolution - m, sources.groupBy("weight").count().collect()
+    total = float(sum(Fraction(x["weight"]) * x["count"] for x in alike)) or 1.0  # as fsum rounds it
+    left, by_rest = resolution, Counter()
+    for x in alike:
+        exact = x["weight"] / total * spare
+        left -= x["count"] * (1 + math.floor(exact))
+        by_rest[math.floor(exact) - exact] += x["count"]
+    last, tied = -math.inf, 0
+    for last, n in sorted(by_rest.items()):
+        if left <= n:
+            tied = left
+            break
+        left -= n
+    exact = F.col("weight") / F.lit(total) * F.lit(float(spare))
+    rest = F.floor(exact).cast("double") - exact
+    out = sources.withColumn("units", F.floor(exact).cast("long") + 1 + F.when(rest < F.lit(last), 1).otherwise(0))
+    if not tied:
+        return out
+    first = with_ordinal(sources.where(rest == F.lit(last)).select("item", F.lit(0).alias("one")), "one", F.array("item"))
+    first = materialize(first.where(F.col("ordinal") <= tied).select("item", F.lit(1).alias("more")), "tied")
+    return join_checked(out, first, ["item"], "left").withColumn("units", F.col("units") + F.coalesce("more", F.lit(0))).drop("more")
+
+
+def _block_windows(shares: DataFrame) -> DataFrame:
+    """(first, units, k) -> release and deadline in the round, from the shares (first, units, share) of all sources.
+
+    After the fraction k / units of a round all sources together have had k / units of what takes part in all
+    of the round, and of those that run out in it no more than their share.
+    """
+    ends = shares.where("share < units").groupBy("first", (F.col("share") / F.col("units")).alias("part"))
+    ends = ends.agg(F.sum("share").alias("ended"), F.sum("units").alias("ended_units"))
+    wholes = shares.groupBy("first").agg(F.sum("units").alias("all_units"))
+    points = shares.select("first", "units").distinct().select("first", "units", F.explode(F.sequence(F.lit(0).cast("long"), "units")).alias("k"))
+    points = points.withColumn("part", F.col("k") / F.col("units"))
+    both = points.unionByName(ends, allowMissingColumns=True)
+    so_far = Window.partitionBy("first").orderBy("part")
+    both = both.withColumns({c: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for c in ("ended", "ended_units")}).where("k IS NOT NULL")
+    slots = F.col("k") * (F.col("all_units") - F.col("ended_units")) + F.col("units") * F.col("ended")
+    both = both.join(wholes, "first").withColumn("slots", slots)
+    following = F.lead("slots").over(Window.partitionBy("first", "units").orderBy("k"))
+    both = both.withColumn("following", following).where("following IS NOT NULL")
+    return both.select("first", "units", "k", F.expr("slots div units").alias("release"), F.expr("(following + units - 1) div units").alias("deadline"))
+
+
+def _halved(rows: DataFrame, height: int) -> DataFrame:
+    """Groups of up to 2^height blocks and their slots as groups of half that size; places count the slots of a group.
+
+    Of the blocks of the half that is due first, N are released up to a slot, and D = place + 1 + (the least of 0
+    and of N - place - 1 so far) have had a slot by then, as in a queue that serves one at a time.
+    """
+    early = F.col("p").bitwiseAND(1 << (height - 1)) == 0
+    upto = Window.partitionBy("first", "g").orderBy("x", "is_slot")
+    rows = rows.withColumn("released", F.sum(F.when(early, 1).otherwise(0)).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    over = F.when(F.col("is_slot"), F.col("released") - F.col("x") - 1)
+    before = F.least(F.lit(0).cast("long"), F.min("over").over(upto.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("over", over).withColumn("before", before)
+    own = F.least("before", "over")
+    taken = F.when(F.col("is_slot"), own == F.col("before")).otherwise(early)
+    rows = rows.withColumn("own", own).withColumn("taken", taken)
+    x = F.when(F.col("taken"), F.col("x") + F.col("own")).when(F.col("is_slot"), -F.col("own") - 1).otherwise(-F.col("own"))
+    return rows.select("first", (F.col("g") * 2 + F.when(F.col("taken"), 0).otherwise(1)).alias("g"), x.alias("x"), "is_slot", "at", "p", "block")
+
+
+def _placed(jobs: DataFrame, most: int) -> DataFrame:
+    """jobs (first, item, k, release, deadline) with ``at``, their slots by earliest deadline first; a round has ``most`` at most."""
+    order = F.array(F.lpad(F.col("deadline").cast("string"), 20, "0"), F.col("item"))
+    jobs = running(jobs, "first", order, {"p": F.lit(1).cast("long")}).withColumn("p", F.col("p") - 1)
+    jobs = materialize(jobs, "deadlines")
+    block = F.struct("item", "k", "release", "deadline")
+    rows = jobs.select("first", F.lit(0).cast("long").alias("g"), F.col("release").alias("x"), F.lit(False).alias("is_slot"), F.lit(None).cast("long").alias("at"), "p", block.alias("block"))
+    slots = jobs.select("first", F.lit(0).cast("long").alias("g"), F.col("p").alias("x"), F.lit(True).alias("is_slot"), F.col("p").alias("at"), F.lit(None).cast("long").alias("p"), F.lit(None).cast(rows.schema["block"].dataType).alias("block"))
+    rows = rows.union(slots)
+    for height in range((most - 1).bit_length(), (LEAF - 1).bit_length(), -1):
+        rows = _halved(rows, height)
+
+    def step(state: Column, job: Column) -> Column:
+        free = F.bitwise_not(state["taken"]).bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("long"), job["x"].cast("int")))
+        return let(free.bitwiseAND(-free), lambda low: F.struct((state["taken"] + low).alias("taken"), F.concat(state["picks"], F.array(F.bit_count(low - 1))).alias("picks")))
+
+    own = F.sort_array(F.collect_list(F.when(~F.col("is_slot"), F.struct("p", "x", "block"))))
+    at = F.sort_array(F.collect_list(F.when(F.col("is_slot"), F.struct("x", "at"))))
+    leaves = rows.groupBy("first", "g").agg(own.alias("own"), at.alias("slots"))
+    start = F.struct(F.lit(0).cast("long").alias("taken"), F.array().cast("array<int>").alias("picks"))
+    leaves = leaves.withColumn("picks", F.aggregate("own", start, step, lambda s: s["picks"]))
+    leaves = leaves.select("first", "slots", "picks", F.posexplode("own").alias("i", "job"))
+    return leaves.select("first", "job.block.*", F.get("slots", F.get("picks", F.col("i")))["at"].alias("at"))
+
+
+def wide_schedule(sources: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """(first, item, k) -> slot in the round, release and deadline, for sources (item, units, blocks); and (first round, slots before it, slots of such a round).
+
+    It has no more rows than there are blocks, as each kind of round occurs.
+    """
+    ends = sources.select(F.explode(F.expr("array(0L, blocks div units, (blocks + units - 1) div units)")).alias("first")).distinct()
+    ends = sorted(x["first"] for x in ends.collect())
+    shares = sources.select("item", "units", "blocks", F.explode(F.filter(F.array(*[F.lit(x).cast("long") for x in ends]), lambda x: x * F.col("units") < F.col("blocks"))).alias("first"))
+    shares = shares.select("first", "item", "units", F.least(F.col("units"), F.col("blocks") - F.col("first") * F.col("units")).alias("share"))
+    shares = materialize(shares, "shares")
+    totals = {x["first"]: x["total"] for x in shares.groupBy("first").agg(F.sum("share").alias("total")).collect()}
+    kinds, before = [], 0
+    for first, after in zip(ends, [*ends[1:], None], strict=True):
+        if first in totals:
+            kinds.append((first, before, totals[first]))
+            before += totals[first] * (after - first)
+    windows = materialize(_block_windows(shares), "windows")
+    jobs = shares.select("first", "item", "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1)).alias("k"))
+    jobs = join_checked(jobs, windows, ["first", "units", "k"], "inner").select("first", "item", "k", "release", "deadline")
+    return materialize(_placed(jobs, max(totals.values())), "schedule"), kinds
+
+
+def _number_below(values: list[int], x: Column) -> Column:
+    """How many of the ascending values are not above x, by bisection."""
+    at = F.array(*[F.lit(v).cast("long") for v in values])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(values).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(at, low + step - 1) <= x, low + step).otherwise(low))
+
+
+def _mixed_wide(out: DataFrame, sources: DataFrame, item: str, made: list[str]) -> DataFrame:
+    """Rows with ``block`` and the schedule of (item, units, blocks): the columns of MADE beside ``made``, which are kept."""
+    a, c, kind, k, at, release, deadline = (free_name(out, x) for x in ("units_", "round_", "kind_", "k_", "at_", "release_", "deadline_"))
+    plan, kinds = wide_schedule(sources)
+    firsts, past, length = zip(*kinds, strict=True)
+    out = join_checked(out, sources.select(F.col("item").alias(item), F.col("units").alias(a)), [item], "inner")
+    out = out.withColumn(c, F.expr(f"block div {a}")).withColumn(k, F.expr(f"block % {a}"))
+    out = out.withColumn(kind, _number_below(list(firsts), F.col(c)) - 1)
+    of = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col(kind))
+    start = of(past) + (F.col(c) - of(firsts)) * of(length)
+    out = out.withColumn(c, start).withColumn(kind, of(firsts))
+    plan = plan.select(*[F.col(x).alias(y) for x, y in (("first", kind), ("item", item), ("k", k), ("at", at), ("release", release), ("deadline", deadline))])
+    out = join_checked(out, plan, [kind, item, k], "inner")
+    return out.select(*made, F.col(a).cast("int").alias("weight_units"), "block", *[(F.col(c) + F.col(x)).alias(y) for x, y in ((at, "slot"), (release, "release"), (deadline, "deadline"))], "row_in_block")
+
+
 def mix_sources(
     df: DataFrame,
     weights: Mapping[str | None, float] | None = None,
@@ -224,6 +374,7 @@ def mix_sources(
     resolution: int = 512,
     seed: int = 0,
     tie: tuple[str, ...] = (),
+    components: bool = False,
 ) -> DataFrame:
     """df with the columns of MADE; ordering by (slot, row_in_block) gives the mixture.
 
@@ -231,7 +382,7 @@ def mix_sources(
     None weighs each source by the square root of its rows. ``resolution`` is raised to four times
     the number of sources where that is more; weights that ``exact_units`` can meet are not rounded to it.
     release and deadline count slots from the start of the whole schedule, as slot does. ``block`` is the
-    number of a row's block in its source; where sources are put into components, weight_units, release and
+    number of a row's block in its source; where ``components`` puts sources into components, weight_units, release and
     deadline are those of the component.
     """
     df = df.drop(*MADE)
@@ -248,18 +399,22 @@ def mix_sources(
     if not n_rows:
         typed = {"weight_units": "int", "row_in_block": "int"}
         return df.withColumns({c: F.lit(None).cast(typed.get(c, "long")) for c in MADE})
-    items, placed = with_components(counted.select("item", "weight", "blocks"))
+    hashed = out.withColumn(h, shuffle_key(seed, key, df))
+    out = with_rank(hashed, r, [s], hex_bucket(F.col(h), bucket_count(n_rows)), [h, *tie])
+    out = out.withColumn("block", F.expr(f"{r} div {block_rows}L")).withColumn("row_in_block", F.expr(f"cast({r} % {block_rows}L as int)"))
+    items, placed = counted.select("item", "weight", "blocks"), None
+    if components:
+        items, placed = with_components(items)
+    elif items.count() > MOST_SOURCES:
+        return _mixed_wide(out, materialize(_whole_units(items, weights, resolution), "units"), s, df.columns)
     found = {x["item"]: x for x in items.collect()}  # MOST_SOURCES at most
     names = sorted(found)
     given = {k: found[k]["weight"] for k in names}
     units = (exact_units(given) if weights is not None else None) or weight_units(given, max(resolution, 4 * len(names)))
     kinds = round_kinds([found[k]["blocks"] for k in names], [units[k] for k in names])
 
-    hashed = out.withColumn(h, shuffle_key(seed, key, df))
-    out = with_rank(hashed, r, [s], hex_bucket(F.col(h), bucket_count(n_rows)), [h, *tie])
     number = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, range(len(names)))))
     a, i, c, kind = (free_name(df, x) for x in ("units_", "number_", "round_", "kind_"))
-    out = out.withColumn("block", F.expr(f"{r} div {block_rows}L")).withColumn("row_in_block", F.expr(f"cast({r} % {block_rows}L as int)"))
     item, b = s, "block"
     if placed is not None:
         item, b = free_name(df, "item_"), free_name(df, "place_")

@@ -182,3 +182,26 @@ def test_columns_with_clashing_names_are_kept(spark, small):
     got = out.collect()
     assert {r["doc_id"]: tuple(r[c] for c in mixing.MADE) for r in got} == plain
     assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_one_schedule_for_any_number_of_sources(spark, monkeypatch, given):
+    df = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id % 50 = 1 THEN NULL ELSE concat('s', cast(pow(id, 0.62) AS long)) END AS source")
+    assert df.select("source").distinct().count() > mixing.MOST_SOURCES
+    names = [r["source"] for r in df.select("source").distinct().collect()]
+    weights = {s: 1.0 + len(s or "") * 0.37 for s in names} if given else None
+    got = mixing.mix_sources(df, weights, block_rows=2).collect()
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1000)  # the fold over the slots
+    want = mixing.mix_sources(df, weights, block_rows=2).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_wide_schedule_by_brute_force(spark):
+    for units, blocks in (([3, 1, 2], [10, 1, 5]), ([1] * 90, [1] * 90), ([7, 2, 4] * 30, [23, 5, 9, 40, 1, 6] * 15), ([5] * 40 + [300], [2] * 40 + [901])):
+        names = [f"={i:04d}" for i in range(len(units))]
+        rows = spark.createDataFrame(list(zip(names, units, blocks, strict=True)), "item string, units long, blocks long")
+        plan, kinds = mixing.wide_schedule(rows)
+        assert [(f, b) for f, b, _ in kinds] == [(f, b) for f, b, _ in mixing.round_kinds(blocks, units)]
+        got = {(r["first"], r["at"]): r["item"] for r in plan.collect()}
+        want = {(first, at): names[i] for first, _, share in mixing.round_kinds(blocks, units) for at, i in enumerate(edf(units, share))}
+        assert got == want
