@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import hashing
-from leafmill.llm.common import join_checked, materialize, small_batches
+from leafmill.llm.common import join_checked, materialize, release, small_batches
 
 LENGTH = 200
 GRAM = 32
@@ -412,7 +412,9 @@ def kept_texts(docs: DataFrame, text: str = "text", length: int = LENGTH, shard:
     if shared.where("hot").isEmpty():
         regions = regions.select("key", "t1", "t2", "first", "region", F.lit(False).alias("again"))
     else:
-        regions, known = _one_of_equals(materialize(regions, "regions"))
+        regions = materialize(regions, "regions")
+        release(found)  # nothing that follows reads the anchors, which take some 0.6 times the texts
+        regions, known = _one_of_equals(regions)
     regions = regions.repartition("key").sortWithinPartitions("key")
     spans = regions.mapInArrow(_repeated_rows(length, shard), "t1 long, t2 long, begin long, end long")
     spans = spans.union(known) if known is not None else spans

@@ -116,3 +116,13 @@ def test_hot_anchors_are_split(spark, monkeypatch):
     rows = suffixes._split([(7, 1, 2, 5, (passage[:300] + phrase).encode())], 200)
     starts = sorted(s for _, _, _, first, region in rows for s in range(first, first + len(region) - 199))
     assert starts == list(range(5, 5 + 300 + len(phrase) - 199)) and len({r[0] for r in rows}) > 1
+
+
+def test_anchors_go_when_the_regions_are_written(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_REGIONS", 1)
+    gone = []
+    release = suffixes.release
+    monkeypatch.setattr(suffixes, "release", lambda *tables: (gone.extend(c for t in tables for c in t.columns), release(*tables)))
+    texts = ["".join(random.Random(i % 3).choices("abcdefgh ", k=300)) + str(i) for i in range(12)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert got(df) == sorted(brute(texts)) and gone == ["t1", "t2", "key", "first", "last"]
