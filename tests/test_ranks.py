@@ -39,3 +39,13 @@ def test_a_hot_group_is_cut(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "g long, p array<string>")
     assert ranks.with_ordinal(df, "g", F.col("p")).collect() == []
+
+
+def test_sort_text_orders_as_arrays_do(spark):
+    rng = random.Random(3)
+    parts = ["a", "a-b", "a\0", "a\1", "a\1\2", "\0", "\1", "\2", "", "é", "\U0001f600", None]
+    rows = {tuple(rng.choices(parts, k=rng.randrange(4))) for _ in range(500)}
+    df = spark.createDataFrame([(list(x),) for x in rows], "p array<string>").withColumn("t", ranks.sort_text(F.col("p")))
+    keys = {tuple(r["p"]): r["t"].encode() for r in df.collect()}
+    assert len(set(keys.values())) == len(rows)
+    assert sorted(rows, key=keys.get) == sorted(rows, key=lambda x: [(y is not None, (y or "").encode()) for y in x])
