@@ -224,3 +224,16 @@ def test_a_failed_forced_run_keeps_the_old_output(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError):
         extract.extract(spark, root, settings, extract.Repository("r"), "out")
     assert (base / "out" / "old.txt").read_text() == "old"
+
+
+def test_a_task_holds_a_bounded_part_of_its_ledger(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    n, before = 2 * file_sink.HELD + 7, spark.conf.get(file_sink.BATCH)
+    name = F.when(F.col("id") == 3, F.lit("../out")).otherwise(F.concat((F.col("id") % 9).cast("string"), F.lit("/"), F.col("id").cast("string")))
+    ledger = file_sink.write_files(spark.range(n).coalesce(1).select(name.alias("dest"), F.col("id").cast("string").cast("binary").alias("content")), str(tmp_path / "out"))
+    assert ledger.count() == n and ledger.where("failure IS NOT NULL").count() == 1 and spark.conf.get(file_sink.BATCH) == before
+    (part,) = (tmp_path / "out" / file_sink.LEDGER).glob("part-*")
+    meta = pq.ParquetFile(part).metadata
+    assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [file_sink.HELD, file_sink.HELD, 7]
+    assert meta.metadata[b"files"] == str(n - 1).encode() and (tmp_path / "out" / "0" / "9").read_text() == "9"
