@@ -101,30 +101,41 @@ class WordCoder:
 
     def _new(self, words: set[bytes]) -> set[bytes]:
         """Those of the words that have to be encoded; what only the older generation has becomes young again."""
-        out = set()
-        for word in words:
-            if word not in self.young:
-                if (ids := self.old.get(word)) is not None:
-                    self.young[word] = ids
-                else:
-                    out.add(word)
+        out = words.difference(self.young)
+        if self.old:
+            again = {word: ids for word in out if (ids := self.old.get(word)) is not None}
+            self.young |= again
+            out.difference_update(again)
         return out
 
     def learn(self, words: set[bytes]) -> None:
         """From now on the young generation has these words."""
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        words = self._new(words)
-        plain = {word: word.lower() for word in words if word.isalpha()}  # of bytes: letters A to Z alone
-        split: list[tuple[bytes, bytes, bytes]] = []
-        for word in words - plain.keys():
+        # Words that are others, and what follows these in some; no tuples, which would call for garbage collections.
+        heads: dict[bytes, bytes] = {}
+        tails: dict[bytes, bytes] = {}
+        parts: set[bytes] = set()
+        for word in self._new(words):
             head, tail = word, b""
-            if b"<|" not in word and b"'" not in word:
+            stem = word.rstrip(SYMBOLS)
+            if stem.isalpha():  # of bytes: letters A to Z alone
+                tail = word[len(stem) :]
+                if not tail or (b"'" not in tail and b"<|" not in tail):
+                    head = stem.lower()
+                else:
+                    tail = b""
+            elif b"<|" not in word and b"'" not in word:
                 low = word.lower() if word.isascii() else word
                 head = low.rstrip(SYMBOLS)
                 head, tail = (head, low[len(head) :]) if head and head.decode()[-1].isalpha() else (low, b"")
-            split.append((word, head, tail))
-        new = self._new({x for _, *parts in split for x in parts} | set(plain.values()))
+            parts.add(head)
+            if tail:
+                parts.add(tail)
+                tails[word] = tail
+            if tail or head != word:
+                heads[word] = head
+        new = self._new(parts)
         simple = [x for x in new if x.isalpha() and x.islower()]
         other = new.difference(simple)
         letters = [x for x in other if x.decode().isalpha()]
@@ -133,8 +144,9 @@ class WordCoder:
                 self._together(some, how)
         for x in other.difference(letters):
             self.young[x] = self._ids(x.decode()).tobytes()
-        self.young |= ((word, self.young[low]) for word, low in plain.items())
-        self.young |= ((word, self.young[head] + self.young[tail]) for word, head, tail in split)
+        young = self.young
+        for word, head in heads.items():
+            young[word] = young[head] + young[tails[word]] if word in tails else young[head]
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each whole UTF-8 text."""
@@ -204,6 +216,8 @@ class Problem:
     def __init__(self, lengths: Sequence[int], capacity: int):
         self.lengths, self.capacity = list(lengths), capacity
         self.bound = -(-sum(self.lengths) // capacity)
+        #: Of the bins that were made last.
+        self.fills: list[int] = []
 
     def fill(self, own: list[int]) -> int:
         return sum(map(self.lengths.__getitem__, own))
@@ -211,10 +225,11 @@ class Problem:
     def best_fit(self, bins: Bins, displaced: list[int]) -> Bins:
         """Puts each displaced piece, in their order, into the fullest bin that takes it, or a new one."""
         lengths, capacity = self.lengths, self.capacity
+        fills = [sum(map(lengths.__getitem__, own)) for own in bins]
         by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
         mask = 0  # which amounts of free room some bin has
-        for k, own in enumerate(bins):
-            free = capacity - self.fill(own)
+        for k, fill in enumerate(fills):
+            free = capacity - fill
             by_free[free].append(k)
             mask |= 1 << free
         for piece in displaced:
@@ -225,11 +240,14 @@ class Problem:
                 if not by_free[free]:
                     mask ^= 1 << free
                 bins[k].append(piece)
+                fills[k] += size
             else:
                 free, k = capacity, len(bins)
                 bins.append([piece])
+                fills.append(size)
             by_free[free - size].append(k)
             mask |= 1 << (free - size)
+        self.fills = fills
         return bins
 
     def value(self, bins: Bins) -> tuple[int, int]:
@@ -282,7 +300,7 @@ class Problem:
             child = self.crossed(first, second, draw) if first is not second else self.mutated(first, draw)
             if draw.random() < 0.3:
                 child = self.mutated(child, draw)
-            value = self.value(child)
+            value = -len(child), sum(x * x for x in self.fills)
             if value > ranked[-1][0] and all(value != x[0] for x in ranked):
                 ranked = sorted([*ranked[: POPULATION - 1], (value, child)], key=lambda x: x[0], reverse=True)
         return [x for _, x in ranked]

@@ -134,3 +134,12 @@ def test_genetic_search_beats_best_fit():
         assert problem.value(population[0]) >= problem.value(plain)
         won += problem.value(population[0]) > problem.value(plain)
     assert won >= 2
+
+
+def test_fills_of_the_last_bins_are_kept():
+    draw = random.Random(4)
+    problem = packing.Problem([draw.randrange(1, 90) for _ in range(200)], 100)
+    founders = [problem.best_fit([], draw.sample(range(200), 200)) for _ in range(2)]
+    for make in (lambda: problem.crossed(founders[0], founders[1], draw), lambda: problem.mutated(founders[0], draw)):
+        bins = make()
+        assert problem.fills == [problem.fill(own) for own in bins] and sorted(x for own in bins for x in own) == list(range(200))
