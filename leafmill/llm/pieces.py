@@ -4,17 +4,20 @@ A text is cut where no piece can reach across, which the piece table itself tell
 spaces, around line ends, and between Latin letters and other characters if no piece has both. Every
 distinct unit so found is encoded once: all its substrings of bounded length are exploded and
 equi-joined to the piece table, these edges are grouped by unit, and a higher-order ``aggregate``
-folds them to the pieces of the unit. Units reach the documents in two ways, which give the same ids:
-those that are frequent in a sample of documents, ``dictionary`` at most, are sent to all tasks; all
-others are joined to the rows that hold them.
+folds them to the pieces of the unit. Units that are frequent in a sample of documents, ``dictionary``
+at most, are encoded once and sent to all tasks. All others go through the same steps in the tasks that
+meet them, as arrays of many units at once (``Lattice``), so texts never move: bringing the codes of such
+units to their texts by joins takes more than twice the input in disk. Unigram models, of which there is
+no public one here, encode such units one by one.
 
 The fold follows the kind of the model. For "unigram" it is Viterbi: the path of the greatest sum of
 scores. A "bpe" model's scores are not additive (they are merge ranks), and the greatest sum gives
 other pieces than the model does; there the fold goes through the edges in the order of their ranks,
 and merges the two pieces that make up an edge where just two do. This gives the model's own pieces
-if each piece is its own encoding, as in trained models; ``load_model`` checks that.
-
-Units above ``LONGEST_UNIT`` characters have more edges than a fold can hold, and are encoded alone.
+if each piece is its own encoding by merges of ascending ranks, as in trained models; ``load_model``
+checks that. Where pieces share a rank (runs of spaces do), a merge may complete an edge further left;
+arrays go back to it, ``encode_units`` takes such units and those above ``LONGEST_UNIT`` characters,
+which have more cuts than bits, one by one.
 Characters without a piece become the pieces of their UTF-8 bytes. Decoding restores a text exactly,
 but that U+2581, the mark of a space, reads as a space. Null texts have null ids, empty ones no ids.
 """
@@ -23,19 +26,22 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import free_name, let, materialize, small_batches
+from leafmill.llm.common import let, materialize, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -47,13 +53,13 @@ CUTS = (f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}\n]+|{SPACE}+|\n", f"{SPACE
 DICTIONARY, SAMPLE = 131_072, 20_000
 #: Cuts of a unit, before and after each of its characters, are the bits of a positive long.
 LONGEST_UNIT = 61
-#: Rows of rare units that a task encodes the distinct units of; each makes some fifty substrings.
-UNITS = 100_000
+#: Units beside the frequent ones that a task remembers.
+REMEMBERED = 100_000
 #: An edge of the merge lattice as a long: rank, start, end, and id in so many bits; the last id marks a character without a piece.
 END_BIT, START_BIT, RANK_BIT = 20, 26, 32
 NO_PIECE = (1 << END_BIT) - 1
-#: Rows that a task turns at once.
-ROWS = 128
+#: Rows that a task turns at once, and bytes of their texts, but for the last of them.
+ROWS, BYTES = 128, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -74,6 +80,14 @@ class PieceModel:
     def costs(self) -> dict[str, float]:
         return {p: -score for p, (_, score) in self.pieces.items()}
 
+    @cached_property
+    def tied(self) -> str:
+        """A pattern of pieces that share their score with others; it finds every unit that holds one of two characters or more."""
+        times = Counter(score for _, score in self.pieces.values())
+        some = {p for p, (_, score) in self.pieces.items() if len(p) > 1 and times[score] > 1}
+        least = [p for p in some if not any(p[a:b] in some for a in range(len(p)) for b in range(a + 2, len(p) + 1) if b - a < len(p))]
+        return "|".join(map(re.escape, sorted(least))) or "(?!)"
+
     @property
     def longest(self) -> int:
         return max(map(len, self.pieces), default=1)
@@ -91,8 +105,8 @@ def load_model(path: str = MODEL, kind: str = "bpe") -> PieceModel:
     by_id = [b"" if i in special else model.id_to_piece(i).encode() for i in ids]
     by_id[first : first + 256] = [bytes((b,)) for b in range(256)]
     made = PieceModel(pieces, first, tuple(by_id), kind)
-    if kind == "bpe" and (odd := next((p for p in pieces if len(p) > 1 and _merged(list(p), made.costs) != [p]), None)):
-        raise ValueError(f"{path}: the piece {odd!r} is not its own encoding")
+    if kind == "bpe" and (odd := next((p for p in pieces if len(p) > 1 and not _in_order(p, made.costs)), None)):
+        raise ValueError(f"{path}: the piece {odd!r} is not its own encoding, by merges in the order of their ranks")
     return made
 
 
@@ -211,6 +225,12 @@ def _merged_ids(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
     return rows.select("unit", F.flatten(F.transform(_fold_merges(F.length("unit"), F.col("edges")), ids)).alias("ids"))
 
 
+def foldable(model: PieceModel) -> Column:
+    """Whether a unit's merges can be folded as one pass over bits: neither too long nor with pieces of one rank."""
+    short = F.length("unit") <= LONGEST_UNIT
+    return short & ~F.col("unit").rlike(model.tied) if model.kind == "bpe" else short
+
+
 def encode_units(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
     """(unit, ids) of each unit, from its lattice; units must not repeat."""
     alone = encode_unit if model.kind == "bpe" else best_path
@@ -221,8 +241,9 @@ def encode_units(unit_rows: DataFrame, model: PieceModel) -> DataFrame:
             yield pa.record_batch({"unit": batch.column(0), "ids": pa.array(found, pa.list_(pa.int32()))})
 
     rows = unit_rows.select("unit").where("unit <> ''")
-    short = rows.where(F.length("unit") <= LONGEST_UNIT)
-    long = rows.where(F.length("unit") > LONGEST_UNIT).mapInArrow(encode_long, "unit string, ids array<int>")
+    folds = foldable(model)
+    short = rows.where(folds)
+    long = rows.where(~folds).mapInArrow(encode_long, "unit string, ids array<int>")
     return (_merged_ids if model.kind == "bpe" else _path_ids)(short, model).union(long)
 
 
@@ -241,6 +262,14 @@ def _merged(symbols: list[str], costs: dict[str, float]) -> list[str]:
     return symbols
 
 
+def _in_order(piece: str, costs: dict[str, float]) -> bool:
+    """Whether a piece is its own encoding, and its last merge has no better rank than those before it."""
+    cost = costs.pop(piece)
+    parts = _merged(list(piece), costs)
+    costs[piece] = cost
+    return len(parts) == 2 and all(len(x) == 1 or costs[x] <= cost for x in parts)
+
+
 def _merged_long(symbols: list[str], costs: dict[str, float]) -> list[str]:
     """The same, by a heap over a linked list."""
     after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
@@ -313,8 +342,146 @@ def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, conver
     return df.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(name, kind)]))
 
 
+class Lattice:
+    """The lattices of many units at once, as arrays: exploded, equi-joined to the piece table, grouped and folded.
+
+    This is ``merge_lattice`` and its fold for units that only few rows have. All starts are joined to the
+    table of (beginning of a piece, next character) until no piece goes on, which gives the edges. Where no
+    edge reaches across, a unit falls apart; each part is folded by itself, all parts together.
+    """
+
+    BITS = 19  # of a slot of the join table, for a model of 32,000 pieces; more for larger ones
+
+    def __init__(self, model: PieceModel):
+        place = {score: k for k, score in enumerate(sorted({s for _, s in model.pieces.values()}, reverse=True))}
+        nodes, keys = {"": 0}, []
+        for piece in model.pieces:
+            for k, c in enumerate(piece):
+                if (begun := piece[: k + 1]) not in nodes:
+                    nodes[begun] = len(nodes)
+                    keys.append(nodes[piece[:k]] << 21 | ord(c))
+        self.id, self.rank = np.full(len(nodes), -1, np.int32), np.zeros(len(nodes), np.int64)
+        for piece, (i, score) in model.pieces.items():
+            self.id[nodes[piece]], self.rank[nodes[piece]] = i, place[score]
+        #: Ranks that several pieces share.
+        self.tied = np.bincount(self.rank[self.id >= 0], minlength=len(place)) > 1
+        self.longest, self.first_byte, self.bits = model.longest, model.first_byte, max(self.BITS, len(keys).bit_length() + 2)
+        self.keys, self.nodes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        for node, (key, slot) in enumerate(zip(keys, self._slots(np.array(keys, np.int64)).tolist(), strict=True), 1):
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & (1 << self.bits) - 1
+            self.keys[slot], self.nodes[slot] = key, node
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The beginnings with one more character; -1 if no piece begins so."""
+        keys = nodes.astype(np.int64) << 21 | chars
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, self.nodes[slots], np.int32(-1))
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            slots[todo] = slots[todo] + 1 & (1 << self.bits) - 1
+            held = self.keys[slots[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.nodes[slots[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out
+
+    def _edges(self, chars: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, rank) of the pieces of two characters or more; ``last`` is where the unit of a character ends."""
+        at, size, found = np.arange(len(chars)), 1, []
+        node = self._next(np.zeros(len(chars), np.int32), chars)
+        while len(at):
+            on = (node >= 0) & (at + size < last[at])
+            at = at[on]
+            node = self._next(node[on], chars[at + size])
+            size += 1
+            piece = np.flatnonzero((node >= 0) & (self.id[node] >= 0))
+            found.append((at[piece], at[piece] + size, self.rank[node[piece]]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def _cuts(self, chars: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where pieces begin, a boolean for each character."""
+        begin, end, rank = self._edges(chars, last)
+        crossed = np.cumsum(np.bincount(begin + 1, minlength=len(chars) + 1) - np.bincount(end, minlength=len(chars) + 1))[:-1] > 0
+        crossed[starts] = False
+        first = np.flatnonzero(~crossed)
+        part = np.cumsum(~crossed) - 1
+        sizes = np.diff(first, append=len(chars))
+        own, start, stop = part[begin], begin - first[part[begin]], end - first[part[begin]]
+        alone = sizes > LONGEST_UNIT
+        alone[own[self.tied[rank]]] = True
+        short = ~alone[own]
+        # One number sorts the edges by part, by rank, and from left to right.
+        edges = np.sort(own[short] << 36 | rank[short] << 12 | start[short] << 6 | stop[short])
+        of, at, count = np.unique(edges >> 36, return_index=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")
+        of, at, count = of[order], at[order], count[order]
+        one = np.uint64(1)
+        bits = (one << (sizes[of] + 1).astype(np.uint64)) - one
+        for k in range(int(count[0]) if len(count) else 0):
+            n = int(np.searchsorted(-count, -k, "left"))
+            edge = edges[at[:n] + k].astype(np.uint64)
+            low, high = one << (edge >> np.uint64(6) & np.uint64(63)), one << (edge & np.uint64(63))
+            now, outer = bits[:n], low | high
+            inside = now & (high - (low << one))
+            two = ((now & outer) == outer) & (inside != 0) & ((inside & (inside - one)) == 0)
+            bits[:n] = np.where(two, now ^ inside, now)
+        whole = np.full(len(first), ~np.uint64(0))
+        whole[of] = bits
+        inner = np.minimum(np.arange(len(chars)) - first[part], 63).astype(np.uint64)
+        cuts = (whole[part] >> inner & one).astype(bool)
+        return cuts if short.all() else self._cuts_one_by_one(cuts, begin[~short], end[~short], rank[~short])
+
+    def _cuts_one_by_one(self, cuts: np.ndarray, begin: np.ndarray, end: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The same fold edge by edge. Among pieces of one rank, a merge may complete an edge further left, which is then next."""
+        order = np.lexsort((end, begin, rank))
+        begins, ends, ranks = (x[order].tolist() for x in (begin, end, rank))
+        held, k, first = bytearray(cuts.tobytes() + b"\1"), 0, 0
+        while k < len(begins):
+            a, b = begins[k], ends[k]
+            if ranks[k] != ranks[first]:
+                first = k
+            k += 1
+            if held[a] and held[b] and held.count(1, a + 1, b) == 1:
+                held[held.index(1, a + 1, b)] = 0
+                if self.tied[ranks[k - 1]]:
+                    k = bisect_left(begins, b - self.longest, first, k)
+        return np.frombuffer(held, bool)[:-1]
+
+    def codes(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, big-endian integers of 32 bits."""
+        if not units:
+            return []
+        text = "".join(units)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes)
+        begin = np.flatnonzero(self._cuts(chars, ends - sizes, np.repeat(ends, sizes)))
+        end = np.append(begin[1:], len(chars))
+        node, on, k = np.zeros(len(begin), np.int32), np.arange(len(begin)), 0
+        while len(on):
+            node[on] = self._next(node[on], chars[begin[on] + k])
+            k += 1
+            on = on[(node[on] >= 0) & (begin[on] + k < end[on])]
+        ids = np.where(node >= 0, self.id[node], np.int32(-1)).astype(">i4")
+        odd = np.flatnonzero(ids < 0)
+        bytes_of = [np.frombuffer(text[i].encode("utf-8", "replace"), np.uint8) + np.int32(self.first_byte) for i in begin[odd].tolist()]
+        n = np.ones(len(ids), np.int64)
+        n[odd] = list(map(len, bytes_of))
+        out = np.repeat(ids, n)
+        if len(odd):
+            out[np.repeat(ids < 0, n)] = np.concatenate(bytes_of)
+        stops = (4 * np.cumsum(n)[np.searchsorted(begin, ends) - 1]).tolist()
+        data = out.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+
 class _Ids(dict):
-    """The ids of units, as the bytes of 32-bit integers; ``own`` has those that the row at hand brings with it."""
+    """The ids of units, as the bytes of 32-bit integers; ``own`` has those that a task has met."""
 
     own: dict[str, bytes]
 
@@ -330,45 +497,37 @@ def _packed(coded: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, model: PieceModel, text: str = "text", name: str = "ids", dictionary: int = DICTIONARY) -> DataFrame:
     """docs with ``name``, the ids of the pieces of the whole text (a column of this name is replaced).
 
-    Rows are joined to the units that only they have by a hash of their columns. Rows that share a hash
-    share these units, which changes no id.
+    Texts stay where they are. Units that are not among the frequent ones go through the lattice in the task that meets them.
     """
     small_batches(docs.sparkSession)
-    row, own, codes = (free_name(docs, x) for x in ("row_", "units_", "codes_"))
-    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.VariantType)]
-    keyed = docs.withColumn(row, F.xxhash64(*plain))
-
-    frequent = frequent_units(docs, text, model, dictionary)
+    frequent = frequent_units(docs, text, model, dictionary).where(foldable(model))
     known = _Ids(_packed(encode_units(frequent, model)).toPandas().itertuples(index=False))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    rare = keyed.select(F.col(row).alias("row"), F.explode(F.array_distinct(units(F.col(text), model))).alias("unit"))
-    rare = materialize(rare.join(F.broadcast(frequent), "unit", "left_anti"), "rare")
-    distinct = rare.select("unit").repartition(max(1, -(-rare.count() // UNITS)), "unit").distinct()
-    coded = materialize(_packed(encode_units(distinct, model)), "coded")
-    found = rare.join(coded.hint("merge"), "unit").groupBy("row").agg(F.collect_set(F.struct("unit", "code")).alias("all"))
-    found = found.select(F.col("row").alias(row), F.col("all.unit").alias(own), F.col("all.code").alias(codes))
-
-    out = keyed.join(found.hint("merge"), row, "left").drop(row)
+    shared = docs.sparkSession.sparkContext.broadcast((known, Lattice(model) if model.kind == "bpe" else None))
     kept = [c for c in docs.columns if c.lower() != name.lower()]
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, find = shared.value, re.compile(model.cut).findall
+        (of, lattice), find = shared.value, re.compile(model.cut).findall
+        of.own = {}
         for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
-                texts, more, bits = (batch.column(batch.schema.get_field_index(c)) for c in (text, own, codes))
-                found = []
-                for x, u, c in zip(texts.to_pylist(), more.to_pylist(), bits.to_pylist(), strict=True):
-                    of.own = dict(zip(u, c, strict=True)) if u else {}
-                    found.append(b"".join(map(of.__getitem__, find(SPACE + x.replace(" ", SPACE)))) if x else b"")
+            sizes = pc.fill_null(pc.binary_length(whole.column(whole.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+            groups = np.cumsum(sizes, dtype=np.int64) // BYTES + np.arange(whole.num_rows) // ROWS
+            for start, end in pairwise([*np.flatnonzero(np.diff(groups, prepend=-1)).tolist(), whole.num_rows]):
+                batch = whole.slice(start, end - start)
+                texts = batch.column(batch.schema.get_field_index(text))
+                split = [find(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts.to_pylist()]
+                if len(of.own) > REMEMBERED:
+                    of.own = {}
+                new = list(set(chain.from_iterable(split)).difference(of, of.own))
+                codes = lattice.codes(new) if lattice else [np.array(best_path(u, model), ">i4").tobytes() for u in new]
+                of.own.update(zip(new, codes, strict=True))
+                found = [b"".join(map(of.__getitem__, own)) for own in split]
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
                 ids = pa.array(np.frombuffer(b"".join(found), ">i4").astype(np.int32))
                 made = pa.ListArray.from_arrays(pa.array(ends), ids, mask=texts.is_null())
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], made], [*kept, name])
 
-    return out.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model: PieceModel, ids: str = "ids", name: str = "decoded") -> DataFrame:

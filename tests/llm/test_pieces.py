@@ -110,3 +110,32 @@ def test_every_piece_is_its_own_encoding(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Odd)
     with pytest.raises(ValueError, match="abc"):
         pieces.load_model("odd")
+
+
+def test_array_lattice_by_single_units():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeinorst.,é▁中\u0301\U0001f600大的\n0123=-", k=rng.randrange(1, 200))) for _ in range(600)]
+    words += ["".join(rng.choices("etaoinshr", k=20_000)), "中文的大" * 5000, "a", *(c * n for c in "=x▁-" for n in range(1, 140))]
+    got = pieces.Lattice(MODEL).codes(words)
+    for w, ids in zip(words, got, strict=True):
+        assert [int.from_bytes(ids[k : k + 4], "big") for k in range(0, len(ids), 4)] == pieces.encode_unit(w, MODEL)
+    assert pieces.Lattice(MODEL).codes([]) == [] and pieces.Lattice(pieces.PieceModel({}, 3, ())).codes(["é"]) == [bytes((0, 0, 0, 3 + 195, 0, 0, 0, 3 + 169))]
+
+
+def test_pieces_of_one_rank(spark):
+    """Runs of spaces are pieces of one score: after a merge, one further left may be next."""
+    texts = [f"a{' ' * n}b" for n in range(12, 70)] + ["def f():\n" + " " * 15 + "x\n" + " " * 40 + "y"] * 5
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for size in (0, 1000):
+        assert all(list(r["ids"]) == LIBRARY.encode(r["text"]) for r in pieces.encode(df, MODEL, dictionary=size).collect())
+    units = [("▁" * n,) for n in range(1, 62)]
+    assert all(list(r["ids"]) == pieces.encode_unit(r["unit"], MODEL) for r in pieces.encode_units(spark.createDataFrame(units, "unit string"), MODEL).collect())
+
+
+def test_texts_stay_in_place(spark, small):
+    """No shuffle on the way of a text, however many of its units are rare; long texts without a space go the same way."""
+    long = spark.createDataFrame([(1, "中文的大" * 5000), (2, "x" * 3_000_000), (3, "qzx" * 7000)], "doc_id long, text string")
+    coded = pieces.encode(small.select("doc_id", "text").union(long), MODEL, dictionary=10)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Exchange", "Join", "Sort"))
+    assert all(list(r["ids"]) == LIBRARY.encode(r["text"]) for r in coded.collect())
