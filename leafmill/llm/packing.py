@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
@@ -50,6 +51,8 @@ REMEMBERED = 500_000
 ROWS = 256
 #: Symbols that the tokenizer parts from a letter before them; an apostrophe may belong to what follows.
 SYMBOLS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Stops and commas that are parted from what is before them.
+CLOSING = re.compile(rb"(?<=[a-z0-9])[.,](?=\s)").sub
 MADE = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 Bins = list[list[int]]
@@ -58,6 +61,17 @@ Bins = list[list[int]]
 # ---- tokens ----
 
 
+def _plainer(text: bytes) -> bytes:
+    """A text with the same tokens and fewer different words.
+
+    To the tokenizer letters A to Z are small, and a stop or comma between a letter or digit and white space is a word. This
+    holds but in marked tokens, and with marks (U+0300 to U+036F) that may join a letter; such texts are left as they are.
+    """
+    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+        return text
+    return CLOSING(rb" \g<0>", text.lower())
+
+
 class WordCoder:
     """Tokens of texts by a tokenizer that drops white space and never joins what it separates.
 
@@ -117,11 +131,17 @@ class WordCoder:
         tails: dict[bytes, bytes] = {}
         parts: set[bytes] = set()
         for word in self._new(words):
+            if word.isalpha():  # of bytes: letters A to Z alone
+                head = word.lower()
+                parts.add(head)
+                if head != word:
+                    heads[word] = head
+                continue
             head, tail = word, b""
             stem = word.rstrip(SYMBOLS)
-            if stem.isalpha():  # of bytes: letters A to Z alone
+            if stem.isalpha():
                 tail = word[len(stem) :]
-                if not tail or (b"'" not in tail and b"<|" not in tail):
+                if b"'" not in tail and b"<|" not in tail:
                     head = stem.lower()
                 else:
                     tail = b""
@@ -150,14 +170,16 @@ class WordCoder:
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each whole UTF-8 text."""
-        split = [x.split() for x in texts]
+        split = [_plainer(x).split() for x in texts]
         # What the words of these texts add may go beyond the bound, but is forgotten next.
         for first in range(0, len(split), ROWS):
             part = split[first : first + ROWS]
             words = set(chain.from_iterable(part))
             self.learn(words)
+            # Those at hand are few, and looked up faster than among all that are remembered.
+            ids = dict(zip(words, map(self.young.__getitem__, words), strict=True)).__getitem__
             for own in part:
-                yield b"".join(map(self.young.__getitem__, own))
+                yield b"".join(map(ids, own))
 
 
 @cache

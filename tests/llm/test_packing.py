@@ -29,6 +29,14 @@ def test_words_encode_as_the_library_does_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == library(text), repr(text)
 
 
+def test_words_that_differ_in_case_and_stops_are_remembered_once():
+    texts = ["Tail tail, TAIL. tail", "tail. TAIL,\ntail.", "H̱ H, ẖ. <|ENDOFTEXT|> A. <|endoftext|>. B,", "it'S. 'S, 12. É. é, K. !. ., a., b.\x0bc,\x1cd. e."]
+    coder = packing.WordCoder(PATH)
+    first = [np.frombuffer(x, "<u4").tolist() for x in coder.texts([x.encode() for x in texts[:2]])]
+    assert {b"tail", b".", b","} <= set(coder.young) and len(coder.young) <= 4  # a stop at the end of a text stays where it is
+    assert first + [np.frombuffer(x, "<u4").tolist() for x in coder.texts([x.encode() for x in texts[2:]])] == list(map(library, texts))
+
+
 def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
     monkeypatch.setattr(packing, "ROWS", 1)
