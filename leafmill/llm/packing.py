@@ -23,6 +23,7 @@ epoch, so a task that runs again does the same.
 
 from __future__ import annotations
 
+import codecs
 import os
 import random
 import re
@@ -47,12 +48,15 @@ BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1024, 3, 6, 2, 5
 PASSED_ON = 16
 #: Words of a generation that a worker remembers, beside those of the texts at hand.
 REMEMBERED = 500_000
-#: Rows that a task encodes at once.
-ROWS = 256
-#: Symbols that the tokenizer parts from a letter before them; an apostrophe may belong to what follows.
-SYMBOLS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Stops and commas that are parted from what is before them.
-CLOSING = re.compile(rb"(?<=[a-z0-9])[.,](?=\s)").sub
+#: Rows that a task encodes at once, and bytes after which it takes no more of them, or goes on behind the next white space.
+ROWS, BYTES = 1000, 4_000_000
+#: Kinds of bytes in words that are cut here; OTHER is in none of them.
+SPACE, LETTER, DIGIT, SYMBOL, OTHER = range(5)
+#: Two bytes with this one before are the letters U+00C0 to U+00FF, but for two signs among them.
+LATIN, SIGNS = 0xC3, (0x97, 0xB7)
+#: Words that are cut here.
+PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+GAP = re.compile(rb"[\t-\r ]").search
 MADE = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 Bins = list[list[int]]
@@ -61,25 +65,88 @@ Bins = list[list[int]]
 # ---- tokens ----
 
 
-def _plainer(text: bytes) -> bytes:
-    """A text with the same tokens and fewer different words.
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, OTHER, np.uint8)
+    for byte in range(0x21, 0x7F):
+        kinds[byte] = LETTER if chr(byte).isalpha() else DIGIT if chr(byte).isdigit() else SYMBOL
+    kinds[list(b"\t\n\x0b\x0c\r ")] = SPACE
+    # What follows another first byte than LATIN stands with that byte in a run that is not cut.
+    kinds[[LATIN, *range(0x80, 0xC0)]] = LETTER
+    return kinds
 
-    To the tokenizer letters A to Z are small, and a stop or comma between a letter or digit and white space is a word. This
-    holds but in marked tokens, and with marks (U+0300 to U+036F) that may join a letter; such texts are left as they are.
+
+KINDS, LOWER = _kinds(), np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of a text begins, where it begins when words alone are left, and these.
+
+    Words are runs of letters, single digits, runs of symbols, and an apostrophe with certain letters after it, all in
+    small letters. A run without white space that has a marked token or other characters than ASCII's and the letters
+    to U+00FF is one word and left as it is, for marks may join its letters. Begins and ends with white space.
     """
-    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
-        return text
-    return CLOSING(rb" \g<0>", text.lower())
+    raw = np.frombuffer(b" " + text + b"   ", np.uint8)
+    kinds, low = KINDS[raw], LOWER[raw]
+    begins = np.zeros(len(raw), bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+    begins |= kinds == DIGIT
+    words = kinds != SPACE
+    begins &= words
+
+    marks = np.flatnonzero(raw == ord("'"))
+    marks = marks[begins[marks]]
+    after, then = low[marks + 1], low[marks + 2]
+    one = np.isin(after, list(b"stmd"))
+    two = np.isin(after, list(b"rv")) & (then == ord("e")) | (after == ord("l")) & (then == ord("l"))
+    begins[marks[one | two] + 1] = False
+    begins[marks[two] + 2] = False
+    ends = np.concatenate([marks[one] + 2, marks[two] + 3])
+    begins[ends] = words[ends]
+
+    second = np.flatnonzero(raw == LATIN) + 1
+    capital = second[(raw[second] >= 0x80) & (raw[second] <= 0x9E)]
+    low[capital] += 0x20
+    token = np.flatnonzero(raw == ord("<"))
+    whole = np.concatenate([np.flatnonzero(kinds == OTHER), second[np.isin(raw[second], SIGNS)], token[raw[token + 1] == ord("|")]])
+    if len(whole):
+        spaces = np.flatnonzero(~words)
+        stop = np.unique(np.searchsorted(spaces, whole))
+        first, stop = spaces[stop - 1] + 1, spaces[stop]
+        edges = np.zeros(len(raw), np.int8)
+        edges[first], edges[stop] = 1, -1
+        inside = np.cumsum(edges, dtype=np.int8).view(bool)
+        begins[inside] = False
+        begins[first] = True
+        np.copyto(low, raw, where=inside)
+    return np.flatnonzero(begins) - 1, np.flatnonzero(begins[words]), low[words]
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A long text, cut at white space."""
+    at = 0
+    while gap := GAP(text, at + BYTES):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+def _byte_letters() -> str:
+    """The letters for bytes in a vocabulary of bytes: printable ones are themselves. A space stays one."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    letters = [chr(x) if x in shown else chr(next(rest)) for x in range(256)]
+    return "".join(letters[:0x20] + [" "] + letters[0x21:])
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class WordCoder:
-    """Tokens of texts by a tokenizer that drops white space and never joins what it separates.
+    """Tokens of texts by a tokenizer that drops white space and never joins what ``_words`` separates.
 
-    So a text's tokens are those of its words, one after the other, and a word is encoded once. Where
-    a word is ASCII, it is lower-cased first, and symbols that follow a letter at its end are encoded on
-    their own: both are what the tokenizer itself does. New words of letters alone are encoded
-    together; each ends with a token that only ends words, which tells them apart. A tokenizer that
-    differs in this is refused.
+    So a text's tokens are those of its words, one after the other, and a word is encoded once. New words
+    are encoded together; each ends with a token that only ends words, which tells them apart. Words that
+    are not cut any further go through the whole tokenizer. A tokenizer that differs in this is refused.
     """
 
     def __init__(self, path: str):
@@ -87,7 +154,7 @@ class WordCoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # Words of letters a to z are what they are before and after it, so the same model takes them without the preparation of texts.
+        # Words are cut and lower-cased already, so the same model takes them without the preparation of texts.
         self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -95,91 +162,78 @@ class WordCoder:
         #: Two generations of words: the older goes when the younger has grown, but what is met again is kept.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        for whole, parts in (("aB  cd,\n\tx", ("ab", "cd,", "x")), ("it's 12. no", ("it's", "12", ".", "no"))):
-            if self._ids(whole).tobytes() != b"".join(self._ids(x).tobytes() for x in parts):
-                raise ValueError(f"{path}: its tokens reach across white space")
-
-    def _ids(self, text: str, plain: bool = False) -> np.ndarray:
-        tokenizer = self.plain if plain else self.whole
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _together(self, words: list[bytes], plain: bool) -> None:
-        """Encodes words of letters at once, unless some of them turn out to be more than one word."""
-        ids = self._ids(b" ".join(words).decode(), plain)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(words) and (not len(ids) or cuts[-1] == len(ids)):
-            data, stops = ids.tobytes(), (4 * cuts).tolist()
-            self.young |= zip(words, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True)
-        else:
-            self.young |= ((w, self._ids(w.decode()).tobytes()) for w in words)
-
-    def _new(self, words: set[bytes]) -> set[bytes]:
-        """Those of the words that have to be encoded; what only the older generation has becomes young again."""
-        out = words.difference(self.young)
-        if self.old:
-            again = {word: ids for word in out if (ids := self.old.get(word)) is not None}
-            self.young |= again
-            out.difference_update(again)
-        return out
-
-    def learn(self, words: set[bytes]) -> None:
-        """From now on the young generation has these words."""
+        for sample in ("aB  cd,\n\tx", "it's 12. no'LL! ÀÉß×", "\x01 'tis <|a|> B"):
+            if b"".join(self.texts([sample.encode()])) != self._ids([sample])[0]:
+                raise ValueError(f"{path}: its tokens reach across words")
+        if any("<|" not in x.content or GAP(x.content.encode()) for x in self.whole.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path}: its marked tokens are not those of words with <|")
+        self.young = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[bytes]) -> None:
+        """Encodes words that are cut already at once."""
+        letters = codecs.charmap_decode(b" ".join(words), "strict", BYTE_LETTERS)[0]
+        ids = np.array(self.plain.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
+        data, stops = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(stops) != len(words) or stops[-1] != len(data):
+            raise ValueError("a word's last token is not one that ends words")
+        self.young |= zip(words, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True)
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words, which the young generation has from now on."""
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        # Words that are others, and what follows these in some; no tuples, which would call for garbage collections.
-        heads: dict[bytes, bytes] = {}
-        tails: dict[bytes, bytes] = {}
-        parts: set[bytes] = set()
-        for word in self._new(words):
-            if word.isalpha():  # of bytes: letters A to Z alone
-                head = word.lower()
-                parts.add(head)
-                if head != word:
-                    heads[word] = head
-                continue
-            head, tail = word, b""
-            stem = word.rstrip(SYMBOLS)
-            if stem.isalpha():
-                tail = word[len(stem) :]
-                if b"'" not in tail and b"<|" not in tail:
-                    head = stem.lower()
-                else:
-                    tail = b""
-            elif b"<|" not in word and b"'" not in word:
-                low = word.lower() if word.isascii() else word
-                head = low.rstrip(SYMBOLS)
-                head, tail = (head, low[len(head) :]) if head and head.decode()[-1].isalpha() else (low, b"")
-            parts.add(head)
-            if tail:
-                parts.add(tail)
-                tails[word] = tail
-            if tail or head != word:
-                heads[word] = head
-        new = self._new(parts)
-        simple = [x for x in new if x.isalpha() and x.islower()]
-        other = new.difference(simple)
-        letters = [x for x in other if x.decode().isalpha()]
-        for some, how in ((simple, True), (letters, False)):
-            if some:
-                self._together(some, how)
-        for x in other.difference(letters):
-            self.young[x] = self._ids(x.decode()).tobytes()
-        young = self.young
-        for word, head in heads.items():
-            young[word] = young[head] + young[tails[word]] if word in tails else young[head]
+        found = list(map(self.young.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        # What only the older generation has becomes young again.
+        again = {words[k]: ids for k in missing if (ids := self.old.get(words[k])) is not None} if self.old else {}
+        new = [words[k] for k in missing if words[k] not in again]
+        plain, whole = [], []
+        for word in new:
+            (plain if word.isalpha() or PLAIN(word) and b"<|" not in word else whole).append(word)
+        self.young |= again
+        if plain:
+            self._together(plain)
+        if whole:
+            self.young |= zip(whole, self._ids([word.decode() for word in whole]), strict=True)
+        for k in missing:
+            found[k] = self.young[words[k]]
+        return found
+
+    def _encoded(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not texts:
+            return
+        at, starts, data = _words(b" ".join(texts))
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        # Arrow's own to_pylist makes a scalar of each.
+        _, stops, data = words.dictionary.buffers()
+        stops, data = np.frombuffer(stops, np.int32)[: len(words.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+        different = [data[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+        # What these words add may go beyond the bound, but is forgotten next.
+        ids = pa.array(self.learn(different), pa.large_binary()).take(words.indices)
+        _, stops, data = ids.buffers()
+        first = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        cuts = np.frombuffer(stops, np.int64)[np.searchsorted(at, first)].tolist() if len(at) else [0] * len(first)
+        data = memoryview(data or b"")
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield bytes(data[a:b])
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each whole UTF-8 text."""
-        split = [_plainer(x).split() for x in texts]
-        # What the words of these texts add may go beyond the bound, but is forgotten next.
-        for first in range(0, len(split), ROWS):
-            part = split[first : first + ROWS]
-            words = set(chain.from_iterable(part))
-            self.learn(words)
-            # Those at hand are few, and looked up faster than among all that are remembered.
-            ids = dict(zip(words, map(self.young.__getitem__, words), strict=True)).__getitem__
-            for own in part:
-                yield b"".join(map(ids, own))
+        part, size = [], 0
+        for text in texts:
+            if size + len(text) > BYTES or len(part) == ROWS:
+                yield from self._encoded(part)
+                part, size = [], 0
+            if len(text) > BYTES:
+                yield b"".join(chain.from_iterable(self._encoded([x]) for x in _parts(text)))
+            else:
+                part.append(text)
+                size += len(text)
+        yield from self._encoded(part)
 
 
 @cache

@@ -37,6 +37,26 @@ def test_words_that_differ_in_case_and_stops_are_remembered_once():
     assert first + [np.frombuffer(x, "<u4").tolist() for x in coder.texts([x.encode() for x in texts[2:]])] == list(map(library, texts))
 
 
+def test_words_are_cut_to_the_bone_before_they_are_remembered():
+    texts = ["one-two, Two|three (ONE)", "été Été. \n(été)two", "10 1001 one2two", "It's ONE'S two'LL 'tis '", "é́t <|endoftext|>one ×one"]
+    coder = packing.WordCoder(PATH)
+    for text, ids in zip(texts, coder.texts([x.encode() for x in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text), text
+    plain = {"one", "two", "three", "-", ",", "|", "(", ")", "été", ".", "0", "1", "2", "it", "'s", "'ll", "'t", "is", "'"}
+    assert set(coder.young) == {x.encode() for x in plain} | {"é́t".encode(), b"<|endoftext|>one", "×one".encode()}
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(packing, "BYTES", 10)
+    draw = random.Random(6)
+    texts = ["".join(draw.choices(["a", "It's", "É", "12", " ", "\n", "..", "中"], k=draw.randint(0, 40))) for _ in range(300)] + ["x" * 50, " " * 50, "x" * 30 + " y"]
+    coder, sizes = packing.WordCoder(PATH), []
+    of = packing._words
+    monkeypatch.setattr(packing, "_words", lambda text: sizes.append(len(text)) or of(text))
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.texts([x.encode() for x in texts])] == list(map(library, texts))
+    assert len(sizes) > 300
+
+
 def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
     monkeypatch.setattr(packing, "ROWS", 1)
