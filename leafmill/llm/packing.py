@@ -190,14 +190,28 @@ class WordCoder:
         # What only the older generation has becomes young again.
         again = {words[k]: ids for k in missing if (ids := self.old.get(words[k])) is not None} if self.old else {}
         new = [words[k] for k in missing if words[k] not in again]
-        plain, whole = [], []
+        plain, whole, tails = [], [], {}
         for word in new:
-            (plain if word.isalpha() or PLAIN(word) and b"<|" not in word else whole).append(word)
+            if word.isalpha() or PLAIN(word) and b"<|" not in word:
+                plain.append(word)
+                continue
+            head = word.rstrip(b".,")
+            if head != word and b"<|" not in word and head.decode()[-1].isalpha():
+                tails[word] = head, word[len(head) :]
+            else:
+                whole.append(word)
+        if tails:
+            # A letter and the stops behind it are two words, so many words differ in what is behind them alone.
+            heads, stops = (set(x).difference(self.young, again, plain, whole) for x in zip(*tails.values(), strict=True))
+            plain += stops
+            whole += heads
         self.young |= again
         if plain:
             self._together(plain)
         if whole:
             self.young |= zip(whole, self._ids([word.decode() for word in whole]), strict=True)
+        for word, (head, tail) in tails.items():
+            self.young[word] = self.young[head] + self.young[tail]
         for k in missing:
             found[k] = self.young[words[k]]
         return found

@@ -46,6 +46,15 @@ def test_words_are_cut_to_the_bone_before_they_are_remembered():
     assert set(coder.young) == {x.encode() for x in plain} | {"é́t".encode(), b"<|endoftext|>one", "×one".encode()}
 
 
+def test_stops_behind_words_of_other_scripts_are_parted(monkeypatch):
+    texts, encoded = ["мир, мир. мир.,", "中文. ж́. \x01.", "мир ж, ."], []
+    coder = packing.WordCoder(PATH)
+    of = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda words: encoded.extend(words) or of(words))
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.texts([x.encode() for x in texts])] == list(map(library, texts))
+    assert sorted(encoded) == sorted(["мир", "中文", "ж́.", "\x01.", "ж"])
+
+
 def test_long_texts_are_cut_at_white_space(monkeypatch):
     monkeypatch.setattr(packing, "BYTES", 10)
     draw = random.Random(6)
